@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fenestra.llm.media import op7_wav_fingerprints
+from fenestra.llm.mixing import OP10_SQL, op10_mixing
 from fenestra.llm.quality_rules import OP5_SQL, op5_quality_rules
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules, op7_wav_fingerprints, op10_mixing)}
 
-ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op10_mixing": OP10_SQL}
