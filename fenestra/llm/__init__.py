@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fenestra.llm.bpe import op8_bpe
 from fenestra.llm.media import op7_wav_fingerprints
 from fenestra.llm.mixing import OP10_SQL, op10_mixing
 from fenestra.llm.quality_rules import OP5_SQL, op5_quality_rules
+from fenestra.llm.word_pieces import op6_token_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules, op7_wav_fingerprints, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules, op6_token_counts, op7_wav_fingerprints, op8_bpe, op10_mixing)}
 
 ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op10_mixing": OP10_SQL}
