@@ -12,9 +12,10 @@ from fenestra.llm.media import op7_wav_fingerprints
 from fenestra.llm.mixing import OP10_SQL, op10_mixing
 from fenestra.llm.pii import op2_pii
 from fenestra.llm.quality_rules import OP5_SQL, op5_quality_rules
+from fenestra.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from fenestra.llm.toxicity import op3_toxicity
 from fenestra.llm.word_pieces import op6_token_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_toxicity, op5_quality_rules, op6_token_counts, op7_wav_fingerprints, op8_bpe, op9_jaccard_join, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_toxicity, op4_substring_dedup, op5_quality_rules, op6_token_counts, op7_wav_fingerprints, op8_bpe, op9_jaccard_join, op10_mixing)}
 
-ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_substring_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_mixing": OP10_SQL}
