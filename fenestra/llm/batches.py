@@ -28,7 +28,8 @@ def map_rows(df: DataFrame, work: Callable[[], Callable[..., Iterator[tuple]]],
                     out.extend(each(*values))
                     held += sum(len(v) for v in values if isinstance(v, (bytes, str)))
                     if len(out) >= ROWS or held >= BYTES:
-                        yield _batch(out, arrow)
+                        if out:
+                            yield _batch(out, arrow)
                         out, held = [], 0
         if out:
             yield _batch(out, arrow)
