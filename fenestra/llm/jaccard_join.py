@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from fenestra.llm.batches import map_rows
 from fenestra.llm.common import cut, read, sized
 from fenestra.llm.components import merge
-from fenestra.llm.shingles import WordHashes, shingle_set
+from fenestra.llm.shingles import WordHashes, meets, repeated, shingle_set
 
 WIDTH = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -129,6 +129,18 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "shingle bigint, doc_id bigint, n int, m int, typical int")
 
 
+def _in_buckets(prefixes: DataFrame) -> DataFrame:
+    """The rows of `prefixes` but for shingles that one document has alone; a few of those stay, which a later join drops."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(repeated(prefixes.select(F.col("shingle").alias("hash"), "doc_id")))
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            yield batch.filter(meets(h, shared.value))
+
+    return prefixes.mapInArrow(run, prefixes.schema)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose sets link, by their exact intersection. Texts of other documents are not moved."""
     pairs = cut(pairs)
@@ -176,13 +188,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = cut(named.join(same, "key").where(F.col("doc_id") != F.col("first")).select("doc_id", "first").distinct())
     nodes = docs.where(F.col("doc_id").isNotNull()).join(sized(copies.select("doc_id")), "doc_id", "left_anti")
 
-    prefixes = cut(_prefixes(nodes, _sum_sketch(found.where(F.col("block").isNotNull()))))
+    prefixes = cut(_in_buckets(cut(_prefixes(nodes, _sum_sketch(found.where(F.col("block").isNotNull()))))))
     leaders = prefixes.groupBy("shingle").agg(F.max(F.struct("typical", (-F.col("doc_id")).alias("id"))).alias("top"), F.max("doc_id").alias("most"), F.min("doc_id").alias("least"))
     leaders = cut(leaders.where(F.col("most") != F.col("least")).select("shingle", (-F.col("top.id")).alias("leader")))
     rows = cut(prefixes.join(leaders.hint("merge"), "shingle").select("shingle", "doc_id", "n", "m", "leader"))
 
-    offers = rows.where(F.col("doc_id") != F.col("leader")).groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"))
-    best = offers.groupBy("doc_id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
+    offers = rows.where(F.col("doc_id") != F.col("leader")).groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min("m").alias("m"))
+    # one leader for each node, if it leads enough of the node's buckets to make a link likely
+    best = offers.where(F.col("shared") >= F.col("m")).groupBy("doc_id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
     labels = merge(None, _verified(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), docs))
 
     # a node alone, beside a component: a few of that bucket's nodes, another for each shingle
@@ -190,9 +203,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chance = F.xxhash64("shingle", "doc_id")
     pick = mixed.groupBy("shingle").agg(F.max(F.struct("grown", chance.alias("chance"), "doc_id", "component")).alias("pick")).select("shingle", "pick.*")
     pick = cut(pick.where("grown").select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("_c")))
-    tries = mixed.join(pick.hint("merge"), "shingle").where(F.col("component") != F.col("_c")).groupBy("a", F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    met = mixed.join(pick.hint("merge"), "shingle").where(F.col("component") != F.col("_c")).withColumnRenamed("doc_id", "b")
+    met = met.withColumn("near", F.count(F.lit(1)).over(Window.partitionBy("b", "_c"))).where(F.col("near") >= F.col("m"))
     few = Window.partitionBy("b").orderBy(F.desc("shared"), F.xxhash64("a", "b"), "a")
-    tries = tries.withColumn("place", F.row_number().over(few)).where(F.col("place") <= LEADERS).select("a", "b")
+    tries = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).withColumn("place", F.row_number().over(few))
+    tries = tries.where(F.col("place") <= LEADERS).select("a", "b")
     labels = merge(labels, _verified(tries, docs))
 
     # every pair left that the prefixes allow

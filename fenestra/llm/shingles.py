@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: 64-bit cells of a bitmap of repeated hashes: 16 MB. With many more hashes than bits it lets more rows through; results don't change.
+CELLS = 1 << 21
 
 #: Word hashes remembered by a worker; the table is emptied when full.
 MEMO, MEMO_BYTES = 400_000, 64
@@ -48,3 +53,19 @@ def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
     if not len(h):
         return np.zeros(0, np.uint64)
     return np.unique(runs(h, min(width, len(h))))
+
+
+def repeated(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes that several documents have, from rows of hash and doc_id. The driver gets CELLS numbers at most."""
+    several = hashes.groupBy("hash").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
+    cell, bit = F.pmod("hash", F.lit(CELLS)).cast("int"), F.expr("shiftleft(1L, int(shiftrightunsigned(hash, 58)))")
+    cells = several.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(CELLS, np.uint64)
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def meets(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the bitmap; false hits occur, misses don't."""
+    cell = np.mod(h.view(np.int64), CELLS)  # as pmod of the signed number
+    return (bitmap[cell] >> (h >> np.uint64(58)) & np.uint64(1)).astype(bool)

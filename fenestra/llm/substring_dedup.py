@@ -20,11 +20,9 @@ from pyspark.sql import functions as F
 
 from fenestra.llm.batches import map_rows
 from fenestra.llm.common import cut, read, sized
-from fenestra.llm.shingles import WordHashes, runs
+from fenestra.llm.shingles import WordHashes, meets, repeated, runs
 
 K, ANCHOR = 13, 5
-#: 64-bit cells of the bitmap of repeated anchors: 16 MB. With many more anchors than bits it lets more windows through; results don't change.
-CELLS = 1 << 21
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -46,7 +44,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def _sampled(docs: DataFrame) -> DataFrame:
-    """anchor and doc_id, each once for a document."""
+    """hash (of an anchor) and doc_id, each once for a document."""
 
     def run(batches):
         import pyarrow as pa
@@ -55,7 +53,7 @@ def _sampled(docs: DataFrame) -> DataFrame:
 
         def batch_of(held):
             a, d = (np.concatenate(c) for c in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array(_signed(a)), pa.array(d)], ["anchor", "doc_id"])
+            return pa.RecordBatch.from_arrays([pa.array(_signed(a)), pa.array(d)], ["hash", "doc_id"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -71,22 +69,12 @@ def _sampled(docs: DataFrame) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    return docs.mapInArrow(run, "anchor bigint, doc_id bigint")
-
-
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """Bits of the anchors that occur in several documents. The driver gets CELLS numbers at most."""
-    several = anchors.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
-    cell, bit = F.pmod("anchor", F.lit(CELLS)).cast("int"), F.expr("shiftleft(1L, int(shiftrightunsigned(anchor, 58)))")
-    cells = several.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(CELLS, np.uint64)
-    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
+    return docs.mapInArrow(run, "hash bigint, doc_id bigint")
 
 
 def _edges(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """k1, k2 (128 bits of a window's words), doc_id and at (its first word) of the windows that may be repeated."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # CELLS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # a bitmap of fixed size
 
     def run(batches):
         import pyarrow as pa
@@ -102,8 +90,7 @@ def _edges(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 if len(h) < K:
                     continue
                 a = _anchors(h)
-                # pmod of the signed number, as in the bitmap
-                at = np.flatnonzero(bits[np.mod(_signed(a), CELLS)] >> (a >> np.uint64(58)) & np.uint64(1))
+                at = np.flatnonzero(meets(a, bits))
                 if not len(at):
                     continue
                 held.append((_signed(runs(h, K)[at]), _signed(runs(h, K, 77)[at]), np.full(len(at), doc_id), at.astype(np.int32)))
@@ -152,7 +139,7 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
     start in a document with a smaller doc_id is in a path. Rows with one doc_id and different texts, or a null doc_id, take no part.
     """
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("doc_id").isNotNull())
-    edges = cut(_edges(docs, _bitmap(_sampled(docs))))
+    edges = cut(_edges(docs, repeated(_sampled(docs))))
     key = F.xxhash64("doc_id", "start", "from_doc", "from_at")
     paths = cut(_paths(edges).withColumn("path", key))
     here, there = _spans(docs, paths.select("doc_id", "path", "start", "n")), _spans(docs, paths.select(F.col("from_doc").alias("doc_id"), "path", F.col("from_at").alias("start"), "n"))
