@@ -73,7 +73,7 @@ def _sampled(docs: DataFrame) -> DataFrame:
 
 
 def _edges(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """k1, k2 (128 bits of a window's words), doc_id and at (its first word) of the windows that may be repeated."""
+    """k1, k2 (95 bits of a window's words), doc_id and at (its first word) of the windows that may be repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # a bitmap of fixed size
 
     def run(batches):
@@ -93,7 +93,7 @@ def _edges(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 at = np.flatnonzero(meets(a, bits))
                 if not len(at):
                     continue
-                held.append((_signed(runs(h, K)[at]), _signed(runs(h, K, 77)[at]), np.full(len(at), doc_id), at.astype(np.int32)))
+                held.append((_signed(runs(h, K)[at]), (runs(h, K, 77)[at] >> np.uint64(33)).astype(np.int32), np.full(len(at), doc_id), at.astype(np.int32)))
                 rows += len(at)
                 if rows >= 100_000:
                     yield batch_of(held)
@@ -101,13 +101,13 @@ def _edges(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    return docs.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, at int")
+    return docs.mapInArrow(run, "k1 bigint, k2 int, doc_id bigint, at int")
 
 
 def _paths(edges: DataFrame) -> DataFrame:
-    """Compacted paths: doc_id, start, n (edges), from_doc, from_at; each edge's source is its first place in the smallest doc_id."""
-    sources = edges.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"))
-    sources = cut(sources.where(F.col("first.doc_id") < F.col("last")).select("k1", "k2", F.col("first.doc_id").alias("from_doc"), F.col("first.at").alias("from_at")))
+    """Compacted paths: doc_id, start, n (edges), from_doc, from_at; each edge's source is a place in the smallest doc_id."""
+    sources = edges.groupBy("k1", "k2").agg(F.min("doc_id").alias("from_doc"), F.min_by("at", "doc_id").alias("from_at"), F.max("doc_id").alias("last"))
+    sources = cut(sources.where(F.col("from_doc") < F.col("last")).drop("last"))
     met = edges.join(sources.hint("merge"), ["k1", "k2"]).where(F.col("doc_id") > F.col("from_doc"))
     # steps of a nonbranching path keep from_doc and the distance of both places; at - (row number) is constant within one
     step = met.select("doc_id", "at", "from_doc", (F.col("from_at") - F.col("at")).alias("shift")).distinct()
@@ -132,11 +132,24 @@ def _spans(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_rows(texts.select("text", "spans"), work, "path bigint, digest binary")
 
 
+def set_aside(docs: DataFrame) -> DataFrame:
+    """doc_id and copy of documents that need no edges.
+
+    Where copy is true, the text equals that of a smaller doc_id: all its windows are repeated, and none is a source. Where it is false, rows
+    give one doc_id different texts, so it names no place.
+    """
+    keyed = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("key"))
+    first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last"))
+    known = keyed.join(first.hint("merge"), "key", "left")
+    ids = known.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.min(F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).alias("copy"))
+    return ids.where("x <> y OR copy").select("doc_id", F.expr("copy AND x = y").alias("copy"))
+
+
 def repeated_paths(docs: DataFrame) -> DataFrame:
     """Verified paths of repeated windows for `docs` (doc_id, text): doc_id, start (word), n (windows), from_doc, from_at.
 
     A path covers n + K - 1 words of the document that also stand in from_doc, a smaller doc_id, from word from_at on. Every window of a document whose words also
-    start in a document with a smaller doc_id is in a path. Rows with one doc_id and different texts, or a null doc_id, take no part.
+    start in a document with a smaller doc_id is in a path, unless set_aside() has it. Rows with a null doc_id take no part.
     """
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.col("doc_id").isNotNull())
     edges = cut(_edges(docs, repeated(_sampled(docs))))
@@ -151,12 +164,14 @@ def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed (long), kept_sha256 and kept (the words left, joined by spaces) for each row of `docs` (doc_id, text).
 
     A word goes if a window of K words that covers it also starts in a document with a smaller doc_id, judged on the input. A null text has no words;
-    texts of fewer than K words lose none. A row with a null doc_id loses none and takes none away. Repeated rows of one doc_id are treated alike; an empty table
+    texts of fewer than K words lose none. A row with a null doc_id, or of a doc_id that has different texts, loses none and takes none away. Repeated rows are treated alike; an empty table
     gives an empty result; other columns are not read. With `keep` false, kept is null.
     """
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    spans = repeated_paths(docs).groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("start", "n"))).alias("spans"))  # of one document
-    spans = cut(spans)
+    aside = cut(set_aside(docs))
+    paths = repeated_paths(docs.join(sized(aside), "doc_id", "left_anti"))
+    spans = paths.groupBy("doc_id").agg(F.array_distinct(F.collect_list(F.struct("start", "n"))).alias("spans"))  # of one document
+    spans = cut(spans.union(aside.where("copy").select("doc_id", F.expr("array(struct(0 AS start, 2000000000 AS n))"))))
     count = spans.count()
     # documents that lose words are few or many: their ids alone decide which texts move
     some, ids = docs.join(sized(spans.select("doc_id"), count), "doc_id", "left_semi").join(spans.hint("merge"), "doc_id"), spans.select("doc_id")
@@ -166,7 +181,7 @@ def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
         def each(doc_id, text, spans):
             w = _words(text)
             n = len(w)
-            if spans:
+            if spans and n >= K:
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, [s["start"] for s in spans], 1)
                 np.add.at(edge, [min(n, s["start"] + s["n"] + K - 1) for s in spans], -1)
