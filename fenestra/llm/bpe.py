@@ -181,11 +181,11 @@ def vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """One row for each of `docs` (doc_id, text): doc_id, n_tokens, ids (array<int>).
+def encode(docs: DataFrame, path: str, digests: bool = False, keep: bool = True) -> DataFrame:
+    """One row for each of `docs` (doc_id, text): doc_id, n_tokens, and ids (array<int>) with `keep`.
 
-    A null text is an empty one and has no tokens. Added tokens spelled out in a text become their ids. With `digests`, ids is null and ids_sha256 and decoded_sha256
-    are made instead, the latter of the text decoded again. Repeated rows give repeated results; other columns are not read.
+    A null text is an empty one and has no tokens. Added tokens spelled out in a text become their ids. `digests` adds ids_sha256 and decoded_sha256,
+    the latter of the text decoded again. Repeated rows give repeated results; other columns are not read.
     """
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # the file's size, whatever the data
 
@@ -194,16 +194,16 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
 
         def each(doc_id, text):
             ids = c.encode(text or "")
+            sums = None, None
             if digests:
                 back = c.decode(ids).decode("utf-8", "replace").encode()
-                yield doc_id, len(ids) // 4, None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
-            else:
-                yield doc_id, len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32), None, None
+                sums = hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+            yield doc_id, len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32) if keep else None, *sums
 
         return each
 
     out = map_rows(docs.select("doc_id", "text"), work, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
-    return out.drop("ids") if digests else out.drop("ids_sha256", "decoded_sha256")
+    return out.drop(*[] if keep else ["ids"], *[] if digests else ["ids_sha256", "decoded_sha256"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -224,4 +224,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+    return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True, keep=False)

@@ -162,9 +162,27 @@ def learnable(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds != 0
 
 
+def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs` that score below `least`, with all their columns."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        m, memo = shared.value, {}
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(terms((t.as_py() or "").encode(), memo)) < least for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learning_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and label (toxic) of the rows that may be learned from."""
+    return labels.select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isNotNull() & learnable(F.col("doc_id")))
+
+
 def train_on_tables(spark: SparkSession, sf_dir: str) -> Machine:
-    labels = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(F.col("label").isNotNull() & learnable(F.col("doc_id")))
-    return train(read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return train(read(spark, sf_dir, "documents").select("doc_id", "text").join(learning_labels(read(spark, sf_dir, "labels")), "doc_id"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
