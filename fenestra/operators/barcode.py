@@ -158,17 +158,23 @@ def interpret(symbols: list[int]) -> tuple[str, bool] | None:
     return "".join(text), data[1] == FNC1
 
 
+def _read_row(row: np.ndarray) -> tuple[tuple[str, bool], float] | None:
+    runs = run_widths(row)
+    read = runs and read_symbols(*runs)
+    text = read and interpret(read[0])
+    return (text, read[1]) if text else None
+
+
 def decode(pixels: np.ndarray) -> tuple[str, bool, float, int] | None:
     """Text, GS1 mark, mean module and rows in favour, by vote of evenly spaced rows, each read forwards, then backwards."""
     votes: dict[tuple[str, bool], list[float]] = {}
+    seen: dict[bytes, tuple[tuple[str, bool], float] | None] = {}  # drawn labels repeat their rows
     for y in sorted({int((k + 0.5) * len(pixels) / ROWS) for k in range(ROWS)}):
-        for row in (pixels[y], pixels[y][::-1]):
-            runs = run_widths(row)
-            read = runs and read_symbols(*runs)
-            text = read and interpret(read[0])
-            if text:
-                votes.setdefault(text, []).append(read[1])
-                break
+        row = pixels[y]
+        if (key := row.tobytes()) not in seen:
+            seen[key] = _read_row(row) or _read_row(row[::-1])
+        if seen[key]:
+            votes.setdefault(seen[key][0], []).append(seen[key][1])
     if not votes:
         return None
     text, units = max(votes.items(), key=lambda v: len(v[1]))  # the first seen, of equals
