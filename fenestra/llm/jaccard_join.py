@@ -17,7 +17,7 @@ from collections import OrderedDict
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenestra.llm.batches import map_rows
@@ -30,8 +30,8 @@ WIDTH = 5
 PERCENT = 80
 #: Cells of the frequency sketch (4 bytes each), in blocks that are summed apart. Its size doesn't depend on the data; a fuller sketch only orders less well.
 CELLS, BLOCKS = 1 << 20, 64
-#: What verifying a pair costs, in reads of a bucket's row; the choices for m.
-VERIFY, MATCHES = 20.0, (1, 2, 4, 8, 16, 32, 64)
+#: What verifying a pair costs, in reads of a bucket's row.
+VERIFY = 20.0
 #: Random leaders offered to a node that its first leader didn't link.
 LEADERS = 6
 
@@ -40,6 +40,11 @@ def _tokens(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return shingle_set(hashes.of((text or b"").lower().split()), WIDTH)  # bytes: only A-Z change, only ASCII white space splits
 
 
+def _matches(n: int) -> int:
+    """The least m of a set of n shingles: a power of two that grows with it. A document may choose 2, 4, ... times as many."""
+    return 1 << max(0, (n // 32).bit_length() - 1)
+
+
 def _sets_and_sketch(docs: DataFrame) -> DataFrame:
     """One pass over the texts: a row for each document, and each task's part of the sketch in blocks."""
 
@@ -89,7 +94,8 @@ def _sum_sketch(parts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """shingle, doc_id, n, m and typical (how frequent the document's shingles are) for every shingle of the chosen prefix."""
+    """shingle, doc_id, n, m, least (of any m that a set may have which links to this one) and typical (how frequent the document's shingles are)
+    for every shingle of the chosen prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # CELLS counts
     mean = float(sketch.mean())
     floor = mean + 4 * mean**0.5 + 1
@@ -97,7 +103,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes, cells, names = WordHashes(), shared.value, ["shingle", "doc_id", "n", "m", "typical"]
+        hashes, cells, names = WordHashes(), shared.value, ["shingle", "doc_id", "n", "m", "least", "typical"]
         held, rows = [], 0
 
         def batch_of(held):
@@ -115,10 +121,11 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 s = s[order := np.lexsort((s, over))]
                 reads = np.cumsum(1 + over[order])
                 needed = -(-PERCENT * n // 100)
-                m = min((x for x in MATCHES if x <= needed), key=lambda x: reads[n - needed + x - 1] * (1 + VERIFY / x**2))
+                choices = [m for m in (_matches(n) << k for k in range(7)) if m <= needed]
+                m = min(choices, key=lambda x: reads[n - needed + x - 1] * (1 + VERIFY / x**2))
                 s = s[: n - needed + m]
                 k = len(s)
-                held.append((s, np.full(k, doc_id), np.full(k, n), np.full(k, m), np.full(k, int(100 * np.log2(1 + over).mean()))))
+                held.append((s, np.full(k, doc_id), np.full(k, n), np.full(k, m), np.full(k, _matches(needed)), np.full(k, int(100 * np.log2(1 + over).mean()))))
                 rows += k
                 if rows >= 100_000:
                     yield batch_of(held)
@@ -126,7 +133,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    return docs.mapInArrow(run, "shingle bigint, doc_id bigint, n int, m int, typical int")
+    return docs.mapInArrow(run, "shingle bigint, doc_id bigint, n int, m int, least int, typical int")
 
 
 def _in_buckets(prefixes: DataFrame) -> DataFrame:
@@ -141,6 +148,32 @@ def _in_buckets(prefixes: DataFrame) -> DataFrame:
     return prefixes.mapInArrow(run, prefixes.schema)
 
 
+def _linkable(prefixes: DataFrame, rounds: int = 2) -> DataFrame:
+    """The prefix rows of nodes that may link, in buckets of several nodes, with own: how many of them the node has.
+
+    A link shares at least the smaller m of both, hence `least` of either, so a node with fewer such rows has none. Dropping it thins out
+    buckets; a second round drops more.
+    """
+    rows = prefixes
+    for _ in range(rounds):
+        several = rows.groupBy("shingle").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("shingle")
+        rows = rows.drop("own").join(cut(several).hint("merge"), "shingle", "left_semi")
+        mine = rows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("own"), F.min("least").alias("_least")).where("own >= _least").select("doc_id", "own")
+        rows = cut(rows.join(cut(mine).hint("merge"), "doc_id"))
+    return rows
+
+
+def _may_link(a: str, b: str, common: Column | None = None) -> Column:
+    """Whether 100 * common >= PERCENT * union is possible, `common` being shared prefix rows (at most the smaller own).
+
+    Up to where the first of both prefixes ends, all that is common has been counted; behind it, no more than the rest of that set can be.
+    """
+    c = lambda x, end: F.col(f"{x}_{end}").cast("bigint")
+    rest = lambda end: F.ceil(c("n", end) * PERCENT / 100) - c("m", end)
+    most = (F.least(c("own", a), c("own", b)) if common is None else common) + F.greatest(rest(a), rest(b))
+    return (100 + PERCENT) * most >= PERCENT * (c("n", a) + c("n", b))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose sets link, by their exact intersection. Texts of other documents are not moved."""
     pairs = cut(pairs)
@@ -189,9 +222,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = docs.where(F.col("doc_id").isNotNull()).join(sized(copies.select("doc_id")), "doc_id", "left_anti")
 
     prefixes = cut(_in_buckets(cut(_prefixes(nodes, _sum_sketch(found.where(F.col("block").isNotNull()))))))
-    leaders = prefixes.groupBy("shingle").agg(F.max(F.struct("typical", (-F.col("doc_id")).alias("id"))).alias("top"), F.max("doc_id").alias("most"), F.min("doc_id").alias("least"))
-    leaders = cut(leaders.where(F.col("most") != F.col("least")).select("shingle", (-F.col("top.id")).alias("leader")))
-    rows = cut(prefixes.join(leaders.hint("merge"), "shingle").select("shingle", "doc_id", "n", "m", "leader"))
+    rows = _linkable(prefixes)
+    leaders = rows.groupBy("shingle").agg(F.max(F.struct("typical", (-F.col("doc_id")).alias("id"))).alias("top"))
+    leaders = cut(leaders.select("shingle", (-F.col("top.id")).alias("leader")))
+    rows = cut(rows.drop("typical").join(leaders.hint("merge"), "shingle"))
 
     offers = rows.where(F.col("doc_id") != F.col("leader")).groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min("m").alias("m"))
     # one leader for each node, if it leads enough of the node's buckets to make a link likely
@@ -201,10 +235,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a node alone, beside a component: a few of that bucket's nodes, another for each shingle
     mixed = cut(_mixed(rows, labels))
     chance = F.xxhash64("shingle", "doc_id")
-    pick = mixed.groupBy("shingle").agg(F.max(F.struct("grown", chance.alias("chance"), "doc_id", "component")).alias("pick")).select("shingle", "pick.*")
-    pick = cut(pick.where("grown").select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("_c")))
-    met = mixed.join(pick.hint("merge"), "shingle").where(F.col("component") != F.col("_c")).withColumnRenamed("doc_id", "b")
-    met = met.withColumn("near", F.count(F.lit(1)).over(Window.partitionBy("b", "_c"))).where(F.col("near") >= F.col("m"))
+    pick = mixed.groupBy("shingle").agg(F.max(F.struct("grown", chance.alias("chance"), "doc_id", "component", "n", "m", "own")).alias("pick")).select("shingle", "pick.*")
+    pick = cut(pick.where("grown").select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("_c"), *(F.col(c).alias(f"{c}_a") for c in ("n", "m", "own"))))
+    met = mixed.withColumnsRenamed({"doc_id": "b", "n": "n_b", "m": "m_b", "own": "own_b"}).join(pick.hint("merge"), "shingle").where((F.col("component") != F.col("_c")) & _may_link("a", "b"))
+    met = met.withColumn("near", F.count(F.lit(1)).over(Window.partitionBy("b", "_c"))).where(F.col("near") >= F.col("least"))
     few = Window.partitionBy("b").orderBy(F.desc("shared"), F.xxhash64("a", "b"), "a")
     tries = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).withColumn("place", F.row_number().over(few))
     tries = tries.where(F.col("place") <= LEADERS).select("a", "b")
@@ -212,12 +246,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # every pair left that the prefixes allow
     mixed = cut(_mixed(rows, labels))
-    left, right = (mixed.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "m", "component"))) for x in "ab")
+    left, right = (mixed.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "m", "own", "component"))) for x in "ab")
     fits = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
-    fits &= (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
+    fits &= (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a")) & _may_link("a", "b")
     met = left.join(right.hint("merge"), (left["shingle"] == right["shingle"]) & fits)
-    pairs = met.groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("m_a", "m_b")).alias("m"))
-    labels = merge(labels, _verified(pairs.where(F.col("shared") >= F.col("m")).select("a", "b"), docs))
+    sizes = [F.first(c).alias(c) for x in "ab" for c in (f"n_{x}", f"m_{x}")]
+    pairs = met.groupBy("doc_id_a", "doc_id_b").agg(F.count(F.lit(1)).alias("shared"), *sizes)
+    pairs = pairs.where((F.col("shared") >= F.least("m_a", "m_b")) & _may_link("a", "b", F.col("shared"))).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+    labels = merge(labels, _verified(pairs, docs))
 
     out = sets.join(copies, "doc_id", "left").withColumn("id", F.coalesce("first", "doc_id")).join(labels, "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
