@@ -157,6 +157,7 @@ SYMBOLS = f"{PARSED}, symbols AS (SELECT k, kind, n, CASE type WHEN 'Domestic' T
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _numbers(spark, sf_dir).withColumn("n", nb.normalize_number(F.col("raw")))
+    n = n.repartition(max(8, spark.sparkContext.defaultParallelism), "k")  # drawing and reading cost far more than moving a number
     return n.withColumn("s", F.when(F.length("n") == 20, c128.gs1_symbols(F.col("n"))).otherwise(c128.s10_symbols(F.col("n"))))
 
 
@@ -317,13 +318,13 @@ def label_select(spark, sf_dir):
     return selection.select_label(_parts(spark, sf_dir), layout_windows(spark).where("role = 'sender'")).select("doc", "layout", "role", "ord", "tier")
 
 
-@query(f"WITH {SCORED}, chosen AS ({_ADDRESS}) SELECT s.doc, s.layout, s.role, s.ord FROM scored s LEFT JOIN chosen c ON c.rn = 1 AND c.doc = s.doc AND c.layout = s.layout AND c.role = s.role AND c.ord = s.ord WHERE s.score > 0 AND c.doc IS NULL")
+@query(f"WITH {SCORED} SELECT doc, layout, role, ord FROM ({_ADDRESS}) WHERE score > 0 AND rn > 1")
 def other_text_in_window(spark, sf_dir):
     parts, windows = _parts(spark, sf_dir), layout_windows(spark)
     return selection.other_text(parts, selection.select_address(parts, windows), windows).select("doc", "layout", "role", "ord")
 
 
-@query(f"WITH {SCORED}, chosen AS ({_ADDRESS}) SELECT p.doc, p.ord FROM parts p LEFT JOIN (SELECT DISTINCT doc, ord FROM chosen WHERE rn = 1 AND layout = 'c65_two' AND role = 'recipient') c ON c.doc = p.doc AND c.ord = p.ord WHERE c.doc IS NULL")
+@query(f"WITH {SCORED}, chosen AS (SELECT DISTINCT doc, ord FROM ({_ADDRESS}) WHERE rn = 1 AND layout = 'c65_two' AND role = 'recipient') SELECT doc, ord FROM parts WHERE (doc, ord) NOT IN (SELECT (doc, ord) FROM chosen)")
 def unclaimed_blocks(spark, sf_dir):
     parts, window = _parts(spark, sf_dir), layout_windows(spark).where("layout = 'c65_two' AND role = 'recipient'")
     return selection.unclaimed(parts, selection.select_address(parts, window)).select("doc", "ord")
@@ -350,6 +351,7 @@ iss AS (
   UNION ALL SELECT doc, 'recipient', 'FONT_TOO_SMALL', 'Error' FROM lv WHERE font_min < 8 UNION ALL SELECT doc, 'recipient', 'FONT_TOO_LARGE', 'Warning' FROM lv WHERE font_max > 14
   UNION ALL SELECT doc, 'recipient', 'DECORATED_TEXT', 'Warning' FROM lv WHERE q % 13 = 0 UNION ALL SELECT doc, 'recipient', 'NON_LEFT_ALIGNMENT', 'Warning' FROM lv WHERE q % 19 = 0
   UNION ALL SELECT doc, 'recipient', 'ADDRESS_MISMATCH', 'Error' FROM lv WHERE mismatch
+  UNION ALL SELECT doc, 'recipient', 'UNUSUAL_CHARACTERS', 'Warning' FROM lv WHERE regexp_matches(regexp_replace(array_to_string(lines, chr(10)), {_MF}, '', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s.,\\-–/''"„”&()«»:;#{{}}]')
   UNION ALL SELECT doc, 'sender', 'LABEL_OUTSIDE_WINDOW', 'Error' FROM lv WHERE lplace IN ('outside', 'not_overlapping') UNION ALL SELECT doc, 'sender', 'LABEL_TOO_LARGE', 'Error' FROM lv WHERE lplace = 'too_large'
   UNION ALL SELECT doc, 'sender', 'LABEL_TOO_CLOSE_TO_EDGE', 'Error' FROM lv WHERE lplace = 'too_close' UNION ALL SELECT doc, 'sender', 'LABEL_UNREADABLE', 'Inconclusive' FROM lv WHERE q % 23 = 0
   UNION ALL SELECT doc, 'sender', 'LABEL_NUMBER_INVALID', 'Error' FROM lv WHERE q % 23 <> 0 AND NOT valid UNION ALL SELECT doc, 'sender', 'LABEL_NUMBER_MISMATCH', 'Error' FROM lv WHERE q % 23 <> 0 AND number <> expected_number
