@@ -11,7 +11,10 @@ SCHEMA = "path string, modificationTime timestamp, length bigint, content binary
 
 
 def documents(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """One row for each new file: file_name, length, is_pdf, sha256 and problem (empty, too_large, unknown_format)."""
+    """One row for each new file: file_name, length, is_pdf, sha256 and problem (empty, too_large, unknown_format).
+
+    Spark's file sources leave files of no bytes out.
+    """
     files = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", glob).load(folder)
     return intake(files)
 
