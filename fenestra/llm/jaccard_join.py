@@ -42,7 +42,7 @@ def _tokens(text: bytes | None, hashes: WordHashes) -> np.ndarray:
 
 def _matches(n: int) -> int:
     """The least m of a set of n shingles: a power of two that grows with it. A document may choose 2, 4, ... times as many."""
-    return 1 << max(0, (n // 32).bit_length() - 1)
+    return 1 << max(0, (n // 16).bit_length() - 1)
 
 
 def _sets_and_sketch(docs: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 s = s[order := np.lexsort((s, over))]
                 reads = np.cumsum(1 + over[order])
                 needed = -(-PERCENT * n // 100)
-                choices = [m for m in (_matches(n) << k for k in range(7)) if m <= needed]
+                choices = [m for m in (_matches(n) << k for k in range(5)) if m <= needed]
                 m = min(choices, key=lambda x: reads[n - needed + x - 1] * (1 + VERIFY / x**2))
                 s = s[: n - needed + m]
                 k = len(s)
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = merge(None, _verified(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), docs))
 
     # a node alone, beside a component: a few of that bucket's nodes, another for each shingle
-    mixed = cut(_mixed(rows, labels))
+    mixed = _mixed(rows, labels)
     chance = F.xxhash64("shingle", "doc_id")
     pick = mixed.groupBy("shingle").agg(F.max(F.struct("grown", chance.alias("chance"), "doc_id", "component", "n", "m", "own")).alias("pick")).select("shingle", "pick.*")
     pick = cut(pick.where("grown").select("shingle", F.col("doc_id").alias("a"), F.col("component").alias("_c"), *(F.col(c).alias(f"{c}_a") for c in ("n", "m", "own"))))
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = merge(labels, _verified(tries, docs))
 
     # every pair left that the prefixes allow
-    mixed = cut(_mixed(rows, labels))
+    mixed = _mixed(rows, labels)
     left, right = (mixed.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "m", "own", "component"))) for x in "ab")
     fits = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
     fits &= (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a")) & _may_link("a", "b")
@@ -259,12 +259,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one component, with component and grown (not a single node)."""
+def _mixed(rows: DataFrame, labels: DataFrame, rounds: int = 2) -> DataFrame:
+    """The rows of buckets that hold more than one component, with component and grown (not a single node).
+
+    What a node shares with one of another component lies in such buckets, so only their rows count as its own, and a node with fewer than
+    `least` of them has no link left to find.
+    """
     known = rows.drop("leader").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     known = known.withColumns({"grown": F.col("component").isNotNull(), "component": F.coalesce("component", "doc_id")})
-    several = known.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    return known.join(cut(several).hint("merge"), "shingle", "left_semi")
+    for _ in range(rounds):
+        several = known.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+        known = known.drop("own").join(cut(several).hint("merge"), "shingle", "left_semi")
+        mine = known.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("own"), F.min("least").alias("_least")).where("own >= _least").select("doc_id", "own")
+        known = cut(known.join(cut(mine).hint("merge"), "doc_id"))
+    return known
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
