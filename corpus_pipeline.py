@@ -14,8 +14,7 @@ from fenestra.llm.common import cut, read
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that a machine fitted to the labelled ones scores below 0.5."""
-    labels = toxicity.learning_labels(read(spark, sf_dir, "labels"))
-    return toxicity.drop_toxic(docs, toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id")))
+    return toxicity.drop_toxic(docs, toxicity.train(docs, toxicity.learning_labels(read(spark, sf_dir, "labels"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

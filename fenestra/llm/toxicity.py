@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenestra.llm.batches import map_rows
-from fenestra.llm.common import read
+from fenestra.llm.common import cut, read
 
 BUCKETS = 1 << 18
 WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -104,38 +104,40 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], prior: float) -> Machine:
     return Machine(chosen, w, v, float(b + np.log(prior / (1 - prior)) - np.log(n1 / n0)))
 
 
-def hashed_terms(docs: DataFrame) -> DataFrame:
-    """doc_id and the buckets of its terms."""
+def hashed_terms(labelled: DataFrame) -> DataFrame:
+    """doc_id, label and the buckets of the text's terms for rows of doc_id, label and text."""
 
     def work():
         memo: dict[bytes, tuple[int, ...]] = {}
 
-        def each(doc_id, text):
-            yield doc_id, terms(text, memo).astype(np.int32)
+        def each(doc_id, label, text):
+            yield doc_id, label, terms(text, memo).astype(np.int32)
 
         return each
 
-    return map_rows(docs.select("doc_id", F.col("text").cast("binary")), work, "doc_id bigint, terms array<int>")
+    return map_rows(labelled.select("doc_id", "label", F.col("text").cast("binary")), work, "doc_id bigint, label int, terms array<int>")
+
 
+def train(docs: DataFrame, labels: DataFrame) -> Machine:
+    """A machine from `docs` (doc_id, text) and `labels` (doc_id, label); rows without text or with a label other than 0 and 1 teach nothing.
 
-def train(labelled: DataFrame) -> Machine:
-    """A machine from `labelled` (doc_id, text, label); rows without text or with a label other than 0 and 1 teach nothing."""
-    known = labelled.where(F.col("text").isNotNull() & F.col("label").isin(0, 1)).select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    The sample is chosen by ids and hashes of texts alone; only texts of the sample are read by the fitting task, and none is shuffled.
+    """
+    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("key"))
+    known = cut(keyed.join(labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label")), "doc_id"))
     share = known.agg(F.avg("label")).first()[0]
     if share is None:
         return fit(np.zeros(0), [], 0.0)
-    keyed = known.withColumn("key", F.xxhash64("text"))
-    parts = [keyed.where(F.col("label") == y).groupBy("key").agg(F.min("doc_id").alias("doc_id")).orderBy("key").limit(most) for y, most in SAMPLE.items()]
-    # ids of a bounded sample, so a broadcast is safe
-    sample = known.join(F.broadcast(parts[0].union(parts[1]).select("doc_id").distinct()), "doc_id")
+    parts = [known.where(F.col("label") == y).groupBy("key").agg(F.min("doc_id").alias("doc_id")).orderBy("key").limit(most).select("doc_id", F.lit(y).alias("label")) for y, most in SAMPLE.items()]
+    # a bounded sample, so a broadcast is safe
+    sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")
 
     def learn(sampled: pd.DataFrame) -> pd.DataFrame:
         sampled = sampled.sort_values(["doc_id", "label"])
         m = fit(sampled["label"].to_numpy(np.float64), [np.asarray(t, np.int64) for t in sampled["terms"]], float(share))
         return pd.DataFrame({"buckets": [m.buckets.tobytes()], "weights": [m.weights.tobytes()], "vectors": [m.vectors.tobytes()], "bias": [m.bias]})
 
-    hashed = hashed_terms(sample).join(sample.select("doc_id", "label"), "doc_id")
-    row = hashed.groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: learn(pdf), "buckets binary, weights binary, vectors binary, bias double").first()
+    row = hashed_terms(sample).groupBy(F.lit(0).alias("one")).applyInPandas(lambda pdf: learn(pdf), "buckets binary, weights binary, vectors binary, bias double").first()
     return Machine(np.frombuffer(row.buckets, np.int64), np.frombuffer(row.weights), np.frombuffer(row.vectors).reshape(-1, FACTORS), row.bias)
 
 
@@ -182,7 +184,7 @@ def learning_labels(labels: DataFrame) -> DataFrame:
 
 
 def train_on_tables(spark: SparkSession, sf_dir: str) -> Machine:
-    return train(read(spark, sf_dir, "documents").select("doc_id", "text").join(learning_labels(read(spark, sf_dir, "labels")), "doc_id"))
+    return train(read(spark, sf_dir, "documents"), learning_labels(read(spark, sf_dir, "labels")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

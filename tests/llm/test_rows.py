@@ -171,12 +171,12 @@ def test_toxicity(spark):
 
     rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(1500)]
     d = spark.createDataFrame(rows + [(-1, None, 1), (-2, "x", None), (-3, "x", 7)], "doc_id bigint, text string, label int")
-    m = toxicity.train(d.where("doc_id < 1000"))
+    m = toxicity.train(d, d.where("doc_id < 1000"))
     got = {x.doc_id: x.score for x in toxicity.score(d, m).collect()}
     right = np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows[1000:]])
     assert right > 0.9 and 0 <= got[-1] <= 1
     assert toxicity.drop_toxic(d, m).count() == sum(s < 0.5 for s in got.values())
-    none = toxicity.train(d.where("false"))
+    none = toxicity.train(d, d.where("false"))
     assert len(none.buckets) == 0 and toxicity.score(d.where("false"), none).count() == 0
 
 
