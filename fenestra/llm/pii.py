@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fenestra.llm.common import cut, read
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rows of labelled candidates that the trees learn from, about; the others calibrate thresholds, as many at most.
+#: Labelled candidates that the trees learn from, about, at most half of each kind; all others calibrate thresholds.
 SAMPLE = 20_000
 TREES, DEPTH = 12, 3
 #: A threshold is the lowest score from which on so great a share of the calibrating candidates is positive.
@@ -178,35 +178,51 @@ def _branch(lines: list[str], at: list[int], f: Column) -> Column:
     return F.when(F.get(f, F.lit(int(which))) <= float(limit), yes).otherwise(_branch(lines, at, f))
 
 
+def _shares(counts: dict[str, int]) -> dict[str, float]:
+    """The share of each kind's labelled candidates that the trees learn from: half, or SAMPLE dealt evenly; what a rare kind can't use goes to the others."""
+    shares, left = {}, float(SAMPLE)
+    for i, (kind, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n / 2, left / (len(counts) - i))
+        shares[kind], left = take / n, left - take
+    return shares
+
+
+def _taught(found: DataFrame) -> DataFrame:
+    """kind, f and label of labelled candidates and of a corrupted copy of each positive."""
+    bad = found.where("label = 1").withColumn("s", _corrupted(F.col("kind"), F.col("s"))).withColumn("label", F.lit(0.0))
+    again = F.coalesce(*[F.when(F.col("kind") == k, _features(k, F.col("s"), F.col("before"), F.col("after"))) for k in KINDS])
+    return found.select("kind", "f", "label").unionByName(bad.select("kind", again.alias("f"), "label"))
+
+
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    """Fit trees and thresholds to the candidates of all `docs`; of more than SAMPLE labelled ones, a share by hash.
+    """Fit trees and thresholds to the candidates of all `docs`: trees to a sample of each kind, thresholds to all that the trees didn't see.
 
     Without candidates of both labels, as in an empty table, the model adds nothing.
     """
-    seen = _detected(docs.select(text), text).where(F.size("_more") > 0)
+    body = docs.select(text, *[c for c in ("doc_id",) if c in docs.columns])
+    seen = _detected(body, text).where(F.size("_more") > 0)
     equal = F.exists("_base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")))
-    each = seen.select(F.explode("_more").alias("c"), "_base", F.xxhash64("_body").alias("doc")).select("c.*", equal.alias("same"), "doc")
+    # the key has doc_id, so that copies of a text are dealt to both parts
+    doc = F.xxhash64("_body", *body.columns[1:])
+    each = seen.select(F.explode("_more").alias("c"), "_base", doc.alias("doc")).select("c.*", equal.alias("same"), "doc")
     valid = F.get("f", F.lit(FEATURES.index("valid"))) > 0
-    found = cut(each.where(F.col("same") | ~valid).select("kind", "s", "before", "after", "f", F.col("same").cast("double").alias("label"), F.xxhash64("doc", "start", "kind").alias("key")))
-    n = found.count()
-    if not n:
+    found = cut(each.where(F.col("same") | ~valid).select("kind", "s", "before", "after", "f", F.col("same").cast("double").alias("label"), F.xxhash64("doc", "start", "end", "kind").alias("key")))
+    shares = _shares({r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()})
+    if not shares:
         return Model()
-    kept = found.where(F.pmod("key", F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * SAMPLE / n)))
-    bad = kept.where("label = 1").withColumn("s", _corrupted(F.col("kind"), F.col("s"))).withColumn("label", F.lit(0.0))
-    again = F.coalesce(*[F.when(F.col("kind") == k, _features(k, F.col("s"), F.col("before"), F.col("after"))) for k in KINDS])
-    rows = kept.unionByName(bad.withColumn("f", again)).withColumn("name", F.col("kind")).withColumns({name: F.get("f", F.lit(i)) for i, name in enumerate(FEATURES)})
-    rows = cut(rows.select("name", *FEATURES, "label", "f", F.pmod(F.shiftright("key", 24), F.lit(2)).alias("part")))
-    learn = rows.where("part = 0")
+    limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(int((1 << 20) * share))) for k, share in shares.items()])
+    found = found.withColumn("learn", F.pmod("key", F.lit(1 << 20)) < limit)
+    learn = cut(_taught(found.where("learn")).withColumns({name: F.get("f", F.lit(i)) for i, name in enumerate(FEATURES) if name != "kind"}).withColumn("kind", F.get("f", F.lit(0))))
     if learn.select("label").distinct().count() < 2:
         return Model()
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(learn).select("x", "label")
     gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, maxBins=32).fit(vectors)
     model = Model([(w, t.toDebugString) for w, t in zip(gbt.treeWeights, gbt.trees)])
     # precision from each score on; as many rows as the trees have different sums
-    scored = rows.where("part = 1").withColumn("score", F.round(model.margin(F.col("f")), 6)).groupBy("name", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("all")).collect()
+    scored = _taught(found.where("NOT learn")).withColumn("score", F.round(model.margin(F.col("f")), 6)).groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("all")).collect()
     for kind in KINDS:
         good = every = 0
-        for r in sorted((r for r in scored if r["name"] == kind), key=lambda r: -r["score"]):
+        for r in sorted((r for r in scored if r["kind"] == kind), key=lambda r: -r["score"]):
             good, every = good + r["good"], every + r["all"]
             if good >= PRECISION * every:
                 model.thresholds[kind] = r["score"]

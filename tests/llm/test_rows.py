@@ -158,6 +158,22 @@ def test_pii(spark):
     assert not empty.thresholds and pii.detect(frame(spark, []), empty).count() == 0
 
 
+def test_pii_thresholds_cover_all_data(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 40)
+    r = random.Random(4)
+    rows = [(i, f"call +1 (855) 555-{r.randrange(1000, 10000)} or +12 {r.randrange(100, 1000)}") for i in range(3000)]
+    # few cards, and many copies of one text
+    rows += [(5000 + i, f"card 4111 1111 1111 111{'1' if i % 2 else r.choice('023456789')} x") for i in range(40)]
+    rows += [(6000 + i, "host 10.20.30.40 up, 10.20.30.400 down") for i in range(400)]
+    docs, seen = frame(spark, rows), []
+    taught = pii._taught
+    monkeypatch.setattr(pii, "_taught", lambda found: seen.append({x.kind: x["count"] for x in found.groupBy("kind").count().collect()}) or taught(found))
+    model = pii.fit(docs)
+    learn, rest = seen
+    assert sum(learn.values()) < 120 and set(rest) == {"phone", "card", "ip"} == set(model.thresholds)
+    assert rest["phone"] > 2900 and rest["card"] >= 10 and rest["ip"] > 300 and learn["ip"] > 0
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
