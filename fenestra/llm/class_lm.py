@@ -27,8 +27,8 @@ from fenestra.llm.common import cut, read
 HEAD, OWN_UNITS = 131_072, 8_192
 #: Units by spelling, for all other words.
 SPELLINGS = 1_024
-#: Neighbours told apart on each side when units are exchanged; classes; sweeps.
-CONTEXTS, CLASSES, SWEEPS = 256, 64, 6
+#: Classes; sweeps.
+CLASSES, SWEEPS = 64, 6
 #: Partitions for the exchange; units don't grow with the corpus.
 PARTS = 12
 #: Weight of the class unigram in a transition, and of a unit without count in an emission.
@@ -158,63 +158,91 @@ def _pair_rows(docs: DataFrame, head, keys, names: list[str], width: int) -> Dat
     return docs.select("text").mapInArrow(run, f"{names[0]} int, {names[1]} int, n bigint").groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def _context(u: np.ndarray) -> np.ndarray:
-    return np.where(u < CONTEXTS // 2, u, CONTEXTS // 2 + u % (CONTEXTS // 2))
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(contexts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and counts of all units, from `contexts` (unit, context, n). Class 0 is the end's alone.
+def exchange(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and counts of all units, from `pairs` (a, b, n): units that follow each other. Class 0 is the end's alone.
 
-    A sweep is a job over PARTS partitions of units. Each starts from the class counts of the sweep before, moves its units one by one to the best class
-    and returns their classes; the counts of the new classes are added up from the partitions.
+    What is gained is the likelihood of class transitions. A sweep is two jobs over PARTS partitions of units: the first counts the transitions of all classes;
+    in the second each partition starts from these counts and moves its units one by one to the best class, seeing its own moves at once and
+    others' in the next sweep.
     """
-    rows = contexts.groupBy("unit").agg(F.collect_list(F.struct("context", "n")).alias("c"))  # 2 * CONTEXTS entries at most
-    rows = rows.select("unit", F.col("c.context").alias("context"), F.col("c.n").alias("n")).repartition(PARTS, "unit")
-    rows = cut(rows)
-    sc = contexts.sparkSession.sparkContext
+    pairs = cut(pairs)
+    sides = pairs.select(F.col("b").alias("unit"), F.col("a").alias("other"), "n").union(pairs.select("a", F.col("b") + size, "n"))
+    rows = sides.groupBy("unit").agg(F.collect_list(F.struct("other", "n")).alias("c"))  # 2 * size entries at most
+    rows = cut(rows.select("unit", F.col("c.other").alias("other"), F.col("c.n").alias("n")).repartition(PARTS, "unit"))
+    sc = pairs.sparkSession.sparkContext
     classes = np.where(np.arange(size) == 0, 0, 1 + np.arange(size) % (CLASSES - 1))
-    totals, counts = np.zeros(size), None
-    for sweep in range(SWEEPS + 1):
-        state = sc.broadcast((classes, counts))
 
-        def run(batches, state=state, first=sweep == 0):
+    def units_of(batches):
+        """unit, its neighbours before it and after it, and their counts."""
+        for batch in batches:
+            units, other, n = batch.columns
+            at, other, n = other.offsets.to_numpy(), other.values.to_numpy(), n.values.to_numpy().astype(np.float64)
+            for i, unit in enumerate(units.to_pylist()):
+                o, m = other[at[i] : at[i + 1]], n[at[i] : at[i + 1]]
+                after = o >= size
+                yield unit, o[~after], m[~after], o[after] - size, m[after]
+
+    def counted(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Transitions of classes, and tokens of units."""
+        state = sc.broadcast(classes)
+
+        def run(batches):
+            import pyarrow as pa
+
+            cls, table, mine = state.value, np.zeros((CLASSES, CLASSES)), {}
+            for unit, _, m, after, k in units_of(batches):
+                table[cls[unit]] += np.bincount(cls[after], k, CLASSES)
+                mine[unit] = float(m.sum())
+            if mine:
+                yield pa.RecordBatch.from_arrays([pa.array([list(mine)], pa.list_(pa.int32())), pa.array([list(mine.values())], pa.list_(pa.float64())), pa.array([table.tobytes()], pa.binary())], ["units", "totals", "table"])
+
+        table, totals = np.zeros((CLASSES, CLASSES)), np.zeros(size)
+        for r in rows.mapInArrow(run, "units array<int>, totals array<double>, table binary").collect():  # a table of fixed size from each of a few parts
+            totals[r["units"]] = r["totals"]
+            table += np.frombuffer(r["table"]).reshape(table.shape)
+        return table, totals
+
+    for _ in range(SWEEPS):
+        table, totals = counted(classes)
+        state = sc.broadcast((classes, table))
+
+        def run(batches, state=state):
             import pyarrow as pa
 
-            cls, table = state.value
-            mine, sums = {}, np.zeros((CLASSES, 2 * CONTEXTS))
-            if not first:
-                table = table.copy()
-                size_of = table[:, :CONTEXTS].sum(axis=1)
-            for batch in batches:
-                for unit, ctx, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    ctx, n = np.array(ctx), np.array(n, np.float64)
-                    k, total = int(cls[unit]), float(n[ctx < CONTEXTS].sum())
-                    if not first and unit:
-                        table[k, ctx] -= n
-                        size_of[k] -= total
-                        part = table[:, ctx]
-                        # the neighbours' counts gain, the class's own count (once for each side) loses
-                        gain = (_xlogx(part + n) - _xlogx(part)).sum(axis=1) - 2 * (_xlogx(size_of + total) - _xlogx(size_of))
-                        gain[0] = -np.inf
-                        k = int(gain.argmax())
-                        table[k, ctx] += n
-                        size_of[k] += total
-                    mine[unit] = k, total
-                    sums[k, ctx] += n
+            cls, t = (x.copy() for x in state.value)
+            mass, mine = t.sum(axis=0), {}
+            for unit, before, m, after, k in units_of(batches):
+                if not unit:
+                    continue
+                total, own = m.sum(), m[before == unit].sum()
+                x, y = np.bincount(cls[before[before != unit]], m[before != unit], CLASSES), np.bincount(cls[after[after != unit]], k[after != unit], CLASSES)
+                c = int(cls[unit])
+                t[:, c] -= x
+                t[c] -= y
+                t[c, c] -= own
+                mass[c] -= total
+                i, j, d = np.flatnonzero(x), np.flatnonzero(y), t.diagonal()
+                into, out = t[i].T, t[:, j]
+                gain = (_xlogx(into + x[i]) - _xlogx(into)).sum(axis=1) + (_xlogx(out + y[j]) - _xlogx(out)).sum(axis=1) - 2 * (_xlogx(mass + total) - _xlogx(mass))
+                # a class's transition to itself gains from both sides at once
+                gain += _xlogx(d + x + y + own) - _xlogx(d + x) - _xlogx(d + y) + _xlogx(d)
+                gain[0] = -np.inf
+                c = int(gain.argmax())
+                t[:, c] += x
+                t[c] += y
+                t[c, c] += own
+                mass[c] += total
+                cls[unit] = mine[unit] = c
             if mine:
-                yield pa.RecordBatch.from_arrays([pa.array([list(mine)], pa.list_(pa.int32())), pa.array([[k for k, _ in mine.values()]], pa.list_(pa.int32())), pa.array([[t for _, t in mine.values()]], pa.list_(pa.float64())), pa.array([sums.tobytes()], pa.binary())], ["units", "classes", "totals", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([list(mine)], pa.list_(pa.int32())), pa.array([list(mine.values())], pa.list_(pa.int32()))], ["units", "classes"])
 
-        done = rows.mapInArrow(run, "units array<int>, classes array<int>, totals array<double>, sums binary").collect()  # a table of fixed size from each of a few parts
-        counts = np.zeros((CLASSES, 2 * CONTEXTS))
         classes = classes.copy()
-        for r in done:
+        for r in rows.mapInArrow(run, "units array<int>, classes array<int>").collect():
             classes[r["units"]] = r["classes"]
-            totals[r["units"]] = r["totals"]
-            counts += np.frombuffer(r["sums"]).reshape(counts.shape)
     return classes, totals
 
 
@@ -246,11 +274,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     rare = counts.where((_level() < least) & (F.col("word") != END))
     shared = docs.sparkSession.sparkContext.broadcast(head)
 
-    def both_sides(u: np.ndarray) -> np.ndarray:
-        before, after = _context(np.concatenate([[0], u[:-1]])), _context(np.concatenate([u[1:], [0]]))
-        return np.concatenate([u * (2 * CONTEXTS) + before, u * (2 * CONTEXTS) + CONTEXTS + after])
-
-    classes, totals = exchange(_pair_rows(docs, shared, both_sides, ["unit", "context"], 2 * CONTEXTS), head.size)
+    size = head.size
+    classes, totals = exchange(_pair_rows(docs, shared, lambda u: np.concatenate([[0], u[:-1]]) * size + u, ["a", "b"], size), size)
     steps = _pair_rows(docs, shared, lambda u, c=classes: c[np.concatenate([[0], u[:-1]])] * CLASSES + c[u], ["a", "b"], CLASSES).collect()
     table = np.zeros((CLASSES, CLASSES))
     for r in steps:

@@ -221,3 +221,16 @@ def test_class_lm(spark):
     assert np.allclose(np.bincount(model.classes, 10**model.emission, class_lm.CLASSES)[np.unique(model.classes)], 1)
     empty, none = class_lm.train(frame(spark, []))
     assert class_lm.score(frame(spark, [(1, "a b")]), empty, none).first().n_known == 0
+
+
+def test_exchange_tells_all_neighbours_apart(spark):
+    r = random.Random(8)
+    # 128 more frequent words, then four groups of 128 words each: a word of group 0 comes before one of group 2, of group 1 before group 3
+    word = lambda g, i: f"w{g}{i:03}"
+    rows = [(i, f"{word(g := i % 2, r.randrange(128))} {word(g + 2, r.randrange(128))}") for i in range(6000)]
+    rows += [(10_000 + i, " ".join(f"f{k}" for k in range(128))) for i in range(200)]
+    model, _ = class_lm.train(frame(spark, rows))
+    of = [np.array([model.classes[model.head.units[word(g, i).encode()]] for i in range(128) if word(g, i).encode() in model.head.units]) for g in range(4)]
+    for a, b in ((0, 1), (2, 3)):
+        x, y = np.bincount(of[a], minlength=class_lm.CLASSES), np.bincount(of[b], minlength=class_lm.CLASSES)
+        assert np.maximum(x, y).sum() > 0.95 * (len(of[a]) + len(of[b]))
