@@ -36,16 +36,54 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def runs(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all runs of `width` words, by their first word; none if there are fewer words."""
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _STEP and of its inverse by 2**64."""
+    if len(_powers[0]) < n:
+        size = max(n, 300_000)
+        for k, base in enumerate((int(_STEP), pow(int(_STEP), -1, 1 << 64))):
+            _powers[k] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def runs(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words, by their first word; none if there are fewer words.
+
+    The words' hashes are coefficients of a polynomial by 2**64, so a run's sum is a difference of two running sums.
+    """
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    up, down = _power_tables(len(h))
     with np.errstate(over="ignore"):
-        acc = np.full(n, np.uint64(width * 1_000_003 + seed), np.uint64)
-        for k in range(width):
-            acc = mixed(acc * _STEP + h[k : k + n])
-    return acc
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
+        return mixed((sums[width:] - sums[:n]) * down[:n] + np.uint64(width))
+
+
+def texts_hashed(column, hashes: WordHashes, fold: bool = False, most: int = 150_000):
+    """For runs of texts with `most` words or little more: the first text's place in the column, words of each text, and hashes of all their words.
+
+    Many short texts share the cost of array operations. With `fold`, A-Z are lower-cased. Words are what ASCII white space separates.
+    """
+    start, words, sizes = 0, [], []
+    for text in column:
+        found = (text.as_py() or b"")
+        found = found.lower().split() if fold else found.split()  # bytes: only A-Z change, only ASCII white space splits
+        words += found
+        sizes.append(len(found))
+        if len(words) >= most:
+            yield start, np.array(sizes, np.int64), hashes.of(words)
+            start, words, sizes = start + len(sizes), [], []
+    if sizes:
+        yield start, np.array(sizes, np.int64), hashes.of(words)
+
+
+def inside(sizes: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of the n runs of `width` words over all texts lie in one text."""
+    ends = np.repeat(np.cumsum(sizes), sizes)[:n]
+    return np.arange(n) + width <= ends
 
 
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:

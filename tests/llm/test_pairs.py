@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -80,31 +80,61 @@ def test_one_of_each(spark):
 
 
 def plain_removal(rows):
+    """n_words, n_removed and the digest of what is left for each of `rows`; texts of one doc_id take nothing from each other."""
     k, first = substring_dedup.K, defaultdict(lambda: 1 << 60)
     for i, t in rows:
         w = (t or "").encode().split()
         for p in range(len(w) - k + 1):
-            first[tuple(w[p : p + k])] = min(i, first[tuple(w[p : p + k])])
-    out = {}
+            if i is not None:
+                first[tuple(w[p : p + k])] = min(i, first[tuple(w[p : p + k])])
+    out = []
     for i, t in rows:
         w = (t or "").encode().split()
-        gone = {p + j for p in range(len(w) - k + 1) if first[tuple(w[p : p + k])] < i for j in range(k)}
-        out[i] = len(w), len(gone), hashlib.sha256(b" ".join(x for p, x in enumerate(w) if p not in gone)).hexdigest()
-    return out
+        gone = {p + j for p in range(len(w) - k + 1) if i is not None and first[tuple(w[p : p + k])] < i for j in range(k)}
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for p, x in enumerate(w) if p not in gone)).hexdigest()))
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("seed", [4, 5])
 def test_substring_dedup(spark, seed):
     rows = list(enumerate(texts(seed)))
-    got = substring_dedup.remove_repeats(frame(spark, rows + rows[:4] + [(None, "a " * 30), (999, "q " * 20), (999, "r " * 20)])).collect()
-    want = plain_removal(rows)
-    assert len(got) == len(rows) + 7
-    for r in got:
-        if r.doc_id in want:
-            assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
-            assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256
-        else:
-            assert r.n_removed == 0
+    a, b, long = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 20), ("b", 20), ("w", 3000)))
+    rows += rows[:4] + [(None, "a " * 30), (999, "q " * 20), (999, "r " * 20), (1001, a), (1001, b), (1002, a + " tail"), (1003, b + " more"), (1003, "z " + a), (1004, a), (1005, "x " + a), (1006, a + " " + b)]
+    # runs over several blocks of places: whole, with words changed, and cut
+    changed = [f"c{i}" if i % 700 == 699 else w for i, w in enumerate(long.split())]
+    rows += [(2000, "y " * 5 + long), (2001, long), (2002, " ".join(changed)), (2003, " ".join(changed[640:2000])), (2004, "v " + " ".join(long.split()[63:200]) + " v")]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == plain_removal(rows)
+
+
+def plain_heads(edges):
+    """The head of every edge's path, by going back one edge at a time."""
+    into, out = Counter(v for _, v, _, _ in edges), Counter(u for u, _, _, _ in edges)
+    by_place = {(d, p): (u, v) for u, v, d, p in edges}
+    heads = {}
+    for u, v, d, p in sorted(edges, key=lambda e: e[2:]):
+        before = by_place.get((d, p - 1))
+        heads[d, p] = heads[d, p - 1] if before and before[1] == u and into[u] == out[u] == 1 else p
+    return heads
+
+
+def test_compaction(spark):
+    r = random.Random(11)
+    edges, node = [], 0
+    for doc, n in ((1, 700), (2, 64), (3, 128), (4, 129), (5, 1), (6, 2000)):
+        node += 10_000
+        place = r.choice([0, 3, 63, 64, 100])
+        for _ in range(n):
+            edges.append((node, node + 1, doc, place))
+            gap = r.random() < 0.004
+            node, place = node + 1 + gap, place + 1 + gap * r.choice([0, 1, 70])
+    # branches at some nodes
+    edges += [(u, -u, 7, 100 + 2 * i) for i, (u, _, _, _) in enumerate(r.sample(edges, 3))]
+    edges = list({e[2:]: e for e in edges}.values())
+    got = substring_dedup.compacted(spark.createDataFrame(edges, "u bigint, v bigint, from_doc bigint, from_place bigint")).collect()
+    assert {(x.from_doc, x.from_place): x["head"] for x in got} == plain_heads(edges) and len(got) == len(edges)
+    assert len({(x.from_doc, x["head"]) for x in got}) > 6
 
 
 def test_paths_name_their_source(spark):
