@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
-#: A side of a join is broadcast only when it has been counted and holds no more rows than this.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast only when it has been counted and, in memory, takes no more bytes than this.
+BROADCAST_BYTES = 64_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,11 +31,13 @@ def words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the checkpoint directory that all machines share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in tests on one machine,
-    a temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir. Where that is unset, a temporary folder takes its place if all runs on one machine, as in tests;
+    else there is no folder that all machines see, and this fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -48,10 +51,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Hint a broadcast if the table, counted here unless `rows` is given, is within BROADCAST_ROWS; else a shuffle join."""
+    """Hint a broadcast if the table of fixed-width columns, counted here unless `rows` is given, is within BROADCAST_BYTES; else a shuffle join."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return F.broadcast(df) if n * (32 + 8 * len(df.columns)) <= BROADCAST_BYTES else df.hint("merge")
