@@ -5,25 +5,22 @@ link, their first |set| - needed + m shingles share m at least. Each document ch
 common shingles before a pair is verified. A pair is a candidate if it shares the smaller of both m.
 
 Groups of near copies never become all pairs. Documents with equal sets are one node. Then a bucket (the nodes with
-one prefix shingle) offers each node a few leaders; verified links merge nodes into components. Only pairs of nodes that share enough prefix
-shingles and are still in different components are then counted and verified one by one, which makes the components exact.
+one prefix shingle) offers each node a few leaders; verified links merge nodes into components. Nodes that are still in different components are a pair
+only if enough of both prefixes lies behind the place where they meet; those pairs are verified one by one, which makes the components exact.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import OrderedDict
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fenestra.llm.batches import map_rows
 from fenestra.llm.common import cut, read, sized
 from fenestra.llm.components import merge
-from fenestra.llm.shingles import WordHashes, meets, repeated, shingle_set
+from fenestra.llm.shingles import WordHashes, meets, repeated, shingle_sets
 
 WIDTH = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -34,10 +31,8 @@ CELLS, BLOCKS = 1 << 20, 64
 VERIFY = 20.0
 #: Random leaders offered to a node that its first leader didn't link.
 LEADERS = 6
-
-
-def _tokens(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    return shingle_set(hashes.of((text or b"").lower().split()), WIDTH)  # bytes: only A-Z change, only ASCII white space splits
+#: Pairs of one node that are verified in one place.
+GROUP = 500
 
 
 def _matches(n: int) -> int:
@@ -53,10 +48,8 @@ def _sets_and_sketch(docs: DataFrame) -> DataFrame:
 
         hashes, cells, held, waiting = WordHashes(), np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
-            ids, n, keys = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = _tokens(text.as_py(), hashes)
-                ids.append(doc_id)
+            n, keys = [], []
+            for _, s in shingle_sets(batch.column(1), hashes, WIDTH):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 held.append((s % np.uint64(CELLS)).astype(np.int64))
@@ -64,8 +57,8 @@ def _sets_and_sketch(docs: DataFrame) -> DataFrame:
                 if waiting > 2_000_000:
                     cells += np.bincount(np.concatenate(held), minlength=CELLS)
                     held, waiting = [], 0
-            empty = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], ["doc_id", "n", "key", "block", "cells"])
+            empty = pa.nulls(len(n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.binary())], ["doc_id", "n", "key", "block", "cells"])
         if held:
             cells += np.bincount(np.concatenate(held), minlength=CELLS)
         packed = [zlib.compress(part.astype("<i4").tobytes(), 1) for part in np.split(cells, BLOCKS)]
@@ -111,8 +104,8 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1]), *(pa.array(c.astype(np.int32)) for c in cols[2:])], names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = _tokens(text.as_py(), hashes)
+            ids = batch.column(0).to_numpy()
+            for i, s in shingle_sets(batch.column(1), hashes, WIDTH):
                 n = len(s)
                 if not n:
                     continue
@@ -125,7 +118,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 m = min(choices, key=lambda x: reads[n - needed + x - 1] * (1 + VERIFY / x**2))
                 s = s[: n - needed + m]
                 k = len(s)
-                held.append((s, np.full(k, doc_id), np.full(k, n), np.full(k, m), np.full(k, _matches(needed)), np.full(k, int(100 * np.log2(1 + over).mean()))))
+                held.append((s, np.full(k, ids[i]), np.full(k, n), np.full(k, m), np.full(k, _matches(needed)), np.full(k, int(100 * np.log2(1 + over).mean()))))
                 rows += k
                 if rows >= 100_000:
                     yield batch_of(held)
@@ -174,36 +167,59 @@ def _may_link(a: str, b: str, common: Column | None = None) -> Column:
     return (100 + PERCENT) * most >= PERCENT * (c("n", a) + c("n", b))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets link, by their exact intersection. Texts of other documents are not moved."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(sized(cut(ids)), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = cut(texts)
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and s (its distinct shingles, 8 bytes each, ascending) of the documents in `ids` (doc_id)."""
+    texts = docs.join(sized(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def run(batches):
+        import pyarrow as pa
 
-    def work():
-        hashes, recent = WordHashes(), OrderedDict()
+        hashes = WordHashes()
+        for batch in batches:
+            ids, held, waiting, first = batch.column(0), [], 0, 0
+            for i, s in shingle_sets(batch.column(1), hashes, WIDTH):
+                held.append(s.tobytes())
+                waiting += len(s)
+                if waiting > 500_000 or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids.slice(first, i + 1 - first), pa.array(held, pa.binary())], ["doc_id", "s"])
+                    held, waiting, first = [], 0, i + 1
 
-        def tokens(doc_id, text):
-            if doc_id in recent:
-                recent.move_to_end(doc_id)
-                return recent[doc_id]
-            if len(recent) >= 8:
-                recent.popitem(last=False)
-            recent[doc_id] = s = _tokens(text, hashes)
-            return s
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s binary")
 
-        def each(a, b, text_a, text_b):
-            x, y = tokens(a, text_a), _tokens(text_b, hashes)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                yield a, b
 
-        return each
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) that link, by the exact intersection of their sets.
 
-    return cut(map_rows(both.select("a", "b", "text_a", "text_b"), work, "a bigint, b bigint"))
+    A node's set travels once for each pair as b, and once for every GROUP pairs as a; rows of a group follow their a, so a task holds two sets.
+    """
+    pairs = cut(pairs)
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("a", F.ceil(F.col("n") / GROUP).alias("groups"))
+    dealt = pairs.join(sized(cut(hot)), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "groups"), F.lit(0)).alias("g"))
+    dealt = cut(dealt)
+    lead = dealt.select("a", "g").distinct().join(sets.withColumnRenamed("doc_id", "a").hint("merge"), "a").select("a", "g", F.lit(None).cast("bigint").alias("b"), "s")
+    follow = dealt.join(sets.withColumnRenamed("doc_id", "b").hint("merge"), "b").select("a", "g", "b", "s")
+    ordered = lead.union(follow).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
+
+    def run(batches):
+        import pyarrow as pa
+
+        x = np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for a, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                y = np.frombuffer(s.as_buffer(), np.uint64)
+                if b is None:
+                    x = y.copy()
+                    continue
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                common = int((x[at] == y).sum())
+                if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return cut(ordered.select("a", "b", "s").mapInArrow(run, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,10 +243,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = cut(leaders.select("shingle", (-F.col("top.id")).alias("leader")))
     rows = cut(rows.drop("typical").join(leaders.hint("merge"), "shingle"))
 
+    sets_of = cut(_sets(nodes, cut(rows.select("doc_id").distinct())))
     offers = rows.where(F.col("doc_id") != F.col("leader")).groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("shared"), F.min("m").alias("m"))
     # one leader for each node, if it leads enough of the node's buckets to make a link likely
     best = offers.where(F.col("shared") >= F.col("m")).groupBy("doc_id").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-    labels = merge(None, _verified(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), docs))
+    labels = merge(None, _verified(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), sets_of))
 
     # a node alone, beside a component: a few of that bucket's nodes, another for each shingle
     mixed = _mixed(rows, labels)
@@ -242,23 +259,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     few = Window.partitionBy("b").orderBy(F.desc("shared"), F.xxhash64("a", "b"), "a")
     tries = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).withColumn("place", F.row_number().over(few))
     tries = tries.where(F.col("place") <= LEADERS).select("a", "b")
-    labels = merge(labels, _verified(tries, docs))
+    labels = merge(labels, _verified(tries, sets_of))
 
-    # every pair left that the prefixes allow
-    mixed = _mixed(rows, labels)
-    left, right = (mixed.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "m", "own", "component"))) for x in "ab")
-    fits = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
-    fits &= (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a")) & _may_link("a", "b")
-    met = left.join(right.hint("merge"), (left["shingle"] == right["shingle"]) & fits)
-    sizes = [F.first(c).alias(c) for x in "ab" for c in (f"n_{x}", f"m_{x}")]
-    pairs = met.groupBy("doc_id_a", "doc_id_b").agg(F.count(F.lit(1)).alias("shared"), *sizes)
-    pairs = pairs.where((F.col("shared") >= F.least("m_a", "m_b")) & _may_link("a", "b", F.col("shared"))).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-    labels = merge(labels, _verified(pairs, docs))
+    labels = merge(labels, _verified(_pairs_left(_mixed(rows, labels)), sets_of))
 
     out = sets.join(copies, "doc_id", "left").withColumn("id", F.coalesce("first", "doc_id")).join(labels, "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def _pairs_left(mixed: DataFrame) -> DataFrame:
+    """a, b: every pair of nodes of different components that the prefixes allow to link.
+
+    A pair that links shares some number of rows at least. Both have their rows in one order, those of small buckets first, so their first shared row has so many rows less one
+    behind it on either side. That excludes nearly all meetings in large buckets, which come last.
+    """
+    sizes = cut(mixed.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")))
+    order = Window.partitionBy("doc_id").orderBy("size", "shingle")
+    ranked = cut(mixed.join(sizes.hint("merge"), "shingle").withColumn("behind", F.col("own") - F.row_number().over(order) + 1))
+    side = lambda x: ranked.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "m", "behind", "component")))
+    left, right = side("a"), side("b")
+    c = lambda name: F.col(name).cast("bigint")
+    fits = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b"))
+    fits &= (100 * c("n_a") >= PERCENT * c("n_b")) & (100 * c("n_b") >= PERCENT * c("n_a"))
+    fits &= (F.least("behind_a", "behind_b") >= F.least("m_a", "m_b")) & _may_link("a", "b", F.least(c("behind_a"), c("behind_b")))
+    met = left.join(right.hint("merge"), (left["shingle"] == right["shingle"]) & fits)
+    return met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
 def _mixed(rows: DataFrame, labels: DataFrame, rounds: int = 2) -> DataFrame:
     """The rows of buckets that hold more than one component, with component and grown (not a single node).
 
@@ -287,6 +314,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, n_shingles, component_id, by near_duplicates(); nulls, ties and repeats as there."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 

@@ -86,11 +86,18 @@ def inside(sizes: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.arange(n) + width <= ends
 
 
-def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
-    """The distinct runs of `width` words, ascending; of fewer words, the whole sequence as one; of none, nothing."""
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    return np.unique(runs(h, min(width, len(h))))
+def shingle_sets(column, hashes: WordHashes, width: int):
+    """For each text of a column: its place there and its distinct runs of `width` lower-cased words, ascending; of fewer words, the whole sequence as one; of none, nothing."""
+    for start, sizes, h in texts_hashed(column, hashes, fold=True):
+        every, at = runs(h, width), 0
+        for i, n in enumerate(sizes.tolist()):
+            s = np.sort(every[at : at + n - width + 1] if n >= width else runs(h[at : at + n], n) if n else h[:0])
+            if len(s) > 1:
+                new = s[1:] != s[:-1]
+                if not new.all():
+                    s = s[np.concatenate([[True], new])]
+            yield start + i, s
+            at += n
 
 
 def repeated(hashes: DataFrame) -> np.ndarray:
