@@ -1,39 +1,44 @@
 """Language-model scoring by a Brown class-based bigram model.
 
-Words are assigned to classes by exchange: a unit moves to the class in which the counts of its neighbours gain most likelihood, sweep
-after sweep. A text's probability is the product, over its words and one end, of the class transition and the word's emission.
+Words are assigned to classes by exchange: a unit moves to the class in which the class transitions of the corpus gain most likelihood, pass
+after pass. A text's probability is the product, over its words and one end, of the class transition and the word's emission.
 
-Sizes of what tasks hold are fixed, whatever the corpus: the most frequent words are units of their own, all others
-belong to units by spelling (length, characters, ending). Every training token counts, in word counts, in units, in
-transitions. Exact counts of words beyond a fixed head stay in a table that the documents' distinct rare words are joined with,
-so frequent words, and skew with them, never enter a shuffle.
+Texts are split into words once. Each task writes chunks: the words of some texts as numbers into the chunk's own dictionary. The dictionaries alone
+make the corpus's word counts, and get every word's count and unit back by a join; after that a text is a row of unit numbers, and counting
+contexts and scoring are array operations on these.
+
+The most frequent words are units of their own, all others belong to units by spelling (length, characters, ending), so the tables of units and
+classes have a fixed size. Word counts, and what they say about each word in its unit, are exact for all words of the corpus.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fenestra.llm.batches import map_rows
 from fenestra.llm.common import cut, read
 
-#: Words whose counts go to all tasks, and of these the ones that are units of their own; at most so many.
-HEAD, OWN_UNITS = 131_072, 8_192
-#: Units by spelling, for all other words.
-SPELLINGS = 1_024
-#: Classes; sweeps.
-CLASSES, SWEEPS = 64, 6
-#: Partitions for the exchange; units don't grow with the corpus.
+#: Units that are words of their own, with the end; units by spelling, for all other words.
+OWN_UNITS, SPELLINGS = 8_192, 1_024
+UNITS = OWN_UNITS + SPELLINGS
+#: Classes; passes of the exchange; the most frequent units, whose moves the others among them see at once.
+CLASSES, PASSES, LIVE = 64, 10, 1_024
+#: Sets of units that move unaware of each other in early passes.
 PARTS = 12
+#: Blocks of units in which the tables of tasks are added up.
+BLOCKS = 16
+#: A chunk is closed after so many tokens.
+CHUNK = 1_000_000
 #: Weight of the class unigram in a transition, and of a unit without count in an emission.
 ALPHA, BETA = 20.0, 0.1
-#: The end of a text, as a word; no word is empty.
+#: The end of a text, as a word; no word is empty. Its unit is 0, and its class, which no other unit has, is 0.
 END = b""
 MEMO, MEMO_BYTES = 300_000, 64
 
@@ -49,313 +54,349 @@ def spelling(word: bytes) -> int:
     return zlib.crc32(kind + word[-3:]) % SPELLINGS
 
 
+class _Spellings(dict):
+    def __missing__(self, word: bytes) -> int:
+        s = spelling(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = s
+        return s
+
+
 def trains(doc_id: Column) -> Column:
     """Documents to learn from: crc32 of doc_id as text leaves another remainder by 7 than 2. A null doc_id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary) and n of all tokens; each task adds up its own first."""
+_CHUNK_SCHEMA = "chunk bigint, doc_ids array<bigint>, learn array<boolean>, sizes array<int>, at binary, words array<binary>, spelled array<int>, counts array<bigint>"
+
+
+def chunked(docs: DataFrame, learn: Column) -> DataFrame:
+    """Chunks of `docs` (doc_id, text): for some texts, what their words are in the chunk's dictionary, and how often texts to `learn` from have each.
+
+    A null text is an empty one and has its end only.
+    """
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        def batch_of(c):
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())], ["word", "n"])
+        schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("at", pa.binary()), ("words", pa.list_(pa.binary())), ("spelled", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+        spellings, task, made = _Spellings(), TaskContext.get().partitionId(), 0
 
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
-                if len(seen) > 400_000:
-                    yield batch_of(seen)
-                    seen = Counter()
-        if seen:
-            yield batch_of(seen)
+        def fresh():
+            local: defaultdict[bytes, int] = defaultdict()
+            local.default_factory = local.__len__
+            return local, [], [], []
 
-    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        def row():
+            sizes = [len(a) for a in at]
+            n = np.bincount(np.concatenate([a for a, l in zip(at, learned) if l] or [np.zeros(0, np.int32)]), minlength=len(local))
+            spelled = np.fromiter(map(spellings.__getitem__, local), np.int32, len(local))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((task << 32 | made, ids, learned, sizes, np.concatenate(at).tobytes(), list(local), spelled, n), schema)], schema=schema)
+
+        local, ids, learned, at = fresh()
+        waiting = 0
+        for batch in batches:
+            for doc_id, learns, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = tokens(text.as_py())
+                at.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
+                ids.append(doc_id)
+                learned.append(learns)
+                waiting += len(words)
+                if waiting >= CHUNK:
+                    yield row()
+                    made += 1
+                    local, ids, learned, at = fresh()
+                    waiting = 0
+        if ids:
+            yield row()
+
+    return docs.select("doc_id", learn.alias("learn"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _CHUNK_SCHEMA)
 
 
 @dataclass
-class Head:
-    """Counts and units of frequent words. Unit 0 is the end, then come frequent words, then spellings."""
+class Vocabulary:
+    """Counts of a corpus: `lexicon` (word, n, unit) has all its words; tables by unit have a fixed size."""
 
-    counts: dict[bytes, int]
-    units: dict[bytes, int]
-    own: int
+    lexicon: DataFrame
+    n: int
+    v: int
+    tokens: np.ndarray  # in a unit
+    kinds: np.ndarray  # distinct words in a unit
+    discount: float
 
     @property
-    def size(self) -> int:
-        return self.own + SPELLINGS
-
-
-class Units(dict):
-    """A map from words to units that fills itself."""
+    def unseen(self) -> np.ndarray:
+        """What a spelling unit leaves to unknown words, times its tokens. A unit never seen leaves all."""
+        return np.where(self.tokens > 0, self.discount * self.kinds, 1.0)
+
+
+def vocabulary(chunks: DataFrame) -> Vocabulary:
+    """The words of the texts to learn from. The most frequent ones, by count and then by their bytes, are units of their own."""
+    each = chunks.select(F.explode(F.arrays_zip("words", "counts", "spelled")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.spelled").alias("spelled"))
+    counts = cut(each.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"), F.first("spelled").alias("spelled")))
+    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(OWN_UNITS - 1)
+    own = top.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("own"))
+    known = counts.join(F.broadcast(cut(own)), "word", "left")  # OWN_UNITS rows at most
+    unit = F.when(F.col("word") == END, 0).otherwise(F.coalesce("own", F.lit(OWN_UNITS) + F.col("spelled")))
+    lexicon = cut(known.select("word", "n", unit.cast("int").alias("unit")))
+    once, twice = (F.sum((F.col("n") == k).cast("bigint")).alias(name) for k, name in ((1, "once"), (2, "twice")))
+    n, kinds, once_, twice_ = np.zeros(UNITS), np.zeros(UNITS), 0, 0
+    for r in lexicon.groupBy("unit").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), once, twice).collect():  # UNITS rows at most
+        n[r["unit"]], kinds[r["unit"]] = r["n"], r["kinds"]
+        once_, twice_ = once_ + r["once"], twice_ + r["twice"]
+    discount = min(0.9, max(0.1, once_ / (once_ + 2 * twice_) if once_ else 0.5))
+    return Vocabulary(lexicon, int(n.sum()), int(kinds.sum()), n, kinds, discount)
+
+
+def coded(chunks: DataFrame, known: Vocabulary) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, base_score, fixed (the part of the score that classes don't touch) and units (2 bytes a token) for each text.
+
+    Each chunk's dictionary gets counts and units by a join over words; a word of the corpus comes once a chunk, however often texts have it.
+    """
+    entry = F.posexplode(F.arrays_zip("words", "spelled")).alias("i", "w")
+    words = chunks.select("chunk", entry).select("chunk", "i", F.col("w.words").alias("word"), F.col("w.spelled").alias("spelled"))
+    met = words.join(known.lexicon.hint("merge"), "word", "left")
+    unit = F.coalesce("unit", F.when(F.col("word") == END, 0).otherwise(F.lit(OWN_UNITS) + F.col("spelled")))
+    lists = met.groupBy("chunk").agg(F.collect_list(F.struct("i", unit.cast("int").alias("unit"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))).alias("of"))  # a chunk's dictionary
+    both = chunks.select("chunk", "doc_ids", "learn", "sizes", "at").join(lists.hint("merge"), "chunk").select("doc_ids", "learn", "sizes", "at", F.col("of.i").alias("i"), F.col("of.unit").alias("unit"), F.col("of.n").alias("n"))
+    tables = (known.n, known.v, known.tokens, known.unseen, known.discount)
 
-    def __init__(self, head: Head):
-        super().__init__(head.units)
-        self.head, self.room = head, len(head.units) + MEMO
+    def run(batches):
+        import pyarrow as pa
 
-    def __missing__(self, word: bytes) -> int:
-        u = self.head.own + spelling(word)
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= self.room:
-                self.clear()
-                self.update(self.head.units)
-            self[word] = u
-        return u
+        n_all, v, in_unit, unseen, discount = tables
+        names = ["doc_id", "learn", "n_tokens", "n_known", "base_score", "fixed", "units"]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, learn, sizes, at, i, unit, n = (c[k] for c in batch.columns)
+                order = i.values.to_numpy()
+                units, counts = np.zeros(len(order), np.int16), np.zeros(len(order), np.int64)
+                units[order], counts[order] = unit.values.to_numpy(), n.values.to_numpy()
+                # by word of the dictionary, then by token
+                base = np.log10((counts + 1) / (n_all + v + 1))
+                fixed = np.zeros(len(order))
+                s = units >= OWN_UNITS
+                fixed[s] = np.log10(np.where(counts[s] > 0, counts[s] - discount, unseen[units[s]])) - np.log10(np.maximum(in_unit[units[s]], 1))
+                at = np.frombuffer(at.as_py(), np.int32)
+                sizes = sizes.values.to_numpy().astype(np.int64)
+                starts = np.cumsum(sizes) - sizes
+                total = lambda x: np.add.reduceat(x[at], starts)  # noqa: B023, E731  each text has its end at least
+                bytes_ = units[at].astype("<i2").tobytes()
+                offsets = np.concatenate([[0], np.cumsum(sizes) * 2]).astype(np.int64)
+                codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.values, learn.values, pa.array(sizes), pa.array(total((counts > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(fixed)), codes], names)
+
+    return both.mapInArrow(run, "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, base_score double, fixed double, units binary")
+
+
+def _units_of(batch) -> np.ndarray:
+    """All units of a batch in one array; every text ends with unit 0, which is also what comes before a text's first word."""
+    column = batch.column(batch.num_columns - 1)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.int8)[ends[0] : ends[-1]].view("<i2")
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
-def _level() -> Column:
-    """Counts in steps of about 1.5 %: few values, however large the corpus."""
-    return F.floor(F.log("n") * 64).cast("int")
 
+def _added(texts: DataFrame, count, rows: int, width: int) -> np.ndarray:
+    """The sum, over all `texts` (units), of the tables (rows, width) that `count(before, units)` makes of their units and what stands before them.
 
-def take_head(counts: DataFrame) -> tuple[Head, int]:
-    """The words with the highest counts, HEAD at most, and the level from which on they are taken."""
-    levels = counts.where(F.col("word") != END).groupBy(_level().alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
-    least, total = 1 << 30, 0
-    for r in sorted(levels, key=lambda r: -r["level"]):
-        total += r["n"]
-        if total > HEAD:
-            break
-        least = r["level"]
-    rows = sorted(((-r["n"], bytes(r["word"])) for r in counts.where((_level() >= least) | (F.col("word") == END)).collect() if bytes(r["word"]) != END))
-    ends = counts.where(F.col("word") == END).first()
-    known = {w: -n for n, w in rows} | {END: ends["n"] if ends else 0}
-    own = [w for _, w in rows[: OWN_UNITS - 1]]
-    return Head(known, {END: 0} | {w: i + 1 for i, w in enumerate(own)}, len(own) + 1), least
+    Tasks count into a table of a fixed size; these are added up in blocks of rows. Sums of whole numbers, so neither order nor partitioning matters.
+    """
 
+    def pack(part: np.ndarray) -> bytes:
+        return zlib.compress(part.astype("<u4").tobytes() + (part >> 32).astype("<u4").tobytes(), 1)
 
-def _pair_rows(docs: DataFrame, head, keys, names: list[str], width: int) -> DataFrame:
-    """Counts of the pairs that `keys(units)` makes from a text's units, as rows first, second, n; added up in each task."""
+    def unpack(cells: bytes) -> np.ndarray:
+        low, high = np.frombuffer(zlib.decompress(cells), "<u4").reshape(2, -1).astype(np.int64)
+        return low + (high << 32)
 
     def run(batches):
         import pyarrow as pa
 
-        units, held, waiting = Units(head.value), [], 0
+        table = np.zeros((rows, width), np.int64)
+        for batch in batches:
+            u = _units_of(batch).astype(np.int32)
+            if len(u):
+                table += count(np.concatenate([np.zeros(1, np.int32), u[:-1]]), u)
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([pack(part) for part in np.split(table, BLOCKS)], pa.binary())], ["block", "cells"])
 
-        def batches_of():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            for k in range(0, len(key), 200_000):
-                part = key[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array((part // width).astype(np.int32)), pa.array((part % width).astype(np.int32)), pa.array(n[k : k + 200_000])], [*names, "n"])
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "cells": [pack(sum(map(unpack, pdf["cells"])))]})
 
-        for batch in batches:
-            for text in batch.column(0):
-                u = units.of(tokens(text.as_py()))
-                held.append(k := keys(u))
-                waiting += len(k)
-                if waiting > 6_000_000:
-                    yield from batches_of()
-                    held, waiting = [], 0
-        if held:
-            yield from batches_of()
+    parts = texts.select("units").mapInArrow(run, "block int, cells binary").withColumn("some", F.floor(F.spark_partition_id() / 256))
+    once = parts.groupBy("block", "some").applyInPandas(lambda pdf: add(pdf), "block int, cells binary")
+    out = np.zeros((BLOCKS, rows * width // BLOCKS), np.int64)
+    for r in once.groupBy("block").applyInPandas(lambda pdf: add(pdf), "block int, cells binary").collect():  # BLOCKS rows of a fixed size
+        out[r["block"]] = unpack(r["cells"])
+    return out.reshape(rows, width)
 
-    return docs.select("text").mapInArrow(run, f"{names[0]} int, {names[1]} int, n bigint").groupBy(*names).agg(F.sum("n").alias("n"))
 
+def contexts(texts: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often a class comes before each unit, how often after it, and how often the unit after itself, by `classes` of all units."""
+    state = texts.sparkSession.sparkContext.broadcast(classes.astype(np.int32))
+
+    def count(first: np.ndarray, u: np.ndarray) -> np.ndarray:
+        cls = state.value
+        sides = [np.bincount(a * CLASSES + cls[b], minlength=UNITS * CLASSES).reshape(UNITS, CLASSES) for a, b in ((u, first), (first, u))]
+        return np.hstack([*sides, np.bincount(u[u == first], minlength=UNITS)[:, None]])
+
+    found = _added(texts, count, UNITS, 2 * CLASSES + 1)
+    return found[:, :CLASSES], found[:, CLASSES:-1], found[:, -1]
 
-def _xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1))
 
+def neighbours(texts: DataFrame) -> np.ndarray:
+    """How often each of the first LIVE units comes before each of them."""
 
-def exchange(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and counts of all units, from `pairs` (a, b, n): units that follow each other. Class 0 is the end's alone.
+    def count(first: np.ndarray, u: np.ndarray) -> np.ndarray:
+        both = (first < LIVE) & (u < LIVE)
+        return np.bincount(first[both] * LIVE + u[both], minlength=LIVE * LIVE).reshape(LIVE, LIVE)
 
-    What is gained is the likelihood of class transitions. A sweep is two jobs over PARTS partitions of units: the first counts the transitions of all classes;
-    in the second each partition starts from these counts and moves its units one by one to the best class, seeing its own moves at once and
-    others' in the next sweep.
+    return _added(texts, count, LIVE, LIVE)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What the exchange raises: the log likelihood of class transitions, and of units in their classes but for a constant."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=1)).sum() - _xlogx(table.sum(axis=0)).sum())
+
+
+def moved(classes: np.ndarray, before: np.ndarray, after: np.ndarray, itself: np.ndarray, pairs: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Classes after the `chosen` units have moved in order of their numbers, each to the class that gains most.
+
+    Transitions of classes follow every move, and so do the contexts of the first LIVE units among themselves, by their `pairs`; other contexts are
+    those by `classes`. Only tables of a fixed size are involved.
     """
-    pairs = cut(pairs)
-    sides = pairs.select(F.col("b").alias("unit"), F.col("a").alias("other"), "n").union(pairs.select("a", F.col("b") + size, "n"))
-    rows = sides.groupBy("unit").agg(F.collect_list(F.struct("other", "n")).alias("c"))  # 2 * size entries at most
-    rows = cut(rows.select("unit", F.col("c.other").alias("other"), F.col("c.n").alias("n")).repartition(PARTS, "unit"))
-    sc = pairs.sparkSession.sparkContext
-    classes = np.where(np.arange(size) == 0, 0, 1 + np.arange(size) % (CLASSES - 1))
-
-    def units_of(batches):
-        """unit, its neighbours before it and after it, and their counts."""
-        for batch in batches:
-            units, other, n = batch.columns
-            at, other, n = other.offsets.to_numpy(), other.values.to_numpy(), n.values.to_numpy().astype(np.float64)
-            for i, unit in enumerate(units.to_pylist()):
-                o, m = other[at[i] : at[i + 1]], n[at[i] : at[i + 1]]
-                after = o >= size
-                yield unit, o[~after], m[~after], o[after] - size, m[after]
-
-    def counted(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Transitions of classes, and tokens of units."""
-        state = sc.broadcast(classes)
-
-        def run(batches):
-            import pyarrow as pa
-
-            cls, table, mine = state.value, np.zeros((CLASSES, CLASSES)), {}
-            for unit, _, m, after, k in units_of(batches):
-                table[cls[unit]] += np.bincount(cls[after], k, CLASSES)
-                mine[unit] = float(m.sum())
-            if mine:
-                yield pa.RecordBatch.from_arrays([pa.array([list(mine)], pa.list_(pa.int32())), pa.array([list(mine.values())], pa.list_(pa.float64())), pa.array([table.tobytes()], pa.binary())], ["units", "totals", "table"])
-
-        table, totals = np.zeros((CLASSES, CLASSES)), np.zeros(size)
-        for r in rows.mapInArrow(run, "units array<int>, totals array<double>, table binary").collect():  # a table of fixed size from each of a few parts
-            totals[r["units"]] = r["totals"]
-            table += np.frombuffer(r["table"]).reshape(table.shape)
-        return table, totals
-
-    for _ in range(SWEEPS):
-        table, totals = counted(classes)
-        state = sc.broadcast((classes, table))
-
-        def run(batches, state=state):
-            import pyarrow as pa
-
-            cls, t = (x.copy() for x in state.value)
-            mass, mine = t.sum(axis=0), {}
-            for unit, before, m, after, k in units_of(batches):
-                if not unit:
-                    continue
-                total, own = m.sum(), m[before == unit].sum()
-                x, y = np.bincount(cls[before[before != unit]], m[before != unit], CLASSES), np.bincount(cls[after[after != unit]], k[after != unit], CLASSES)
-                c = int(cls[unit])
-                t[:, c] -= x
-                t[c] -= y
-                t[c, c] -= own
-                mass[c] -= total
-                i, j, d = np.flatnonzero(x), np.flatnonzero(y), t.diagonal()
-                into, out = t[i].T, t[:, j]
-                gain = (_xlogx(into + x[i]) - _xlogx(into)).sum(axis=1) + (_xlogx(out + y[j]) - _xlogx(out)).sum(axis=1) - 2 * (_xlogx(mass + total) - _xlogx(mass))
-                # a class's transition to itself gains from both sides at once
-                gain += _xlogx(d + x + y + own) - _xlogx(d + x) - _xlogx(d + y) + _xlogx(d)
-                gain[0] = -np.inf
-                c = int(gain.argmax())
-                t[:, c] += x
-                t[c] += y
-                t[c, c] += own
-                mass[c] += total
-                cls[unit] = mine[unit] = c
-            if mine:
-                yield pa.RecordBatch.from_arrays([pa.array([list(mine)], pa.list_(pa.int32())), pa.array([list(mine.values())], pa.list_(pa.int32()))], ["units", "classes"])
-
-        classes = classes.copy()
-        for r in rows.mapInArrow(run, "units array<int>, classes array<int>").collect():
-            classes[r["units"]] = r["classes"]
-    return classes, totals
+    cls, t = classes.copy(), np.zeros((CLASSES, CLASSES))
+    before, after, pairs = before.astype(np.float64), after.astype(np.float64), pairs.astype(np.float64)
+    np.add.at(t, classes, after)
+    mass = t.sum(axis=0)
+    totals = before.sum(axis=1)
+    for unit in np.flatnonzero((totals > 0) & chosen):
+        if not unit:
+            continue
+        own, c, total = float(itself[unit]), int(cls[unit]), float(totals[unit])
+        x, y = before[unit].copy(), after[unit].copy()
+        x[c] -= own
+        y[c] -= own
+        t[:, c] -= x
+        t[c] -= y
+        t[c, c] -= own
+        mass[c] -= total
+        i, j, d = np.flatnonzero(x), np.flatnonzero(y), t.diagonal()
+        into, out = t[i].T, t[:, j]
+        gain = (_xlogx(into + x[i]) - _xlogx(into)).sum(axis=1) + (_xlogx(out + y[j]) - _xlogx(out)).sum(axis=1) - 2 * (_xlogx(mass + total) - _xlogx(mass))
+        # a class's transition to itself gains from both sides at once
+        gain += _xlogx(d + x + y + own) - _xlogx(d + x) - _xlogx(d + y) + _xlogx(d)
+        gain[0] = -np.inf
+        to = int(gain.argmax())
+        t[:, to] += x
+        t[to] += y
+        t[to, to] += own
+        mass[to] += total
+        cls[unit] = to
+        if unit < LIVE and to != c:
+            for side, n in ((after, pairs[:, unit]), (before, pairs[unit])):
+                side[:LIVE, c] -= n
+                side[:LIVE, to] += n
+    return cls
+
+
+def exchange(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units and the transitions of classes, for `texts` with units; of all passes, those of the highest likelihood.
+
+    A pass counts every unit's contexts by current classes, then moves units. In the first half of passes, PARTS sets of units move from the same state, each unaware of
+    the others, which keeps like units from falling into one class early; later all move in turn, of those behind the first LIVE every second one a pass.
+    The result depends on counts alone, not on the order or partitioning of rows.
+    """
+    number = np.arange(UNITS)
+    classes = np.where(np.arange(UNITS) == 0, 0, 1 + np.arange(UNITS) % (CLASSES - 1))
+    pairs, best = neighbours(texts), None
+    for k in range(PASSES + 1):
+        before, after, itself = contexts(texts, classes)
+        table = np.zeros((CLASSES, CLASSES))
+        np.add.at(table, classes, after.astype(np.float64))
+        if best is None or likelihood(table) > best[0]:
+            best = likelihood(table), classes, table
+        if k < PASSES // 2:
+            classes = np.choose(number % PARTS, [moved(classes, before, after, itself, pairs, number % PARTS == p) for p in range(PARTS)])
+        elif k < PASSES:
+            classes = moved(classes, before, after, itself, pairs, (number < LIVE) | (number % 2 == k % 2))
+    return best[1], best[2]
 
 
 @dataclass
 class Model:
-    """All that tasks need to score, of fixed size. Tables hold log10 of probabilities."""
+    """Tables of a fixed size: log10 of the probabilities of class transitions, and of a unit given its class."""
 
-    head: Head
-    transition: np.ndarray  # of classes
+    transition: np.ndarray
     classes: np.ndarray  # of units
-    emission: np.ndarray  # of a unit, given its class
-    spelled: np.ndarray  # tokens in a spelling unit
-    kinds: np.ndarray  # distinct words in a spelling unit
-    discount: float
-    n: int
-    v: int
+    emission: np.ndarray  # of a unit
 
-    def unseen(self) -> np.ndarray:
-        """log10 of what a spelling unit leaves to unknown words, times its tokens. A unit never seen leaves all."""
-        return np.log10(np.where(self.spelled > 0, self.discount * self.kinds, 1.0))
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """A model of `docs` (text), and the table of words and counts outside its head. An empty table gives a model that knows no word."""
-    docs = docs.select(F.col("text").cast("binary").alias("text"))
-    counts = cut(word_counts(docs))
-    all_ = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("bigint")).alias("once"), F.sum((F.col("n") == 2).cast("bigint")).alias("twice")).first()
-    head, least = take_head(counts)
-    rare = counts.where((_level() < least) & (F.col("word") != END))
-    shared = docs.sparkSession.sparkContext.broadcast(head)
-
-    size = head.size
-    classes, totals = exchange(_pair_rows(docs, shared, lambda u: np.concatenate([[0], u[:-1]]) * size + u, ["a", "b"], size), size)
-    steps = _pair_rows(docs, shared, lambda u, c=classes: c[np.concatenate([[0], u[:-1]])] * CLASSES + c[u], ["a", "b"], CLASSES).collect()
-    table = np.zeros((CLASSES, CLASSES))
-    for r in steps:
-        table[r["a"], r["b"]] = r["n"]
+
+def train(texts: DataFrame, known: Vocabulary) -> Model:
+    """A model of the coded `texts` (units) to learn from. Without any, classes are dealt in turn and transitions are equal."""
+    classes, table = exchange(texts)
     into = table.sum(axis=0)
     share = (into + 1) / (into.sum() + CLASSES)
     transition = (table + ALPHA * share) / (table.sum(axis=1, keepdims=True) + ALPHA)
     members = np.bincount(classes, minlength=CLASSES)
-    emission = (totals + BETA) / (np.bincount(classes, totals, CLASSES) + BETA * members)[classes]
+    emission = (known.tokens + BETA) / (np.bincount(classes, known.tokens, CLASSES) + BETA * members)[classes]
+    return Model(np.log10(transition), classes, np.log10(emission))
+
 
-    kinds = np.zeros(SPELLINGS)
+def score(texts: DataFrame, model: Model, known: Vocabulary) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, train_tokens, base_score, score and perplexity (of a token, by the score) for each of the coded `texts`."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
-    def kinds_of(batches):
+    def run(batches):
         import pyarrow as pa
 
+        m = shared.value
+        flat = m.transition.ravel()
         for batch in batches:
-            own = shared.value.units
-            s = [spelling(w) for w in batch.column(0).to_pylist() if w not in own]
-            n = np.bincount(s, minlength=SPELLINGS) if s else np.zeros(SPELLINGS, np.int64)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["s", "n"])
+            if not batch.num_rows:
+                continue
+            u = _units_of(batch)
+            c = m.classes[u]
+            each = flat[np.concatenate([[0], c[:-1]]) * CLASSES + c] + m.emission[u]
+            sizes = batch.column(2).to_numpy()
+            total = np.add.reduceat(each, np.cumsum(sizes) - sizes) + batch.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], ["doc_id", "learn", "n_tokens", "n_known", "base_score", "score"])
 
-    for r in counts.select("word").mapInArrow(kinds_of, "s int, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect():  # SPELLINGS rows at most
-        kinds[r["s"]] = r["n"]
-    once, twice = all_["once"] or 0, all_["twice"] or 0
-    discount = min(0.9, max(0.1, once / (once + 2 * twice) if once else 0.5))
-    return Model(head, np.log10(transition), classes, np.log10(emission), totals[head.own :], kinds, discount, all_["n"] or 0, all_["v"]), rare
+    made = texts.select("doc_id", "learn", "n_tokens", "n_known", "base_score", "fixed", "units").mapInArrow(run, "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return made.select("doc_id", "learn", "n_tokens", "n_known", F.lit(known.n).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of `docs` (doc_id, text), read whole.
+def train_and_score(docs: DataFrame, learn: Column) -> tuple[DataFrame, Model, Vocabulary]:
+    """Scores of all `docs` (doc_id, text), each read whole, by a model of those for which `learn` is true; the model and its vocabulary.
 
     base_score is the add-one unigram's log10 probability, score the class model's. A null text is an empty one: only its end is scored. Repeated
-    rows give repeated results; other columns are not read.
+    rows are counted and scored each; an empty table gives no rows; nothing to learn from gives a model that knows no word; other columns are not read. Texts of any length
+    are read whole: a very long one is a chunk of its own.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    chunks = cut(chunked(docs, learn))
+    known = vocabulary(chunks)
+    texts = cut(coded(chunks, known))
+    model = train(texts.where("learn").select("units"), known)
+    return score(texts, model, known), model, known
 
-    def work():
-        m = shared.value
-        units, known, own, lost = Units(m.head), m.head.counts, m.head.own, m.unseen()
-        tokens_of = np.log10(np.maximum(m.spelled, 1.0))
-        each_base = math.log10(m.n + m.v + 1)
 
-        def each(row, doc_id, text):
-            words = tokens(text)
-            u = units.of(words)
-            c = m.classes[u]
-            total = m.transition[np.concatenate([[0], c[:-1]]), c].sum() + m.emission[u].sum()
-            s = u[u >= own] - own
-            total -= tokens_of[s].sum()
-            base, seen, rest = -each_base * len(words), 0, []
-            for w, n in Counter(words).items():
-                count = known.get(w)
-                if count is None:
-                    less = float(lost[spelling(w)])
-                    total += n * less  # as if unknown; the join corrects it
-                    rest.append((row, None, 0, 0, 0.0, 0.0, w, n, less))
-                else:
-                    seen += n if count else 0
-                    base += n * math.log10(count + 1)
-                    if w not in m.head.units:
-                        total += n * math.log10(count - m.discount)
-            yield row, doc_id, len(words), seen, base, float(total), None, None, None
-            yield from rest
-
-        return each
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary"))
-    made = cut(map_rows(rows, work, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, word binary, n int, less double"))
-    met = made.where(F.col("word").isNotNull()).select("row", "word", F.col("n").alias("times"), "less").join(rare.hint("merge"), "word")
-    n = F.col("times")
-    found = met.select("row", n.cast("bigint").alias("n_known"), (n * F.log10(F.col("n") + 1)).alias("base_score"), (n * (F.log10(F.col("n") - model.discount) - F.col("less"))).alias("score"))
-    main = made.where(F.col("word").isNull())
-    nothing = found.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_tokens"), "n_known", "base_score", "score")
-    parts = main.select("row", "doc_id", "n_tokens", "n_known", "base_score", "score").union(nothing)
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+def score_with(docs: DataFrame, model: Model, known: Vocabulary) -> DataFrame:
+    """Scores of further `docs` (doc_id, text) by a model that others taught."""
+    return score(cut(coded(cut(chunked(docs, F.lit(False))), known)), model, known)
 
 
 def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity, by train_and_score().
+
+    A null doc_id is learned from and gives a null doc_id; a null or empty text has one token.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model, rare = train(docs.where(trains(F.col("doc_id"))))
-    return score(docs, model, rare).withColumn("held_out", ~trains(F.col("doc_id")))
+    found, _, _ = train_and_score(docs, trains(F.col("doc_id")))
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

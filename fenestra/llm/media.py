@@ -86,11 +86,11 @@ def peak_pairs(peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_peaks bigint, n_pairs bigint, pair_sha256 string, media binary, pair_times array<int>, pair_codes array<int>"
 
 
-def fingerprint(docs: DataFrame, keep: bool = True) -> DataFrame:
-    """One row for each of `docs` (doc_id, text): the WAV as a binary column, its digests and its peak pairs.
+def fingerprint(docs: DataFrame, media: bool = True) -> DataFrame:
+    """One row for each of `docs` (doc_id, text): the WAV as a binary column, its digests and its peak pairs as two arrays, times and codes.
 
-    A null or empty text gives one unit of padding. Equal texts give equal values. With `keep` false, media and the arrays are null, and
-    only their digests are made. Repeated rows give repeated results; other columns of `docs` are not read.
+    A null or empty text gives one unit of padding, a very long one a long WAV, transformed in blocks. Equal texts give equal values. With `media` false the WAV itself is null, and
+    only its digests stay. Repeated rows give repeated results; an empty table gives an empty one; other columns of `docs` are not read.
     """
 
     def work():
@@ -102,7 +102,7 @@ def fingerprint(docs: DataFrame, keep: bool = True) -> DataFrame:
             pairs = hashlib.sha256(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()
             yield (
                 doc_id, len(text or b""), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(stored), hashlib.sha256(stored).hexdigest(),
-                int((peaks > 0).sum()), len(codes), pairs, *((stored, times, codes) if keep else (None, None, None)),
+                int((peaks > 0).sum()), len(codes), pairs, stored if media else None, times, codes,
             )
 
         return each
@@ -111,5 +111,7 @@ def fingerprint(docs: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def op7_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprint(read(spark, sf_dir, "documents"), keep=False)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", "n_peaks", "n_pairs", "pair_sha256").alias("feature"))
+    """One row for each row of documents, by fingerprint(): digests of payload and media, a digest of the peak pairs, and the pairs' times and codes."""
+    found = fingerprint(read(spark, sf_dir, "documents"), media=False)
+    feature = F.concat_ws(":", "n_peaks", "n_pairs", "pair_sha256").alias("feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature, "pair_times", "pair_codes")

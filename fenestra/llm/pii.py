@@ -1,19 +1,19 @@
 """Personal data: candidate spans, boosted trees, calibrated thresholds.
 
 Strict patterns with checks (the base) give spans that always stay. High-recall generators propose further, overlapping spans,
-such as a card number that a neighbouring phone number hides from the base. Features of format and context describe each candidate,
-boosted trees score it, and a threshold for each kind, calibrated on candidates that the trees didn't see, selects what is added.
+such as a card number that a neighbouring phone number hides from the base; only candidates that pass their kind's check can be added. Whether one that passes is
+personal data or a look-alike (part of an id, a version, a price) is for boosted trees, by features of its format and context; the check's result is none of them. A
+threshold for each kind, calibrated on candidates that the trees didn't see, selects what is added.
 
-There are no hand-made labels: candidates that equal a base span teach as positive, those that fail their kind's check as
-negative, and so does a corrupted copy of each positive. All other candidates are what the model is for.
+There are no hand-made labels. Candidates that equal a base span teach as positive. Negative are candidates that fail their check, with the contexts that such
+runs of digits stand in, and look-alikes: a copy of each positive that passes the check but is glued to what ids, versions and prices are glued to.
 
 Everything is DataFrame functions. Spans are found and scored inside the row, so a corpus is read twice (to fit, to apply) and no text is
-shuffled; fitted trees become nested conditions.
+shuffled; fitted trees become nested conditions. Within a row, n matches cost n * log(n): running sums and sorted sweeps, no array grown value by value.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -31,6 +31,8 @@ TREES, DEPTH = 12, 3
 #: A threshold is the lowest score from which on so great a share of the calibrating candidates is positive.
 PRECISION = 0.98
 CONTEXT = 24
+#: Windows that a step of a running sum joins, and steps: enough for 8**9 matches in one text.
+RADIX, STEPS = 8, 9
 
 # The base patterns. Lookbehind, \G (the end of the match before) and possessive repeats give the same matches as the plain patterns in
 # linear time: in a run of characters that all could begin a match, only the run's first place is tried.
@@ -57,27 +59,62 @@ GUARD: dict[str, Callable[[Column], Column]] = {
     "phone": lambda t: F.contains(t, F.lit("+")) | t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),
 }
 CUES = r"(?i)(?:mail|phone|tel|call|fax|card|visa|ip|host|addr|contact)[a-z]*\W*$"
-FEATURES = ("kind", "length", "digits", "separators", "kinds_of_digits", "valid", "left", "right", "cue", "plus", "groups")
-_SPAN = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
+FEATURES = ("kind", "length", "digits", "separators", "kinds_of_digits", "left", "right", "cue", "plus", "groups")
+#: What look-alikes are glued to, before and after.
+LEADS, TAILS = ("id=", "v", "#", "$", "no.", "/"), ("-", "%", "/", "7", "x", "_")
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once for a row and hand it to `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def _matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern in a text, with their places in code points and their surroundings."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = F.transform(F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("p")), lambda x: x)
 
-    def place(pieces: Column) -> Column:
-        def grow(a: Column, x: Column) -> Column:
-            start = a["at"] + F.length(x["p"])
-            end = start + F.length(x["m"])
-            after = F.substring(F.coalesce(F.get(pieces, F.size(a["out"]) + 1)["p"], F.lit("")), 1, 1)
-            span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s"), F.right(x["p"], F.lit(CONTEXT)).alias("before"), after.alias("after"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+def _scan(values: Column, how: str, back: bool = False) -> Column:
+    """Running sum, max or min over an array of numbers, from its start or, with `back`, from its end.
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-        return F.aggregate(F.filter(pieces, lambda x: x["m"].isNotNull()), first, grow)["out"]
+    Each step joins RADIX windows of the step before, so n values cost n * log(n), and no array is grown value by value.
+    """
+
+    def step(a: Column, k: int) -> Column:
+        far = RADIX**k if back else -(RADIX**k)
+
+        def joined(x: Column, i: Column) -> Column:
+            others = [F.get(a, i + j * far) for j in range(1, RADIX)]  # null outside the array
+            if how == "sum":
+                for o in others:
+                    x = x + F.coalesce(o, F.lit(0))
+                return x
+            return F.greatest(x, *others) if how == "max" else F.least(x, *others)
+
+        return F.transform(a, joined)
+
+    def steps(a: Column, k: int) -> Column:
+        return a if k == STEPS else F.when(F.size(a) <= RADIX**k, a).otherwise(_bind(step(a, k), lambda b: steps(b, k + 1)))
+
+    return _bind(values, lambda a: steps(a, 0))
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """All matches of a pattern (m), each with the text before it (p), and the text behind the last one, where m is null."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
 
-    return F.element_at(F.transform(F.array(step), place), 1)
+
+def _places(x: Column, more: Callable[[Column], list[Column]]) -> Column:
+    """Matches from _pieces(): their places in code points (start, end) and bytes (from, to), s, before and after, and what `more` makes of s."""
+    n = lambda y, size: size(y["p"]) + F.coalesce(size(y["m"]), F.lit(0))
+
+    def spans(ends: Column) -> Column:
+        def span(y: Column, i: Column) -> Column:
+            end, to = F.get(ends["n"], i), F.get(ends["b"], i)
+            after = F.substring(F.coalesce(F.get(x, i + 1)["p"], F.lit("")), 1, 1)
+            return F.struct(
+                (end - F.length(y["m"])).alias("start"), end.alias("end"), (to - F.octet_length(y["m"])).alias("from"), to.alias("to"),
+                y["m"].alias("s"), F.right(y["p"], F.lit(CONTEXT)).alias("before"), after.alias("after"), *more(y["m"]),
+            )
+
+        return F.transform(F.filter(F.transform(x, lambda y, i: F.struct(y.alias("y"), i.alias("i"))), lambda z: z["y"]["m"].isNotNull()), lambda z: span(z["y"], z["i"]))
+
+    running = [_scan(F.transform(x, lambda y: n(y, size)), "sum").alias(name) for name, size in (("n", F.length), ("b", F.octet_length))]  # noqa: B023
+    return _bind(F.struct(*running), spans)
 
 
 def _digits(s: Column) -> Column:
@@ -95,87 +132,110 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), value), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _passes(kind: str, s: Column, base: bool) -> Column:
+def _passes(kind: Column, s: Column, base: Column) -> Column:
     """The check of a kind; for the base, an email always passes."""
     n = F.length(_digits(s))
-    if kind == "email":
-        return F.lit(True) if base else s.rlike(r"\.[A-Za-z]{2,}$") & ~s.rlike(r"\.\.|^[.-]")
-    if kind == "ip":
-        return s.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}$")
-    if kind == "card":
-        return F.when((n >= 13) & (n <= 19), _luhn(_digits(s))).otherwise(False)
-    return (n >= 9) & (n <= 15)
-
-
-def _base(text: Column, kind: str) -> Column:
-    none = F.array().cast(_SPAN)
-    found = F.when(GUARD[kind](text), F.filter(_matches(text, BASE[kind]), lambda x: _passes(kind, x["s"], True))).otherwise(none)
-    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    email = base | (s.rlike(r"\.[A-Za-z]{2,}$") & ~s.rlike(r"\.\.|^[.-]"))
+    ip = s.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}$")
+    card = F.when((n >= 13) & (n <= 19), _luhn(_digits(s))).otherwise(False)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).otherwise((n >= 9) & (n <= 15))
 
 
 def _side(c: Column) -> Column:
     return F.when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"[^\s]"), 3).otherwise(0)
 
 
-def _features(kind: str, s: Column, before: Column, after: Column) -> Column:
-    """FEATURES of a candidate as an array<double>."""
-    digits = _digits(s)
+def _features(x: Column) -> Column:
+    """FEATURES of a candidate (kind, s, before, after) as an array<double>."""
+    s, digits = x["s"], _digits(x["s"])
     kinds = F.size(F.array_distinct(F.filter(F.split(digits, ""), lambda c: c != "")))
     parts = [
-        F.lit(KINDS.index(kind)), F.length(s), F.length(digits), F.length(F.regexp_replace(s, r"[^ ().\-]", "")), kinds, _passes(kind, s, False).cast("int"),
-        _side(F.right(before, F.lit(1))), _side(after), before.rlike(CUES).cast("int"), s.startswith("+").cast("int"), F.size(F.split(s, "[^0-9A-Za-z]+")),
+        _rank(x["kind"]), F.length(s), F.length(digits), F.length(F.regexp_replace(s, r"[^ ().\-]", "")), kinds,
+        _side(F.right(x["before"], F.lit(1))), _side(x["after"]), x["before"].rlike(CUES).cast("int"), s.startswith("+").cast("int"), F.size(F.split(s, "[^0-9A-Za-z]+")),
     ]
     return F.array(*[p.cast("double") for p in parts])
 
 
-def _proposed(text: Column, kind: str) -> Column:
-    """Candidates of a kind: kind, start, end, s, before, after, f (features); overlapping, each once."""
-    none = F.array().cast(_SPAN)
-    found = F.when(GUARD[kind](text), F.array_distinct(F.concat(*[_matches(text, p) for p in PROPOSE[kind]]))).otherwise(none)
-    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after"),
-                                                 _features(kind, x["s"], x["before"], x["after"]).alias("f")))
+def _rank(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind)
 
 
 def _detected(docs: DataFrame, text: str) -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    some = docs.withColumn("_body", body)
-    return some.withColumn("_base", F.concat(*[_base(F.col("_body"), k) for k in KINDS])).withColumn("_more", F.concat(*[_proposed(F.col("_body"), k) for k in KINDS]))
+    """`docs` with _base (spans that always stay) and _more (candidates, each once, by kind and place, with valid: their check; they may overlap)."""
+    body = F.col("_body")
+    none = F.array().cast("array<struct<m:string,p:string>>")
+    own = {k: GUARD[k](body) for k in KINDS}
+    groups = [(k, True, BASE[k]) for k in KINDS] + [(k, False, p) for k in KINDS for p in PROPOSE[k]]
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(base).alias("own"), F.when(own[k], _pieces(body, p)).otherwise(none).alias("x")) for k, base, p in groups])
+    # one expression for the places of all patterns' matches
+    found = F.transform(F.filter(each, lambda g: F.size(g["x"]) > 1), lambda g: _places(g["x"], lambda s: [g["kind"].alias("kind"), g["own"].alias("own"), _passes(g["kind"], s, g["own"]).alias("valid")]))
+    some = docs.withColumn("_body", F.coalesce(F.col(text), F.lit(""))).withColumn("_found", F.flatten(found))
+    base = F.transform(F.filter("_found", lambda x: x["own"] & x["valid"]), lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "from", "to"))))
+    rest = F.transform(F.filter("_found", lambda x: ~x["own"]), lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "from", "to", "s", "before", "after", "valid"))))
+    fresh = lambda a: lambda x, i: F.coalesce((F.get(a, i - 1)["kind"] != x["kind"]) | (F.get(a, i - 1)["start"] != x["start"]) | (F.get(a, i - 1)["end"] != x["end"]), F.lit(True))
+    return some.withColumns({"_base": base, "_more": _bind(F.array_sort(rest), lambda a: F.filter(a, fresh(a)))}).drop("_found")
+
+
+def _swept(base: Column, more: Column) -> Column:
+    """`more` with same (a base span of the kind has its place) and over (it overlaps a base span), by place.
+
+    Base spans and candidates are sorted together; running ends from the left and starts from the right tell what reaches into a candidate.
+    """
+    none = F.lit(None)
+    fields = ("from", "to", "s", "before", "after", "valid")
+    events = F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind"), F.lit(0).alias("own"), *(none.cast({"from": "int", "to": "int", "valid": "boolean"}.get(c, "string")).alias(c) for c in fields))),
+        F.transform(more, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(1).alias("own"), *(x[c].alias(c) for c in fields))),
+    )
+
+    def swept(e: Column) -> Column:
+        ends = _scan(F.transform(e, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(-1)), "max")
+        starts = _scan(F.transform(e, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(2**31 - 1)), "min", back=True)
 
+        def marked(r: Column) -> Column:
+            def mark(x: Column, i: Column) -> Column:
+                before = F.get(e, i - 1)
+                same = (before["own"] == 0) & (before["kind"] == x["kind"]) & (before["start"] == x["start"]) & (before["end"] == x["end"])
+                over = (F.get(r["ends"], i) > x["start"]) | (F.get(r["starts"], i) < x["end"])
+                return F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "own", *fields)), F.coalesce(same, F.lit(False)).alias("same"), over.alias("over"))
 
-def _corrupted(kind: Column, s: Column) -> Column:
-    """A string like `s` that its kind's check refuses."""
-    last = F.right(s, F.lit(1)).cast("int")
-    return (
-        F.when(kind == "email", F.regexp_replace(s, r"(@[^.]*)\..*$", "$1")).when(kind == "ip", F.concat(F.lit("3"), F.lpad(F.regexp_extract(s, r"^[0-9]+", 0), 2, "9"), F.regexp_extract(s, r"\..*$", 0)))
-        .when(kind == "card", F.concat(F.substr(s, F.lit(1), F.length(s) - 1), ((last + 1) % 10).cast("string"))).otherwise(F.regexp_replace(s, r"[0-9][^0-9]*[0-9][^0-9]*[0-9][^0-9]*[0-9]$", ""))
-    )
+            return F.filter(F.transform(e, mark), lambda x: x["own"] == 1)
+
+        return _bind(F.struct(ends.alias("ends"), starts.alias("starts")), marked)
+
+    return _bind(F.array_sort(events), swept)
 
 
 @dataclass
 class Model:
-    """Fitted trees as (weight, text of the tree), and a threshold for each kind; without trees nothing is added."""
+    """Fitted trees as (weight, tree), and a threshold for each kind; without trees nothing is added.
+
+    A tree is a number, or (feature, limit, tree up to the limit, tree above).
+    """
 
-    trees: list[tuple[float, str]] = field(default_factory=list)
+    trees: list[tuple[float, tuple | float]] = field(default_factory=list)
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def margin(self, f: Column) -> Column:
         """The trees' sum for an array of features, as nested conditions."""
         total = F.lit(0.0)
-        for weight, text in self.trees:
-            lines = [x for x in text.splitlines() if x.strip().startswith(("If", "Else", "Predict"))]
-            total = total + F.lit(weight) * _branch(lines, [0], f)
+        for weight, tree in self.trees:
+            total = total + F.lit(weight) * _branch(tree, f)
         return total
 
 
-def _branch(lines: list[str], at: list[int], f: Column) -> Column:
-    line = lines[at[0]].strip()
-    at[0] += 1
-    if line.startswith("Predict"):
-        return F.lit(float(line.split(":")[1]))
-    which, limit = re.search(r"feature (\d+) <= ([-\d.eE]+)", line).groups()
-    yes = _branch(lines, at, f)
-    at[0] += 1  # the matching Else
-    return F.when(F.get(f, F.lit(int(which))) <= float(limit), yes).otherwise(_branch(lines, at, f))
+def _branch(tree: tuple | float, f: Column) -> Column:
+    if not isinstance(tree, tuple):
+        return F.lit(tree)
+    which, limit, low, high = tree
+    return F.when(F.get(f, F.lit(which)) <= limit, _branch(low, f)).otherwise(_branch(high, f))
+
+
+def _tree(node) -> tuple | float:
+    """A fitted tree, read node by node from Spark's model; all features are continuous."""
+    if not node.subtreeDepth():
+        return float(node.prediction())
+    return int(node.split().featureIndex()), float(node.split().threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
 def _shares(counts: dict[str, int]) -> dict[str, float]:
@@ -187,26 +247,31 @@ def _shares(counts: dict[str, int]) -> dict[str, float]:
     return shares
 
 
+def _look_alike(found: DataFrame) -> DataFrame:
+    """Copies of positives, glued to something before them, after them, or both; what, depends on hashes."""
+    pick = lambda values, seed: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("s", "key", F.lit(seed)), F.lit(len(values))) + 1).cast("int"))
+    side = F.pmod(F.xxhash64("s", "key", F.lit(3)), F.lit(3))
+    before = F.when(side != 1, F.concat(F.col("before"), pick(LEADS, 1))).otherwise(F.col("before"))
+    return found.where("label = 1").withColumns({"before": before, "after": F.when(side != 0, pick(TAILS, 2)).otherwise(F.col("after")), "label": F.lit(0.0), "valid": F.lit(True)})
+
+
 def _taught(found: DataFrame) -> DataFrame:
-    """kind, f and label of labelled candidates and of a corrupted copy of each positive."""
-    bad = found.where("label = 1").withColumn("s", _corrupted(F.col("kind"), F.col("s"))).withColumn("label", F.lit(0.0))
-    again = F.coalesce(*[F.when(F.col("kind") == k, _features(k, F.col("s"), F.col("before"), F.col("after"))) for k in KINDS])
-    return found.select("kind", "f", "label").unionByName(bad.select("kind", again.alias("f"), "label"))
+    """kind, valid, f and label of labelled candidates and of a look-alike of each positive."""
+    both = found.unionByName(_look_alike(found))
+    return both.select("kind", "valid", _features(F.struct("kind", "s", "before", "after")).alias("f"), "label")
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Fit trees and thresholds to the candidates of all `docs`: trees to a sample of each kind, thresholds to all that the trees didn't see.
 
-    Without candidates of both labels, as in an empty table, the model adds nothing.
+    Without candidates of both labels, as in an empty table, the model adds nothing. Thresholds are about candidates that pass their check, as no others are added.
     """
     body = docs.select(text, *[c for c in ("doc_id",) if c in docs.columns])
     seen = _detected(body, text).where(F.size("_more") > 0)
-    equal = F.exists("_base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")))
     # the key has doc_id, so that copies of a text are dealt to both parts
     doc = F.xxhash64("_body", *body.columns[1:])
-    each = seen.select(F.explode("_more").alias("c"), "_base", doc.alias("doc")).select("c.*", equal.alias("same"), "doc")
-    valid = F.get("f", F.lit(FEATURES.index("valid"))) > 0
-    found = cut(each.where(F.col("same") | ~valid).select("kind", "s", "before", "after", "f", F.col("same").cast("double").alias("label"), F.xxhash64("doc", "start", "end", "kind").alias("key")))
+    each = seen.select(F.explode(_swept(F.col("_base"), F.col("_more"))).alias("c"), doc.alias("doc")).select("c.*", "doc")
+    found = cut(each.where("same OR NOT valid").select("kind", "s", "before", "after", "valid", F.col("same").cast("double").alias("label"), F.xxhash64("doc", "start", "end", "kind").alias("key")))
     shares = _shares({r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()})
     if not shares:
         return Model()
@@ -217,9 +282,9 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         return Model()
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(learn).select("x", "label")
     gbt = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11, maxBins=32).fit(vectors)
-    model = Model([(w, t.toDebugString) for w, t in zip(gbt.treeWeights, gbt.trees)])
+    model = Model([(w, _tree(t._java_obj.rootNode())) for w, t in zip(gbt.treeWeights, gbt.trees)])
     # precision from each score on; as many rows as the trees have different sums
-    scored = _taught(found.where("NOT learn")).withColumn("score", F.round(model.margin(F.col("f")), 6)).groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("all")).collect()
+    scored = _taught(found.where("NOT learn")).where("valid").withColumn("score", F.round(model.margin(F.col("f")), 6)).groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("all")).collect()
     for kind in KINDS:
         good = every = 0
         for r in sorted((r for r in scored if r["kind"] == kind), key=lambda r: -r["score"]):
@@ -229,50 +294,74 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
+def _longest(spans: Column) -> Column:
+    """Of each chain of overlapping spans of a kind the longest, of equal ones the first."""
+    wide = 1 << 40
+    keyed = F.array_sort(F.transform(spans, lambda x: F.struct((_rank(x["kind"]) * wide + x["start"]).alias("at"), (_rank(x["kind"]) * wide + x["end"]).alias("till"), x.alias("x"))))
+
+    def chains(k: Column) -> Column:
+        def numbered(till: Column) -> Column:
+            return _scan(F.transform(k, lambda x, i: F.when(F.get(till, i - 1) > x["at"], 0).otherwise(1)), "sum")
+
+        def firsts(n: Column) -> Column:
+            by_length = F.array_sort(F.transform(k, lambda x, i: F.struct(F.get(n, i).alias("chain"), (x["at"] - x["till"]).alias("less"), x["x"].alias("x"))))
+            return _bind(by_length, lambda a: F.transform(F.filter(a, lambda x, i: F.coalesce(F.get(a, i - 1)["chain"] != x["chain"], F.lit(True))), lambda x: x["x"]))
+
+        return _bind(_bind(_scan(F.transform(k, lambda x: x["till"]), "max"), numbered), firsts)
+
+    return F.when(F.size(spans) < 2, spans).otherwise(_bind(keyed, chains))
+
+
 def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of `docs` with `base` and `spans`: arrays of kind, start, end (code points, end exclusive).
+    """The rows of `docs` with `base` and `spans`: arrays of kind, start, end (code points, end exclusive), and `places`: all spans by place, in bytes.
 
-    Both are ordered by kind as in KINDS, then start, then end; spans has all of base and what the model adds: candidates above their
-    kind's threshold that overlap no base span, and of overlapping ones of a kind the longer. A null text has none. Columns of these names in the
+    base and spans are ordered by kind as in KINDS, then start, then end; spans has all of base and what the model adds: candidates that pass their check, score at their
+    kind's threshold or above and overlap no base span, and of a chain of overlapping ones of a kind the longest. A null text has none. Columns of these names in the
     input are replaced; repeated rows are judged alike.
     """
-    rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
-    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    span = lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "from", "to")))
 
     def chosen(x: Column) -> Column:
+        score = _bind(_features(x), lambda f: F.round(model.margin(f), 6))
         test = F.lit(False)
         for kind, least in model.thresholds.items():
-            test = test | ((x["kind"] == kind) & (F.round(model.margin(x["f"]), 6) >= least))
-        return test & ~F.exists("_base", lambda b: over(b, x))
+            test = test | ((x["kind"] == kind) & (score >= least))
+        return x["valid"] & ~x["over"] & test
 
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,from:int,to:int>>")
     found = _detected(docs, text)
-    added = F.transform(F.filter("_more", chosen), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    if not model.thresholds:
-        added = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    longer = lambda a, b: (b["kind"] == a["kind"]) & over(a, b) & ((b["end"] - b["start"] > a["end"] - a["start"]) | ((b["end"] - b["start"] == a["end"] - a["start"]) & (b["start"] < a["start"])))
-    found = found.withColumn("_added", added).withColumn("_added", F.filter("_added", lambda a: ~F.exists("_added", lambda b: longer(a, b))))
-
-    def ordered(spans: Column) -> Column:
-        keyed = F.array_sort(F.transform(spans, lambda x: F.struct(rank(x["kind"]).alias("r"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    added = none
+    if model.thresholds:
+        some = F.transform(F.filter(_swept(F.col("_base"), F.filter("_more", lambda x: x["valid"])), chosen), span)
+        added = F.when(F.exists("_more", lambda x: x["valid"]), some).otherwise(none)
+    found = found.withColumn("_added", added).withColumn("_all", F.concat("_base", F.when(F.size("_added") > 0, _longest(F.col("_added"))).otherwise(none)))
+
+    def ordered(spans: str) -> Column:
+        keyed = F.array_sort(F.transform(spans, lambda x: F.struct(_rank(x["kind"]).alias("r"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
         return F.transform(keyed, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
-    return found.withColumns({"base": F.col("_base"), "spans": ordered(F.concat("_base", "_added"))}).drop("_body", "_base", "_more", "_added")
+    places = F.array_sort(F.transform("_all", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), x["kind"].alias("kind"))))
+    return found.withColumns({"base": ordered("_base"), "spans": ordered("_all"), "places": places}).drop("_body", "_base", "_more", "_added", "_all")
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """detect()'s rows with every span of the text replaced by its kind in angle brackets; of overlapping spans, the first one's.
 
-    Adds nothing else; n_chars, if there, follows the text. Texts without spans stay as they are.
+    Adds nothing else; n_chars, if there, follows the text. Texts without spans, null ones too, stay as they are.
     """
-    by_place = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    raw = F.col(text).cast("binary")
+
+    def pieces(till: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(till, i - 1), F.lit(0))
+            between = F.substr(raw, at + 1, F.greatest(F.lit(0), x["from"] - at)).cast("string")
+            return F.concat(between, F.when(x["from"] >= at, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
 
-    def grow(a: Column, x: Column) -> Column:
-        piece = F.concat(a["out"], F.substr(F.col(text), a["at"] + 1, F.greatest(F.lit(0), x["start"] - a["at"])), F.when(x["start"] >= a["at"], F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), piece.alias("out"))
+        return F.concat(F.array_join(F.transform("places", piece), ""), F.substr(raw, F.element_at(till, -1) + 1).cast("string"))
 
-    clean = F.aggregate(by_place, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), grow, lambda a: F.concat(a["out"], F.substr(F.col(text), a["at"] + 1)))
-    out = found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text)))
-    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))) if "n_chars" in found.columns else out
+    clean = _bind(_scan(F.transform("places", lambda x: x["to"]), "max"), pieces)
+    out = found.withColumn(text, F.when(F.size("places") > 0, clean).otherwise(F.col(text)))
+    return out.withColumn("n_chars", F.when(F.size("places") > 0, F.length(text).cast("bigint")).otherwise(F.col("n_chars"))) if "n_chars" in found.columns else out
 
 
 def _joined(spans: str) -> Column:
@@ -280,6 +369,7 @@ def _joined(spans: str) -> Column:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, the base spans by kind and their digest, all spans, n_added; nulls, repeats and long texts as in detect()."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = detect(docs, fit(docs))
     of = lambda kind: lambda x: x["kind"] == kind

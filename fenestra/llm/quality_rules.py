@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import read, words
+from fenestra.llm.common import cut, read, words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -124,13 +124,20 @@ def ablations(scored: DataFrame, policy: Policy) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: measurements, the verdicts of the base and the standard policy, failed_bits, and the version of the policy behind kept."""
     scored = apply_policy(apply_policy(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")), STANDARD), BASE, "base_kept")
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits", F.lit(STANDARD.version).alias("policy"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For both policies, each rule's ablation over all documents: the ledger is made once, and its bit patterns are counted for each policy."""
+    bits = cut(ledger(read(spark, sf_dir, "documents").select("text")).select("failed_bits"))
+    return ablations(bits, BASE).unionByName(ablations(bits, STANDARD))
 
 
 _BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES.values()))
 
-OP5_SQL = rf"""
+_LEDGER_SQL = rf"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents
 ), w AS (
@@ -150,7 +157,19 @@ WITH t AS (
          CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep USING (rid)
-), b AS (SELECT *, CAST({_BITS} AS BIGINT) AS failed_bits FROM m)
+), b AS (SELECT *, CAST({_BITS} AS BIGINT) AS failed_bits FROM m)"""
+
+OP5_SQL = f"""{_LEDGER_SQL}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & {BASE.mask}) <> 0 AS base_failed,
-       (failed_bits & {STANDARD.mask}) = 0 AS kept, failed_bits FROM b
+       (failed_bits & {STANDARD.mask}) = 0 AS kept, failed_bits, '{STANDARD.version}' AS policy FROM b
 """
+
+
+def _ablation_sql(policy: Policy, rule: str) -> str:
+    bit = 1 << list(RULES).index(rule)
+    count = lambda test: f"CAST(count(*) FILTER (WHERE {test}) AS BIGINT)"
+    rest = f"failed_bits & {policy.mask & ~bit} = 0"
+    return f"SELECT '{rule}' AS rule, '{policy.version}' AS policy, {count(f'failed_bits & {bit} <> 0')} AS n_failed, {count(f'failed_bits & {bit} <> 0 AND {rest}')} AS n_failed_alone, {count(rest)} AS n_kept_without FROM b"
+
+
+ABLATIONS_SQL = _LEDGER_SQL + " UNION ALL ".join(_ablation_sql(p, r) for p in (BASE, STANDARD) for r in p.rules)
