@@ -7,24 +7,30 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fenestra.functions.numbers import bind
+
+# The patterns of a postal code at the beginning of a line, of one anywhere, of that alone, of a country's line, of merge fields, and the
+# characters that are usual in an address. White space is Unicode's.
 POSTAL_LINE = r"^\p{Nd}{2}-\p{Nd}{3}(?U:\s)+\p{L}"
 POSTAL_LIKE = r"(?<!\p{Nd})(\p{Nd}{2}(?U:\s)*[-–](?U:\s)*\p{Nd}{3}|\p{Nd}{5})(?!\p{Nd})"
-COUNTRY_LINE = r"^[\p{Lu}][\p{Lu}(?U:\s)\-]{1,39}$".replace("(?U:\\s)", r"\s\u00A0")
+POSTAL_CODE = r"^\p{Nd}{2}-\p{Nd}{3}$"
+COUNTRY_LINE = r"^[\p{Lu}][\p{Lu}\s\u0085\p{Z}\-]{1,39}$"
 MERGE_FIELD = r"«[^»]*»|MERGEFIELD|\{\{[^}]*\}\}"
-# The characters that are usual in an address.
-UNUSUAL = r"""[^\p{L}\p{M}\p{N}\s.,\-–/'""„”&()«»:;#{}]"""
+UNUSUAL = r"""[^\p{L}\p{M}\p{N}\s\u0085\p{Z}.,\-–/'""„”&()«»:;#{}]"""
+SPACES = r"[\s\u0085\p{Z}]+"
 #: The home country's names.
 HOME = ("POLSKA", "POLAND")
 LONGEST = 40
 
 
 def _plain_letters() -> tuple[str, str]:
-    """Letters whose decomposition is one letter and marks, and that letter; and the one without a decomposition."""
+    """Characters whose full decomposition is one character and marks, and that character; and the one without a decomposition."""
     pairs = {}
-    for c in map(chr, range(0xC0, 0x250)):
-        d = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
-        if len(d) == 1 and d[0] != c:
-            pairs[c] = d[0]
+    for c in map(chr, range(0xC0, 0x30000)):
+        if unicodedata.decomposition(c)[:1] not in ("", "<"):
+            d = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+            if len(d) == 1 and d[0] != c:
+                pairs[c] = d[0]
     pairs |= {"ł": "l", "Ł": "L"}
     return "".join(pairs), "".join(pairs.values())
 
@@ -38,19 +44,24 @@ def normalize_text(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " ")))
 
 
+def trim(c: Column) -> Column:
+    """Without white space at both ends, Unicode's included."""
+    return F.regexp_replace(c, rf"^{SPACES}|{SPACES}$", "")
+
+
 def non_empty_lines(lines: Column) -> Column:
-    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(lines, trim), lambda x: x != "")
 
 
 def normalize_lines(lines: Column) -> Column:
     """Lines with white space collapsed, empty ones gone."""
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, SPACES, " "))), lambda x: x != "")
 
 
 def has_inner_empty(lines: Column) -> Column:
     """Whether an empty line stands between lines that aren't."""
-    flags = F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", "0").otherwise("1")), "")
-    return F.contains(flags, F.lit("10")) & flags.rlike("10+1")
+    flags = F.array_join(F.transform(lines, lambda x: F.when(trim(x) == "", "0").otherwise("1")), "")
+    return flags.rlike("10+1")
 
 
 def looks_like_address(lines: Column) -> Column:
@@ -61,22 +72,23 @@ def looks_like_address(lines: Column) -> Column:
 
 
 def _normal(lines: Column) -> Column:
-    return F.transform(lines, normalize_text)
+    return F.transform(non_empty_lines(lines), normalize_text)
 
 
 def matched_lines(lines: Column, expected: Column) -> Column:
     """How many expected lines the block has, by normal form; repeated ones count each time."""
-    return F.size(F.filter(_normal(expected), lambda e: (e != "") & F.array_contains(_normal(lines), e)))
+    return bind(_normal(lines), lambda have: F.size(F.filter(F.transform(expected, normalize_text), lambda e: (e != "") & F.array_contains(have, e))))
 
 
 def missing_lines(lines: Column, expected: Column) -> Column:
     """The expected lines that the block lacks, as they were given and in their order."""
-    return F.filter(expected, lambda e: (normalize_text(e) != "") & ~F.array_contains(_normal(lines), normalize_text(e)))
+    named = F.transform(expected, lambda e: F.struct(e.alias("e"), normalize_text(e).alias("n")))
+    return bind(_normal(lines), lambda have: F.transform(F.filter(named, lambda x: (x["n"] != "") & ~F.array_contains(have, x["n"])), lambda x: x["e"]))
 
 
 def snippet(lines: Column) -> Column:
-    joined = F.array_join(lines, " / ")
-    return F.when(F.length(joined) > 60, F.concat(F.substring(joined, 1, 59), F.lit("…"))).otherwise(joined)
+    """The block's lines that aren't empty in one, of 60 characters at most."""
+    return bind(F.array_join(non_empty_lines(lines), " / "), lambda joined: F.when(F.length(joined) > 60, F.concat(F.substring(joined, 1, 59), F.lit("…"))).otherwise(joined))
 
 
 def has_merge_field(lines: Column) -> Column:
@@ -84,20 +96,23 @@ def has_merge_field(lines: Column) -> Column:
 
 
 def unusual_characters(lines: Column) -> Column:
-    """Distinct unusual characters outside merge fields, by first appearance."""
-    text = F.regexp_replace(F.array_join(lines, "\n"), MERGE_FIELD, "")
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(UNUSUAL), F.lit(0)))
+    """Distinct unusual characters outside merge fields, by first appearance; a field ends with its line."""
+    each = F.transform(lines, lambda x: F.regexp_extract_all(F.regexp_replace(x, MERGE_FIELD, ""), F.lit(UNUSUAL), F.lit(0)))
+    return F.array_distinct(F.flatten(each))
 
 
 def postal_verdict(lines: Column, foreign: bool = True) -> Column:
     """ok, text_after, or missing: where the line with the postal code stands."""
-    n = F.size(lines)
-    last, before = F.element_at(lines, -1), F.get(lines, n - 2)
-    country, home = last.rlike(COUNTRY_LINE) & (n >= 2), F.upper(last).isin(*HOME)
-    return (
-        F.when(n == 0, "missing").when(last.rlike(POSTAL_LINE), "ok").when(country & ~home & F.lit(foreign), "ok").when(country & home & before.rlike(POSTAL_LINE), "ok")
-        .when(F.exists(lines, lambda x: x.rlike(POSTAL_LINE)), "text_after").otherwise("missing")
-    )
+
+    def verdict(x: Column) -> Column:
+        n, last = x["n"], x["last"]
+        country, home = (n >= 2) & last.rlike(COUNTRY_LINE), F.upper(last).isin(*HOME)
+        return (
+            F.when(n == 0, "missing").when(last.rlike(POSTAL_LINE), "ok").when(F.lit(foreign) & ~home & country, "ok").when(home & country & F.get(lines, n - 2).rlike(POSTAL_LINE), "ok")
+            .when(F.exists(lines, lambda y: y.rlike(POSTAL_LINE)), "text_after").otherwise("missing")
+        )
+
+    return bind(F.struct(F.size(lines).alias("n"), F.get(lines, F.size(lines) - 1).alias("last")), verdict)
 
 
 def lines_word(n: Column) -> Column:

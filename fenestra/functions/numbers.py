@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,53 +16,73 @@ def normalize_number(raw: Column) -> Column:
     return F.upper(F.regexp_replace(raw, "[^A-Za-z0-9]", ""))
 
 
-def _digit(s: Column, i: int) -> Column:
-    return F.substring(s, i, 1).cast("int")
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once for a row and hand it to `body`; else an expression is evaluated again wherever it stands."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _digits(s: Column, body: Callable[[list[Column]], Column], n: int) -> Column:
+    """Hand the n digits of a string, as numbers, to `body`."""
+    each = F.transform(F.split(s, ""), lambda c: c.try_cast("int"))
+    return bind(each, lambda d: body([F.get(d, F.lit(i)) for i in range(n)]))
 
 
 def gs1_check_digit(body: Column) -> Column:
     """The check digit of 17 digits, weighted 3 and 1 in turn from the right; null for anything else."""
-    total = sum((_digit(body, i) * (3 if i % 2 else 1) for i in range(2, 18)), _digit(body, 1) * 3)
-    return F.when(body.rlike("^[0-9]{17}$"), ((10 - total % 10) % 10).cast("int"))
+    total = lambda d: sum((x * (1 if i % 2 else 3) for i, x in enumerate(d)), F.lit(0))
+    return F.when(body.rlike("^[0-9]{17}$"), _digits(body, lambda d: ((10 - total(d) % 10) % 10).cast("int"), 17))
 
 
 def s10_check_digit(serial: Column) -> Column:
     """The check digit of 8 digits; null for anything else."""
-    total = sum((_digit(serial, i + 1) * w for i, w in enumerate(S10_WEIGHTS[1:], 1)), _digit(serial, 1) * S10_WEIGHTS[0])
-    value = 11 - total % 11
-    return F.when(serial.rlike("^[0-9]{8}$"), F.when(value == 10, 0).when(value == 11, 5).otherwise(value).cast("int"))
+
+    def of(d: list[Column]) -> Column:
+        value = 11 - sum((x * w for x, w in zip(d, S10_WEIGHTS)), F.lit(0)) % 11
+        return bind(value, lambda v: F.when(v == 10, 0).when(v == 11, 5).otherwise(v).cast("int"))
+
+    return F.when(serial.rlike("^[0-9]{8}$"), _digits(serial, of, 8))
+
+
+DOMESTIC, FOREIGN = "^[0-9]{20}$", "^[A-Z]{2}[0-9]{9}[A-Z]{2}$"
+
+
+def _printed(n: Column, domestic: Column, foreign: Column) -> Column:
+    sub = lambda a, k: F.substring(n, a, k)
+    own = F.concat(F.lit("(00)"), sub(3, 8), F.lit(" "), sub(11, 1), F.lit(" "), sub(12, 8), F.lit(" "), sub(20, 1))
+    return F.when(domestic & n.startswith("00"), own).when(foreign, F.concat_ws(" ", sub(1, 2), sub(3, 3), sub(6, 3), sub(9, 3), sub(12, 2)))
 
 
 def human_readable(n: Column) -> Column:
     """A normalized number as printed; null if it has neither form."""
-    sub = lambda a, k: F.substring(n, a, k)
-    domestic = F.concat(F.lit("(00)"), sub(3, 8), F.lit(" "), sub(11, 1), F.lit(" "), sub(12, 8), F.lit(" "), sub(20, 1))
-    foreign = F.concat_ws(" ", sub(1, 2), sub(3, 3), sub(6, 3), sub(9, 3), sub(12, 2))
-    return F.when(n.rlike("^00[0-9]{18}$"), domestic).when(n.rlike("^[A-Z]{2}[0-9]{9}[A-Z]{2}$"), foreign)
+    return bind(n, lambda x: _printed(x, x.rlike(DOMESTIC), x.rlike(FOREIGN)))
 
 
 def parse_number(raw: Column, check: bool = True) -> Column:
     """type, normalized, human, is_valid and problem of a number, its form told by itself.
 
     problem is null for a valid number, else one of empty, not_a_number, wrong_prefix, wrong_check_digit. With `check` false, check digits
-    aren't compared. A null number is an empty one.
+    aren't compared. A null number is an empty one. The normal form, then the kind, then the check are evaluated once each.
     """
-    n = normalize_number(F.coalesce(raw, F.lit("")))
-    domestic, foreign = n.rlike("^[0-9]{20}$"), n.rlike("^[A-Z]{2}[0-9]{9}[A-Z]{2}$")
-    wrong = F.lit(False)
-    if check:
-        wrong = F.when(domestic, gs1_check_digit(F.substring(n, 3, 17)) != _digit(n, 20)).otherwise(s10_check_digit(F.substring(n, 3, 8)) != _digit(n, 11))
-    problem = (
-        F.when(n == "", "empty").when(~domestic & ~foreign, "not_a_number").when(domestic & ~n.startswith("00"), "wrong_prefix").when(wrong, "wrong_check_digit")
-    )
-    return F.struct(
-        F.when(domestic, "Domestic").when(foreign, "International").alias("type"), n.alias("normalized"), human_readable(n).alias("human"),
-        problem.isNull().alias("is_valid"), problem.alias("problem"),
-    )
+    last = lambda n, i: F.substring(n, i, 1).cast("int")
+
+    def kinds(n: Column) -> Column:
+        return bind(F.struct(n.alias("n"), n.rlike(DOMESTIC).alias("d"), n.rlike(FOREIGN).alias("f")), parsed)
+
+    def parsed(x: Column) -> Column:
+        n, d, f = x["n"], x["d"], x["f"]
+        wrong = F.when(d, gs1_check_digit(F.substring(n, 3, 17)) != last(n, 20)).when(f, s10_check_digit(F.substring(n, 3, 8)) != last(n, 11)) if check else F.lit(False)
+        problem = F.when(n == "", "empty").when(~d & ~f, "not_a_number").when(d & ~n.startswith("00"), "wrong_prefix").when(wrong, "wrong_check_digit")
+        kind = F.when(d, "Domestic").when(f, "International").alias("type")
+        return bind(problem, lambda p: F.struct(kind, n.alias("normalized"), _printed(n, d, f).alias("human"), p.isNull().alias("is_valid"), p.alias("problem")))
+
+    return bind(normalize_number(F.coalesce(raw, F.lit(""))), kinds)
 
 
 def parse_typed(raw: Column, kind: Column, check: bool = True) -> Column:
     """parse_number() of a number whose kind is stated; another kind is the problem wrong_type."""
-    p = parse_number(raw, check)
-    other = p["type"].isNotNull() & (p["type"] != kind)
-    return F.struct(p["type"].alias("type"), p["normalized"].alias("normalized"), p["human"].alias("human"), (p["is_valid"] & ~other).alias("is_valid"), F.when(other, "wrong_type").otherwise(p["problem"]).alias("problem"))
+
+    def typed(p: Column) -> Column:
+        other = p["type"].isNotNull() & (p["type"] != kind)
+        return F.struct(p["type"].alias("type"), p["normalized"].alias("normalized"), p["human"].alias("human"), (p["is_valid"] & ~other).alias("is_valid"), F.when(other, "wrong_type").otherwise(p["problem"]).alias("problem"))
+
+    return bind(parse_number(raw, check), typed)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fenestra.functions.addresses import normalize_lines, trim
+
 LARGEST = 20 * 1024 * 1024
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(trim(c), F.lit(""))
 
 
 def recipient_lines(lines: Column) -> Column:
     """White space collapsed, empty lines gone."""
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return normalize_lines(lines)
 
 
 def validate_orders(orders: DataFrame) -> DataFrame:
@@ -53,6 +55,11 @@ def is_pdf(content: Column) -> Column:
     return F.contains(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), F.lit("%PDF-"))
 
 
+def is_docx(content: Column) -> Column:
+    """Whether the content is a zip with the part that every Word document has; its name stands plainly in the zip's directory."""
+    return (F.hex(F.substring(content, 1, 4)) == "504B0304") & F.contains(F.decode(content, "ISO-8859-1"), F.lit("word/document.xml"))
+
+
 def safe_file_name(c: Column) -> Column:
     return F.substring(F.substring_index(F.replace(c, F.lit("\\"), F.lit("/")), "/", -1), 1, 255)
 

@@ -37,7 +37,7 @@ def _gs1(b: str) -> str:
 
 
 def _s10(s: str) -> str:
-    total = " + ".join(f"CAST(substr({s}, {i + 1}, 1) AS INTEGER) * {w}" for i, w in enumerate(nb.S10_WEIGHTS))
+    total = " + ".join(f"CAST(substr({s}, {i + 1}, 1) AS INTEGER) * {w}" for i, w in enumerate((8, 6, 4, 2, 3, 5, 9, 7)))
     return f"(CASE 11 - ({total}) % 11 WHEN 10 THEN 0 WHEN 11 THEN 5 ELSE 11 - ({total}) % 11 END)"
 
 
@@ -64,7 +64,11 @@ parts AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey O
   CAST(20 + (l_partkey % 1400) / CAST(10.0 AS DOUBLE) AS DOUBLE) AS l, CAST(50 + l_suppkey % 40 AS DOUBLE) AS t, CAST(l_quantity AS DOUBLE) AS w, CAST(4 + l_linenumber * 2 AS DOUBLE) AS h,
   CAST(l_linenumber AS BIGINT) AS n_lines, l_linenumber BETWEEN 2 AND 6 AS address_like, l_partkey % 4 AS matched, 6 + l_quantity / 5 AS font, l_returnflag = 'R' AS italic,
   l_linestatus = 'O' AND l_linenumber > 4 AS rotated, l_suppkey % 3 = 0 AS valid, l_suppkey AS number, CASE WHEN l_orderkey % 2 = 0 THEN l_orderkey % 50 END AS expected FROM lineitem)"""
-LAYOUTS = "layout_window(layout, role, wl, wt, ww, wh, clearance) AS (VALUES " + ", ".join(f"('{n}', '{r}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE), CAST({d} AS DOUBLE), CAST({k} AS DOUBLE))" for n, r, a, b, c, d, k in layouts()) + ")"
+# What windows show of the page, in millimetres, worked out by hand from the envelopes' sizes.
+_WINDOWS = """('c65_single', 'recipient', 119, 54, 71, 30, 1), ('c65_two', 'recipient', 119, 54, 71, 30, 1), ('c65_two', 'sender', 28, 64, 51, 15, 1), ('dl_din_b', 'recipient', 20, 45, 85, 45, 3),
+  ('dl_din_a', 'recipient', 20, 27, 85, 45, 3), ('dl_two_left', 'recipient', 20, 45, 85, 45, 3), ('dl_two_left', 'sender', 20, 12, 85, 28, 3)"""
+LAYOUTS = f"""layout_window AS (SELECT layout, role, CAST(wl AS DOUBLE) AS wl, CAST(wt AS DOUBLE) AS wt, CAST(ww AS DOUBLE) AS ww, CAST(wh AS DOUBLE) AS wh, CAST(clearance AS DOUBLE) AS clearance
+  FROM (VALUES {_WINDOWS}) x(layout, role, wl, wt, ww, wh, clearance))"""
 
 
 def _area(l="l", t="t", w="w", h="h", wl="wl", wt="wt", ww="ww", wh="wh") -> str:  # noqa: E741
@@ -211,11 +215,10 @@ def rect_union_agg(spark, sf_dir):
     return _parts(spark, sf_dir).groupBy("doc").agg(F.min(b["left"]).alias("left"), F.min(b["top"]).alias("top"), F.max(g.right(b)).alias("right"), F.max(g.bottom(b)).alias("bottom"))
 
 
-@query(f"WITH {PARTS}, {LAYOUTS} SELECT doc, ord, {', '.join(f'{v} AS over_{k}' for k, v in _over().items())} FROM parts JOIN layout_window ON layout = 'c65_two' AND role = 'recipient'")
+@query(f"WITH {PARTS}, {LAYOUTS} SELECT doc, ord, layout, role, {', '.join(f'{v} AS over_{k}' for k, v in _over().items())} FROM parts CROSS JOIN layout_window")
 def window_overflow(spark, sf_dir):
-    window = layout_windows(spark).where("layout = 'c65_two' AND role = 'recipient'")
-    o = selection.scored(_parts(spark, sf_dir), window).withColumn("o", g.overflow(F.col("window"), F.col("bounds")))
-    return o.select("doc", "ord", *(F.col(f"o.{s}").alias(f"over_{s}") for s in ("left", "top", "right", "bottom")))
+    o = selection.scored(_parts(spark, sf_dir), layout_windows(spark)).withColumn("o", g.overflow(F.col("window"), F.col("bounds")))
+    return o.select("doc", "ord", "layout", "role", *(F.col(f"o.{s}").alias(f"over_{s}") for s in ("left", "top", "right", "bottom")))
 
 
 @query(f"WITH {PARTS}, {LAYOUTS} SELECT layout, role, {_label()} AS place, count(*) AS n FROM parts CROSS JOIN layout_window GROUP BY ALL")
@@ -226,7 +229,7 @@ def label_geometry(spark, sf_dir):
 
 # ---- addresses
 
-_NORMAL = f"lower(trim(regexp_replace(translate(regexp_replace(x, '\\p{{Mn}}', '', 'g'), '{ad.ACCENTED}', '{ad.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')))"
+_NORMAL = "lower(trim(regexp_replace(translate(strip_accents(x), 'łŁ', 'lL'), '[^\\p{L}\\p{N}]+', ' ', 'g')))"
 _PL, _CL, _MF = r"'^[0-9]{2}-[0-9]{3}\s+\p{L}'", r"'^[\p{Lu}][\p{Lu}\s\-]{1,39}$'", r"'«[^»]*»|MERGEFIELD|\{\{[^}]*\}\}'"
 _ANY = lambda rx: f"len(list_filter(lines, lambda x: regexp_matches(x, {rx}))) > 0"
 VERDICT = f"""{ADDRESSES},
@@ -244,7 +247,7 @@ def address_normalize(spark, sf_dir):
     return _addresses(spark, sf_dir).select("k", F.transform("lines", ad.normalize_text).alias("normalized"))
 
 
-@query(f"SELECT doc_id, {_NORMAL.replace('replace(x,', 'replace(text,')} AS normalized FROM documents")
+@query(f"SELECT doc_id, {_NORMAL.replace('accents(x)', 'accents(text)')} AS normalized FROM documents")
 def text_normalize(spark, sf_dir):
     return dv.table(spark, sf_dir, "documents").select("doc_id", ad.normalize_text(F.col("text")).alias("normalized"))
 
@@ -324,10 +327,12 @@ def other_text_in_window(spark, sf_dir):
     return selection.other_text(parts, selection.select_address(parts, windows), windows).select("doc", "layout", "role", "ord")
 
 
-@query(f"WITH {SCORED}, chosen AS (SELECT DISTINCT doc, ord FROM ({_ADDRESS}) WHERE rn = 1 AND layout = 'c65_two' AND role = 'recipient') SELECT doc, ord FROM parts WHERE (doc, ord) NOT IN (SELECT (doc, ord) FROM chosen)")
+@query(f"WITH {SCORED}, chosen AS (SELECT DISTINCT doc, layout, ord FROM ({_ADDRESS}) WHERE rn = 1) SELECT l.layout, p.doc, p.ord FROM parts p CROSS JOIN (SELECT DISTINCT layout FROM layout_window) l WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.doc = p.doc AND c.layout = l.layout AND c.ord = p.ord)")
 def unclaimed_blocks(spark, sf_dir):
-    parts, window = _parts(spark, sf_dir), layout_windows(spark).where("layout = 'c65_two' AND role = 'recipient'")
-    return selection.unclaimed(parts, selection.select_address(parts, window)).select("doc", "ord")
+    """The blocks that no window of a layout claims, for every layout."""
+    parts, windows = _parts(spark, sf_dir), layout_windows(spark)
+    each = parts.crossJoin(F.broadcast(windows.select("layout").distinct()))  # a dimension of a few rows
+    return each.join(selection.select_address(parts, windows).select("doc", "layout", "ord").distinct(), ["doc", "layout", "ord"], "left_anti").select("layout", "doc", "ord")
 
 
 # ---- whole letters
@@ -477,12 +482,13 @@ def form_letter(spark, sf_dir):
     return dv.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), form.alias("form_id"), requests.form_house_number(form).alias("house"))
 
 
-@query("""WITH r AS (SELECT sha256(url) AS sha, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id END AS name, page_id FROM pages WHERE page_id % 3 <> 0)
+@query("""WITH r AS (SELECT sha256(CASE WHEN page_id % 3 = 0 THEN url || '?' ELSE url END) AS sha, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id END AS name, page_id FROM pages)
 SELECT p.page_id, coalesce(min(h.page_id), min(f.page_id)) AS render FROM pages p LEFT JOIN r h ON h.sha = sha256(p.url) LEFT JOIN r f ON f.name = 'p' || (p.page_id - p.page_id % 6 + 2) GROUP BY p.page_id""")
 def render_lookup(spark, sf_dir):
-    """Pages stand for documents: found by content, else by file name."""
+    """Pages stand for documents: found by content, which has changed in every third render, else by file name."""
     p = dv.table(spark, sf_dir, "pages").select("page_id", F.col("url").cast("binary").alias("content"), F.concat(F.lit("p"), (F.col("page_id") - F.col("page_id") % 6 + 2).cast("string")).alias("file_name"))
-    r = dv.table(spark, sf_dir, "pages").where("page_id % 3 <> 0").select(F.sha2(F.col("url").cast("binary"), 256).alias("sha256"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("file_name"), F.col("page_id").alias("pdf"))
+    changed = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("?"))).otherwise(F.col("url"))
+    r = dv.table(spark, sf_dir, "pages").select(F.sha2(changed.cast("binary"), 256).alias("sha256"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("file_name"), F.col("page_id").alias("pdf"))
     return requests.with_rendered(p, r).groupBy("page_id").agg(F.min("pdf").alias("render"))
 
 

@@ -83,3 +83,34 @@ def glyphs(documents: DataFrame) -> DataFrame:
         F.col("doc_id").alias("doc"), (F.col("line") * 1_000_000 + F.col("pos")).cast("bigint").alias("ord"), "text", F.lit(True).alias("horizontal"), F.lit(3.5).cast("double").alias("size"),
         (F.lit(50) + F.col("line") * F.lit(4.2)).cast("double").alias("cross"), along.cast("double").alias("along"), (along + F.length("text") * F.lit(1.8)).cast("double").alias("along_end"),
     )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page an order, with its layout, what can be read of it, and what was ordered."""
+    k = F.col("doc")
+    layout = F.when(k % 5 == 4, "dl_two_left").when(k % 11 == 0, "c65_single").otherwise("c65_two")
+    return letters(spark, sf_dir).select(
+        "doc", layout.alias("layout"), F.when((k % 5 != 4) & (k % 11 == 0), "Single").otherwise("Double").alias("mode"), (k % 41 != 0).alias("readable"), (k % 37 != 0).alias("has_text"),
+        F.when(k % 43 == 0, 216.0).otherwise(210.0).alias("width_mm"), F.lit(297.0).alias("height_mm"), "expected_lines", "expected_number",
+    )
+
+
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text blocks of the pages: the customer's address, that with an empty line inside, a short or a long note."""
+    parts = page_parts(table(spark, sf_dir, "lineitem"))
+    customers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), "o_custkey")
+    a = addresses(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")).select(F.col("k").alias("o_custkey"), "lines")
+    both = parts.join(customers, "doc").join(a, "o_custkey")
+    note = lambda text: F.transform(F.sequence(F.lit(1), F.col("n_lines").cast("int")), lambda i: F.concat(F.lit(text), F.col("ord").cast("string"), F.lit("/"), i.cast("string")))
+    broken = F.concat(F.slice("lines", 1, 1), F.array(F.lit("")), F.slice("lines", 2, 20))
+    lines = F.when(F.col("matched") == 3, F.col("lines")).when(F.col("matched") == 2, broken).when(F.col("matched") == 1, note("Dotyczy: pismo nr ")).otherwise(note("Szanowni Państwo, w załączeniu przesyłamy dokumenty do podpisu, pozycja "))
+    return both.select("doc", "ord", "bounds", lines.alias("lines"), F.col("font").alias("font_min"), (F.col("font") + F.col("n_lines") % 3).alias("font_max"), "italic", "rotated", (F.col("number") % 19 == 0).alias("non_left"))
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of the pages: the letter's label, in some pages lower or missing, and in some another one beside it."""
+    k, b = F.col("doc"), F.col("label")
+    x = letters(spark, sf_dir)
+    own = x.where(k % 6 != 5).select("doc", F.lit(1).cast("bigint").alias("ord"), rect(b["left"], b["top"] + F.when(k % 9 == 0, 150).otherwise(0), b["width"], b["height"]).alias("bounds"), F.when(F.col("readable"), F.col("raw")).alias("raw"), "gs1", "module_px")
+    other = x.where(k % 4 == 0).select("doc", F.lit(2).cast("bigint"), rect(150, 20, 40, 10), F.when(k % 8 == 0, F.col("raw")), "gs1", "module_px")
+    return own.union(other)

@@ -22,6 +22,6 @@ def documents(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 def intake(files: DataFrame) -> DataFrame:
     """The same for any rows of path, length and content, streamed or not; a bad file is a row, never a failure."""
     pdf = requests.is_pdf(F.col("content"))
-    zipped = F.hex(F.substring("content", 1, 4)) == "504B0304"
-    problem = F.when(F.col("length") == 0, "empty").when(F.col("length") > requests.LARGEST, "too_large").when(~pdf & ~zipped, "unknown_format")
+    word = requests.is_docx(F.col("content"))
+    problem = F.when(F.col("length") == 0, "empty").when(F.col("length") > requests.LARGEST, "too_large").when(~pdf & ~word, "unknown_format")
     return files.select(requests.safe_file_name(F.col("path")).alias("file_name"), "length", pdf.alias("is_pdf"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"))

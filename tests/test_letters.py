@@ -48,7 +48,7 @@ def test_lines(spark):
 
 def test_overflow(spark):
     r = spark.range(1).select(g.overflow(g.rect(10, 10, 20, 10), g.rect(9.96, 7.75, 25, 5)).alias("o")).select("o", g.overflow_text(F.col("o")).alias("t")).first()
-    assert (r.o.left, r.o.top, r.o.right, r.o.bottom) == (0.0, 2.2, 5.0, 0.0) and r.t == "z prawej o 5,0 mm, od góry o 2,2 mm"
+    assert (r.o.left, r.o.top, r.o.right, r.o.bottom) == (0.0, 2.2, 5.0, 0.0) and r.t == "z prawej o 5,0 mm, u góry o 2,2 mm"
 
 
 def test_label_geometry(spark):
