@@ -8,7 +8,7 @@ make the corpus's word counts, and get every word's count and unit back by a joi
 contexts and scoring are array operations on these.
 
 The most frequent words are units of their own, all others belong to units by spelling (length, characters, ending), so the tables of units and
-classes have a fixed size. Word counts, and what they say about each word in its unit, are exact for all words of the corpus.
+classes have a fixed size. Word counts, and what they say about each word in its unit, are exact for all words of the corpus; words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fenestra.llm.common import cut, read
+from fenestra.llm.shingles import WordHashes
 
 #: Units that are words of their own, with the end; units by spelling, for all other words.
 OWN_UNITS, SPELLINGS = 8_192, 1_024
@@ -35,7 +36,7 @@ PARTS = 12
 #: Blocks of units in which the tables of tasks are added up.
 BLOCKS = 16
 #: A chunk is closed after so many tokens.
-CHUNK = 1_000_000
+CHUNK = 3_000_000
 #: Weight of the class unigram in a transition, and of a unit without count in an emission.
 ALPHA, BETA = 20.0, 0.1
 #: The end of a text, as a word; no word is empty. Its unit is 0, and its class, which no other unit has, is 0.
@@ -69,7 +70,9 @@ def trains(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-_CHUNK_SCHEMA = "chunk bigint, doc_ids array<bigint>, learn array<boolean>, sizes array<int>, at binary, words array<binary>, spelled array<int>, counts array<bigint>"
+_CHUNK_SCHEMA = "chunk bigint, doc_ids array<bigint>, learn array<boolean>, sizes array<int>, at binary, words array<bigint>, spelled array<int>, counts array<bigint>"
+#: The place of a unit in a number that also has a word's place in its chunk.
+UNIT_BITS = 14
 
 
 def chunked(docs: DataFrame, learn: Column) -> DataFrame:
@@ -82,8 +85,8 @@ def chunked(docs: DataFrame, learn: Column) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("at", pa.binary()), ("words", pa.list_(pa.binary())), ("spelled", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-        spellings, task, made = _Spellings(), TaskContext.get().partitionId(), 0
+        schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("at", pa.binary()), ("words", pa.list_(pa.int64())), ("spelled", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+        spellings, hashes, task, made = _Spellings(), WordHashes(), TaskContext.get().partitionId(), 0
 
         def fresh():
             local: defaultdict[bytes, int] = defaultdict()
@@ -94,7 +97,7 @@ def chunked(docs: DataFrame, learn: Column) -> DataFrame:
             sizes = [len(a) for a in at]
             n = np.bincount(np.concatenate([a for a, l in zip(at, learned) if l] or [np.zeros(0, np.int32)]), minlength=len(local))
             spelled = np.fromiter(map(spellings.__getitem__, local), np.int32, len(local))
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((task << 32 | made, ids, learned, sizes, np.concatenate(at).tobytes(), list(local), spelled, n), schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((task << 32 | made, ids, learned, sizes, np.concatenate(at).tobytes(), hashes.of(local).view(np.int64), spelled, n), schema)], schema=schema)
 
         local, ids, learned, at = fresh()
         waiting = 0
@@ -116,9 +119,13 @@ def chunked(docs: DataFrame, learn: Column) -> DataFrame:
     return docs.select("doc_id", learn.alias("learn"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _CHUNK_SCHEMA)
 
 
+def _hash(word: bytes) -> int:
+    return int(WordHashes().of([word]).view(np.int64)[0])
+
+
 @dataclass
 class Vocabulary:
-    """Counts of a corpus: `lexicon` (word, n, unit) has all its words; tables by unit have a fixed size."""
+    """Counts of a corpus: `lexicon` (word, a hash; n; unit) has all its words; tables by unit have a fixed size."""
 
     lexicon: DataFrame
     n: int
@@ -134,13 +141,14 @@ class Vocabulary:
 
 
 def vocabulary(chunks: DataFrame) -> Vocabulary:
-    """The words of the texts to learn from. The most frequent ones, by count and then by their bytes, are units of their own."""
+    """The words of the texts to learn from. The most frequent ones, by count and then by hash, are units of their own."""
     each = chunks.select(F.explode(F.arrays_zip("words", "counts", "spelled")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.spelled").alias("spelled"))
     counts = cut(each.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"), F.first("spelled").alias("spelled")))
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(OWN_UNITS - 1)
+    end = F.col("word") == _hash(END)
+    top = counts.where(~end).orderBy(F.desc("n"), "word").limit(OWN_UNITS - 1)
     own = top.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("own"))
     known = counts.join(F.broadcast(cut(own)), "word", "left")  # OWN_UNITS rows at most
-    unit = F.when(F.col("word") == END, 0).otherwise(F.coalesce("own", F.lit(OWN_UNITS) + F.col("spelled")))
+    unit = F.when(end, 0).otherwise(F.coalesce("own", F.lit(OWN_UNITS) + F.col("spelled")))
     lexicon = cut(known.select("word", "n", unit.cast("int").alias("unit")))
     once, twice = (F.sum((F.col("n") == k).cast("bigint")).alias(name) for k, name in ((1, "once"), (2, "twice")))
     n, kinds, once_, twice_ = np.zeros(UNITS), np.zeros(UNITS), 0, 0
@@ -157,11 +165,14 @@ def coded(chunks: DataFrame, known: Vocabulary) -> DataFrame:
     Each chunk's dictionary gets counts and units by a join over words; a word of the corpus comes once a chunk, however often texts have it.
     """
     entry = F.posexplode(F.arrays_zip("words", "spelled")).alias("i", "w")
-    words = chunks.select("chunk", entry).select("chunk", "i", F.col("w.words").alias("word"), F.col("w.spelled").alias("spelled"))
+    here = lambda unit: F.shiftleft(F.col("i").cast("bigint"), UNIT_BITS).bitwiseOR(unit.cast("bigint"))
+    words = chunks.select("chunk", entry).select("chunk", F.col("w.words").alias("word"), here(F.col("w.spelled")).alias("at"))
     met = words.join(known.lexicon.hint("merge"), "word", "left")
-    unit = F.coalesce("unit", F.when(F.col("word") == END, 0).otherwise(F.lit(OWN_UNITS) + F.col("spelled")))
-    lists = met.groupBy("chunk").agg(F.collect_list(F.struct("i", unit.cast("int").alias("unit"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))).alias("of"))  # a chunk's dictionary
-    both = chunks.select("chunk", "doc_ids", "learn", "sizes", "at").join(lists.hint("merge"), "chunk").select("doc_ids", "learn", "sizes", "at", F.col("of.i").alias("i"), F.col("of.unit").alias("unit"), F.col("of.n").alias("n"))
+    low = F.lit((1 << UNIT_BITS) - 1)
+    unit = F.coalesce("unit", F.when(F.col("word") == _hash(END), 0).otherwise(F.lit(OWN_UNITS) + F.col("at").bitwiseAND(low)))
+    packed = (F.col("at") - F.col("at").bitwiseAND(low) + unit).alias("of")
+    lists = met.select("chunk", packed, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).groupBy("chunk").agg(F.collect_list("of").alias("of"), F.collect_list("n").alias("n"))  # a chunk's dictionary
+    both = chunks.select("chunk", "doc_ids", "learn", "sizes", "at").join(lists.hint("merge"), "chunk").select("doc_ids", "learn", "sizes", "at", "of", "n")
     tables = (known.n, known.v, known.tokens, known.unseen, known.discount)
 
     def run(batches):
@@ -171,10 +182,11 @@ def coded(chunks: DataFrame, known: Vocabulary) -> DataFrame:
         names = ["doc_id", "learn", "n_tokens", "n_known", "base_score", "fixed", "units"]
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, learn, sizes, at, i, unit, n = (c[k] for c in batch.columns)
-                order = i.values.to_numpy()
+                ids, learn, sizes, at, of, n = (c[k] for c in batch.columns)
+                of = of.values.to_numpy()
+                order = of >> UNIT_BITS
                 units, counts = np.zeros(len(order), np.int16), np.zeros(len(order), np.int64)
-                units[order], counts[order] = unit.values.to_numpy(), n.values.to_numpy()
+                units[order], counts[order] = of & ((1 << UNIT_BITS) - 1), n.values.to_numpy()
                 # by word of the dictionary, then by token
                 base = np.log10((counts + 1) / (n_all + v + 1))
                 fixed = np.zeros(len(order))

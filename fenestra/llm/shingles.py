@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 CELLS = 1 << 21
 
 #: Word hashes remembered by a worker; the table is emptied when full.
-MEMO, MEMO_BYTES = 400_000, 64
+MEMO, MEMO_BYTES = 200_000, 64
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -26,7 +28,7 @@ class WordHashes(dict):
             self[word] = h
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: Collection[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
