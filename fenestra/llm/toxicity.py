@@ -28,7 +28,7 @@ SAMPLE = {0: 9_000, 1: 5_000}
 #: Buckets kept: those in so many sampled texts, the clearest by label first.
 LEAST_TEXTS, FEATURES = 8, 4_096
 FACTORS, EPOCHS, RATE, SHRINK, SEED = 6, 12, 0.05, 2e-3, 7
-MEMO = 300_000
+MEMO = 100_000
 
 
 def terms(text: bytes | None, memo: dict[bytes, tuple[int, ...]]) -> np.ndarray:
