@@ -113,8 +113,3 @@ def postal_verdict(lines: Column, foreign: bool = True) -> Column:
         )
 
     return bind(F.struct(F.size(lines).alias("n"), F.get(lines, F.size(lines) - 1).alias("last")), verdict)
-
-
-def lines_word(n: Column) -> Column:
-    """The plural of a count of lines in Polish."""
-    return F.when(n == 1, "wiersz").when((n % 10).between(2, 4) & ~(n % 100).between(12, 14), "wiersze").otherwise("wierszy")

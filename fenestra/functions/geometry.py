@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fenestra.functions.numbers import bind
+
 TOLERANCE = 0.05
 
 
@@ -100,10 +102,50 @@ def label_geometry(label: Column, window: Column, clearance: Column) -> Column:
     return F.when(intersection_area(label, window) <= 0, "not_overlapping").when(large, "too_large").otherwise(fits(label, window, clearance))
 
 
-def page_rect(left: Column, bottom_: Column, right_: Column, top: Column, page_height_pt: Column) -> Column:
-    """PDF points (origin bottom left) to millimetres on an unrotated page."""
-    mm = 25.4 / 72
-    return from_edges(left * mm, (page_height_pt - top) * mm, right_ * mm, (page_height_pt - bottom_) * mm)
+MM = 25.4 / 72
+
+
+def to_page(x: Column, y: Column, crop_left: Column, crop_bottom: Column, rotation: Column, height_pt: Column) -> tuple[Column, Column]:
+    """A point of a PDF page (points, origin bottom left) in millimetres from the top left, as it is shown.
+
+    The crop box's corner is the origin on an upright page, its lower edge on one turned by 90 degrees, and nothing on others.
+    """
+    turn = F.pmod(rotation, F.lit(360))
+    dx, dy = F.when(turn == 90, crop_bottom).when(turn.isin(180, 270), 0.0).otherwise(crop_left), F.when(turn.isin(90, 180, 270), 0.0).otherwise(crop_bottom)
+    return (x - dx) * MM, (height_pt - (y - dy)) * MM
+
+
+def page_rect(left: Column, bottom_: Column, right_: Column, top: Column, crop_left: Column, crop_bottom: Column, rotation: Column, height_pt: Column) -> Column:
+    """A rectangle of a PDF page as it is shown: what its corners span."""
+    x1, y1 = to_page(left, bottom_, crop_left, crop_bottom, rotation, height_pt)
+    x2, y2 = to_page(right_, top, crop_left, crop_bottom, rotation, height_pt)
+    return from_edges(F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2))
+
+
+# How far letters reach above and below their baseline, in their size, and the capitals that reach higher.
+ASCENT, ACCENTED_ASCENT, DESCENT = 0.8, 0.92, 0.22
+ACCENTED_CAPITALS = "ĄĆĘŁŃÓŚŹŻ"
+
+
+def glyph_box(text: Column, size: Column, x1: Column, y1: Column, x2: Column, y2: Column, turn: Column) -> Column:
+    """left, bottom, right, top (points) of a letter on the baseline from (x1, y1) to (x2, y2), and its end (x2, y2).
+
+    A letter without an advance lies along its orientation, `turn` degrees to the left, for half its size.
+    """
+    flat = F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) < 1e-6
+    ux, uy = F.when(turn.isin(90, 270), 0.0).when(turn == 180, -1.0).otherwise(1.0), F.when(turn == 90, 1.0).when(turn == 270, -1.0).otherwise(0.0)
+    end_x, end_y = F.when(flat, x1 + ux * size * 0.5).otherwise(x2), F.when(flat, y1 + uy * size * 0.5).otherwise(y2)
+
+    def box(e: Column) -> Column:
+        length = F.sqrt((e["x"] - x1) * (e["x"] - x1) + (e["y"] - y1) * (e["y"] - y1))
+        nx, ny = -(e["y"] - y1) / length, (e["x"] - x1) / length
+        up = size * F.when(F.substring(text, 1, 1).rlike(f"[{ACCENTED_CAPITALS}]"), ACCENTED_ASCENT).otherwise(ASCENT)
+        down = size * DESCENT
+        xs = [x1 - nx * down, x1 + nx * up, e["x"] - nx * down, e["x"] + nx * up]
+        ys = [y1 - ny * down, y1 + ny * up, e["y"] - ny * down, e["y"] + ny * up]
+        return F.struct(F.least(*xs).alias("left"), F.least(*ys).alias("bottom"), F.greatest(*xs).alias("right"), F.greatest(*ys).alias("top"), e["x"].alias("x2"), e["y"].alias("y2"))
+
+    return bind(F.struct(end_x.alias("x"), end_y.alias("y")), box)
 
 
 def is_a4_portrait(width: Column, height: Column) -> Column:

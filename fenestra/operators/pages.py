@@ -95,12 +95,13 @@ def _coded(code: str, level: str, times: Column) -> Column:
 
 
 def inspect(pages: DataFrame, blocks: DataFrame, images: DataFrame, windows: DataFrame, address: rules.AddressRules = rules.RECIPIENT, label: dict | None = None) -> DataFrame:
-    """doc, role, found, ord, outcome, issues (code, severity) and texts (what other text and missing parts say) of the windows of every page that can be inspected.
+    """doc, role, found, ord, outcome, issues (code, severity), texts (what other text and missing parts say), window, bounds and number of what was found, for the windows of every page that can be inspected.
 
     `pages`: doc, layout, mode (Single, Double), readable, has_text, width_mm, height_mm, expected_lines, expected_number. `blocks`: doc, ord, bounds, lines, font_min, font_max,
     italic, rotated, non_left. `images`: doc, ord, bounds, raw (barcode text, null if unread), gs1, module_px. A page without blocks or pictures has windows
-    in which nothing was found. Nulls in lines are no lines.
+    in which nothing was found. Nulls in lines are no lines; pictures without area are none.
     """
+    images = images.where(F.col("bounds.width") > 0).where(F.col("bounds.height") > 0)
     label = label or {}
     clean = blocks.withColumn("lines", F.array_compact(F.coalesce("lines", F.array().cast("array<string>"))))
     chosen = choose_block(pages, clean, windows)
@@ -124,7 +125,7 @@ def inspect(pages: DataFrame, blocks: DataFrame, images: DataFrame, windows: Dat
     near = F.when(F.col("neighbour").isNotNull() & (g.intersection_area(F.col("bounds"), F.col("neighbour")) > 0), NAMES["sender"])
     outside = F.when(away, m.entirely_outside("Adres", near, F.col("bounds"), name, F.col("window")))
     texts = F.when(~F.col("found"), F.array(gone)).otherwise(F.concat(F.array_compact(F.array(outside)), F.transform("others", lambda x: m.other_text(name, x))))
-    recipient = first.select("doc", F.lit("recipient").alias("role"), "found", "ord", F.when(F.col("found"), about).otherwise(lost).alias("issues"), texts.alias("texts"))
+    recipient = first.select("doc", F.lit("recipient").alias("role"), "found", "ord", F.when(F.col("found"), about).otherwise(lost).alias("issues"), texts.alias("texts"), "window", "bounds", F.lit(None).cast("string").alias("number"))
 
     picked = choose_label(pages, images, windows, label.get("read_barcode", True)).join(images, ["doc", "ord"])
     second = _windows_of(pages, windows, "sender").join(picked, "doc", "left").join(_beside(pages, clean, windows, "sender", chosen), "doc", "left")
@@ -138,7 +139,7 @@ def inspect(pages: DataFrame, blocks: DataFrame, images: DataFrame, windows: Dat
     near = F.when(F.col("neighbour").isNotNull() & (g.intersection_area(F.col("bounds"), F.col("neighbour")) > 0), NAMES["recipient"])
     outside = F.when(g.intersection_area(F.col("bounds"), F.col("window")) <= 0, m.entirely_outside("Nalepka R", near, F.col("bounds"), name, F.col("window")))
     texts = F.when(~F.col("found"), F.array(m.label_not_found(name, F.col("window"), F.size("others")))).otherwise(F.concat(F.array_compact(F.array(outside)), F.transform("others", lambda x: m.text_beside_label(name, x))))
-    sender = second.select("doc", F.lit("sender").alias("role"), "found", "ord", F.when(F.col("found"), about).otherwise(_coded("LABEL_NOT_FOUND", "Error", F.lit(1))).alias("issues"), texts.alias("texts"))
+    sender = second.select("doc", F.lit("sender").alias("role"), "found", "ord", F.when(F.col("found"), about).otherwise(_coded("LABEL_NOT_FOUND", "Error", F.lit(1))).alias("issues"), texts.alias("texts"), "window", "bounds", F.when(F.col("raw").isNotNull(), F.col("number.normalized")).alias("number"))
 
     both = recipient.unionByName(sender)
     return both.withColumn("outcome", rules.window_outcome(F.col("found"), F.col("issues")))
@@ -156,3 +157,49 @@ def outcomes(pages: DataFrame, inspected: DataFrame) -> DataFrame:
     sums = each.union(whole).union(every).groupBy("doc").agg(*(F.sum(c).cast("bigint").alias(c) for c in ("w", "bad", "Error", "Warning", "Inconclusive")))
     outcome = F.when((F.col("bad") > 0) | (F.col("Error") > 0), "Invalid").when((F.col("w") == 0) | (F.col("Inconclusive") > 0), "Inconclusive").otherwise("Valid")
     return sums.select("doc", outcome.alias("outcome"), (outcome == "Valid").alias("is_valid"), F.col("w").alias("n_windows"), F.col("Error").alias("n_errors"), F.col("Warning").alias("n_warnings"))
+
+
+def overlays(inspected: DataFrame) -> DataFrame:
+    """What a preview draws, as rows: doc, role, kind (window, content), colour, left, top, right, bottom (mm), sticks_out and caption."""
+    over = g.overflow(F.col("window"), F.col("bounds"))
+    x = inspected.withColumn("over", F.when(F.col("found"), g.overflow_text(over)))
+    label, out = F.col("role") == "sender", F.coalesce(F.col("over"), F.lit("")) != ""
+    name = F.when(label, NAMES["sender"]).otherwise(NAMES["recipient"])
+    state = F.when(F.col("found"), F.when(F.col("outcome") == "Valid", "OK").when(F.col("outcome") == "Inconclusive", "NIEROZSTRZYGNIĘTE").otherwise("BŁĄD")).when(label, "BRAK NALEPKI R").otherwise("BRAK ADRESU")
+    colour = F.when(F.col("outcome") == "Valid", "ok").when(F.col("outcome") == "Inconclusive", "unsure").otherwise("error")
+    what = F.when(label, F.concat(F.lit("nalepka R"), F.coalesce(F.concat(F.lit(" "), F.col("number")), F.lit("")))).otherwise("adres")
+    row = lambda kind, c, r, caption: F.struct(F.lit(kind).alias("kind"), c.alias("colour"), r["left"].alias("left"), r["top"].alias("top"), g.right(r).alias("right"), g.bottom(r).alias("bottom"), (F.lit(kind == "content") & out).alias("sticks_out"), caption.alias("caption"))
+    both = F.array(row("window", colour, F.col("window"), m.said(name, ": ", state)), F.when(F.col("found"), row("content", F.when(out, "error").otherwise("content"), F.col("bounds"), F.when(out, m.said(what, " wystaje: ", F.col("over"))).otherwise(what))))
+    return x.select("doc", "role", F.inline(F.array_compact(both)))
+
+
+def summaries(pages: DataFrame, inspected: DataFrame) -> DataFrame:
+    """doc and summary: each window's verdict in a sentence, the recipient's first; for a document without windows, why."""
+    label = F.col("role") == "sender"
+    name = F.when(label, NAMES["sender"]).otherwise(NAMES["recipient"])
+    verdict = F.when(F.col("outcome") == "Valid", "OK").when(F.col("outcome") == "Inconclusive", "nierozstrzygnięte").otherwise("błąd")
+    over = g.overflow_text(g.overflow(F.col("window"), F.col("bounds")))
+    found = m.said(name, ": ", verdict, F.when(over != "", m.said(" (wystaje ", over, ")")).otherwise(""))
+    each = inspected.select("doc", "role", F.when(F.col("found"), found).otherwise(m.said(name, F.when(label, ": nie znaleziono nalepki R").otherwise(": nie znaleziono adresu"))).alias("said"))
+    one = lambda role: F.max(F.when(F.col("role") == role, F.col("said")))
+    sums = each.groupBy("doc").agg(F.concat_ws("; ", one("recipient"), one("sender")).alias("summary"))
+    none = F.when(~F.col("readable"), "Nie udało się odczytać pliku PDF.").otherwise("Strona nie zawiera warstwy tekstowej (skan albo tekst zamieniony na krzywe). Nie da się sprawdzić położenia adresu.")
+    return pages.join(sums, "doc", "left").select("doc", F.coalesce("summary", none).alias("summary"))
+
+
+def responses(pages: DataFrame, inspected: DataFrame) -> DataFrame:
+    """doc and json: the whole answer on a page, nulls shown; windows by role, issues by code, millimetres to one decimal."""
+    mm = lambda c: F.bround(F.col(c), 1)
+    area = lambda r: F.struct(*(mm(f"{r}.{s}").alias(s) for s in ("left", "top", "width", "height")))
+    window = F.struct("role", "outcome", "found", area("window").alias("area"), F.when(F.col("found"), area("bounds")).alias("content"), "number", F.array_sort("issues").alias("issues"))
+    sums = inspected.groupBy("doc").agg(F.array_sort(F.collect_list(window)).alias("windows"))  # two of a page
+    whole = document_issues(pages).select("doc", F.array(F.struct("code", "severity")).alias("documentIssues"))
+    x = outcomes(pages, inspected).join(sums, "doc", "left").join(whole, "doc", "left")
+    none = F.array()
+    body = F.struct("doc", "outcome", F.col("is_valid").alias("isValid"), F.coalesce("documentIssues", none.cast(_ISSUES)).alias("documentIssues"), F.coalesce("windows", none.cast(sums.schema["windows"].dataType)).alias("windows"))
+    return x.select("doc", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def in_modes(pages: DataFrame) -> DataFrame:
+    """Every page in both modes."""
+    return pages.drop("mode").withColumn("mode", F.explode(F.array(F.lit("Single"), F.lit("Double"))))

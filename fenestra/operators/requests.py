@@ -64,6 +64,16 @@ def safe_file_name(c: Column) -> Column:
     return F.substring(F.substring_index(F.replace(c, F.lit("\\"), F.lit("/")), "/", -1), 1, 255)
 
 
+def letters_and_digits(c: Column) -> Column:
+    """A name of letters and digits only."""
+    return F.regexp_replace(c, r"[^\p{L}\p{Nd}]", "")
+
+
+def mail_kind(number: Column) -> Column:
+    """International if a number has any letter, else Domestic."""
+    return F.when(number.rlike(r"\p{L}"), "International").otherwise("Domestic")
+
+
 def problem_status(problem: Column) -> Column:
     """The HTTP status of a problem; null for none."""
     return F.when(problem.isNull(), F.lit(None).cast("int")).when(problem == "unreadable", 422).when(problem == "conversion_failed", 502).when(problem == "conversion_disabled", 503).when(problem == "internal", 500).otherwise(400)

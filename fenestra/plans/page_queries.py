@@ -132,3 +132,82 @@ def settings_check(spark, sf_dir):
     layout = F.element_at(F.array(*map(F.lit, ("c65_single", "c65_two", "dl_din_b", "dl_din_a", "unknown"))), (k % 5 + 1).cast("int"))
     o = dv.table(spark, sf_dir, "orders").select(k.alias("doc"), layout.alias("layout"), F.when(k % 7 == 6, "Triple").when(k % 2 == 0, "Double").otherwise("Single").alias("mode"))
     return pg.layout_problem(o, layout_windows(spark)).select("doc", "problem", pg.option_problem(F.col("doc") % 4, F.col("doc") % 700).alias("option_problem"))
+
+
+_SIDES = ("z lewej", "l", "wl - l"), ("z prawej", "r", "(l + w) - (wl + ww)"), ("u góry", "t", "wt - t"), ("u dołu", "b", "(t + h) - (wt + wh)")
+_OVER_TEXT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {v} > 0.05 THEN '{word} o ' || replace(printf('%.1f', round_even({v}, 1)), '.', ',') || ' mm' END" for word, _, v in _SIDES) + "], lambda x: x IS NOT NULL), ', ')"
+SHOWN = f"""{PAGES},
+shown AS (SELECT o.doc, o.role, o.found, o.outcome, w.wl, w.wt, w.ww, w.wh, c.l, c.t, c.w, c.h, NULL AS num FROM pout o JOIN rw w ON w.doc = o.doc LEFT JOIN chosen c ON c.doc = o.doc WHERE o.role = 'recipient'
+  UNION ALL SELECT o.doc, o.role, o.found, o.outcome, w.wl, w.wt, w.ww, w.wh, c.l, c.t, c.w, c.h, CASE WHEN c.was_read THEN c.own_number END FROM pout o JOIN sw w ON w.doc = o.doc LEFT JOIN picked c ON c.doc = o.doc WHERE o.role = 'sender'),
+told AS (SELECT *, CASE WHEN found THEN {_OVER_TEXT} ELSE '' END AS over_text, CASE role WHEN 'sender' THEN 'okno nadawcy' ELSE 'okno adresata' END AS name FROM shown)"""
+
+
+@query(f"""WITH {SHOWN}, x AS (SELECT *, CASE WHEN role = 'sender' THEN 'nalepka R' || coalesce(' ' || num, '') ELSE 'adres' END AS what FROM told)
+SELECT doc, role, 'window' AS kind, CASE outcome WHEN 'Valid' THEN 'ok' WHEN 'Inconclusive' THEN 'unsure' ELSE 'error' END AS colour, wl AS "left", wt AS "top", wl + ww AS "right", wt + wh AS "bottom", false AS sticks_out,
+  name || ': ' || CASE WHEN found THEN CASE outcome WHEN 'Valid' THEN 'OK' WHEN 'Inconclusive' THEN 'NIEROZSTRZYGNIĘTE' ELSE 'BŁĄD' END WHEN role = 'sender' THEN 'BRAK NALEPKI R' ELSE 'BRAK ADRESU' END AS caption FROM x
+UNION ALL SELECT doc, role, 'content', CASE WHEN over_text <> '' THEN 'error' ELSE 'content' END, l, t, l + w, t + h, over_text <> '', CASE WHEN over_text <> '' THEN what || ' wystaje: ' || over_text ELSE what END FROM x WHERE found""")
+def overlay_rows(spark, sf_dir):
+    return pg.overlays(_inspected(spark, sf_dir)[1])
+
+
+@query(f"""WITH {SHOWN}, s AS (SELECT doc, string_agg(CASE WHEN found THEN name || ': ' || CASE outcome WHEN 'Valid' THEN 'OK' WHEN 'Inconclusive' THEN 'nierozstrzygnięte' ELSE 'błąd' END || CASE WHEN over_text <> '' THEN ' (wystaje ' || over_text || ')' ELSE '' END
+  WHEN role = 'sender' THEN name || ': nie znaleziono nalepki R' ELSE name || ': nie znaleziono adresu' END, '; ' ORDER BY role) AS summary FROM told GROUP BY doc)
+SELECT p.doc, coalesce(summary, CASE WHEN NOT readable THEN 'Nie udało się odczytać pliku PDF.' ELSE 'Strona nie zawiera warstwy tekstowej (skan albo tekst zamieniony na krzywe). Nie da się sprawdzić położenia adresu.' END) AS summary FROM pages_ p LEFT JOIN s ON s.doc = p.doc""")
+def page_summary(spark, sf_dir):
+    return pg.summaries(*_inspected(spark, sf_dir))
+
+
+_MM1 = lambda *v: "{" + ", ".join(f"'{k}': round_even({x}, 1)" for k, x in zip(("left", "top", "width", "height"), v)) + "}"
+
+
+@query(f"""WITH {SHOWN}, i AS (SELECT doc, role, list({{'code': code, 'severity': severity}} ORDER BY code, severity) AS issues FROM piss GROUP BY ALL),
+w AS (SELECT s.doc, list({{'role': s.role, 'outcome': outcome, 'found': found, 'area': {_MM1("wl", "wt", "ww", "wh")}, 'content': CASE WHEN found THEN {_MM1("l", "t", "w", "h")} END, 'number': num, 'issues': coalesce(i.issues, [])}} ORDER BY s.role) AS windows
+  FROM shown s LEFT JOIN i ON i.doc = s.doc AND i.role = s.role GROUP BY s.doc),
+verdicts AS (SELECT p.doc, CASE WHEN bool_or(o.outcome = 'Invalid') THEN 'Invalid' WHEN count(o.doc) = 0 OR bool_or(o.outcome = 'Inconclusive') THEN 'Inconclusive' ELSE 'Valid' END AS outcome FROM pages_ p LEFT JOIN pout o ON o.doc = p.doc GROUP BY p.doc)
+SELECT o.doc, CAST(to_json({{'doc': o.doc, 'outcome': o.outcome, 'isValid': o.outcome = 'Valid', 'documentIssues': CASE WHEN x.code IS NULL THEN [] ELSE [{{'code': x.code, 'severity': x.severity}}] END, 'windows': coalesce(w.windows, [])}}) AS VARCHAR) AS json
+FROM verdicts o LEFT JOIN w ON w.doc = o.doc LEFT JOIN wholes x ON x.doc = o.doc""")
+def page_json(spark, sf_dir):
+    return pg.responses(*_inspected(spark, sf_dir))
+
+
+@query("""SELECT page_id AS doc, mode, CASE WHEN mode = 'Double' AND page_id % 3 = 0 THEN 'no_sender_window' END AS problem FROM pages CROSS JOIN (VALUES ('Single'), ('Double')) x(mode)""")
+def pages_in_modes(spark, sf_dir):
+    """A folder's documents in both modes."""
+    p = dv.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.when(F.col("page_id") % 3 == 0, "c65_single").otherwise("c65_two").alias("layout"))
+    return pg.layout_problem(pg.in_modes(p), layout_windows(spark)).select("doc", "mode", "problem")
+
+
+_GLYPH = """g AS (SELECT l_orderkey AS doc, l_linenumber AS n, CASE WHEN l_partkey % 9 = 0 THEN 'Ż' ELSE 'x' END AS ch, CAST(6 + l_linenumber AS DOUBLE) AS size, CAST(l_partkey % 500 AS DOUBLE) AS x1, CAST(l_suppkey % 700 AS DOUBLE) AS y1,
+  CASE WHEN l_suppkey % 5 = 0 THEN 0.0 WHEN l_suppkey % 2 = 0 THEN CAST(6 AS DOUBLE) ELSE 0.0 END AS dx, CASE WHEN l_suppkey % 5 = 0 THEN 0.0 WHEN l_suppkey % 2 = 0 THEN 0.0 ELSE CAST(5 AS DOUBLE) END AS dy, (l_partkey % 4) * 90 AS turn, (l_suppkey % 4) * 90 AS rot FROM lineitem),
+e AS (SELECT *, dx = 0 AND dy = 0 AS flat FROM g),
+f AS (SELECT *, CASE WHEN flat THEN CASE turn WHEN 0 THEN 1.0 WHEN 180 THEN -1.0 ELSE 0.0 END * size * 0.5 ELSE dx END AS ex, CASE WHEN flat THEN CASE turn WHEN 90 THEN 1.0 WHEN 270 THEN -1.0 ELSE 0.0 END * size * 0.5 ELSE dy END AS ey FROM e),
+h AS (SELECT *, sqrt(ex * ex + ey * ey) AS len, size * CASE ch WHEN 'Ż' THEN 0.92 ELSE 0.8 END AS up, size * 0.22 AS down FROM f),
+k AS (SELECT *, -ey / len AS nx, ex / len AS ny FROM h),
+m AS (SELECT *, least(x1 - nx * down, x1 + nx * up, x1 + ex - nx * down, x1 + ex + nx * up) AS lo_x, greatest(x1 - nx * down, x1 + nx * up, x1 + ex - nx * down, x1 + ex + nx * up) AS hi_x,
+  least(y1 - ny * down, y1 + ny * up, y1 + ey - ny * down, y1 + ey + ny * up) AS lo_y, greatest(y1 - ny * down, y1 + ny * up, y1 + ey - ny * down, y1 + ey + ny * up) AS hi_y,
+  CASE rot WHEN 0 THEN 7.0 WHEN 90 THEN 11.0 ELSE 0.0 END AS ox, CASE rot WHEN 0 THEN 11.0 ELSE 0.0 END AS oy FROM k)"""
+
+
+@query(f"""WITH {_GLYPH} SELECT doc, n, round((lo_x - ox) * 25.4 / 72, 6) AS "left", round((842 - (hi_y - oy)) * 25.4 / 72, 6) AS "top", round((hi_x - lo_x) * 25.4 / 72, 6) AS width, round((hi_y - lo_y) * 25.4 / 72, 6) AS height, abs(ex) >= abs(ey) AS horizontal FROM m""")
+def glyph_boxes(spark, sf_dir):
+    """Letters on turned pages and baselines, as boxes on the page."""
+    k = lambda c, n: F.col(c) % n
+    d = lambda x: F.lit(x).cast("double")
+    still, flat = k("l_suppkey", 5) == 0, k("l_suppkey", 2) == 0
+    x = dv.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), F.when(k("l_partkey", 9) == 0, "Ż").otherwise("x").alias("ch"), (F.col("l_linenumber") + 6).cast("double").alias("size"),
+        k("l_partkey", 500).cast("double").alias("x1"), k("l_suppkey", 700).cast("double").alias("y1"), F.when(still, 0.0).when(flat, 6.0).otherwise(0.0).alias("dx"), F.when(still | flat, 0.0).otherwise(5.0).alias("dy"),
+        (k("l_partkey", 4) * 90).alias("turn"), (k("l_suppkey", 4) * 90).alias("rot"),
+    )
+    x = x.withColumn("b", g.glyph_box(F.col("ch"), F.col("size"), F.col("x1"), F.col("y1"), F.col("x1") + F.col("dx"), F.col("y1") + F.col("dy"), F.col("turn")))
+    r = x.withColumn("r", g.page_rect(*(F.col(f"b.{s}") for s in ("left", "bottom", "right", "top")), d(7), d(11), F.col("rot"), d(842)))
+    across = F.abs(F.col("b.x2") - F.col("x1")) >= F.abs(F.col("b.y2") - F.col("y1"))
+    return r.select("doc", "n", *(F.round(F.col(f"r.{s}"), 6).alias(s) for s in ("left", "top", "width", "height")), across.alias("horizontal"))
+
+
+@query(f"""WITH {LETTERS} SELECT doc, regexp_replace(array_to_string(lines, ' '), '[^\\p{{L}}\\p{{Nd}}]', '', 'g') AS file_name, CASE WHEN regexp_matches(number, '\\p{{L}}') THEN 'International' ELSE 'Domestic' END AS kind FROM letters""".replace("\\\\", "\\"))
+def letter_names(spark, sf_dir):
+    """File names from addresses, and the kind of mail that a number suggests."""
+    from fenestra.operators import requests
+
+    return dv.letters(spark, sf_dir).select("doc", requests.letters_and_digits(F.array_join("lines", " ")).alias("file_name"), requests.mail_kind(F.col("raw")).alias("kind"))

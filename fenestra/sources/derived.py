@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fenestra.functions.geometry import rect
+from fenestra.functions.geometry import offset, rect
 from fenestra.functions.numbers import gs1_check_digit, s10_check_digit
 
 
@@ -111,6 +111,6 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of the pages: the letter's label, in some pages lower or missing, and in some another one beside it."""
     k, b = F.col("doc"), F.col("label")
     x = letters(spark, sf_dir)
-    own = x.where(k % 6 != 5).select("doc", F.lit(1).cast("bigint").alias("ord"), rect(b["left"], b["top"] + F.when(k % 9 == 0, 150).otherwise(0), b["width"], b["height"]).alias("bounds"), F.when(F.col("readable"), F.col("raw")).alias("raw"), "gs1", "module_px")
+    own = x.where(k % 6 != 5).select("doc", F.lit(1).cast("bigint").alias("ord"), offset(b, F.lit(0), F.when(k % 9 == 0, 150).otherwise(0)).alias("bounds"), F.when(F.col("readable"), F.col("raw")).alias("raw"), "gs1", "module_px")
     other = x.where(k % 4 == 0).select("doc", F.lit(2).cast("bigint"), rect(150, 20, 40, 10), F.when(k % 8 == 0, F.col("raw")), "gs1", "module_px")
     return own.union(other)
