@@ -57,7 +57,7 @@ def is_pdf(content: Column) -> Column:
 
 def is_docx(content: Column) -> Column:
     """Whether the content is a zip with the part that every Word document has; its name stands plainly in the zip's directory."""
-    return (F.hex(F.substring(content, 1, 4)) == "504B0304") & F.contains(F.decode(content, "ISO-8859-1"), F.lit("word/document.xml"))
+    return (F.hex(F.substring(content, 1, 4)) == "504B0304") & F.contains(F.lower(F.decode(content, "ISO-8859-1")), F.lit("word/document.xml"))
 
 
 def safe_file_name(c: Column) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fenestra.functions import geometry as g
 
 
 def _first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The row with the least `order` of each key; adds up before rows are shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    top = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])).alias("_top"))
+    return top.select(*keys, "_top.*")
 
 
 def scored(parts: DataFrame, windows: DataFrame) -> DataFrame:
@@ -30,12 +33,12 @@ def select_address(blocks: DataFrame, windows: DataFrame) -> DataFrame:
     ranked = s.withColumn("tier", tier).where(F.col("tier").isNotNull())
     usual = F.when(F.col("tier") == 2, F.col("n_lines").between(3, 6).cast("int")).otherwise(0)
     near = F.when(F.col("tier") == 2, F.col("distance")).otherwise(-F.col("score"))
-    return _first(ranked, ["doc", "layout", "role"], [F.col("tier"), usual.desc(), near, F.col("ord")])
+    return _first(ranked, ["doc", "layout", "role"], [F.col("tier"), -usual, near, F.col("ord")])
 
 
 def select_expected(blocks: DataFrame, windows: DataFrame) -> DataFrame:
     """One row a document and window: the block with the most expected lines (matched, at least one), then the best score, then the smaller ord."""
-    return _first(scored(blocks.where("matched > 0"), windows), ["doc", "layout", "role"], [F.desc("matched"), F.desc("score"), F.col("ord")])
+    return _first(scored(blocks.where("matched > 0"), windows), ["doc", "layout", "role"], [-F.col("matched"), -F.col("score"), F.col("ord")])
 
 
 def select_label(images: DataFrame, windows: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def select_label(images: DataFrame, windows: DataFrame) -> DataFrame:
     s = scored(images, windows).where((F.col("score") > 0) | g.looks_like_label(F.col("bounds")))
     wanted = F.col("expected").isNull() | (F.col("number") == F.col("expected"))
     tier = F.when(F.col("valid") & wanted, 1).when(F.col("valid"), 2).when(F.col("score") > 0, 3)
-    return _first(s.withColumn("tier", tier).where(F.col("tier").isNotNull()), ["doc", "layout", "role"], [F.col("tier"), F.desc("score"), F.col("ord")])
+    return _first(s.withColumn("tier", tier).where(F.col("tier").isNotNull()), ["doc", "layout", "role"], [F.col("tier"), -F.col("score"), F.col("ord")])
 
 
 def unclaimed(blocks: DataFrame, chosen: DataFrame) -> DataFrame:

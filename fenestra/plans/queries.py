@@ -404,7 +404,9 @@ def issue_report(spark, sf_dir):
     return letter_issues(spark, sf_dir).groupBy("code", "severity", "role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("letters"))
 
 
-@query()
+@query(f"""WITH {LETTERS}, v AS (SELECT doc, CASE WHEN bool_or(outcome = 'Invalid') THEN 'Invalid' WHEN bool_or(outcome = 'Inconclusive') THEN 'Inconclusive' ELSE 'Valid' END AS outcome,
+  CAST(sum(e) AS BIGINT) AS n_errors, CAST(sum(w) AS BIGINT) AS n_warnings, string_agg(role || ': ' || outcome, '; ' ORDER BY role) AS summary FROM outc GROUP BY doc)
+SELECT doc, CAST(to_json({{'doc': doc, 'outcome': outcome, 'n_errors': n_errors, 'n_warnings': n_warnings, 'summary': summary}}) AS VARCHAR) AS json FROM v""")
 def letter_json(spark, sf_dir):
     """Verdicts as JSON, nulls shown."""
     d = rules.document_outcomes(letter_windows(spark, sf_dir))

@@ -1,9 +1,12 @@
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fenestra.functions import addresses as ad
 from fenestra.functions import geometry as g
+from fenestra.functions import messages as m
 from fenestra.operators import glyphs, layouts, requests, rules, selection
 
 
@@ -46,6 +49,65 @@ def test_lines(spark):
     assert lines(spark, ["x" * 70], ad.snippet) == "x" * 59 + "…"
 
 
+def test_unicode_text(spark):
+    normal = lambda x: spark.createDataFrame([(x,)], "v string").select(ad.normalize_text(F.col("v")).alias("r")).first()["r"]
+    assert [normal(x) for x in ("Nguyễn", "ŁÓDŹ  ul. Żółta", "Å B́", "ǖ", "straße")] == ["nguyen", "lodz ul zolta", "a b", "u", "straße"]
+    assert lines(spark, ["Jan", "  ", "\u00a0ul. X\u2003"], ad.snippet) == "Jan / ul. X" and lines(spark, ["\u00a0a\u2003\u2003b "], ad.normalize_lines) == ["a b"]
+    # a merge field that isn't closed on its line hides nothing on the next
+    assert lines(spark, ["«a @", "b» #~"], ad.unusual_characters) == ["@", "~"]
+    assert lines(spark, [], ad.postal_verdict) == "missing" and lines(spark, ["POLSKA"], ad.postal_verdict) == "missing"
+
+
+def test_messages(spark):
+    one = lambda c: spark.range(1).select(c.alias("r")).first()["r"]
+    assert [one(m.pt(F.lit(x))) for x in (8.0, 10.5, 12.0)] == ["8 pt", "10,5 pt", "12 pt"] and one(m.mm(F.lit(3.25))) == "3,3 mm"
+    assert [one(m.lines_word(F.lit(n))) for n in (1, 2, 5, 12, 22, 25)] == ["wiersz", "wiersze", "wierszy", "wierszy", "wiersze", "wierszy"]
+    assert one(m.place(g.rect(1, 2.04, 3, 4.5))) == "[x=1.0, y=2.0, 3.0×4.5 mm]" and one(m.size(g.rect(0, 0, 51, 15))) == "51,0 × 15,0 mm"
+    assert one(m.line_too_long(F.lit(2), F.lit("x" * 41), 40)).startswith("Wiersz 2 ma 41 znaków, dopuszczalne jest 40: „x")
+    assert one(m.unusual(F.array(F.lit("@"), F.lit("~")))) == "Adres zawiera nietypowe znaki: „@” „~”. Mogą utrudnić odczyt maszynowy."
+
+
+@pytest.mark.parametrize("rotation,want", [(0, (65 / 72, 781 / 72, 10 / 72, 20 / 72)), (90, (55 / 72, 772 / 72, 10 / 72, 20 / 72)), (-180, (72 / 72, 772 / 72, 10 / 72, 20 / 72)), (630, (72 / 72, 772 / 72, 10 / 72, 20 / 72))])
+def test_turned_pages(spark, rotation, want):
+    r = spark.range(1).select(g.page_rect(*(F.lit(float(x)) for x in (72, 50, 82, 70)), F.lit(7.0), F.lit(17.0 if rotation == 90 else 9.0), F.lit(rotation), F.lit(842.0)).alias("r")).first()["r"]
+    assert tuple(r) == pytest.approx(tuple(25.4 * x for x in want))
+
+
+def test_glyph_boxes(spark):
+    box = lambda ch, x2, y2, turn: tuple(spark.range(1).select(g.glyph_box(F.lit(ch), F.lit(10.0), F.lit(100.0), F.lit(200.0), F.lit(x2), F.lit(y2), F.lit(turn)).alias("r")).first()["r"])
+    assert box("a", 106.0, 200.0, 0) == pytest.approx((100, 197.8, 106, 208, 106, 200)) and box("Ż", 106.0, 200.0, 0)[3] == pytest.approx(209.2)
+    assert box("a", 100.0, 205.0, 0) == pytest.approx((92, 200, 102.2, 205, 100, 205))
+    assert box("a", 100.0, 200.0, 90)[4:] == (100, 205) and box("a", 100.0, 200.0, 180)[4:] == (95, 200)
+
+
+def plain_blocks(page):
+    """Lines by top, then left, each joined to the first block that fits: another way to the same blocks."""
+    blocks = []
+    for x in sorted(page, key=lambda r: (r[3], r[1], r[0])):
+        for b in blocks:
+            y = b[-1]
+            own = y[4] - y[3]
+            if -0.5 * own < x[3] - y[4] <= 0.6 * max(x[4] - x[3], own) and min(x[2], y[2]) > max(x[1], y[1]):
+                b.append(x)
+                break
+        else:
+            blocks.append([x])
+    return sorted(sorted(x[0] for x in b) for b in blocks)
+
+
+def test_blocks_of_many_pages(spark):
+    r = random.Random(2)
+    pages = {}
+    for doc in range(200):
+        pages[doc] = [(i, left := round(r.uniform(0, 150), 1), left + r.choice([8.0, 30.0, 60.0]), top := r.choice([50 + 4.2 * k for k in range(8)]), top + r.choice([2.5, 3.5, 7.0])) for i in range(r.randint(0, 14))]
+    rows = [(doc, True, i, 0, "t", left, right, top, bottom, 1) for doc, page in pages.items() for i, left, right, top, bottom in page]
+    found = glyphs.blocks(spark.createDataFrame(rows, "doc bigint, horizontal boolean, row bigint, segment bigint, text string, left double, right double, top double, bottom double, n_glyphs bigint")).collect()
+    got = {}
+    for x in found:
+        got.setdefault(x.doc, {}).setdefault(x.block, []).append(x.row)
+    assert {d: sorted(map(sorted, b.values())) for d, b in got.items()} == {d: plain_blocks(p) for d, p in pages.items() if p}
+
+
 def test_overflow(spark):
     r = spark.range(1).select(g.overflow(g.rect(10, 10, 20, 10), g.rect(9.96, 7.75, 25, 5)).alias("o")).select("o", g.overflow_text(F.col("o")).alias("t")).first()
     assert (r.o.left, r.o.top, r.o.right, r.o.bottom) == (0.0, 2.2, 5.0, 0.0) and r.t == "z prawej o 5,0 mm, u góry o 2,2 mm"
