@@ -13,6 +13,28 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 ROWS, BYTES = 2_000, 16_000_000
 
 
+#: Bytes of an Arrow batch that a task is handed, about; Spark's own bound is 10,000 rows of any length.
+BATCH = 4 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), with batches of bounded size; what a task has used goes back to the system when it ends, as workers live on.
+
+    The bound is a setting of the session, which stays unless the user has chosen one.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).rstrip("b") == str(64 << 20):  # Spark's own
+        conf.set(name, str(BATCH))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def map_rows(df: DataFrame, work: Callable[[], Callable[..., Iterator[tuple]]], schema: str) -> DataFrame:
     """Call, for every row of `df`, what `work()` returns with the row's values; it yields rows of `schema`.
 
@@ -34,7 +56,7 @@ def map_rows(df: DataFrame, work: Callable[[], Callable[..., Iterator[tuple]]],
         if out:
             yield _batch(out, arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def _schema(text: str) -> StructType:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -169,12 +168,6 @@ class Codec:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
-def codec(spec: str) -> Codec:
-    """One for each vocabulary and Python worker."""
-    return Codec(spec)
-
-
 def vocabulary(path: str) -> str:
     """The text of a vocabulary file, read on the driver; tasks get it by broadcast, so executors need no copy."""
     with open(path, encoding="utf-8") as f:
@@ -190,7 +183,7 @@ def encode(docs: DataFrame, path: str, digests: bool = False, keep: bool = True)
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # the file's size, whatever the data
 
     def work():
-        c = codec(spec.value)
+        c = Codec(spec.value)  # a task's own: workers live on, and other operators' tasks need their memory
 
         def each(doc_id, text):
             ids = c.encode(text or "")
@@ -211,7 +204,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     spec = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def work():
-        c = codec(spec.value)
+        c = Codec(spec.value)  # a task's own: workers live on, and other operators' tasks need their memory
 
         def each(doc_id, ids):
             yield doc_id, c.decode(np.asarray(ids or [], "<u4").tobytes()).decode("utf-8", "replace")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fenestra.llm.batches import map_batches
 from fenestra.llm.common import cut, read
 from fenestra.llm.shingles import WordHashes
 
@@ -116,7 +117,7 @@ def chunked(docs: DataFrame, learn: Column) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select("doc_id", learn.alias("learn"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _CHUNK_SCHEMA)
+    return map_batches(docs.select("doc_id", learn.alias("learn"), F.col("text").cast("binary").alias("text")), run, _CHUNK_SCHEMA)
 
 
 def _hash(word: bytes) -> int:
@@ -201,7 +202,7 @@ def coded(chunks: DataFrame, known: Vocabulary) -> DataFrame:
                 codes = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(bytes_)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.values, learn.values, pa.array(sizes), pa.array(total((counts > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(fixed)), codes], names)
 
-    return both.mapInArrow(run, "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, base_score double, fixed double, units binary")
+    return map_batches(both, run, "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, base_score double, fixed double, units binary")
 
 
 def _units_of(batch) -> np.ndarray:
@@ -242,7 +243,7 @@ def _added(texts: DataFrame, count, rows: int, width: int) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "cells": [pack(sum(map(unpack, pdf["cells"])))]})
 
-    parts = texts.select("units").mapInArrow(run, "block int, cells binary").withColumn("some", F.floor(F.spark_partition_id() / 256))
+    parts = map_batches(texts.select("units"), run, "block int, cells binary").withColumn("some", F.floor(F.spark_partition_id() / 256))
     once = parts.groupBy("block", "some").applyInPandas(lambda pdf: add(pdf), "block int, cells binary")
     out = np.zeros((BLOCKS, rows * width // BLOCKS), np.int64)
     for r in once.groupBy("block").applyInPandas(lambda pdf: add(pdf), "block int, cells binary").collect():  # BLOCKS rows of a fixed size
@@ -381,7 +382,7 @@ def score(texts: DataFrame, model: Model, known: Vocabulary) -> DataFrame:
             total = np.add.reduceat(each, np.cumsum(sizes) - sizes) + batch.column(5).to_numpy()
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(total)], ["doc_id", "learn", "n_tokens", "n_known", "base_score", "score"])
 
-    made = texts.select("doc_id", "learn", "n_tokens", "n_known", "base_score", "fixed", "units").mapInArrow(run, "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    made = map_batches(texts.select("doc_id", "learn", "n_tokens", "n_known", "base_score", "fixed", "units"), run, "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return made.select("doc_id", "learn", "n_tokens", "n_known", F.lit(known.n).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fenestra.llm.batches import map_batches
 from fenestra.llm.common import cut, read, sized
 from fenestra.llm.components import merge
 from fenestra.llm.shingles import WordHashes, meets, repeated, shingle_sets
@@ -54,7 +55,7 @@ def _sets_and_sketch(docs: DataFrame) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 held.append((s % np.uint64(CELLS)).astype(np.int64))
                 waiting += len(s)
-                if waiting > 2_000_000:
+                if waiting > 500_000:
                     cells += np.bincount(np.concatenate(held), minlength=CELLS)
                     held, waiting = [], 0
             empty = pa.nulls(len(n))
@@ -65,7 +66,7 @@ def _sets_and_sketch(docs: DataFrame) -> DataFrame:
         empty = pa.nulls(BLOCKS)
         yield pa.RecordBatch.from_arrays([empty.cast(pa.int64()), empty.cast(pa.int64()), empty.cast(pa.binary()), pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n", "key", "block", "cells"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key binary, block int, cells binary")
+    return map_batches(docs, run, "doc_id bigint, n bigint, key binary, block int, cells binary")
 
 
 def _sum_sketch(parts: DataFrame) -> np.ndarray:
@@ -126,7 +127,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    return docs.mapInArrow(run, "shingle bigint, doc_id bigint, n int, m int, least int, typical int")
+    return map_batches(docs, run, "shingle bigint, doc_id bigint, n int, m int, least int, typical int")
 
 
 def _in_buckets(prefixes: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def _in_buckets(prefixes: DataFrame) -> DataFrame:
             h = batch.column(0).to_numpy().view(np.uint64)
             yield batch.filter(meets(h, shared.value))
 
-    return prefixes.mapInArrow(run, prefixes.schema)
+    return map_batches(prefixes, run, prefixes.schema)
 
 
 def _linkable(prefixes: DataFrame, rounds: int = 2) -> DataFrame:
@@ -184,7 +185,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.slice(first, i + 1 - first), pa.array(held, pa.binary())], ["doc_id", "s"])
                     held, waiting, first = [], 0, i + 1
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s binary")
+    return map_batches(texts.select("doc_id", "text"), run, "doc_id bigint, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return cut(ordered.select("a", "b", "s").mapInArrow(run, "a bigint, b bigint"))
+    return cut(map_batches(ordered.select("a", "b", "s"), run, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

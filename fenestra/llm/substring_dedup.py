@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fenestra.llm.batches import map_rows
+from fenestra.llm.batches import map_batches, map_rows
 from fenestra.llm.common import cut, read, sized
 from fenestra.llm.shingles import WordHashes, inside, meets, repeated, runs, texts_hashed
 
@@ -69,7 +69,7 @@ def _sampled(docs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(new & inside(sizes, K, n))
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(a[at])), pa.array(ids[start + row[at]])], ["hash", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "hash bigint, doc_id bigint")
+    return map_batches(docs.select("doc_id", "text"), run, "hash bigint, doc_id bigint")
 
 
 def _edges(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -93,7 +93,7 @@ def _edges(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 place = parts[start + row] << PART | (at - first[row])
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(nodes[at])), pa.array(_signed(nodes[at + 1])), pa.array(ids[start + row]), pa.array(place)], ["u", "v", "doc_id", "place"])
 
-    return docs.select("doc_id", "part", "text").mapInArrow(run, "u bigint, v bigint, doc_id bigint, place bigint")
+    return map_batches(docs.select("doc_id", "part", "text"), run, "u bigint, v bigint, doc_id bigint, place bigint")
 
 
 def repeated_edges(edges: DataFrame) -> DataFrame:

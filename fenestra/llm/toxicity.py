@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenestra.llm.batches import map_rows
+from fenestra.llm.batches import map_batches, map_rows
 from fenestra.llm.common import cut, read
 
 BUCKETS = 1 << 18
@@ -175,7 +175,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", least: flo
         for batch in batches:
             yield batch.filter(pa.array([m.score(terms((t.as_py() or "").encode(), memo)) < least for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
