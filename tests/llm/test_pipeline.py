@@ -69,3 +69,12 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     t = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     plain = Counter((x[0], hashlib.sha256(np.array(t.encode(x[1], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for x in got["mixing"])
     assert Counter((x.doc_id, x.ids_sha256) for x in out["bpe"].collect()) == plain
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "a b c", "en", "s", 5), (3, "a b c " * 400, None, "s", 2400), (4, "a b c " * 400, "en", None, 2400)]])
+def test_pipeline_of_odd_rows(spark, tmp_path, rows):
+    """An empty table gives no rows; nulls, empty and repeated rows don't stop a stage, and of equal texts one document is left."""
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got if x.n_tokens} <= {None, 3} and (bool(got) or not rows)

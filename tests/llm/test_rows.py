@@ -78,6 +78,34 @@ def test_peaks_find_a_tone():
     assert (media.spectral_peaks(tone)[:, 2] == 50).all()
 
 
+def test_peak_pairs_are_all_pairs():
+    r = np.random.default_rng(4)
+    peaks = r.integers(0, 3, (40, len(media.BANDS))) * r.integers(1, 280, (40, len(media.BANDS)))
+    want = sorted((t, int(peaks[t, a]) << 12 | int(peaks[t + gap, b]) << 2 | gap) for t in range(40) for gap in range(1, media.REACH + 1) if t + gap < 40 for a in range(peaks.shape[1]) for b in range(peaks.shape[1]) if peaks[t, a] and peaks[t + gap, b])
+    times, codes = media.peak_pairs(peaks)
+    assert list(zip(times.tolist(), codes.tolist())) == want
+
+
+def test_factorization_machine_is_the_double_sum():
+    r = np.random.default_rng(5)
+    m = toxicity.Machine(np.array([3, 8, 20, 21, 90]), r.normal(size=5), r.normal(size=(5, toxicity.FACTORS)), 0.3)
+    found = np.array([1, 3, 20, 21, 95])
+    at = [0, 2, 3]
+    z = 0.3 + sum(m.weights[i] for i in at) + sum(m.vectors[i] @ m.vectors[j] for k, i in enumerate(at) for j in at[k + 1 :])
+    assert m.score(found) == pytest.approx(1 / (1 + np.exp(-z))) and m.score(found[:0]) == pytest.approx(1 / (1 + np.exp(-0.3)))
+
+
+def test_odd_rows_in_every_row_operator(spark):
+    """Nulls, empty and very long texts, repeats and clashing columns give one row for each row."""
+    rows = ODD + [(12, "word " * 50_000), (12, "word " * 50_000)]
+    docs = frame(spark, rows)
+    machine = toxicity.fit(np.zeros(0), [], 0.2)
+    for made in (toxicity.score(docs, machine), word_pieces.token_counts(docs, PATH), media.fingerprint(docs, media=False), quality_rules.ledger(docs).select("doc_id", "n_words", "failed_bits")):
+        got = [tuple(map(str, x)) for x in made.collect()]
+        assert len(got) == len(rows) and all(len({x for x in got if x[0] == i}) == 1 for i in ("4", "12"))
+    assert all(f(frame(spark, [])).count() == 0 for f in (lambda d: word_pieces.token_counts(d, PATH), media.fingerprint, lambda d: toxicity.score(d, machine)))
+
+
 def test_quality_ledger(spark):
     rows = ODD + [(20, "w " * 40), (21, " ".join(f"w{i}" for i in range(30)) + "\nsame line\nother\nsame line\n\n"), (22, "# $ % & " * 20), (23, "a b c d e f a b c d e g " + " ".join(f"u{i}" for i in range(60)))]
     got = quality_rules.apply_policy(quality_rules.ledger(frame(spark, rows)), quality_rules.STANDARD).collect()
