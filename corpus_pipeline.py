@@ -52,6 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Every stage but the last is written to the shared folder and read again.
+
+    Null and empty texts, null ids and repeated rows pass every stage: they are not toxic without a toxic term, have no near duplicates unless their ids are equal, and a text without words adds none to the
+    mix. An empty table gives no rows. Columns other than doc_id, text, source and n_chars are carried along.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
