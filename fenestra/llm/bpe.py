@@ -215,6 +215,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, n_tokens and digests of the ids and of the text decoded from them, by encode(); a null text has no tokens."""
     import public_tokenizers
 
     return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True, keep=False)

@@ -88,6 +88,7 @@ def materialize(docs: DataFrame, mixed: DataFrame, seed: int = SEED) -> DataFram
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, size, source_size, target and taken, by mix(); nulls and repeats as there."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
     return mix(cut(docs), F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 

@@ -188,5 +188,6 @@ def train_on_tables(spark: SparkSession, sf_dir: str) -> Machine:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, held_out, score and predicted; a null or empty text is scored as one without terms, a null doc_id counts as empty text when folds are dealt."""
     scored = score(read(spark, sf_dir, "documents"), train_on_tables(spark, sf_dir))
     return scored.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

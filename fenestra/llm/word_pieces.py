@@ -128,6 +128,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents, by token_counts(); a null text has no words."""
     import public_tokenizers
 
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
