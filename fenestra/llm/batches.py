@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Results are handed to Spark after so many rows, or so many bytes of texts read.
-ROWS, BYTES = 2_000, 16_000_000
+ROWS, BYTES = 1_000, 2_000_000
 
 
 #: Bytes of an Arrow batch that a task is handed, about; Spark's own bound is 10,000 rows of any length.

@@ -26,7 +26,7 @@ from fenestra.llm.common import read
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
 #: Pre-tokens remembered by a worker, of so many bytes at most; the table is emptied when full.
-MEMO, MEMO_BYTES = 200_000, 64
+MEMO, MEMO_BYTES = 100_000, 64
 
 
 def byte_symbols() -> dict[str, int]:
