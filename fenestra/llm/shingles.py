@@ -102,16 +102,20 @@ def shingle_sets(column, hashes: WordHashes, width: int):
             at += n
 
 
-def repeated(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes that several documents have, from rows of hash and doc_id. The driver gets CELLS numbers at most."""
-    several = hashes.groupBy("hash").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y")
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of rows of `hash`. The driver gets CELLS numbers at most."""
     cell, bit = F.pmod("hash", F.lit(CELLS)).cast("int"), F.expr("shiftleft(1L, int(shiftrightunsigned(hash, 58)))")
-    cells = several.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    cells = hashes.select(cell.alias("cell"), bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(CELLS, np.uint64)
     out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
+def repeated(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes that several documents have, from rows of hash and doc_id."""
+    return bitmap(hashes.groupBy("hash").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y"))
+
+
 def meets(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     """Whether each hash may be in the bitmap; false hits occur, misses don't."""
     cell = np.mod(h.view(np.int64), CELLS)  # as pmod of the signed number
