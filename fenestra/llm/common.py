@@ -54,3 +54,17 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast if the table of fixed-width columns, counted here unless `rows` is given, is within BROADCAST_BYTES; else a shuffle join."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n * (32 + 8 * len(df.columns)) <= BROADCAST_BYTES else df.hint("merge")
+
+
+def look_up(df: DataFrame, table: DataFrame, on: list[str], by: str, hot: int = 50_000) -> DataFrame:
+    """df.join(table, on, "left") where `table` has one row a key and some keys are those of very many rows of `df`.
+
+    The `hot` rows of `table` with the largest `by` are broadcast, if `table` has more at all; only rows that these don't match are shuffled.
+    Both sides are read several times, so they should be tables that are written.
+    """
+    known = [c for c in table.columns if c not in on]
+    top = cut(table.orderBy(F.col(by).desc(), *on).limit(hot))
+    first = df.join(F.broadcast(top.select(*on, F.struct(*known).alias("known"))), on, "left")
+    met = first.where(F.col("known").isNotNull()).select(*df.columns, *[F.col("known")[c].alias(c) for c in known])
+    rest = first.where(F.col("known").isNull()).select(*df.columns).join(table.join(F.broadcast(top.select(*on)), on, "left_anti"), on, "left")
+    return met.unionByName(rest.select(*df.columns, *known))
