@@ -16,20 +16,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import sentencepiece
+import tiktoken
+import tokenizers
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from fenestra.llm.batches import map_batches, map_rows
-from fenestra.llm.bpe import byte_symbols, vocabulary
+from fenestra.llm.bpe import PATTERN, byte_symbols, vocabulary
 from fenestra.llm.common import cut, look_up, read, sized
 
 #: Bytes of text that make a chunk; bytes above which a text is encoded in parts of about that size; bytes of a fragment's range; fragments joined at a time.
@@ -45,26 +48,40 @@ class Pair:
     """Both tokenizers, made from the text of a byte-level BPE file and the bytes of a sentencepiece BPE model."""
 
     def __init__(self, spec: str, model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        from tokenizers import Tokenizer
-
         d = json.loads(spec)
         kind = d.get("pre_tokenizer") or {}
         if d["model"]["type"] != "BPE" or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True) or d.get("normalizer"):
             raise ValueError("the first vocabulary must be a byte-level BPE that splits words and neither normalizes nor adds a space")
-        self.a, self.b = Tokenizer.from_str(spec), sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.a.encode_special_tokens = True  # their strings are ordinary text
-        self.a.no_truncation()
-        self.a.no_padding()
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second vocabulary joins words")
         symbols = byte_symbols()
         raw = {i: bytes(symbols[c] for c in token) for token, i in d["model"]["vocab"].items()}
+        self.encode_a = self._in_order_of_merges(d, raw) or self._by_file(spec)
         self.blob_a = _Table([raw.get(i, b"") for i in range(max(raw) + 1)])
         self.blob_b = _Table([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
 
+    @staticmethod
+    def _in_order_of_merges(d: dict, raw: dict[int, bytes]) -> Callable[[str], list[int]] | None:
+        """An encoder for a vocabulary whose ids are the ranks of its merges, which is much quicker for short texts; else None."""
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in d["model"]["merges"]]
+        vocab = d["model"]["vocab"]
+        first = min((vocab[a + b] for a, b in merges), default=0)
+        special = {t["id"] for t in d["added_tokens"]}
+        plain = {x: i for i, x in raw.items() if i not in special}
+        if [vocab[a + b] for a, b in merges] != list(range(first, first + len(merges))) or len(plain) != len(merges) + 256 or any(len(x) > 1 for x, i in plain.items() if i < first):
+            return None
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={}).encode_ordinary
+
+    @staticmethod
+    def _by_file(spec: str) -> Callable[[str], list[int]]:
+        t = tokenizers.Tokenizer.from_str(spec)
+        t.encode_special_tokens = True  # their strings are ordinary text
+        t.no_truncation()
+        t.no_padding()
+        return lambda text: t.encode(text, add_special_tokens=False).ids
+
     def encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For both sides: ids of all tokens of all units in order, their ends in the units' bytes laid end to end, and how many each unit has.
 
@@ -75,9 +92,9 @@ class Pair:
         sizes = np.array([len(x) for x in bodies], np.int64)
         flat, ends = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes)
         sides, good = [], np.ones(len(units), bool)
-        for table, ids in ((self.blob_a, [e.ids for e in self.a.encode_batch(whole, add_special_tokens=False)]), (self.blob_b, self.b.encode(units, num_threads=1) if units else [])):
+        for table, ids in ((self.blob_a, list(map(self.encode_a, whole))), (self.blob_b, self.b.encode(units, num_threads=1) if units else [])):
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            tokens = np.fromiter((t for x in ids for t in x), np.int64, int(n.sum()))
+            tokens = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
             own = np.repeat(np.arange(len(units)), n)
             spelled = np.bincount(own, table.lengths[tokens], len(units)).astype(np.int64)
             same = spelled == sizes
@@ -215,8 +232,8 @@ def _chunk_row(pair: Pair, docs: list[tuple], key: int | None, at: int) -> dict:
     out = {"key": key, "bad": not ok.all(), "a": (pairs >> 32).astype(np.int32), "b": (pairs & 0xFFFFFFFF).astype(np.int32), "n": n, "units": _pack(np.concatenate([sizes, codes])), "links": _pack(np.concatenate([n_links, link])), "parts": None}
     sums = list(zip(*[np.where(ok, total(x), 0).tolist() for x in (n_a, n_b, n_groups, n_links)]))
     if key is None:
-        spelled = _listed_units(a, a_ends, b, b_ends, unit_ends, good)
-        digests = [_digest(";".join([spelled[c] for c in codes[s : s + m].tolist()])) if fine else "" for s, m, fine in zip(starts.tolist(), sizes.tolist(), ok.tolist())]
+        spelled = _listed_units(a, a_ends, b, b_ends, n_a, n_b, good)
+        digests = [hashlib.sha256(b"".join([spelled[c] for c in codes[s : s + m].tolist()])[:-1]).hexdigest() if fine else "" for s, m, fine in zip(starts.tolist(), sizes.tolist(), ok.tolist())]
     else:
         digests = [None]
         out["parts"] = list(_fragments(codes, (a, a_ends, n_a), (b, b_ends, n_b), bytes_of, unit_ends, at)) if ok.all() else []
@@ -224,19 +241,18 @@ def _chunk_row(pair: Pair, docs: list[tuple], key: int | None, at: int) -> dict:
     return out
 
 
-def _listed_units(a, a_ends, b, b_ends, unit_ends, good) -> list[str]:
-    """The groups of each unit."""
+def _listed_units(a, a_ends, b, b_ends, n_a, n_b, good) -> list[bytes]:
+    """The groups of each unit, a `;` after each; nothing for one without tokens."""
     common = np.intersect1d(a_ends, b_ends, assume_unique=True)
     group = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
     order = np.argsort(group, kind="stable")
     group = group[order]
     last = np.append(group[1:] != group[:-1], True) if len(group) else np.zeros(0, bool)
-    mark = np.where(last, np.where(group & 1, 1, 2), 0)
-    mark[last & (group & 1 == 1) & np.isin(common[group >> 1], unit_ends)] = 3
-    marks = (",", ";", "|", "\n")
-    text = "".join([x for i, m in zip(np.concatenate([a, b])[order].tolist(), mark.tolist()) for x in (str(i), marks[m])]).split("\n")
-    found = iter(text)
-    return [next(found) if g else "" for g in good.tolist()]
+    mark = pa.array([",", "|", ";"]).take(pa.array(np.where(last, 1 + (group & 1), 0)))
+    text = pc.binary_join_element_wise(pa.array(np.concatenate([a, b])[order]).cast(pa.string()), mark, "")
+    body = b"".join(text.cast(pa.binary()).to_pylist()) if text.offset or len(text) == 0 else text.buffers()[2].to_pybytes()
+    ends = np.frombuffer(text.buffers()[1], np.int32)[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist() if len(text) else [0] * (len(good) + 1)
+    return [body[i:j] for i, j in zip(ends, ends[1:])]
 
 
 def _fragments(codes, side_a, side_b, bytes_of, unit_ends, at: int) -> Iterator[dict]:
@@ -287,9 +303,11 @@ def chunks(docs: DataFrame, byte_level: str, pieces: bytes) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        pair, number, held, size = Pair(*files.value), TaskContext.get().partitionId() << 32, [], 0
+        pair, number, held, size = None, TaskContext.get().partitionId() << 32, [], 0
 
         def row(docs, key=None, at=0):
+            nonlocal pair
+            pair = pair or Pair(*files.value)
             return pa.RecordBatch.from_pylist([_chunk_row(pair, docs, key, at) | {"chunk": number}], schema)
 
         for batch in batches:
