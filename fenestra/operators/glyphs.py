@@ -1,65 +1,109 @@
-"""From positioned glyphs to rows, segments, lines and blocks."""
+"""From positioned glyphs to rows, segments, lines and blocks.
+
+A glyph has doc, ord, text, horizontal, size, cross (where its baseline lies), along and along_end; lines() also takes left, top, right, bottom of its box, font (points) and italic where they are given.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fenestra.functions import geometry as g
+from fenestra.functions.numbers import bind
+from fenestra.operators.scans import carried, counted
+
 ROW_STEP, COLUMN_GAP, WORD_GAP = 0.35, 3.0, 0.25
+#: How near a line must be to the block's last one, in the taller one's height, and how far it may reach into it.
+BLOCK_GAP, BLOCK_OVERLAP = 0.6, 0.5
+#: Lengths of the ranges that rows and segments are scanned by, in the unit of cross and along.
+ROW_RANGE, SEGMENT_RANGE = 200.0, 500.0
+
+
+def _range(c: Column, width: float) -> Column:
+    return F.floor(c / width)
 
 
 def rows(glyphs: DataFrame) -> DataFrame:
-    """Adds row: glyphs of a page and direction, by cross then ord, start a new row where cross moves by more than 0.35 of the larger size."""
-    w = Window.partitionBy("doc", "horizontal").orderBy("cross", "ord")
-    before, size = F.lag("cross").over(w), F.greatest(F.col("size"), F.lag("size").over(w))
-    new = F.when(F.abs(F.col("cross") - before) > ROW_STEP * size, 1).otherwise(0)
-    return glyphs.withColumn("_new", new).withColumn("row", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Adds row: glyphs of a page and direction, by cross then ord, start a new row where cross moves by more than 0.35 of the larger size.
+
+    Glyphs of one cross never start a new row after one another, so only the first and last size of each cross are scanned, by ranges of cross.
+    """
+    keys, order = ["doc", "horizontal"], [F.col("cross")]
+    levels = glyphs.groupBy(*keys, "cross").agg(F.min_by("size", "ord").alias("_first"), F.max_by("size", "ord").alias("_last"))
+    part = _range(F.col("cross"), ROW_RANGE)
+    known = carried(levels, keys, part, order, {"_cross": F.col("cross"), "_size": F.col("_last")})
+    new = F.coalesce((F.col("cross") - F.col("_cross") > ROW_STEP * F.greatest("_first", "_size")).cast("int"), F.lit(0))
+    numbered = counted(known, keys, part, order, new, "row")
+    return glyphs.join(numbered.select(*keys, "cross", "row"), [*keys, "cross"])
+
+
+def _begin() -> Column:
+    return F.least("along", "along_end")
+
+
+def _end() -> Column:
+    return F.greatest("along", "along_end")
 
 
 def segments(glyphs: DataFrame) -> DataFrame:
     """Adds segment: within a row, a gap to the glyph before of more than three sizes starts a new one."""
-    w = Window.partitionBy("doc", "horizontal", "row").orderBy(F.least("along", "along_end"), "ord")
-    gap = F.least("along", "along_end") - F.lag(F.greatest("along", "along_end")).over(w)
-    new = F.when(gap > COLUMN_GAP * F.greatest(F.col("size"), F.lag("size").over(w)), 1).otherwise(0)
-    return glyphs.withColumn("_new", new).withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    keys, order, part = ["doc", "horizontal", "row"], [_begin(), F.col("ord")], _range(_begin(), SEGMENT_RANGE)
+    known = carried(glyphs, keys, part, order, {"_to": _end(), "_size": F.col("size")})
+    new = F.coalesce((_begin() - F.col("_to") > COLUMN_GAP * F.greatest("size", "_size")).cast("int"), F.lit(0))
+    return counted(known, keys, part, order, new, "segment").drop("_to", "_size")
 
 
 def lines(glyphs: DataFrame) -> DataFrame:
-    """One row a segment: its text, with a space where a gap exceeds a quarter of the size, its edges and its glyph count."""
-    w = Window.partitionBy("doc", "horizontal", "row", "segment").orderBy(F.least("along", "along_end"), "ord")
-    gap = F.least("along", "along_end") - F.lag(F.greatest("along", "along_end")).over(w)
+    """One row a segment: its text, with a space where a gap exceeds a quarter of the size, its edges and its glyph count.
+
+    Glyphs with boxes also give bounds (what visible glyphs' boxes span), font_min and font_max (points, to one decimal), italic, and whether the line is rotated.
+    """
+    keys, order, part = ["doc", "horizontal", "row"], [_begin(), F.col("ord")], _range(_begin(), SEGMENT_RANGE)
     blank = F.trim("text") == ""
-    spaced = (gap > WORD_GAP * F.col("size")) & ~blank & ~F.lag(blank).over(w)
+    known = carried(glyphs, keys, part, order, {"_to": _end(), "_blank": blank, "_segment": F.col("segment")})
+    spaced = (F.col("_segment") == F.col("segment")) & (_begin() - F.col("_to") > WORD_GAP * F.col("size")) & ~blank & ~F.col("_blank")
     piece = F.when(spaced, F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
-    placed = glyphs.withColumn("_piece", piece).withColumn("_n", F.row_number().over(w))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_piece"))), lambda x: x["_piece"]), "")
-    return placed.groupBy("doc", "horizontal", "row", "segment").agg(
-        text.alias("text"), F.min(F.least("along", "along_end")).alias("left"), F.max(F.greatest("along", "along_end")).alias("right"),
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_begin().alias("a"), "ord", piece.alias("p")))), lambda x: x["p"]), "")
+    found = [
+        text.alias("text"), F.min(_begin()).alias("left"), F.max(_end()).alias("right"),
         F.min("cross").alias("top"), F.max(F.col("cross") + F.col("size")).alias("bottom"), F.count(F.lit(1)).alias("n_glyphs"),
-    )
-
-
-def _join_lines(page: pd.DataFrame) -> pd.DataFrame:
-    """Lines by top, then left; each joins the first block whose last line has its direction, is near above and overlaps it in x."""
-    page = page.sort_values(["top", "left", "row", "segment"], kind="stable")
-    last: list = []
-    block = []
-    for x in page.itertuples():
-        for k, y in enumerate(last):
-            gap = x.top - y.bottom
-            tall, own = max(x.bottom - x.top, y.bottom - y.top), y.bottom - y.top
-            if x.horizontal == y.horizontal and -0.5 * own < gap <= 0.6 * tall and min(x.right, y.right) > max(x.left, y.left):
-                last[k] = x
-                block.append(k)
-                break
-        else:
-            last.append(x)
-            block.append(len(last) - 1)
-    return page.assign(block=block)
+    ]
+    if "box" in glyphs.columns:
+        seen = lambda c: F.when(~blank, c)
+        box = F.col("box")
+        found += [
+            g.from_edges(F.min(seen(box["left"])), F.min(seen(box["top"])), F.max(seen(g.right(box))), F.max(seen(g.bottom(box)))).alias("bounds"),
+            F.min(seen(F.bround("font", 1))).alias("font_min"), F.max(seen(F.bround("font", 1))).alias("font_max"), F.coalesce(F.bool_or(seen(F.col("italic"))), F.lit(False)).alias("italic"),
+        ]
+    return known.groupBy(*keys, "segment").agg(*found)
 
 
 def blocks(found: DataFrame) -> DataFrame:
-    """Adds block to lines(); the greedy join depends on order, so each page is one group."""
-    schema = "doc bigint, horizontal boolean, row bigint, segment bigint, text string, left double, right double, top double, bottom double, n_glyphs bigint, block int"
-    return found.groupBy("doc").applyInPandas(lambda page: _join_lines(page), schema)
+    """Adds block to lines(): by top, then left, each line joins the first block whose last line has its direction, is near above and overlaps it in x.
+
+    Which block that is depends on all lines before, so a page's lines are folded in order; the state holds each block's last line as long as a later line may still join it.
+    """
+    order = ["top", "left", "row", "segment"]
+    line = F.struct(*order, *[c for c in found.columns if c not in order and c != "doc"])
+    pages = found.groupBy("doc").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max(F.col("bottom") - F.col("top")).alias("tall"))
+    kept = lambda x, k: F.struct(x["top"].alias("top"), x["bottom"].alias("bottom"), x["left"].alias("left"), x["right"].alias("right"), x["horizontal"].alias("horizontal"), k.cast("int").alias("block"))
+    none = "array<struct<top:double,bottom:double,left:double,right:double,horizontal:boolean,block:int>>"
+    start = F.struct(F.array().cast(none).alias("open"), F.array().cast("array<int>").alias("of"), F.lit(0).alias("n"))
+    tall = F.col("tall")
+
+    def joins(x: Column, y: Column) -> Column:
+        own, gap = y["bottom"] - y["top"], x["top"] - y["bottom"]
+        over = F.least(x["right"], y["right"]) > F.greatest(x["left"], y["left"])
+        return (x["horizontal"] == y["horizontal"]) & (gap > -BLOCK_OVERLAP * own) & (gap <= BLOCK_GAP * F.greatest(x["bottom"] - x["top"], own)) & over
+
+    def step(s: Column, x: Column) -> Column:
+        near = F.filter(s["open"], lambda y: x["top"] - y["bottom"] <= BLOCK_GAP * F.greatest(tall, y["bottom"] - y["top"]))
+
+        def joined(o: Column, k: Column) -> Column:
+            return F.struct(F.array_append(F.filter(o, lambda y: y["block"] != k), kept(x, k)).alias("open"), F.array_append(s["of"], k).alias("of"), F.greatest(s["n"], k + 1).alias("n"))
+
+        return bind(near, lambda o: bind(F.coalesce(F.array_min(F.transform(F.filter(o, lambda y: joins(x, y)), lambda y: y["block"])), s["n"]), lambda k: joined(o, k)))
+
+    of = F.aggregate("lines", start, step, lambda s: s["of"])
+    each = pages.select("doc", F.inline(F.transform(F.arrays_zip(F.col("lines").alias("l"), of.alias("b")), lambda z: F.struct(z["l"].alias("l"), z["b"].alias("block")))))
+    return each.select(*(F.col("doc") if c == "doc" else F.col(f"l.{c}").alias(c) for c in found.columns), "block")

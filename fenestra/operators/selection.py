@@ -1,4 +1,8 @@
-"""Choice of the block and the label that belong to a window: ranked joins of a page's parts with its windows."""
+"""Choice of the block and the label that belong to a window: ranked joins of a page's parts with its windows.
+
+What overlaps is found over a grid: parts and windows are cut into cells and joined on them, so a part meets the windows near it only, however many there are.
+What may lie elsewhere on the page is joined on the layout.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,9 @@ from pyspark.sql import functions as F
 
 from fenestra.functions import geometry as g
 
+#: Side of a grid's cell, in millimetres.
+CELL = 70.0
+
 
 def _first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row with the least `order` of each key; adds up before rows are shuffled."""
@@ -15,50 +22,73 @@ def _first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top.select(*keys, "_top.*")
 
 
+def _cells(rows: DataFrame, rect: str, cell: float) -> DataFrame:
+    """A row for each cell that a rectangle of some area touches: _x and _y, and _x0 and _y0 of its first cell."""
+    at = lambda c: F.floor(c / cell)
+    r = F.col(rect)
+    across = F.sequence(at(r["left"]), at(g.right(r)))
+    some = rows.where((r["width"] > 0) & (r["height"] > 0)).withColumns({"_x0": at(r["left"]), "_y0": at(r["top"])})
+    return some.withColumn("_x", F.explode(across)).withColumn("_y", F.explode(F.sequence(F.col("_y0"), at(g.bottom(r)))))
+
+
+def overlapping(parts: DataFrame, windows: DataFrame, on: list[str] | None = None, cell: float = CELL) -> DataFrame:
+    """Every part (bounds) with every window that it overlaps, once: where the two rectangles' first common cell is. `on` names what else must be equal, such as the page's layout."""
+    left, right = _cells(parts, "bounds", cell), _cells(windows, "window", cell).withColumnsRenamed({"_x0": "_wx0", "_y0": "_wy0"})
+    met = left.join(right, [*(on or []), "_x", "_y"])
+    first = (F.col("_x") == F.greatest("_x0", "_wx0")) & (F.col("_y") == F.greatest("_y0", "_wy0"))
+    return met.where(first & (g.intersection_area(F.col("bounds"), F.col("window")) > 0)).drop("_x", "_y", "_x0", "_y0", "_wx0", "_wy0")
+
+
+def in_layouts(parts: DataFrame, names: list[str]) -> DataFrame:
+    """Every part in each of the layouts named, as pages do that name theirs."""
+    return parts.withColumn("layout", F.explode(F.array(*map(F.lit, names))))
+
+
 def scored(parts: DataFrame, windows: DataFrame) -> DataFrame:
-    """Every part (doc, ord, bounds) with every window, its score and distance. `windows` is a dimension of a few rows."""
-    both = parts.crossJoin(F.broadcast(windows))
+    """Every part (doc, ord, layout, bounds) with each window of its layout, its score and distance."""
+    both = parts.join(windows, "layout")
     return both.withColumns({"score": g.overlap_score(F.col("bounds"), F.col("window")), "distance": g.distance(F.col("bounds"), F.col("window"))})
 
 
+def _inside(parts: DataFrame, windows: DataFrame) -> DataFrame:
+    return overlapping(parts, windows, ["layout"]).withColumn("score", g.overlap_score(F.col("bounds"), F.col("window")))
+
+
 def select_address(blocks: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row a document and window: the block to check, by tier.
+    """One row a document, layout and window: the block to check, by tier.
 
     1: address-like and in the window, best score first. 2: address-like elsewhere, those of 3 to 6 lines, then the nearest, first. 3: any block in the
-    window, best score first. Ties go to the smaller ord. Needs address_like and n_lines; documents without a candidate have no row.
+    window, best score first. Ties go to the smaller ord. Needs layout, address_like and n_lines; documents without a candidate have no row.
     """
-    s = scored(blocks, windows)
-    inside = F.col("score") > 0
-    tier = F.when(inside & F.col("address_like"), 1).when(~inside & F.col("address_like"), 2).when(inside, 3)
-    ranked = s.withColumn("tier", tier).where(F.col("tier").isNotNull())
-    usual = F.when(F.col("tier") == 2, F.col("n_lines").between(3, 6).cast("int")).otherwise(0)
-    near = F.when(F.col("tier") == 2, F.col("distance")).otherwise(-F.col("score"))
-    return _first(ranked, ["doc", "layout", "role"], [F.col("tier"), -usual, near, F.col("ord")])
+    tier = F.when(F.col("address_like"), 1).otherwise(3)
+    inside = _inside(blocks, windows).withColumns({"tier": tier, "_usual": F.lit(0), "_near": -F.col("score")})
+    far = scored(blocks.where("address_like"), windows).where("score <= 0").withColumns({"tier": F.lit(2), "_usual": -F.col("n_lines").between(3, 6).cast("int"), "_near": F.col("distance")}).drop("distance")
+    return _first(inside.unionByName(far), ["doc", "layout", "role"], [F.col("tier"), F.col("_usual"), F.col("_near"), F.col("ord")])
 
 
 def select_expected(blocks: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row a document and window: the block with the most expected lines (matched, at least one), then the best score, then the smaller ord."""
+    """One row a document, layout and window: the block with the most expected lines (matched, at least one), then the best score, then the smaller ord."""
     return _first(scored(blocks.where("matched > 0"), windows), ["doc", "layout", "role"], [-F.col("matched"), -F.col("score"), F.col("ord")])
 
 
 def select_label(images: DataFrame, windows: DataFrame) -> DataFrame:
-    """One row a document and window: the label image, by tier.
+    """One row a document, layout and window: the label image, by tier.
 
     Candidates overlap the window or look like a label. 1: a valid number that is expected (or any, if none is). 2: another valid number. 3: the best
-    that overlaps the window. Within a tier by score, then ord. Needs number, valid and expected.
+    that overlaps the window. Within a tier by score, then ord. Needs layout, number, valid and expected.
     """
-    s = scored(images, windows).where((F.col("score") > 0) | g.looks_like_label(F.col("bounds")))
     wanted = F.col("expected").isNull() | (F.col("number") == F.col("expected"))
-    tier = F.when(F.col("valid") & wanted, 1).when(F.col("valid"), 2).when(F.col("score") > 0, 3)
-    return _first(s.withColumn("tier", tier).where(F.col("tier").isNotNull()), ["doc", "layout", "role"], [F.col("tier"), -F.col("score"), F.col("ord")])
+    inside = _inside(images, windows).withColumn("tier", F.when(F.col("valid") & wanted, 1).when(F.col("valid"), 2).otherwise(3))
+    like = images.where(F.col("valid") & g.looks_like_label(F.col("bounds")))
+    far = scored(like, windows).where("score <= 0").withColumn("tier", F.when(wanted, 1).otherwise(2)).drop("distance")
+    return _first(inside.unionByName(far), ["doc", "layout", "role"], [F.col("tier"), -F.col("score"), F.col("ord")])
 
 
 def unclaimed(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The blocks that no window has claimed."""
-    return blocks.join(chosen.select("doc", "ord").distinct(), ["doc", "ord"], "left_anti")
+    """The blocks that no window of their layout has claimed."""
+    return blocks.join(chosen.select("doc", "layout", "ord").distinct(), ["doc", "layout", "ord"], "left_anti")
 
 
 def other_text(blocks: DataFrame, chosen: DataFrame, windows: DataFrame) -> DataFrame:
     """Blocks that show in a window beside the chosen one."""
-    inside = scored(blocks, windows).where("score > 0")
-    return inside.join(chosen.select("doc", "layout", "role", "ord"), ["doc", "layout", "role", "ord"], "left_anti")
+    return _inside(blocks, windows).join(chosen.select("doc", "layout", "role", "ord"), ["doc", "layout", "role", "ord"], "left_anti")

@@ -107,6 +107,11 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dv.page_parts(dv.table(spark, sf_dir, "lineitem"))
 
 
+def _everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every page, tried in every layout."""
+    return selection.in_layouts(_parts(spark, sf_dir), sorted({name for name, *_ in layouts()}))
+
+
 # ---- numbers
 
 
@@ -201,7 +206,7 @@ def label_png(spark, sf_dir):
 @query(f"""WITH {PARTS}, {LAYOUTS} SELECT doc, ord, layout, role, {_area()} AS area, {_fits()} AS fits, sqrt({_DX} * {_DX} + {_DY} * {_DY}) AS distance,
   greatest(0.0, w - 2 * clearance) AS deflated_width, greatest(l + w, wl + ww) - least(l, wl) AS union_width FROM parts CROSS JOIN layout_window""")
 def rect_measures(spark, sf_dir):
-    s = selection.scored(_parts(spark, sf_dir), layout_windows(spark))
+    s = selection.scored(_everywhere(spark, sf_dir), layout_windows(spark))
     b, w = F.col("bounds"), F.col("window")
     return s.select(
         "doc", "ord", "layout", "role", g.intersection_area(b, w).alias("area"), g.fits(b, w, F.col("clearance")).alias("fits"), "distance",
@@ -217,13 +222,13 @@ def rect_union_agg(spark, sf_dir):
 
 @query(f"WITH {PARTS}, {LAYOUTS} SELECT doc, ord, layout, role, {', '.join(f'{v} AS over_{k}' for k, v in _over().items())} FROM parts CROSS JOIN layout_window")
 def window_overflow(spark, sf_dir):
-    o = selection.scored(_parts(spark, sf_dir), layout_windows(spark)).withColumn("o", g.overflow(F.col("window"), F.col("bounds")))
+    o = selection.scored(_everywhere(spark, sf_dir), layout_windows(spark)).withColumn("o", g.overflow(F.col("window"), F.col("bounds")))
     return o.select("doc", "ord", "layout", "role", *(F.col(f"o.{s}").alias(f"over_{s}") for s in ("left", "top", "right", "bottom")))
 
 
 @query(f"WITH {PARTS}, {LAYOUTS} SELECT layout, role, {_label()} AS place, count(*) AS n FROM parts CROSS JOIN layout_window GROUP BY ALL")
 def label_geometry(spark, sf_dir):
-    s = selection.scored(_parts(spark, sf_dir), layout_windows(spark)).withColumn("place", g.label_geometry(F.col("bounds"), F.col("window"), F.col("clearance")))
+    s = selection.scored(_everywhere(spark, sf_dir), layout_windows(spark)).withColumn("place", g.label_geometry(F.col("bounds"), F.col("window"), F.col("clearance")))
     return s.groupBy("layout", "role", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -306,33 +311,32 @@ _ADDRESS = f"SELECT *, row_number() OVER (PARTITION BY doc, layout, role ORDER B
 
 @query(f"WITH {SCORED} SELECT doc, layout, role, ord, tier, score FROM ({_ADDRESS}) WHERE rn = 1")
 def block_select_address(spark, sf_dir):
-    return selection.select_address(_parts(spark, sf_dir), layout_windows(spark)).select("doc", "layout", "role", "ord", "tier", "score")
+    return selection.select_address(_everywhere(spark, sf_dir), layout_windows(spark)).select("doc", "layout", "role", "ord", "tier", "score")
 
 
 @query(f"WITH {SCORED} SELECT doc, layout, role, ord, matched FROM (SELECT *, row_number() OVER (PARTITION BY doc, layout, role ORDER BY matched DESC, score DESC, ord) AS rn FROM scored WHERE matched > 0) WHERE rn = 1")
 def block_select_expected(spark, sf_dir):
-    return selection.select_expected(_parts(spark, sf_dir), layout_windows(spark)).select("doc", "layout", "role", "ord", "matched")
+    return selection.select_expected(_everywhere(spark, sf_dir), layout_windows(spark)).select("doc", "layout", "role", "ord", "matched")
 
 
 @query(f"""WITH {SCORED}, cand AS (SELECT *, CASE WHEN valid AND (expected IS NULL OR number = expected) THEN 1 WHEN valid THEN 2 WHEN score > 0 THEN 3 END AS tier FROM scored
   WHERE role = 'sender' AND (score > 0 OR (w >= 20 AND h >= 4 AND w / h BETWEEN 1.5 AND 10)))
 SELECT doc, layout, role, ord, tier FROM (SELECT *, row_number() OVER (PARTITION BY doc, layout, role ORDER BY tier, score DESC, ord) AS rn FROM cand WHERE tier IS NOT NULL) WHERE rn = 1""")
 def label_select(spark, sf_dir):
-    return selection.select_label(_parts(spark, sf_dir), layout_windows(spark).where("role = 'sender'")).select("doc", "layout", "role", "ord", "tier")
+    return selection.select_label(_everywhere(spark, sf_dir), layout_windows(spark).where("role = 'sender'")).select("doc", "layout", "role", "ord", "tier")
 
 
 @query(f"WITH {SCORED} SELECT doc, layout, role, ord FROM ({_ADDRESS}) WHERE score > 0 AND rn > 1")
 def other_text_in_window(spark, sf_dir):
-    parts, windows = _parts(spark, sf_dir), layout_windows(spark)
+    parts, windows = _everywhere(spark, sf_dir), layout_windows(spark)
     return selection.other_text(parts, selection.select_address(parts, windows), windows).select("doc", "layout", "role", "ord")
 
 
 @query(f"WITH {SCORED}, chosen AS (SELECT DISTINCT doc, layout, ord FROM ({_ADDRESS}) WHERE rn = 1) SELECT l.layout, p.doc, p.ord FROM parts p CROSS JOIN (SELECT DISTINCT layout FROM layout_window) l WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.doc = p.doc AND c.layout = l.layout AND c.ord = p.ord)")
 def unclaimed_blocks(spark, sf_dir):
     """The blocks that no window of a layout claims, for every layout."""
-    parts, windows = _parts(spark, sf_dir), layout_windows(spark)
-    each = parts.crossJoin(F.broadcast(windows.select("layout").distinct()))  # a dimension of a few rows
-    return each.join(selection.select_address(parts, windows).select("doc", "layout", "ord").distinct(), ["doc", "layout", "ord"], "left_anti").select("layout", "doc", "ord")
+    parts = _everywhere(spark, sf_dir)
+    return selection.unclaimed(parts, selection.select_address(parts, layout_windows(spark))).select("layout", "doc", "ord")
 
 
 # ---- whole letters
@@ -452,9 +456,24 @@ def line_text(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc", "row", "segment", "text", "n_glyphs")
 
 
-@query()
+LINE_BLOCKS = f"""WITH RECURSIVE {GLYPHS},
+lines_ AS (SELECT doc, row_no, seg, min(along) AS l, max(along_end) AS r, min(crs) AS top, max(crs + size) AS bottom FROM s1 GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY top, l, row_no, seg) AS n FROM lines_),
+-- one line of every page at a time; a block is known by the line that begins it, and the page's open blocks by their last lines
+fold AS (
+  SELECT doc, n, CAST(1 AS BIGINT) AS block, top, bottom, [{{'k': CAST(1 AS BIGINT), 't': top, 'b': bottom, 'l': l, 'r': r}}] AS lasts FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT doc, n, block, top, bottom, list_append(list_filter(lasts, lambda y: y.k <> block AND top - y.b <= 100), {{'k': block, 't': top, 'b': bottom, 'l': l, 'r': r}})
+  FROM (SELECT x.doc, x.n, x.top, x.bottom, x.l, x.r, f.lasts,
+    coalesce(list_min(list_transform(list_filter(f.lasts, lambda y: x.top - y.b > -0.5 * (y.b - y.t) AND x.top - y.b <= 0.6 * greatest(x.bottom - x.top, y.b - y.t) AND least(x.r, y.r) > greatest(x.l, y.l)), lambda y: y.k)), x.n) AS block
+    FROM fold f JOIN numbered x ON x.doc = f.doc AND x.n = f.n + 1)),
+renamed AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc ORDER BY block) - 1 AS INTEGER) AS place FROM fold)
+SELECT doc, place AS block, count(*) AS n_lines, min(top) AS "top", max(bottom) AS "bottom" FROM renamed GROUP BY doc, place"""
+
+
+@query(LINE_BLOCKS)
 def line_blocks(spark, sf_dir):
-    """Blocks of lines; greedy, so tested against a plain version instead of SQL."""
+    """Blocks of lines."""
     return glyphs.blocks(_lines(spark, sf_dir)).groupBy("doc", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
 
 

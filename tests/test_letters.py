@@ -1,13 +1,12 @@
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fenestra.functions import addresses as ad
 from fenestra.functions import geometry as g
 from fenestra.functions import messages as m
-from fenestra.operators import glyphs, layouts, requests, rules, selection
+from fenestra.operators import glyphs, layouts, requests, rules, scans, selection
 
 
 def lines(spark, value, f):
@@ -128,7 +127,7 @@ def test_outcomes(spark):
 def test_selection_prefers_address_in_window(spark):
     windows = spark.createDataFrame([("l", "r", (119.0, 54.0, 71.0, 30.0))], "layout string, role string, window struct<left:double,top:double,width:double,height:double>")
     parts = [(1, 1, (100.0, 60.0, 80.0, 5.0), 1, False), (1, 2, (121.0, 56.0, 40.0, 15.0), 3, True), (2, 1, (20.0, 20.0, 40.0, 15.0), 3, True), (3, 1, (121.0, 56.0, 40.0, 5.0), 1, False)]
-    b = spark.createDataFrame(parts, "doc int, ord int, bounds struct<left:double,top:double,width:double,height:double>, n_lines int, address_like boolean")
+    b = spark.createDataFrame(parts, "doc int, ord int, bounds struct<left:double,top:double,width:double,height:double>, n_lines int, address_like boolean").withColumn("layout", F.lit("l"))
     assert sorted((r.doc, r.ord, r.tier) for r in selection.select_address(b, windows).collect()) == [(1, 2, 1), (2, 1, 2), (3, 1, 3)]
 
 
@@ -138,7 +137,7 @@ def test_glyphs(spark):
     found = glyphs.lines(glyphs.segments(glyphs.rows(d)))
     assert sorted(r.text for r in found.collect()) == ["Jan K", "far", "next"]
     assert {r.text: r.block for r in glyphs.blocks(found).collect()} == {"Jan K": 0, "far": 1, "next": 0}
-    assert glyphs._join_lines(pd.DataFrame(columns=found.columns)).empty
+    assert glyphs.blocks(found.where("false")).count() == 0
 
 
 def test_requests(spark):
@@ -149,3 +148,59 @@ def test_requests(spark):
     assert [(x.number, x.problem) for x in d.collect()] == [(None, None), (None, "number_missing"), ("x", "recipient_lines"), (None, "unknown_envelope")]
     ids = ["000000c8-4f89-11d3-9a0c-0305e82c3301", "00000000-0000-0000-0000-000000000000", "x"]
     assert [x[0] for x in spark.createDataFrame([(i,) for i in ids], "i string").select(requests.form_house_number(F.col("i"))).collect()] == [1, None, None]
+
+
+def test_tiles_find_every_overlap_once(spark):
+    """Thousands of windows: pairs from the grid are those of all comparisons."""
+    r = random.Random(4)
+    box = lambda: (round(r.uniform(-50, 300), 1), round(r.uniform(-50, 300), 1), r.choice([0.0, 1.0, 12.5, 140.0]), r.choice([0.0, 3.0, 70.0]))
+    parts, windows = [(i, i % 3, box()) for i in range(150)], [(i, i % 3, box()) for i in range(2000)]
+    kind = "struct<left:double,top:double,width:double,height:double>"
+    found = selection.overlapping(spark.createDataFrame(parts, f"p int, k int, bounds {kind}"), spark.createDataFrame(windows, f"w int, k int, window {kind}"), ["k"], 20.0)
+    got = [(x.p, x.w) for x in found.select("p", "w").collect()]
+    over = lambda a, b: min(a[0] + a[2], b[0] + b[2]) > max(a[0], b[0]) and min(a[1] + a[3], b[1] + b[3]) > max(a[1], b[1])
+    want = {(p, w) for p, k, a in parts for w, j, b in windows if k == j and a[2] * a[3] * b[2] * b[3] > 0 and over(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scans_cross_ranges(spark):
+    """Ranges without rows between, ties and single rows: the same as over the whole sequence."""
+    r = random.Random(5)
+    rows = [(k, float(r.choice([0, 1, 2, 250, 251, 900, 5000])) + r.randrange(3), i, r.randrange(9)) for k in range(4) for i in range(r.choice([1, 30]))]
+    d = spark.createDataFrame(rows, "k int, x double, i int, v int")
+    got = scans.carried(d, ["k"], F.floor(F.col("x") / 100), [F.col("x"), F.col("i")], {"pv": F.col("v")})
+    got = scans.counted(got, ["k"], F.floor(F.col("x") / 100), [F.col("x"), F.col("i")], F.coalesce((F.col("v") > F.col("pv")).cast("int"), F.lit(0)), "n").collect()
+    assert len(got) == len(rows)
+    by = {(x.k, x.i): x for x in got}
+    for k in range(4):
+        before, n = None, 0
+        for _, x, i, v in sorted((y for y in rows if y[0] == k), key=lambda y: (y[1], y[2])):
+            n += before is not None and v > before
+            assert (by[k, i].pv, by[k, i].n) == (before, n)
+            before = v
+
+
+def test_one_long_row_of_glyphs(spark, monkeypatch):
+    """A document of one line is scanned by ranges; many directions and crosses stay apart."""
+    monkeypatch.setattr(glyphs, "SEGMENT_RANGE", 30.0)
+    monkeypatch.setattr(glyphs, "ROW_RANGE", 5.0)
+    r = random.Random(6)
+    rows, x = [], 0.0
+    for i in range(400):
+        x += r.choice([2.0, 2.0, 3.5, 20.0])
+        rows.append((1, i, r.choice(["a", "b", " "]), x, x + 2.0, 50.0 + r.choice([0, 0, 0.4]), True))
+        rows.append((1, 1000 + i, "c", 10.0, 12.0, 7.0 * i, False))
+    d = spark.createDataFrame(rows, "doc bigint, ord bigint, text string, along double, along_end double, cross double, horizontal boolean").withColumn("size", F.lit(3.5))
+    found = glyphs.lines(glyphs.segments(glyphs.rows(d))).collect()
+    assert sum(not y.horizontal for y in found) == 400 == len({y.row for y in found if not y.horizontal})
+    want, before = [[]], None
+    for y in sorted((y for y in rows if y[6]), key=lambda y: (y[3], y[1])):
+        if before and y[3] - before[4] > 3 * 3.5:
+            want.append([])
+        elif before and y[3] - before[4] > 0.25 * 3.5 and y[2].strip() and before[2].strip():
+            want[-1].append(" ")
+        want[-1].append(y[2])
+        before = y
+    assert ["".join(w) for w in want] == [y.text for y in sorted((y for y in found if y.horizontal), key=lambda y: y.segment)]
