@@ -326,3 +326,48 @@ def test_many_words_need_no_packing():
             end = row.index(0) if 0 in row else 4
             want[tuple(row[:end] + [0] * (4 - end))] += 1
     assert got == want
+
+
+# ---- toxicity
+
+
+def test_terms_that_tell_only_together(spark):
+    """Either both terms or none make a text toxic: each is as frequent in both classes, so only their product tells."""
+    from fenestra.llm import toxicity
+
+    r = random.Random(11)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+
+    def row(i):
+        w, both, first = [r.choice(plain) for _ in range(60)], i % 2 == 1, i % 4 > 1
+        at = r.sample(range(60), 2)
+        for x, k in zip((["clown", "folk"] if first else []) if both else [["clown"], ["folk"]][first], at):
+            w[k] = x
+        return i, " ".join(w), int(both)
+
+    rows = [row(i) for i in range(2600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    m = toxicity.train(d, d.where("doc_id < 2000").select("doc_id", "label"))
+    got = {x.doc_id: x.score for x in toxicity.score(d, m).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows[2000:]]) > 0.95
+    memo = {}
+    labels, found = np.array([y for *_, y in rows], float), [toxicity.terms(t.encode(), memo) for _, t, _ in rows]
+    pair = {int(toxicity.terms(w, memo)[k]) for w in (b"clown", b"folk") for k in range(len(toxicity.terms(w, memo)))}
+    assert pair <= set(toxicity.together(labels, found).tolist()) and not pair & set(toxicity.alone(labels, found).tolist())
+
+
+def test_an_id_with_two_texts_teaches_once(spark):
+    from fenestra.llm import toxicity
+
+    seen = []
+    rows = [(i, f"word{chr(97 + i % 5)} awful thing" if i % 2 else f"word{chr(97 + i % 5)} good thing", i % 2) for i in range(100)]
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(i, "another text of this id " + "abcdefgh"[i % 8]) for i in range(0, 100, 3)] + [rows[1][:2]] * 5, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, label int")
+    hashed = toxicity.hashed_terms
+    try:
+        toxicity.hashed_terms = lambda s: seen.append(s.dropDuplicates(["doc_id", "key", "label"]).count()) or hashed(s)
+        toxicity.train(docs, labels)
+    finally:
+        toxicity.hashed_terms = hashed
+    of = dict((i, y) for i, _, y in rows)
+    assert seen == [len({(x.text, of[x.doc_id]) for x in docs.collect()})]
