@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,16 @@ def look_up(df: DataFrame, table: DataFrame, on: list[str], by: str, hot: int =
     met = first.where(F.col("known").isNotNull()).select(*df.columns, *[F.col("known")[c].alias(c) for c in known])
     rest = first.where(F.col("known").isNull()).select(*df.columns).join(table.join(F.broadcast(top.select(*on)), on, "left_anti"), on, "left")
     return met.unionByName(rest.select(*df.columns, *known))
+
+
+def apart(docs: DataFrame, own: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work() on the columns `own` of `docs`, with all others put aside in one, so that their names can't meet those that work() makes up for itself.
+
+    The result has the columns of `docs` in their order, then those that work() adds; of equal names, work()'s stays.
+    """
+    kept = f"rest_{uuid.uuid4().hex}"
+    rest = [c for c in docs.columns if c not in own]
+    done = work(docs.select(*own, F.struct(*([F.col(f"`{c}`") for c in rest] or [F.lit(0)])).alias(kept)))
+    new = [c for c in done.columns if c != kept and c not in own]
+    old = [F.col(f"`{c}`") if c in own else F.col(kept)[c].alias(c) for c in docs.columns if (c in own and c in done.columns) or (c in rest and c not in new)]
+    return done.select(*old, *new)

@@ -5,8 +5,9 @@ such as a card number that a neighbouring phone number hides from the base; only
 personal data or a look-alike (part of an id, a version, a price) is for boosted trees, by features of its format and context; the check's result is none of them. A
 threshold for each kind, calibrated on candidates that the trees didn't see, selects what is added.
 
-There are no hand-made labels. Candidates that equal a base span teach as positive. Negative are candidates that fail their check, with the contexts that such
-runs of digits stand in, and look-alikes: a copy of each positive that passes the check but is glued to what ids, versions and prices are glued to.
+There are no hand-made labels. Candidates that equal a base span teach as positive, as they stand and once more as they would stand in a sentence: in brackets, before a comma or
+full stop. Negative are candidates that fail their check, others behind a word or sign that announces an id, a version or a price, and look-alikes: a copy of each positive
+that passes the check but stands in such a place.
 
 Everything is DataFrame functions. Spans are found and scored inside the row, so a corpus is read twice (to fit, to apply) and no text is
 shuffled; fitted trees become nested conditions. Within a row, n matches cost n * log(n): running sums and sorted sweeps, no array grown value by value.
@@ -22,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import cut, read
+from fenestra.llm.common import apart, cut, read
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labelled candidates that the trees learn from, about, at most half of each kind; all others calibrate thresholds.
@@ -58,10 +59,13 @@ GUARD: dict[str, Callable[[Column], Column]] = {
     "card": lambda t: t.rlike(r"[0-9](?:[ .-]?[0-9]){12}"),
     "phone": lambda t: F.contains(t, F.lit("+")) | t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),
 }
+#: Words that announce personal data, and words and signs that announce other numbers.
 CUES = r"(?i)(?:mail|phone|tel|call|fax|card|visa|ip|host|addr|contact)[a-z]*\W*$"
+LEAD = r"(?i)(?:\b(?:id|no|nr|ver|version|v|part|ref|price|sum|order)\W{0,2}|[=#$/])$"
 FEATURES = ("kind", "length", "digits", "separators", "kinds_of_digits", "left", "right", "cue", "plus", "groups")
-#: What look-alikes are glued to, before and after.
-LEADS, TAILS = ("id=", "v", "#", "$", "no.", "/"), ("-", "%", "/", "7", "x", "_")
+#: What stands before and after look-alikes, and after positives in a sentence.
+LEADS, TAILS = (" id=", " id ", " v", " ver ", " #", " $", " no.", " ref: ", "/"), ("-7", "%", "/x", "7", "x", "_a")
+STOPS = (". ", ", ", "; ", ") ", ".", ": ", "? ", '" ')
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once for a row and hand it to `body`."""
@@ -105,7 +109,7 @@ def _places(x: Column, more: Callable[[Column], list[Column]]) -> Column:
     def spans(ends: Column) -> Column:
         def span(y: Column, i: Column) -> Column:
             end, to = F.get(ends["n"], i), F.get(ends["b"], i)
-            after = F.substring(F.coalesce(F.get(x, i + 1)["p"], F.lit("")), 1, 1)
+            after = F.substring(F.coalesce(F.get(x, i + 1)["p"], F.lit("")), 1, 2)
             return F.struct(
                 (end - F.length(y["m"])).alias("start"), end.alias("end"), (to - F.octet_length(y["m"])).alias("from"), to.alias("to"),
                 y["m"].alias("s"), F.right(y["p"], F.lit(CONTEXT)).alias("before"), after.alias("after"), *more(y["m"]),
@@ -141,8 +145,15 @@ def _passes(kind: Column, s: Column, base: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).otherwise((n >= 9) & (n <= 15))
 
 
-def _side(c: Column) -> Column:
-    return F.when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"[^\s]"), 3).otherwise(0)
+def _left(before: Column) -> Column:
+    """How closely something stands before, in the order that trees can cut: 0 nothing or white space, 1 what opens or parts, 2 another sign, 3 a letter, 4 a digit."""
+    return F.when(before.rlike(r"\p{L}$"), 3).when(before.rlike("[0-9]$"), 4).when(before.rlike(r"""[(\[{<"',;:]$"""), 1).when(before.rlike(r"\S$"), 2).otherwise(0)
+
+
+def _right(after: Column) -> Column:
+    """The same for what stands behind; 1 is what closes or ends a sentence, with no letter or digit behind it."""
+    closes = after.rlike(r"""^[.,;:!?)\]}>"'](?![\p{L}0-9])""")
+    return F.when(after.rlike(r"^\p{L}"), 3).when(after.rlike("^[0-9]"), 4).when(closes, 1).when(after.rlike(r"^\S"), 2).otherwise(0)
 
 
 def _features(x: Column) -> Column:
@@ -151,7 +162,7 @@ def _features(x: Column) -> Column:
     kinds = F.size(F.array_distinct(F.filter(F.split(digits, ""), lambda c: c != "")))
     parts = [
         _rank(x["kind"]), F.length(s), F.length(digits), F.length(F.regexp_replace(s, r"[^ ().\-]", "")), kinds,
-        _side(F.right(x["before"], F.lit(1))), _side(x["after"]), x["before"].rlike(CUES).cast("int"), s.startswith("+").cast("int"), F.size(F.split(s, "[^0-9A-Za-z]+")),
+        _left(x["before"]), _right(x["after"]), F.when(x["before"].rlike(LEAD), -1).when(x["before"].rlike(CUES), 1).otherwise(0), s.startswith("+").cast("int"), F.size(F.split(s, "[^0-9A-Za-z]+")),
     ]
     return F.array(*[p.cast("double") for p in parts])
 
@@ -247,17 +258,27 @@ def _shares(counts: dict[str, int]) -> dict[str, float]:
     return shares
 
 
+def _pick(values: tuple[str, ...], seed: int) -> Column:
+    """One of `values`, by a hash of the candidate."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("s", "key", F.lit(seed)), F.lit(len(values))) + 1).cast("int"))
+
+
 def _look_alike(found: DataFrame) -> DataFrame:
-    """Copies of positives, glued to something before them, after them, or both; what, depends on hashes."""
-    pick = lambda values, seed: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64("s", "key", F.lit(seed)), F.lit(len(values))) + 1).cast("int"))
+    """Copies of positives with something of another kind of number before them, after them, or both; what, depends on hashes."""
     side = F.pmod(F.xxhash64("s", "key", F.lit(3)), F.lit(3))
-    before = F.when(side != 1, F.concat(F.col("before"), pick(LEADS, 1))).otherwise(F.col("before"))
-    return found.where("label = 1").withColumns({"before": before, "after": F.when(side != 0, pick(TAILS, 2)).otherwise(F.col("after")), "label": F.lit(0.0), "valid": F.lit(True)})
+    before = F.when(side != 1, F.concat(F.col("before"), _pick(LEADS, 1))).otherwise(F.col("before"))
+    return found.where("label = 1").withColumns({"before": before, "after": F.when(side != 0, _pick(TAILS, 2)).otherwise(F.col("after")), "label": F.lit(0.0), "valid": F.lit(True)})
+
+
+def _in_sentence(found: DataFrame) -> DataFrame:
+    """Copies of positives with a sentence's signs behind them, a third of them in brackets."""
+    opened = F.when(F.pmod(F.xxhash64("s", "key", F.lit(4)), F.lit(3)) == 0, F.concat(F.col("before"), F.lit("("))).otherwise(F.col("before"))
+    return found.where("label = 1").withColumns({"before": opened, "after": _pick(STOPS, 5)})
 
 
 def _taught(found: DataFrame) -> DataFrame:
-    """kind, valid, f and label of labelled candidates and of a look-alike of each positive."""
-    both = found.unionByName(_look_alike(found))
+    """kind, valid, f and label of labelled candidates, of each positive in a sentence, and of a look-alike of it."""
+    both = found.unionByName(_in_sentence(found)).unionByName(_look_alike(found))
     return both.select("kind", "valid", _features(F.struct("kind", "s", "before", "after")).alias("f"), "label")
 
 
@@ -271,7 +292,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     # the key has doc_id, so that copies of a text are dealt to both parts
     doc = F.xxhash64("_body", *body.columns[1:])
     each = seen.select(F.explode(_swept(F.col("_base"), F.col("_more"))).alias("c"), doc.alias("doc")).select("c.*", "doc")
-    found = cut(each.where("same OR NOT valid").select("kind", "s", "before", "after", "valid", F.col("same").cast("double").alias("label"), F.xxhash64("doc", "start", "end", "kind").alias("key")))
+    found = cut(each.where(F.col("same") | ~F.col("valid") | (~F.col("over") & F.col("before").rlike(LEAD))).select("kind", "s", "before", "after", "valid", F.col("same").cast("double").alias("label"), F.xxhash64("doc", "start", "end", "kind").alias("key")))
     shares = _shares({r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()})
     if not shares:
         return Model()
@@ -316,8 +337,8 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of `docs` with `base` and `spans`: arrays of kind, start, end (code points, end exclusive), and `places`: all spans by place, in bytes.
 
     base and spans are ordered by kind as in KINDS, then start, then end; spans has all of base and what the model adds: candidates that pass their check, score at their
-    kind's threshold or above and overlap no base span, and of a chain of overlapping ones of a kind the longest. A null text has none. Columns of these names in the
-    input are replaced; repeated rows are judged alike.
+    kind's threshold or above and overlap no base span, and of a chain of overlapping ones of a kind the longest. A null text has none. Columns of these three names in the
+    input are replaced, all others stay; repeated rows are judged alike.
     """
     span = lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "from", "to")))
 
@@ -329,7 +350,10 @@ def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return x["valid"] & ~x["over"] & test
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int,from:int,to:int>>")
-    found = _detected(docs, text)
+    return apart(docs, [text], lambda d: _selected(_detected(d, text), model, chosen, span, none))
+
+
+def _selected(found: DataFrame, model: Model, chosen: Callable[[Column], Column], span: Callable[[Column], Column], none: Column) -> DataFrame:
     added = none
     if model.thresholds:
         some = F.transform(F.filter(_swept(F.col("_base"), F.filter("_more", lambda x: x["valid"])), chosen), span)
