@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fenestra.llm import bpe, jaccard_join, mixing, pii, toxicity
-from fenestra.llm.common import cut, read
+from fenestra.llm.common import apart, cut, read
+
+
+def _own(docs: DataFrame) -> list[str]:
+    """The columns that stages use; others are put aside meanwhile, whatever their names."""
+    return [c for c in docs.columns if c in ("doc_id", "text", "source", "n_chars")]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +29,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
-    return pii.redact(pii.detect(docs, pii.fit(docs))).select(*docs.columns)
+    return apart(docs, _own(docs), lambda d: pii.redact(pii.detect(d, pii.fit(docs))).select(*d.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each repetition of a document."""
-    return mixing.materialize(docs, mixing.mix(docs))
+    return apart(docs, _own(docs), lambda d: mixing.materialize(d, mixing.mix(d)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
