@@ -73,7 +73,16 @@ def layouts() -> list[tuple[str, str, float, float, float, float, float]]:
     return [(name, role, *map(float, area), clearance) for name, roles in found.items() for role, (area, clearance) in roles.items()]
 
 
+# Names of windows and layouts in messages.
+ROLE_NAMES = {"recipient": "okno adresata", "sender": "okno nadawcy"}
+DIN_NAMES = {"dl_din_b": "okno adresata (DIN 5008 B)", "dl_din_a": "okno adresata (DIN 5008 A)", "dl_two_left": "okno adresata (DIN 5008 B)"}
+LAYOUT_NAMES = {
+    "c65_single": "C65, jedno okienko", "c65_two": "C65, dwa okienka", "dl_din_b": "DL, jedno okienko po lewej (DIN 5008 B)", "dl_din_a": "DL, jedno okienko po lewej (DIN 5008 A)", "dl_two_left": "DL, dwa okienka (adresat po lewej)",
+}
+
+
 def layout_windows(spark: SparkSession) -> DataFrame:
-    """layout, role, window (struct of left, top, width, height), clearance: a dimension of a few rows, safe to broadcast."""
-    rows = [(n, r, (a, b, c, d), k) for n, r, a, b, c, d, k in layouts()]
-    return spark.createDataFrame(rows, "layout string, role string, window struct<left:double,top:double,width:double,height:double>, clearance double")
+    """layout, role, window (struct of left, top, width, height), clearance, name, layout_name: a dimension of a few rows, safe to broadcast."""
+    named = lambda n, r: DIN_NAMES.get(n, ROLE_NAMES[r]) if r == "recipient" else ROLE_NAMES[r]
+    rows = [(n, r, (a, b, c, d), k, named(n, r), LAYOUT_NAMES[n]) for n, r, a, b, c, d, k in layouts()]
+    return spark.createDataFrame(rows, "layout string, role string, window struct<left:double,top:double,width:double,height:double>, clearance double, name string, layout_name string")

@@ -1,7 +1,7 @@
 """A page's inspection as one chain: choose each window's block or label, apply the rules to it, and roll up.
 
-Pages, text blocks and pictures are tables keyed by doc; a page names its layout, so it meets that layout's one or two windows only. Whatever is chosen comes from an
-aggregate of ranks that adds up before it is shuffled. Bad documents and bad settings become rows with an issue or a problem.
+Pages, text blocks and pictures are tables keyed by doc; a page names its layout, so it meets that layout's one or two windows only. Blocks and pictures are grouped by page once, and what is chosen,
+what else shows, and what the rules say is worked out inside the page's row. Bad documents and bad settings become rows with an issue or a problem.
 """
 
 from __future__ import annotations
@@ -13,19 +13,12 @@ from fenestra.functions import addresses as ad
 from fenestra.functions import geometry as g
 from fenestra.functions import messages as m
 from fenestra.functions import numbers as nb
+from fenestra.functions.numbers import bind
 from fenestra.operators import rules
 
-#: Names of the windows in messages: fixed values.
-NAMES = {"recipient": "okno adresata", "sender": "okno nadawcy"}
-_ISSUES = "array<struct<code:string,severity:string>>"
-
-
 def layout_problem(pages: DataFrame, windows: DataFrame) -> DataFrame:
     """`pages` (layout, mode) with problem: unknown_mode, unknown_layout, no_sender_window (two windows asked of a layout with one), else null."""
-    known = windows.groupBy(F.col("layout").alias("_l")).agg(F.max((F.col("role") == "sender").cast("int")).alias("_sender"))
-    found = pages.join(F.broadcast(known), F.col("layout") == F.col("_l"), "left")  # a dimension of a few rows
-    problem = F.when(~F.coalesce(F.col("mode").isin("Single", "Double"), F.lit(False)), "unknown_mode").when(F.col("_l").isNull(), "unknown_layout").when((F.col("mode") == "Double") & (F.col("_sender") == 0), "no_sender_window")
-    return found.withColumn("problem", problem).drop("_l", "_sender")
+    return settled(pages.withColumns({"readable": F.lit(True), "has_text": F.lit(True)}), windows).select(*pages.columns, "problem")
 
 
 def option_problem(page_number: Column, preview_dpi: Column) -> Column:
@@ -33,170 +26,256 @@ def option_problem(page_number: Column, preview_dpi: Column) -> Column:
     return F.when(page_number < 1, "page_number").when(~preview_dpi.between(36, 600), "preview_dpi")
 
 
-def document_issues(pages: DataFrame) -> DataFrame:
-    """doc, code and severity of what concerns whole documents: unreadable, without text, or not A4 in portrait."""
-    code = F.when(~F.col("readable"), "INVALID_DOCUMENT").when(~F.col("has_text"), "NO_TEXT_LAYER").when(~g.is_a4_portrait(F.col("width_mm"), F.col("height_mm")), "UNEXPECTED_PAGE_FORMAT")
-    level = F.when(F.col("readable") & F.col("has_text"), "Warning").otherwise("Inconclusive")
-    return pages.select("doc", code.alias("code"), level.alias("severity")).where("code IS NOT NULL")
+def _pick_block(pool: Column, window: Column, expected: Column | None = None) -> Column:
+    """The block of an array that a window is about, or null.
+
+    With expected lines: the block that has most of them, then the one that shows most. Without: one like an address in the window, one like an address elsewhere,
+    any in the window. Ties go to the smaller ord.
+    """
+    asked = F.size(F.coalesce(expected, F.array().cast("array<string>"))) > 0 if expected is not None else F.lit(False)
+
+    def ranked(b: Column) -> Column:
+        hits = F.when(asked, ad.matched_lines(b["lines"], expected)) if expected is not None else F.lit(0)
 
+        def rank(s: Column) -> Column:
+            likely = F.when((s["score"] > 0) & b["likely"], 1).when(b["likely"], 2).when(s["score"] > 0, 3)
+            tier = F.when(asked, F.when(s["hits"] > 0, 0)).otherwise(likely)
+            # smaller is better: matched lines or a usual count of lines, then nearness
+            first = F.when(tier == 0, -s["hits"]).when(tier == 2, -b["n"].between(3, 6).cast("int")).otherwise(0)
+            near = F.when(tier == 2, g.distance(b["bounds"], window)).otherwise(-s["score"])
+            return F.struct(tier.alias("tier"), first.alias("first"), near.alias("near"), b["ord"].alias("ord"), b.alias("b"))
 
-def _windows_of(pages: DataFrame, windows: DataFrame, role: str) -> DataFrame:
-    """Pages that can be inspected with their layout's window of a role."""
-    own = windows.where(F.col("role") == role).select("layout", "window", "clearance")
-    other = windows.where(F.col("role") != role).select("layout", F.col("window").alias("neighbour"))
-    usable = pages.where("readable AND has_text")
-    some = usable if role == "recipient" else usable.where("mode = 'Double'")
-    found = some.join(F.broadcast(own), "layout").join(F.broadcast(other), "layout", "left")  # dimensions of a few rows
-    return found.withColumn("neighbour", F.when(F.col("mode") == "Double", F.col("neighbour")))
+        return bind(F.struct(g.overlap_score(b["bounds"], window).alias("score"), hits.alias("hits")), rank)
 
+    return F.array_min(F.filter(F.transform(pool, ranked), lambda r: r["tier"].isNotNull()))["b"]
 
-def choose_block(pages: DataFrame, blocks: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc and ord of the block to check for the recipient's window of each page that has one.
 
-    With expected lines: the block that has most of them, then the one that shows most. Without: one like an address in the window, one like an address elsewhere,
-    any in the window. Ties go to the smaller ord.
-    """
-    met = blocks.join(_windows_of(pages, windows, "recipient").select("doc", "window", "expected_lines"), "doc")
-    score, asked = g.overlap_score(F.col("bounds"), F.col("window")), F.size(F.coalesce("expected_lines", F.array())) > 0
-    like, n = ad.looks_like_address(F.col("lines")), F.size(ad.non_empty_lines(F.col("lines")))
-    s = met.withColumns({"score": score, "asked": asked}).withColumns({"matched": F.when(F.col("asked"), ad.matched_lines(F.col("lines"), F.col("expected_lines"))), "like": F.when(~F.col("asked"), like)})
-    tier = F.when(F.col("asked"), F.when(F.col("matched") > 0, 0)).when((F.col("score") > 0) & F.col("like"), 1).when(F.col("like"), 2).when(F.col("score") > 0, 3)
-    # smaller is better: matched lines or a usual count of lines, then nearness
-    first = F.when(F.col("tier") == 0, -F.col("matched")).when(F.col("tier") == 2, -n.between(3, 6).cast("int")).otherwise(0)
-    near = F.when(F.col("tier") == 2, g.distance(F.col("bounds"), F.col("window"))).otherwise(-F.col("score"))
-    ranked = s.withColumn("tier", tier).where("tier IS NOT NULL").select("doc", "ord", F.struct("tier", first.alias("first"), near.alias("near"), "ord").alias("rank"))
-    return ranked.groupBy("doc").agg(F.min_by("ord", "rank").alias("ord"))
-
-
-def choose_label(pages: DataFrame, images: DataFrame, windows: DataFrame, read_barcode: bool = True) -> DataFrame:
-    """doc and ord of the picture to check for the sender's window: the first, by score, with the expected number (or any valid one), then one with another valid number, then one in the window.
-
-    With `read_barcode` false, only pictures in the window count, by score.
+def _pick_label(pool: Column, window: Column, expected: Column, read_barcode: bool) -> Column:
+    """The picture of an array that a window is about, or null: the first, by score, with the expected number (or any valid one), then one with another valid number, then one in the window.
+
+    Pictures outside the window count if they look like a label and have a valid number. Where barcodes aren't read, only those in the window count, by score.
     """
-    met = images.join(_windows_of(pages, windows, "sender").select("doc", "window", "expected_number"), "doc")
-    s = met.withColumns({"score": g.overlap_score(F.col("bounds"), F.col("window")), "number": nb.parse_number(F.col("raw"))}).where((F.col("score") > 0) | g.looks_like_label(F.col("bounds")))
-    valid = F.col("raw").isNotNull() & F.col("number.is_valid")
-    wanted = F.col("expected_number").isNull() | (F.col("number.normalized") == nb.normalize_number(F.col("expected_number")))
-    tier = F.when(valid & wanted, 1).when(valid, 2).when(F.col("score") > 0, 3) if read_barcode else F.when(F.col("score") > 0, 1)
-    ranked = s.withColumn("tier", tier).where("tier IS NOT NULL").select("doc", "ord", F.struct("tier", (-F.col("score")).alias("near"), "ord").alias("rank"))
-    return ranked.groupBy("doc").agg(F.min_by("ord", "rank").alias("ord"))
 
+    def ranked(i: Column) -> Column:
+        valid = i["raw"].isNotNull() & i["number"]["is_valid"]
+        wanted = expected.isNull() | (i["number"]["normalized"] == nb.normalize_number(expected))
+
+        def rank(score: Column) -> Column:
+            seen = (score > 0) | g.looks_like_label(i["bounds"])
+            tier = F.when(seen & valid & wanted, 1).when(seen & valid, 2).when(score > 0, 3) if read_barcode else F.when(score > 0, 1)
+            return F.struct(tier.alias("tier"), (-score).alias("near"), i["ord"].alias("ord"), i.alias("i"))
+
+        return bind(g.overlap_score(i["bounds"], window), rank)
 
-def _beside(pages: DataFrame, blocks: DataFrame, windows: DataFrame, role: str, claimed: DataFrame) -> DataFrame:
-    """doc, others: how many blocks that nothing has claimed show in the window of a role, and snippets of them in order."""
-    met = blocks.join(_windows_of(pages, windows, role).select("doc", "window"), "doc").where(g.intersection_area(F.col("bounds"), F.col("window")) > 0)
-    rest = met.join(claimed.select("doc", "ord"), ["doc", "ord"], "left_anti")
-    said = F.transform(F.array_sort(F.collect_list(F.struct("ord", ad.snippet(F.col("lines")).alias("s")))), lambda x: x["s"])  # of one page
-    return rest.groupBy("doc").agg(said.alias("others"))
+    return F.array_min(F.filter(F.transform(pool, ranked), lambda r: r["tier"].isNotNull()))["i"]
 
 
-def _coded(code: str, level: str, times: Column) -> Column:
-    return F.array_repeat(F.struct(F.lit(code).alias("code"), F.lit(level).alias("severity")), times)
+def _unlike(pool: Column, block: Column) -> Column:
+    return F.filter(pool, lambda b: F.coalesce(b["ord"] != block["ord"], F.lit(True)))
 
 
-def inspect(pages: DataFrame, blocks: DataFrame, images: DataFrame, windows: DataFrame, address: rules.AddressRules = rules.RECIPIENT, label: dict | None = None) -> DataFrame:
-    """doc, role, found, ord, outcome, issues (code, severity), texts (what other text and missing parts say), window, bounds and number of what was found, for the windows of every page that can be inspected.
+def settled(pages: DataFrame, windows: DataFrame) -> DataFrame:
+    """Pages with problem, layout_name, and rw and sw: the recipient's and the sender's window (name, window, clearance) where they can be inspected, else null.
+
+    A page whose problem (see layout_problem()) isn't null, that can't be read or has no text, has neither; one in mode Single only the recipient's.
+    """
+    w = F.struct("name", "window", "clearance")
+    by = windows.groupBy(F.col("layout").alias("_l")).agg(F.max("layout_name").alias("layout_name"), *(F.max(F.when(F.col("role") == r, w)).alias(f"_{r}") for r in ("recipient", "sender")))
+    found = pages.join(F.broadcast(by), F.col("layout") == F.col("_l"), "left")  # a dimension of a few rows
+    mode = F.coalesce(F.col("mode"), F.lit(""))
+    problem = F.when(~mode.isin("Single", "Double"), "unknown_mode").when(F.col("_l").isNull(), "unknown_layout").when((mode == "Double") & F.col("_sender").isNull(), "no_sender_window")
+    usable = problem.isNull() & F.col("readable") & F.col("has_text")
+    return found.withColumns({"problem": problem, "rw": F.when(usable, F.col("_recipient")), "sw": F.when(usable & (mode == "Double"), F.col("_sender"))}).drop("_l", "_recipient", "_sender")
 
-    `pages`: doc, layout, mode (Single, Double), readable, has_text, width_mm, height_mm, expected_lines, expected_number. `blocks`: doc, ord, bounds, lines, font_min, font_max,
-    italic, rotated, non_left. `images`: doc, ord, bounds, raw (barcode text, null if unread), gs1, module_px. A page without blocks or pictures has windows
+
+def inspect(pages: DataFrame, blocks: DataFrame, images: DataFrame, windows: DataFrame, address: rules.AddressRules = rules.RECIPIENT, label: rules.LabelRules = rules.LabelRules(), sender: rules.AddressRules = rules.SENDER) -> DataFrame:
+    """One row for each of `pages` (doc unique): the page's own columns, problem, layout_name, document_issues, and `windows`: an array of what was found in the recipient's, then the sender's window.
+
+    `pages`: doc, layout, mode (Single, Double), readable, has_text, width_mm, height_mm, expected_lines, expected_number, and content where it is not always RegisteredLabel: with Address, the
+    sender's window holds an address as well, chosen among the blocks that the recipient's has not claimed. `blocks`: doc, ord, bounds, lines, font_min, font_max,
+    italic, rotated, non_left. `images`: doc, ord, bounds, raw (barcode text, null if unread), gs1, module_px, and pixels (its size in words) if known. A page without blocks or pictures has windows
     in which nothing was found. Nulls in lines are no lines; pictures without area are none.
+
+    A window has role, content, found, ord, outcome, issues (code, severity, message), name, window, bounds, lines, font_min, font_max, number, human, kind, and match: whether expected lines were found.
+    A page's blocks and pictures are grouped once, and joined to the page; everything else happens inside the row.
     """
-    images = images.where(F.col("bounds.width") > 0).where(F.col("bounds.height") > 0)
-    label = label or {}
-    clean = blocks.withColumn("lines", F.array_compact(F.coalesce("lines", F.array().cast("array<string>"))))
-    chosen = choose_block(pages, clean, windows)
-    none = F.array().cast(_ISSUES)
-    asked = F.size(F.coalesce("expected_lines", F.array())) > 0
-
-    block = chosen.join(clean, ["doc", "ord"])
-    first = _windows_of(pages, windows, "recipient").join(block, "doc", "left").join(_beside(pages, clean, windows, "recipient", chosen), "doc", "left")
-    first = first.withColumns({"found": F.col("ord").isNotNull(), "own": ad.normalize_lines(F.col("lines")), "others": F.coalesce("others", F.array().cast("array<string>"))})
-    missing = F.size(ad.missing_lines(F.col("lines"), F.col("expected_lines"))) > 0
-    about = F.concat(
-        rules.place_issues(F.col("bounds"), F.col("window"), F.col("clearance"), F.col("rotated")), rules.issues(rules.issue(ad.has_inner_empty(F.col("lines")), "EMPTY_LINE_INSIDE", "Warning")),
-        rules.address_issues(F.col("own"), address), F.when(F.size("own") > 0, rules.type_issues(F.col("font_min"), F.col("font_max"), F.col("italic"), F.col("non_left"), address)).otherwise(none),
-        rules.issues(rules.issue(asked & missing, "ADDRESS_MISMATCH")), _coded("OTHER_TEXT_IN_WINDOW", "Warning", F.size("others")),
+    if "content" not in pages.columns:
+        pages = pages.withColumn("content", F.lit("RegisteredLabel"))
+    if "pixels" not in images.columns:
+        images = images.withColumn("pixels", F.lit("?"))
+    lines = F.array_compact(F.coalesce("lines", F.array().cast("array<string>")))
+    clean = blocks.withColumn("lines", lines).select("doc", F.struct(
+        "ord", "bounds", "lines", "font_min", "font_max", "italic", "rotated", "non_left",
+        ad.looks_like_address(F.col("lines")).alias("likely"), F.size(ad.non_empty_lines(F.col("lines"))).alias("n"), ad.snippet(F.col("lines")).alias("snippet"),
+    ).alias("b"))
+    pictures = images.where(F.col("bounds.width") > 0).where(F.col("bounds.height") > 0).select("doc", F.struct("ord", "bounds", "raw", "gs1", "module_px", "pixels", nb.parse_number(F.col("raw")).alias("number")).alias("i"))
+    of = lambda df, c, name: df.groupBy("doc").agg(F.array_sort(F.collect_list(c)).alias(name))  # noqa: E731  of one page
+    held, shown = of(clean, "b", "_blocks"), of(pictures, "i", "_images")
+    x = settled(pages, windows).join(held, "doc", "left").join(shown, "doc", "left")
+    x = x.withColumns({c: F.coalesce(c, F.array().cast(df.schema[c].dataType)) for c, df in (("_blocks", held), ("_images", shown))})
+    rw, sw = F.col("rw"), F.col("sw")
+    x = x.withColumn("_first", F.when(rw.isNotNull(), _pick_block(F.col("_blocks"), rw["window"], F.col("expected_lines"))))
+    x = x.withColumn("_rest", _unlike(F.col("_blocks"), F.col("_first")))
+    as_address = F.col("content") == "Address"
+    x = x.withColumn("_second", F.when(sw.isNotNull() & as_address, _pick_block(F.col("_rest"), sw["window"])))
+    x = x.withColumn("_label", F.when(sw.isNotNull() & ~as_address, _pick_label(F.col("_images"), sw["window"], F.col("expected_number"), label.read_barcode)))
+    first = _address_window("recipient", F.col("_first"), rw, F.when(F.col("mode") == "Double", sw), F.col("_rest"), address, F.col("expected_lines"))
+    second = F.when(as_address, _address_window("sender", F.col("_second"), sw, None, _unlike(F.col("_rest"), F.col("_second")), sender)).otherwise(_label_window(F.col("_label"), sw, rw, F.col("_rest"), F.col("expected_number"), label))
+    both = F.array_compact(F.array(F.when(rw.isNotNull(), first), F.when(sw.isNotNull(), second)))
+    return x.select(*pages.columns, "problem", "layout_name", _document_issues(F.col("layout_name")).alias("document_issues"), both.alias("windows"))
+
+
+def _document_issues(layout: Column) -> Column:
+    """What concerns the whole document: unreadable, without text, or not A4 in portrait; nothing where the settings are a problem."""
+    ok = F.col("problem").isNull()
+    fine = F.col("readable") & F.col("has_text")
+    other = m.text("UNEXPECTED_PAGE_FORMAT", width=m.mm(F.col("width_mm")), height=m.mm(F.col("height_mm")), layout=layout)
+    return rules.issues(
+        rules.issue(ok & ~F.col("readable"), "INVALID_DOCUMENT", "Inconclusive", m.text("INVALID_DOCUMENT")), rules.issue(ok & F.col("readable") & ~F.col("has_text"), "NO_TEXT_LAYER", "Inconclusive", m.text("NO_TEXT_LAYER")),
+        rules.issue(ok & fine & ~g.is_a4_portrait(F.col("width_mm"), F.col("height_mm")), "UNEXPECTED_PAGE_FORMAT", "Warning", other),
     )
-    lost = F.when(asked, _coded("ADDRESS_NOT_FOUND", "Error", F.lit(1))).otherwise(_coded("WINDOW_NOT_FOUND", "Error", F.lit(1)))
-    name = F.lit(NAMES["recipient"])
-    gone = F.when(asked, m.address_not_found(F.col("expected_lines"))).otherwise(m.window_not_found(name, F.col("window")))
-    # text wholly outside is told apart by the neighbour's name
-    away = g.intersection_area(F.col("bounds"), F.col("window")) <= 0
-    near = F.when(F.col("neighbour").isNotNull() & (g.intersection_area(F.col("bounds"), F.col("neighbour")) > 0), NAMES["sender"])
-    outside = F.when(away, m.entirely_outside("Adres", near, F.col("bounds"), name, F.col("window")))
-    texts = F.when(~F.col("found"), F.array(gone)).otherwise(F.concat(F.array_compact(F.array(outside)), F.transform("others", lambda x: m.other_text(name, x))))
-    recipient = first.select("doc", F.lit("recipient").alias("role"), "found", "ord", F.when(F.col("found"), about).otherwise(lost).alias("issues"), texts.alias("texts"), "window", "bounds", F.lit(None).cast("string").alias("number"))
-
-    picked = choose_label(pages, images, windows, label.get("read_barcode", True)).join(images, ["doc", "ord"])
-    second = _windows_of(pages, windows, "sender").join(picked, "doc", "left").join(_beside(pages, clean, windows, "sender", chosen), "doc", "left")
-    second = second.withColumns({"found": F.col("ord").isNotNull(), "number": nb.parse_number(F.col("raw")), "others": F.coalesce("others", F.array().cast("array<string>"))})
-    more = {k: label[k] for k in ("domestic", "international", "min_module_px") if k in label}
-    about = F.concat(
-        rules.label_issues(F.col("bounds"), F.col("window"), F.col("clearance"), F.col("raw"), F.col("number"), nb.normalize_number(F.col("expected_number")), F.col("gs1"), F.col("module_px"), **more),
-        _coded("OTHER_TEXT_IN_WINDOW", "Warning", F.size("others")),
+
+
+def _window(role: str, content: str, found: Column, ord_: Column, issues: Column, w: Column, bounds: Column, **more: Column) -> Column:
+    kinds = {"lines": "array<string>", "font_min": "double", "font_max": "double", "number": "string", "human": "string", "kind": "string", "match": "string"}
+    rest = [more.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]
+    return bind(issues, lambda i: F.struct(
+        F.lit(role).alias("role"), F.lit(content).alias("content"), found.alias("found"), ord_.cast("bigint").alias("ord"), rules.window_outcome(found, i).alias("outcome"), i.alias("issues"),
+        w["name"].alias("name"), w["window"].alias("window"), bounds.alias("bounds"), *rest,
+    ))
+
+
+def _showing(pool: Column, window: Column) -> Column:
+    """Snippets of the blocks that show in a window, in order."""
+    return F.transform(F.filter(pool, lambda b: g.overlap_score(b["bounds"], window) > 0), lambda b: b["snippet"])
+
+
+def _told(snippets: Column, key: str, name: Column) -> Column:
+    return F.transform(snippets, lambda s: F.struct(F.lit("OTHER_TEXT_IN_WINDOW").alias("code"), F.lit("Warning").alias("severity"), m.text(key, name=name, snippet=s).alias("message")))
+
+
+def _beside(bounds: Column, neighbour: Column | None) -> Column:
+    """The neighbour's name if the bounds show in it."""
+    return F.lit(None).cast("string") if neighbour is None else F.when(g.intersection_area(bounds, neighbour["window"]) > 0, neighbour["name"])
+
+
+def _address_window(role: str, b: Column, w: Column, neighbour: Column | None, rest: Column, address: rules.AddressRules, expected: Column | None = None) -> Column:
+    asked = F.size(F.coalesce(expected, F.array().cast("array<string>"))) > 0 if expected is not None else F.lit(False)
+    lost = rules.issue(F.lit(True), "WINDOW_NOT_FOUND", said=m.text("WINDOW_NOT_FOUND", name=w["name"], window=m.place(w["window"])))
+    if expected is not None:
+        lost = F.when(asked, rules.issue(F.lit(True), "ADDRESS_NOT_FOUND", said=m.text("ADDRESS_NOT_FOUND", expected=F.array_join(expected, " / ")))).otherwise(lost)
+
+    def about(x: Column) -> Column:
+        own, missing = x["own"], x["missing"]
+        placed = rules.place_issues(b["bounds"], w["window"], w["clearance"], b["rotated"], w["name"], _beside(b["bounds"], neighbour))
+        typed = rules.type_issues(b["font_min"], b["font_max"], b["italic"], b["non_left"], address, True)
+        return F.concat(
+            placed, rules.issues(rules.issue(ad.has_inner_empty(b["lines"]), "EMPTY_LINE_INSIDE", "Warning", m.text("EMPTY_LINE_INSIDE"))), rules.address_issues(own, address, True),
+            F.filter(typed, lambda _: F.size(own) > 0), rules.issues(rules.issue(F.size(missing) > 0, "ADDRESS_MISMATCH", said=m.mismatch(missing))), _told(_showing(rest, w["window"]), "OTHER_TEXT_IN_WINDOW", w["name"]),
+        )
+
+    missing = F.when(asked, ad.missing_lines(b["lines"], expected)) if expected is not None else F.lit(None)
+    none = F.array().cast("array<string>")
+    found = b.isNotNull()
+    own = ad.normalize_lines(b["lines"])
+    checked = F.when(found, bind(F.struct(own.alias("own"), F.coalesce(missing, none).alias("missing")), about)).otherwise(F.array(lost))
+    match = F.when(~asked, "NotChecked").when(~found, None).when(F.size(F.coalesce(missing, none)) > 0, "Mismatch").otherwise("Matched")
+    sized = F.size(own) > 0
+    return _window(role, "Address", found, b["ord"], checked, w, b["bounds"], lines=own, font_min=F.when(sized, b["font_min"]), font_max=F.when(sized, b["font_max"]), match=match)
+
+
+def _label_window(i: Column, w: Column, neighbour: Column, rest: Column, expected: Column, label: rules.LabelRules) -> Column:
+    text = F.filter(rest, lambda b: g.intersection_area(b["bounds"], w["window"]) > 0)
+    hint = F.when(F.size(text) > 0, m.TEXT_HINT).otherwise("")
+    lost = rules.issue(F.lit(True), "LABEL_NOT_FOUND", said=m.text("LABEL_NOT_FOUND", name=w["name"], window=m.place(w["window"]), hint=hint))
+    known = rules.label_issues(i["bounds"], w["window"], w["clearance"], i["raw"], i["number"], nb.normalize_number(expected), i["gs1"], i["module_px"], label, w["name"], _beside(i["bounds"], neighbour), i["pixels"])
+    about = F.concat(known, _told(F.transform(text, lambda b: b["snippet"]), "OTHER_TEXT_IN_WINDOW/label", w["name"]))
+    read = i["raw"].isNotNull() & label.read_barcode
+    return _window(
+        "sender", "RegisteredLabel", i.isNotNull(), i["ord"], F.when(i.isNotNull(), about).otherwise(F.array(lost)), w, i["bounds"],
+        number=F.when(read, i["number"]["normalized"]), human=F.when(read, i["number"]["human"]), kind=F.when(read, i["number"]["type"]),
     )
-    name = F.lit(NAMES["sender"])
-    near = F.when(F.col("neighbour").isNotNull() & (g.intersection_area(F.col("bounds"), F.col("neighbour")) > 0), NAMES["recipient"])
-    outside = F.when(g.intersection_area(F.col("bounds"), F.col("window")) <= 0, m.entirely_outside("Nalepka R", near, F.col("bounds"), name, F.col("window")))
-    texts = F.when(~F.col("found"), F.array(m.label_not_found(name, F.col("window"), F.size("others")))).otherwise(F.concat(F.array_compact(F.array(outside)), F.transform("others", lambda x: m.text_beside_label(name, x))))
-    sender = second.select("doc", F.lit("sender").alias("role"), "found", "ord", F.when(F.col("found"), about).otherwise(_coded("LABEL_NOT_FOUND", "Error", F.lit(1))).alias("issues"), texts.alias("texts"), "window", "bounds", F.when(F.col("raw").isNotNull(), F.col("number.normalized")).alias("number"))
 
-    both = recipient.unionByName(sender)
-    return both.withColumn("outcome", rules.window_outcome(F.col("found"), F.col("issues")))
 
+def each_window(inspected: DataFrame) -> DataFrame:
+    """doc, role, content, found, outcome and n_issues of every window. What is asked of windows is put together inside the array: fields picked behind it would be worked out one by one."""
+    told = lambda w: F.struct(*(w[c].alias(c) for c in ("role", "content", "found", "outcome")), F.size(w["issues"]).alias("n_issues"))
+    return inspected.select("doc", F.inline(F.transform("windows", told)))
 
-def outcomes(pages: DataFrame, inspected: DataFrame) -> DataFrame:
-    """doc, outcome, is_valid, n_windows, n_errors, n_warnings for every page, with or without windows.
 
-    Invalid if a window is or there is an error; else Inconclusive if the document can't be read, has no window, or an issue says so; else Valid.
-    """
-    level = lambda s: F.size(F.filter("issues", lambda i: i["severity"] == s))
-    each = inspected.select("doc", F.lit(1).alias("w"), (F.col("outcome") == "Invalid").cast("int").alias("bad"), *(level(s).alias(s) for s in ("Error", "Warning", "Inconclusive")))
-    whole = document_issues(pages).select("doc", F.lit(0).alias("w"), F.lit(0).alias("bad"), *((F.col("severity") == s).cast("int").alias(s) for s in ("Error", "Warning", "Inconclusive")))
-    every = pages.select("doc", *(F.lit(0).alias(c) for c in ("w", "bad", "Error", "Warning", "Inconclusive")))
-    sums = each.union(whole).union(every).groupBy("doc").agg(*(F.sum(c).cast("bigint").alias(c) for c in ("w", "bad", "Error", "Warning", "Inconclusive")))
-    outcome = F.when((F.col("bad") > 0) | (F.col("Error") > 0), "Invalid").when((F.col("w") == 0) | (F.col("Inconclusive") > 0), "Inconclusive").otherwise("Valid")
-    return sums.select("doc", outcome.alias("outcome"), (outcome == "Valid").alias("is_valid"), F.col("w").alias("n_windows"), F.col("Error").alias("n_errors"), F.col("Warning").alias("n_warnings"))
+def each_issue(inspected: DataFrame) -> DataFrame:
+    """doc, role (document for the whole one's), code, severity and message of every issue."""
+    own = F.transform("windows", lambda w: F.transform(w["issues"], lambda i: F.struct(w["role"].alias("role"), i["code"].alias("code"), i["severity"].alias("severity"), i["message"].alias("message"))))
+    whole = F.transform("document_issues", lambda i: F.struct(F.lit("document").alias("role"), i["code"].alias("code"), i["severity"].alias("severity"), i["message"].alias("message")))
+    return inspected.select("doc", F.inline(F.concat(whole, F.flatten(own))))
+
+
+def _levels(severity: str) -> Column:
+    """How many issues of a severity a page has, its document's and its windows'."""
+    level = lambda i: F.size(F.filter(i, lambda x: x["severity"] == severity))
+    return F.aggregate("windows", level(F.col("document_issues")), lambda n, w: n + level(w["issues"])).cast("bigint")
+
+
+def outcome() -> Column:
+    """A page's verdict: null where its settings are a problem; Invalid if a window is or there is an error; else Inconclusive if the document can't be read, has no window, or an issue says so; else Valid."""
+    bad = F.exists("windows", lambda w: w["outcome"] == "Invalid")
+    unsure = (F.size("windows") == 0) | (_levels("Inconclusive") > 0)
+    return F.when(F.col("problem").isNull(), F.when(bad | (_levels("Error") > 0), "Invalid").when(unsure, "Inconclusive").otherwise("Valid"))
+
+
+def outcomes(inspected: DataFrame) -> DataFrame:
+    """doc, problem, outcome, is_valid, n_windows, n_errors, n_warnings for every page, with or without windows."""
+    x = inspected.withColumn("outcome", outcome())
+    return x.select("doc", "problem", "outcome", F.coalesce(F.col("outcome") == "Valid", F.lit(False)).alias("is_valid"), F.size("windows").cast("bigint").alias("n_windows"), _levels("Error").alias("n_errors"), _levels("Warning").alias("n_warnings"))
 
 
 def overlays(inspected: DataFrame) -> DataFrame:
     """What a preview draws, as rows: doc, role, kind (window, content), colour, left, top, right, bottom (mm), sticks_out and caption."""
-    over = g.overflow(F.col("window"), F.col("bounds"))
-    x = inspected.withColumn("over", F.when(F.col("found"), g.overflow_text(over)))
-    label, out = F.col("role") == "sender", F.coalesce(F.col("over"), F.lit("")) != ""
-    name = F.when(label, NAMES["sender"]).otherwise(NAMES["recipient"])
-    state = F.when(F.col("found"), F.when(F.col("outcome") == "Valid", "OK").when(F.col("outcome") == "Inconclusive", "NIEROZSTRZYGNIĘTE").otherwise("BŁĄD")).when(label, "BRAK NALEPKI R").otherwise("BRAK ADRESU")
-    colour = F.when(F.col("outcome") == "Valid", "ok").when(F.col("outcome") == "Inconclusive", "unsure").otherwise("error")
-    what = F.when(label, F.concat(F.lit("nalepka R"), F.coalesce(F.concat(F.lit(" "), F.col("number")), F.lit("")))).otherwise("adres")
-    row = lambda kind, c, r, caption: F.struct(F.lit(kind).alias("kind"), c.alias("colour"), r["left"].alias("left"), r["top"].alias("top"), g.right(r).alias("right"), g.bottom(r).alias("bottom"), (F.lit(kind == "content") & out).alias("sticks_out"), caption.alias("caption"))
-    both = F.array(row("window", colour, F.col("window"), m.said(name, ": ", state)), F.when(F.col("found"), row("content", F.when(out, "error").otherwise("content"), F.col("bounds"), F.when(out, m.said(what, " wystaje: ", F.col("over"))).otherwise(what))))
-    return x.select("doc", "role", F.inline(F.array_compact(both)))
-
-
-def summaries(pages: DataFrame, inspected: DataFrame) -> DataFrame:
-    """doc and summary: each window's verdict in a sentence, the recipient's first; for a document without windows, why."""
-    label = F.col("role") == "sender"
-    name = F.when(label, NAMES["sender"]).otherwise(NAMES["recipient"])
-    verdict = F.when(F.col("outcome") == "Valid", "OK").when(F.col("outcome") == "Inconclusive", "nierozstrzygnięte").otherwise("błąd")
-    over = g.overflow_text(g.overflow(F.col("window"), F.col("bounds")))
-    found = m.said(name, ": ", verdict, F.when(over != "", m.said(" (wystaje ", over, ")")).otherwise(""))
-    each = inspected.select("doc", "role", F.when(F.col("found"), found).otherwise(m.said(name, F.when(label, ": nie znaleziono nalepki R").otherwise(": nie znaleziono adresu"))).alias("said"))
-    one = lambda role: F.max(F.when(F.col("role") == role, F.col("said")))
-    sums = each.groupBy("doc").agg(F.concat_ws("; ", one("recipient"), one("sender")).alias("summary"))
-    none = F.when(~F.col("readable"), "Nie udało się odczytać pliku PDF.").otherwise("Strona nie zawiera warstwy tekstowej (skan albo tekst zamieniony na krzywe). Nie da się sprawdzić położenia adresu.")
-    return pages.join(sums, "doc", "left").select("doc", F.coalesce("summary", none).alias("summary"))
-
-
-def responses(pages: DataFrame, inspected: DataFrame) -> DataFrame:
+
+    def drawn(x: Column) -> Column:
+        w, over = x["w"], x["over"]
+        label, out = w["content"] == "RegisteredLabel", over != ""
+        state = F.when(w["found"], F.when(w["outcome"] == "Valid", "OK").when(w["outcome"] == "Inconclusive", "NIEROZSTRZYGNIĘTE").otherwise("BŁĄD")).when(label, "BRAK NALEPKI R").otherwise("BRAK ADRESU")
+        colour = F.when(w["outcome"] == "Valid", "ok").when(w["outcome"] == "Inconclusive", "unsure").otherwise("error")
+        what = F.when(label, F.concat(F.lit("nalepka R"), F.coalesce(F.concat(F.lit(" "), w["number"]), F.lit("")))).otherwise("adres")
+        row = lambda kind, c, r, caption: F.struct(
+            w["role"].alias("role"), F.lit(kind).alias("kind"), c.alias("colour"), r["left"].alias("left"), r["top"].alias("top"), g.right(r).alias("right"), g.bottom(r).alias("bottom"),
+            (F.lit(kind == "content") & out).alias("sticks_out"), caption.alias("caption"),
+        )
+        content = F.when(w["found"], row("content", F.when(out, "error").otherwise("content"), w["bounds"], F.when(out, m.said(what, " wystaje: ", over)).otherwise(what)))
+        return F.array_compact(F.array(row("window", colour, w["window"], m.said(w["name"], ": ", state)), content))
+
+    over = lambda w: F.when(w["found"], g.overflow_text(g.overflow(w["window"], w["bounds"]))).otherwise("")
+    return inspected.select("doc", F.inline(F.flatten(F.transform("windows", lambda w: bind(F.struct(w.alias("w"), over(w).alias("over")), drawn)))))
+
+
+def summary() -> Column:
+    """A page's windows' verdicts in a sentence, the recipient's first; for a document without windows, why; null where its settings are a problem."""
+
+    def said(w: Column) -> Column:
+        verdict = F.when(w["outcome"] == "Valid", "OK").when(w["outcome"] == "Inconclusive", "nierozstrzygnięte").otherwise("błąd")
+        over = g.overflow_text(g.overflow(w["window"], w["bounds"]))
+        found = m.said(w["name"], ": ", verdict, F.when(over != "", m.said(" (wystaje ", over, ")")).otherwise(""))
+        return F.when(w["found"], found).otherwise(m.said(w["name"], F.when(w["content"] == "RegisteredLabel", ": nie znaleziono nalepki R").otherwise(": nie znaleziono adresu")))
+
+    return F.when(F.size("windows") > 0, F.array_join(F.transform("windows", said), "; ")).otherwise(F.get("document_issues", 0)["message"])
+
+
+def summaries(inspected: DataFrame) -> DataFrame:
+    return inspected.select("doc", summary().alias("summary"))
+
+
+def responses(inspected: DataFrame) -> DataFrame:
     """doc and json: the whole answer on a page, nulls shown; windows by role, issues by code, millimetres to one decimal."""
-    mm = lambda c: F.bround(F.col(c), 1)
-    area = lambda r: F.struct(*(mm(f"{r}.{s}").alias(s) for s in ("left", "top", "width", "height")))
-    window = F.struct("role", "outcome", "found", area("window").alias("area"), F.when(F.col("found"), area("bounds")).alias("content"), "number", F.array_sort("issues").alias("issues"))
-    sums = inspected.groupBy("doc").agg(F.array_sort(F.collect_list(window)).alias("windows"))  # two of a page
-    whole = document_issues(pages).select("doc", F.array(F.struct("code", "severity")).alias("documentIssues"))
-    x = outcomes(pages, inspected).join(sums, "doc", "left").join(whole, "doc", "left")
-    none = F.array()
-    body = F.struct("doc", "outcome", F.col("is_valid").alias("isValid"), F.coalesce("documentIssues", none.cast(_ISSUES)).alias("documentIssues"), F.coalesce("windows", none.cast(sums.schema["windows"].dataType)).alias("windows"))
+    area = lambda r: F.when(r.isNotNull(), F.struct(*(F.bround(r[s], 1).alias(s) for s in ("left", "top", "width", "height"))))
+    over = lambda w: F.when(w["found"], g.overflow(w["window"], w["bounds"]))
+    window = lambda w: F.struct(
+        w["role"].alias("role"), w["content"].alias("content"), w["outcome"].alias("outcome"), w["found"].alias("found"), w["name"].alias("name"), area(w["window"]).alias("area"), area(F.when(w["found"], w["bounds"])).alias("contentArea"),
+        over(w).alias("overflow"), w["lines"].alias("lines"), w["number"].alias("number"), w["human"].alias("numberHumanReadable"), w["kind"].alias("numberType"), w["match"].alias("recipientMatch"), F.array_sort(w["issues"]).alias("issues"),
+    )
+    x = inspected.withColumn("outcome", outcome())
+    valid = F.coalesce(F.col("outcome") == "Valid", F.lit(False))
+    body = F.struct("doc", "problem", "outcome", valid.alias("isValid"), summary().alias("summary"), F.col("document_issues").alias("documentIssues"), F.transform("windows", window).alias("windows"))
     return x.select("doc", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 

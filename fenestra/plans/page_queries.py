@@ -12,7 +12,7 @@ from fenestra.functions import numbers as nb
 from fenestra.operators import pages as pg
 from fenestra.operators import rules
 from fenestra.operators.layouts import layout_windows
-from fenestra.plans.queries import _CL, _DX, _DY, _MF, _NORMAL, _PL, LAYOUTS, LETTERS, PARTS, _area, _fits, _label, query
+from fenestra.plans.queries import _CL, _DX, _DY, _MF, _NORMAL, _PL, LAYOUTS, LETTERS, PARTS, _area, _fits, _gs1, _label, _over, _s10, query
 from fenestra.sources import derived as dv
 
 _LIKE = r"'(^|[^0-9])([0-9]{2}\s*[-–]\s*[0-9]{3}|[0-9]{5})([^0-9]|$)'"
@@ -20,95 +20,151 @@ _NOT_EMPTY = "list_filter(list_transform(blines, lambda x: trim(x)), lambda x: x
 _SNIPPET = f"(CASE WHEN length(array_to_string({_NOT_EMPTY}, ' / ')) > 60 THEN substr(array_to_string({_NOT_EMPTY}, ' / '), 1, 59) || '…' ELSE array_to_string({_NOT_EMPTY}, ' / ') END)"
 _UNUSUAL = r"""'[^\p{L}\p{M}\p{N}\s.,\-–/''"„”&()«»:;#{}]'"""
 _SCORE = f"(CASE WHEN w * h > 0 THEN {_area()} * ({_area()} / (w * h)) ELSE 0.0 END)"
-_NEIGHBOUR = "n.wl AS nl, n.wt AS nt, n.ww AS nw, n.wh AS nh"
 _R1 = lambda v: f"printf('%.1f', {v})"
+_COMMA = lambda v: f"replace(printf('%.1f', {v}), '.', ',')"
+_MM = lambda v: f"({_COMMA(v)} || ' mm')"
+_PT = lambda v: f"(regexp_replace({_COMMA(v)}, ',0$', '') || ' pt')"
+_SIZE = lambda w, h: f"({_COMMA(w)} || ' × ' || {_MM(h)})"
 _PLACE = lambda l, t, w, h: f"('[x=' || {_R1(l)} || ', y=' || {_R1(t)} || ', ' || {_R1(w)} || '×' || {_R1(h)} || ' mm]')"  # noqa: E731, E741
-_AWAY = lambda what, near, name: f"('{what} leży w całości ' || CASE WHEN mode = 'Double' AND {_area('l', 't', 'w', 'h', 'nl', 'nt', 'nw', 'nh')} > 0 THEN 'w {near}, czyli w niewłaściwym oknie' ELSE 'poza oknem' END || ': ' || {_PLACE('l', 't', 'w', 'h')} || ', a {name} to ' || {_PLACE('wl', 'wt', 'ww', 'wh')} || '.')"
+_OWN, _WIN = _PLACE("l", "t", "w", "h"), _PLACE("wl", "wt", "ww", "wh")
+_INNER = ("(wl + clearance)", "(wt + clearance)", "greatest(0.0, ww - 2 * clearance)", "greatest(0.0, wh - 2 * clearance)")
+
+
+def _over_text(wl: str = "wl", wt: str = "wt", ww: str = "ww", wh: str = "wh") -> str:
+    """How far the rectangle l, t, w, h sticks out of another one, in words."""
+    sides = ("z lewej", f"{wl} - l"), ("z prawej", f"(l + w) - ({wl} + {ww})"), ("u góry", f"{wt} - t"), ("u dołu", f"(t + h) - ({wt} + {wh})")
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {v} > 0.05 THEN '{word} o ' || replace(printf('%.1f', round_even({v}, 1)), '.', ',') || ' mm' END" for word, v in sides) + "], lambda x: x IS NOT NULL), ', ')"
+
+
+_AWAY = lambda what: f"('{what} leży w całości ' || CASE WHEN nl IS NOT NULL AND {_area('l', 't', 'w', 'h', 'nl', 'nt', 'nw', 'nh')} > 0 THEN 'w ' || nname || ', czyli w niewłaściwym oknie' ELSE 'poza oknem' END || ': ' || {_OWN} || ', a ' || wname || ' to ' || {_WIN} || '.')"
+_CLOSE = lambda what, it: f"('{what} jest za blisko krawędzi: ' || wname || ' wymaga ' || {_MM('clearance')} || ' odstępu, brakuje: ' || {_over_text(*_INNER)} || '. Kartka przesuwa się w kopercie i {it} może zostać zasłonięt{'y' if it == 'tekst' else 'a'}.')"
+_LINES = "CASE WHEN n = 1 THEN 'wiersz' WHEN n % 10 BETWEEN 2 AND 4 AND NOT n % 100 BETWEEN 12 AND 14 THEN 'wiersze' ELSE 'wierszy' END"
+_LIKE_CODE = f"list_filter(list_transform(lines, lambda x: regexp_extract(x, {_LIKE}, 2)), lambda x: x <> '')[1]"
+_HUMAN = "CASE type WHEN 'Domestic' THEN '(00)' || substr(own_number, 3, 8) || ' ' || substr(own_number, 11, 1) || ' ' || substr(own_number, 12, 8) || ' ' || substr(own_number, 20, 1) ELSE substr(own_number, 1, 2) || ' ' || substr(own_number, 3, 3) || ' ' || substr(own_number, 6, 3) || ' ' || substr(own_number, 9, 3) || ' ' || substr(own_number, 12, 2) END"
+_WRONG = f"'zła cyfra kontrolna: jest ' || CASE type WHEN 'Domestic' THEN substr(own_number, 20, 1) || ', powinna być ' || {_gs1('substr(own_number, 3, 17)')} ELSE substr(own_number, 11, 1) || ', powinna być ' || {_s10('substr(own_number, 3, 8)')} END"
+_WNAME = lambda r: f"CASE WHEN {r}.role = 'sender' THEN 'okno nadawcy' WHEN {r}.layout IN ('dl_din_b', 'dl_two_left') THEN 'okno adresata (DIN 5008 B)' WHEN {r}.layout = 'dl_din_a' THEN 'okno adresata (DIN 5008 A)' ELSE 'okno adresata' END"
+_LAYOUT_NAME = "CASE layout WHEN 'c65_single' THEN 'C65, jedno okienko' WHEN 'c65_two' THEN 'C65, dwa okienka' ELSE 'DL, dwa okienka (adresat po lewej)' END"
+_LIKELY = f"len(nel) BETWEEN 2 AND 8 AND len(list_filter(nel, lambda x: length(x) > 60)) = 0 AND (len(nel) <= 6 OR len(list_filter(nel, lambda x: regexp_matches(x, {_LIKE}) OR regexp_matches(x, {_CL}))) > 0)"
+_BEST = "tier, CASE tier WHEN 0 THEN -hits WHEN 2 THEN CASE WHEN len(nel) BETWEEN 3 AND 6 THEN -1 ELSE 0 END ELSE 0 END, CASE WHEN tier = 2 THEN distance ELSE -score END, ord"
+_TIER = "CASE WHEN score > 0 AND likely THEN 1 WHEN likely THEN 2 WHEN score > 0 THEN 3 END"
+
+
+def _windows(role: str, other: str, where: str = "true") -> str:
+    return f"""SELECT u.*, r.wl, r.wt, r.ww, r.wh, r.clearance, {_WNAME("r")} AS wname, n.wl AS nl, n.wt AS nt, n.ww AS nw, n.wh AS nh, {_WNAME("n")} AS nname
+  FROM usable u JOIN layout_window r ON r.layout = u.layout AND r.role = '{role}' LEFT JOIN layout_window n ON n.layout = u.layout AND n.role = '{other}' AND u.mode = 'Double' WHERE {where}"""
+
 
 PAGES = f"""{LETTERS}, {PARTS}, {LAYOUTS},
-pages_ AS (SELECT doc, CASE WHEN q % 5 = 4 THEN 'dl_two_left' WHEN q % 11 = 0 THEN 'c65_single' ELSE 'c65_two' END AS layout, CASE WHEN q % 5 <> 4 AND q % 11 = 0 THEN 'Single' ELSE 'Double' END AS mode,
-  q % 41 <> 0 AS readable, q % 37 <> 0 AS has_text, q % 43 = 0 AS wide, expected_lines, expected_number, number AS own_number, type, valid, ll, lt, lw, lh, module_px, q FROM letters),
-usable AS (SELECT * FROM pages_ WHERE readable AND has_text),
-wholes AS (SELECT doc, CASE WHEN NOT readable THEN 'INVALID_DOCUMENT' WHEN NOT has_text THEN 'NO_TEXT_LAYER' ELSE 'UNEXPECTED_PAGE_FORMAT' END AS code, CASE WHEN readable AND has_text THEN 'Warning' ELSE 'Inconclusive' END AS severity FROM pages_ WHERE NOT readable OR NOT has_text OR wide),
-bl AS (SELECT p.* EXCLUDE (expected), CASE matched WHEN 3 THEN a.lines WHEN 2 THEN [a.lines[1], ''] || a.lines[2:] WHEN 1 THEN list_transform(range(1, n_lines + 1), lambda i: 'Dotyczy: pismo nr ' || ord || '/' || i)
+pages0 AS (SELECT doc, CASE WHEN q % 59 = 0 THEN 'nowhere' WHEN q % 5 = 4 THEN 'dl_two_left' WHEN q % 11 = 0 THEN 'c65_single' ELSE 'c65_two' END AS layout, CASE WHEN q % 61 = 0 THEN 'Triple' WHEN q % 5 <> 4 AND q % 11 = 0 AND q % 53 <> 0 THEN 'Single' ELSE 'Double' END AS mode,
+  CASE WHEN q % 6 = 1 THEN 'Address' ELSE 'RegisteredLabel' END AS content, q % 41 <> 0 AS readable, q % 37 <> 0 AS has_text, q % 43 = 0 AS wide, expected_lines, expected_number, number AS own_number, type, valid, ll, lt, lw, lh, module_px, q FROM letters),
+pages_ AS (SELECT *, CASE WHEN mode = 'Triple' THEN 'unknown_mode' WHEN layout = 'nowhere' THEN 'unknown_layout' WHEN mode = 'Double' AND layout = 'c65_single' THEN 'no_sender_window' END AS problem FROM pages0),
+usable AS (SELECT * FROM pages_ WHERE readable AND has_text AND problem IS NULL),
+wholes AS (SELECT doc, CASE WHEN NOT readable THEN 'INVALID_DOCUMENT' WHEN NOT has_text THEN 'NO_TEXT_LAYER' ELSE 'UNEXPECTED_PAGE_FORMAT' END AS code, CASE WHEN readable AND has_text THEN 'Warning' ELSE 'Inconclusive' END AS severity,
+  CASE WHEN NOT readable THEN 'Nie udało się odczytać pliku PDF.' WHEN NOT has_text THEN 'Strona nie zawiera warstwy tekstowej (skan albo tekst zamieniony na krzywe). Nie da się sprawdzić położenia adresu.'
+  ELSE 'Strona ma 216,0 mm × 297,0 mm, a układ „' || {_LAYOUT_NAME} || '” zakłada A4 w pionie. Położenie okien może się nie zgadzać.' END AS message FROM pages_ WHERE problem IS NULL AND (NOT readable OR NOT has_text OR wide)),
+bl AS (SELECT p.* EXCLUDE (expected), CASE WHEN matched = 0 AND number % 5 = 0 THEN [' '] WHEN matched = 3 THEN a.lines WHEN matched = 2 THEN [a.lines[1], ''] || a.lines[2:] WHEN matched = 1 THEN list_transform(range(1, n_lines + 1), lambda i: 'Dotyczy: pismo nr ' || ord || '/' || i)
   ELSE list_transform(range(1, n_lines + 1), lambda i: 'Szanowni Państwo, w załączeniu przesyłamy dokumenty do podpisu, pozycja ' || ord || '/' || i) END AS blines, number % 19 = 0 AS non_left FROM parts p JOIN orders ON o_orderkey = doc JOIN addr a ON a.k = o_custkey),
-rw AS (SELECT u.*, r.wl, r.wt, r.ww, r.wh, r.clearance, {_NEIGHBOUR} FROM usable u JOIN layout_window r ON r.layout = u.layout AND r.role = 'recipient' LEFT JOIN layout_window n ON n.layout = u.layout AND n.role = 'sender'),
-sw AS (SELECT u.*, r.wl, r.wt, r.ww, r.wh, r.clearance, {_NEIGHBOUR} FROM usable u JOIN layout_window r ON r.layout = u.layout AND r.role = 'sender' LEFT JOIN layout_window n ON n.layout = u.layout AND n.role = 'recipient' WHERE mode = 'Double'),
+rw AS ({_windows("recipient", "sender")}),
+sw AS ({_windows("sender", "recipient", "u.mode = 'Double'")}),
 cand AS (SELECT *, {_SCORE} AS score, sqrt({_DX} * {_DX} + {_DY} * {_DY}) AS distance, {_NOT_EMPTY} AS nel FROM rw JOIN bl USING (doc)),
-ranked AS (SELECT *, expected_lines IS NOT NULL AS asked, len(list_filter(expected_lines, lambda x: list_contains(list_transform(nel, lambda x: {_NORMAL}), {_NORMAL}))) AS hits,
-  len(nel) BETWEEN 2 AND 8 AND len(list_filter(nel, lambda x: length(x) > 60)) = 0 AND (len(nel) <= 6 OR len(list_filter(nel, lambda x: regexp_matches(x, {_LIKE}) OR regexp_matches(x, {_CL}))) > 0) AS likely FROM cand),
-tiered AS (SELECT *, CASE WHEN asked THEN CASE WHEN hits > 0 THEN 0 END WHEN score > 0 AND likely THEN 1 WHEN likely THEN 2 WHEN score > 0 THEN 3 END AS tier FROM ranked),
-chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY tier, CASE tier WHEN 0 THEN -hits WHEN 2 THEN CASE WHEN len(nel) BETWEEN 3 AND 6 THEN -1 ELSE 0 END ELSE 0 END, CASE WHEN tier = 2 THEN distance ELSE -score END, ord) AS rn FROM tiered WHERE tier IS NOT NULL) WHERE rn = 1),
-beside AS (SELECT b.doc, b.ord, 'recipient' AS role, b.blines FROM rw JOIN bl b USING (doc) LEFT JOIN chosen c ON c.doc = b.doc AND c.ord = b.ord WHERE c.doc IS NULL AND {_area('b.l', 'b.t', 'b.w', 'b.h', 'rw.wl', 'rw.wt', 'rw.ww', 'rw.wh')} > 0
-  UNION ALL SELECT b.doc, b.ord, 'sender', b.blines FROM sw JOIN bl b USING (doc) LEFT JOIN chosen c ON c.doc = b.doc AND c.ord = b.ord WHERE c.doc IS NULL AND {_area('b.l', 'b.t', 'b.w', 'b.h', 'sw.wl', 'sw.wt', 'sw.ww', 'sw.wh')} > 0),
+ranked AS (SELECT *, expected_lines IS NOT NULL AS asked, len(list_filter(expected_lines, lambda x: list_contains(list_transform(nel, lambda x: {_NORMAL}), {_NORMAL}))) AS hits, {_LIKELY} AS likely FROM cand),
+tiered AS (SELECT *, CASE WHEN asked THEN CASE WHEN hits > 0 THEN 0 END ELSE {_TIER} END AS tier FROM ranked),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY {_BEST}) AS rn FROM tiered WHERE tier IS NOT NULL) WHERE rn = 1),
+cand2 AS (SELECT *, {_SCORE} AS score, sqrt({_DX} * {_DX} + {_DY} * {_DY}) AS distance, {_NOT_EMPTY} AS nel, false AS asked, 0 AS hits FROM sw JOIN bl USING (doc) WHERE content = 'Address' AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.doc = bl.doc AND c.ord = bl.ord)),
+tiered2 AS (SELECT *, {_TIER} AS tier FROM (SELECT *, {_LIKELY} AS likely FROM cand2)),
+chosen2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY {_BEST}) AS rn FROM tiered2 WHERE tier IS NOT NULL) WHERE rn = 1),
+beside AS (SELECT b.doc, 'recipient' AS role, rw.content, rw.wname, b.blines FROM rw JOIN bl b USING (doc) LEFT JOIN chosen c ON c.doc = b.doc AND c.ord = b.ord WHERE c.doc IS NULL AND {_area('b.l', 'b.t', 'b.w', 'b.h', 'rw.wl', 'rw.wt', 'rw.ww', 'rw.wh')} > 0
+  UNION ALL SELECT b.doc, 'sender', sw.content, sw.wname, b.blines FROM sw JOIN bl b USING (doc) LEFT JOIN chosen c ON c.doc = b.doc AND c.ord = b.ord LEFT JOIN chosen2 d ON d.doc = b.doc AND d.ord = b.ord WHERE c.doc IS NULL AND d.doc IS NULL AND {_area('b.l', 'b.t', 'b.w', 'b.h', 'sw.wl', 'sw.wt', 'sw.ww', 'sw.wh')} > 0),
 im AS (SELECT doc, 1 AS ord, ll AS l, lt + CASE WHEN q % 9 = 0 THEN 150 ELSE 0 END AS t, lw AS w, lh AS h, q % 23 <> 0 AS was_read FROM usable WHERE q % 6 <> 5
   UNION ALL SELECT doc, 2, 150.0, 20.0, 40.0, 10.0, q % 8 = 0 FROM usable WHERE q % 4 = 0),
-icand AS (SELECT *, {_SCORE} AS score FROM sw JOIN im USING (doc)),
+icand AS (SELECT *, {_SCORE} AS score FROM sw JOIN im USING (doc) WHERE content <> 'Address'),
 itier AS (SELECT *, CASE WHEN was_read AND valid AND (expected_number IS NULL OR own_number = expected_number) THEN 1 WHEN was_read AND valid THEN 2 WHEN score > 0 THEN 3 END AS tier FROM icand WHERE score > 0 OR (w >= 20 AND h >= 4 AND w / h BETWEEN 1.5 AND 10)),
 picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY tier, -score, ord) AS rn FROM itier WHERE tier IS NOT NULL) WHERE rn = 1),
-rc AS (SELECT *, list_filter(list_transform(blines, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS lines, {_fits()} AS place FROM chosen),
+rc AS (SELECT *, list_filter(list_transform(blines, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS lines, CASE WHEN score <= 0 THEN 'outside' ELSE {_fits()} END AS place
+  FROM (SELECT 'recipient' AS role, 3 AS least, 6 AS most, * FROM chosen UNION ALL BY NAME SELECT 'sender' AS role, 2 AS least, 5 AS most, * REPLACE (NULL AS expected_lines, NULL AS nl, NULL AS nt, NULL AS nw, NULL AS nh) FROM chosen2)),
 rv AS (SELECT *, len(lines) AS n, CASE WHEN regexp_matches(lines[-1], {_PL}) THEN 'ok' WHEN len(lines) >= 2 AND regexp_matches(lines[-1], {_CL}) AND upper(lines[-1]) NOT IN ('POLSKA', 'POLAND') THEN 'ok'
   WHEN len(lines) >= 2 AND upper(lines[-1]) IN ('POLSKA', 'POLAND') AND regexp_matches(lines[-2], {_PL}) THEN 'ok' WHEN len(list_filter(lines, lambda x: regexp_matches(x, {_PL}))) > 0 THEN 'text_after' ELSE 'missing' END AS verdict,
-  len(list_filter(lines, lambda x: regexp_matches(x, {_MF}))) > 0 AS fields FROM rc),
+  len(list_filter(lines, lambda x: regexp_matches(x, {_MF}))) > 0 AS fields, list_distinct(flatten(list_transform(lines, lambda x: regexp_extract_all(regexp_replace(x, {_MF}, '', 'g'), {_UNUSUAL})))) AS odd,
+  list_filter(expected_lines, lambda x: NOT list_contains(list_transform(nel, lambda x: {_NORMAL}), {_NORMAL})) AS lacking FROM rc),
 pl AS (SELECT *, {_label()} AS place FROM picked),
 piss AS (
-  SELECT doc, 'recipient' AS role, 'TEXT_ROTATED' AS code, 'Error' AS severity FROM rv WHERE rotated UNION ALL SELECT doc, 'recipient', 'ADDRESS_OUTSIDE_WINDOW', 'Error' FROM rv WHERE place = 'outside'
-  UNION ALL SELECT doc, 'recipient', 'ADDRESS_TOO_CLOSE_TO_EDGE', 'Error' FROM rv WHERE place = 'too_close' UNION ALL SELECT doc, 'recipient', 'EMPTY_LINE_INSIDE', 'Warning' FROM rv WHERE matched = 2
-  UNION ALL SELECT doc, 'recipient', 'MERGE_FIELDS_PRESENT', 'Warning' FROM rv WHERE fields UNION ALL SELECT doc, 'recipient', 'TOO_FEW_LINES', 'Error' FROM rv WHERE n < 3 UNION ALL SELECT doc, 'recipient', 'TOO_MANY_LINES', 'Error' FROM rv WHERE n > 6
-  UNION ALL SELECT doc, 'recipient', 'LINE_TOO_LONG', 'Error' FROM (SELECT doc, unnest(lines) AS x FROM rv) WHERE length(x) > 40
-  UNION ALL SELECT doc, 'recipient', CASE verdict WHEN 'missing' THEN 'POSTAL_CODE_LINE_MISSING' ELSE 'TEXT_AFTER_POSTAL_CODE_LINE' END, CASE WHEN fields THEN 'Warning' ELSE 'Error' END FROM rv WHERE verdict <> 'ok'
-  UNION ALL SELECT doc, 'recipient', 'UNUSUAL_CHARACTERS', 'Warning' FROM rv WHERE len(list_filter(lines, lambda x: regexp_matches(regexp_replace(x, {_MF}, '', 'g'), {_UNUSUAL}))) > 0
-  UNION ALL SELECT doc, 'recipient', 'FONT_TOO_SMALL', 'Error' FROM rv WHERE font < 8 UNION ALL SELECT doc, 'recipient', 'FONT_TOO_LARGE', 'Warning' FROM rv WHERE font + n_lines % 3 > 14
-  UNION ALL SELECT doc, 'recipient', 'DECORATED_TEXT', 'Warning' FROM rv WHERE italic UNION ALL SELECT doc, 'recipient', 'NON_LEFT_ALIGNMENT', 'Warning' FROM rv WHERE non_left
-  UNION ALL SELECT doc, 'recipient', 'ADDRESS_MISMATCH', 'Error' FROM rv WHERE asked AND hits < len(expected_lines)
-  UNION ALL SELECT doc, role, 'OTHER_TEXT_IN_WINDOW', 'Warning' FROM beside b WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.doc = b.doc AND b.role = 'recipient') OR EXISTS (SELECT 1 FROM picked p WHERE p.doc = b.doc AND b.role = 'sender')
-  UNION ALL SELECT doc, 'recipient', CASE WHEN expected_lines IS NOT NULL THEN 'ADDRESS_NOT_FOUND' ELSE 'WINDOW_NOT_FOUND' END, 'Error' FROM rw WHERE doc NOT IN (SELECT doc FROM chosen)
-  UNION ALL SELECT doc, 'sender', 'LABEL_NOT_FOUND', 'Error' FROM sw WHERE doc NOT IN (SELECT doc FROM picked)
-  UNION ALL SELECT doc, 'sender', 'LABEL_OUTSIDE_WINDOW', 'Error' FROM pl WHERE place IN ('outside', 'not_overlapping') UNION ALL SELECT doc, 'sender', 'LABEL_TOO_LARGE', 'Error' FROM pl WHERE place = 'too_large'
-  UNION ALL SELECT doc, 'sender', 'LABEL_TOO_CLOSE_TO_EDGE', 'Error' FROM pl WHERE place = 'too_close' UNION ALL SELECT doc, 'sender', 'LABEL_UNREADABLE', 'Inconclusive' FROM pl WHERE NOT was_read
-  UNION ALL SELECT doc, 'sender', 'LABEL_NUMBER_INVALID', 'Error' FROM pl WHERE was_read AND NOT valid UNION ALL SELECT doc, 'sender', 'LABEL_NUMBER_MISMATCH', 'Error' FROM pl WHERE was_read AND own_number <> expected_number
-  UNION ALL SELECT doc, 'sender', 'LABEL_BARCODE_NOT_GS1', 'Warning' FROM pl WHERE was_read AND valid AND type = 'Domestic' AND q % 29 = 0 UNION ALL SELECT doc, 'sender', 'LABEL_LOW_RESOLUTION', 'Warning' FROM pl WHERE was_read AND module_px < 2.5),
+  SELECT doc, role, 'TEXT_ROTATED' AS code, 'Error' AS severity, 'Tekst adresu w ' || wname || ' jest obrócony lub pionowy. Adres musi być poziomy, równoległy do dłuższego boku koperty.' AS message FROM rv WHERE rotated
+  UNION ALL SELECT doc, role, 'ADDRESS_OUTSIDE_WINDOW', 'Error', CASE WHEN score <= 0 THEN {_AWAY("Adres")} ELSE 'Tekst adresu wychodzi poza ' || wname || ' (' || {_over_text()} || '). Okno: ' || {_WIN} || ', tekst: ' || {_OWN} || '.' END FROM rv WHERE place = 'outside'
+  UNION ALL SELECT doc, role, 'ADDRESS_TOO_CLOSE_TO_EDGE', 'Error', {_CLOSE("Tekst adresu", "tekst")} FROM rv WHERE place = 'too_close'
+  UNION ALL SELECT doc, role, 'EMPTY_LINE_INSIDE', 'Warning', 'Adres zawiera pusty wiersz. Wiersze adresu powinny następować bezpośrednio po sobie.' FROM rv WHERE matched = 2
+  UNION ALL SELECT doc, role, 'ADDRESS_EMPTY', 'Error', 'Blok adresowy jest pusty.' FROM rv WHERE n = 0
+  UNION ALL SELECT doc, role, 'MERGE_FIELDS_PRESENT', 'Warning', 'Adres zawiera pola korespondencji seryjnej. Długość wierszy i kod pocztowy sprawdzono tylko dla szablonu, zweryfikuj też dokumenty po scaleniu.' FROM rv WHERE fields
+  UNION ALL SELECT doc, role, 'TOO_FEW_LINES', 'Error', 'Adres ma ' || n || ' ' || {_LINES} || ', wymagane są co najmniej ' || least || '.' FROM rv WHERE n > 0 AND n < least
+  UNION ALL SELECT doc, role, 'TOO_MANY_LINES', 'Error', 'Adres ma ' || n || ' ' || {_LINES} || ', dopuszczalne jest najwyżej ' || most || '.' FROM rv WHERE n > most
+  UNION ALL SELECT doc, role, 'LINE_TOO_LONG', 'Error', 'Wiersz ' || i || ' ma ' || length(x) || ' znaków, dopuszczalne jest 40: „' || x || '”.' FROM (SELECT doc, role, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM rv) WHERE length(x) > 40
+  UNION ALL SELECT doc, role, 'TEXT_AFTER_POSTAL_CODE_LINE', CASE WHEN fields THEN 'Warning' ELSE 'Error' END, 'Wiersz z kodem pocztowym („' || list_filter(lines, lambda x: regexp_matches(x, {_PL}))[1] || '”) musi być ostatnim wierszem adresu (w adresie zagranicznym przedostatnim, przed nazwą kraju wielkimi literami).' FROM rv WHERE n > 0 AND verdict = 'text_after'
+  UNION ALL SELECT doc, role, 'POSTAL_CODE_LINE_MISSING', CASE WHEN fields THEN 'Warning' ELSE 'Error' END, 'Ostatni wiersz adresu musi zawierać kod pocztowy w formacie NN-NNN i miejscowość (np. „00-940 Warszawa”), a w adresie zagranicznym nazwę kraju wielkimi literami.'
+    || CASE WHEN {_LIKE_CODE} IS NULL THEN '' WHEN regexp_matches({_LIKE_CODE}, '^[0-9]{{2}}-[0-9]{{3}}$') THEN ' Kod „' || {_LIKE_CODE} || '” jest w adresie, ale nie na początku ostatniego wiersza.' ELSE ' Znaleziono „' || {_LIKE_CODE} || '”; wymagany format to NN-NNN, potem spacja i miejscowość.' END FROM rv WHERE n > 0 AND verdict = 'missing'
+  UNION ALL SELECT doc, role, 'UNUSUAL_CHARACTERS', 'Warning', 'Adres zawiera nietypowe znaki: ' || array_to_string(list_transform(odd, lambda x: '„' || x || '”'), ' ') || '. Mogą utrudnić odczyt maszynowy.' FROM rv WHERE len(odd) > 0
+  UNION ALL SELECT doc, role, 'FONT_TOO_SMALL', 'Error', 'Czcionka adresu ma ' || {_PT("font")} || ', minimum to 8 pt.' FROM rv WHERE n > 0 AND font < 8
+  UNION ALL SELECT doc, role, 'FONT_TOO_LARGE', 'Warning', 'Czcionka adresu ma ' || {_PT("font + n_lines % 3")} || ', zalecane maksimum to 14 pt.' FROM rv WHERE n > 0 AND font + n_lines % 3 > 14
+  UNION ALL SELECT doc, role, 'DECORATED_TEXT', 'Warning', 'Adres zawiera kursywę, co utrudnia odczyt maszynowy. Użyj zwykłego kroju.' FROM rv WHERE n > 0 AND italic
+  UNION ALL SELECT doc, role, 'NON_LEFT_ALIGNMENT', 'Warning', 'Adres powinien być wyrównany do lewej.' FROM rv WHERE n > 0 AND non_left
+  UNION ALL SELECT doc, role, 'ADDRESS_MISMATCH', 'Error', 'Adres w dokumencie różni się od danych odbiorcy. Brakuje wierszy: ' || array_to_string(list_transform(lacking, lambda x: '„' || x || '”'), '; ') || '.' FROM rv WHERE asked AND len(lacking) > 0
+  UNION ALL SELECT doc, role, 'OTHER_TEXT_IN_WINDOW', 'Warning', 'W ' || wname || ' widać także inny tekst: „' || {_SNIPPET} || '”.' FROM beside b WHERE (role = 'recipient' AND doc IN (SELECT doc FROM chosen)) OR (role = 'sender' AND doc IN (SELECT doc FROM chosen2))
+  UNION ALL SELECT doc, role, 'OTHER_TEXT_IN_WINDOW', 'Warning', 'Obok nalepki R ' || wname || ' pokazuje także tekst: „' || {_SNIPPET} || '”.' FROM beside b WHERE role = 'sender' AND doc IN (SELECT doc FROM picked)
+  UNION ALL SELECT doc, 'recipient', 'ADDRESS_NOT_FOUND', 'Error', 'Na pierwszej stronie nie ma adresu odbiorcy „' || array_to_string(expected_lines, ' / ') || '”: żaden blok tekstu nie zawiera jego wierszy.' FROM rw WHERE expected_lines IS NOT NULL AND doc NOT IN (SELECT doc FROM chosen)
+  UNION ALL SELECT doc, role, 'WINDOW_NOT_FOUND', 'Error', 'Nie znaleziono obszaru adresowego: w ' || wname || ' ' || {_WIN} || ' na pierwszej stronie nie ma tekstu.'
+    FROM (SELECT *, 'recipient' AS role FROM rw WHERE expected_lines IS NULL AND doc NOT IN (SELECT doc FROM chosen) UNION ALL SELECT *, 'sender' FROM sw WHERE content = 'Address' AND doc NOT IN (SELECT doc FROM chosen2))
+  UNION ALL SELECT doc, 'sender', 'LABEL_NOT_FOUND', 'Error', 'Nie znaleziono nalepki R: ' || wname || ' ' || {_WIN} || ' na pierwszej stronie nie zawiera grafiki.' || CASE WHEN EXISTS (SELECT 1 FROM beside b WHERE b.doc = sw.doc AND b.role = 'sender') THEN ' W oknie jest tekst, ale nalepka R musi być wstawiona jako grafika.' ELSE '' END
+    FROM sw WHERE content <> 'Address' AND doc NOT IN (SELECT doc FROM picked)
+  UNION ALL SELECT doc, 'sender', 'LABEL_OUTSIDE_WINDOW', 'Error', CASE place WHEN 'outside' THEN 'Nalepka R wychodzi poza ' || wname || ' (' || {_over_text()} || '). Okno: ' || {_WIN} || ', nalepka: ' || {_OWN} || '.' ELSE {_AWAY("Nalepka R")} END FROM pl WHERE place IN ('outside', 'not_overlapping')
+  UNION ALL SELECT doc, 'sender', 'LABEL_TOO_LARGE', 'Error', 'Nalepka R ma ' || {_SIZE("w", "h")} || ', a ' || wname || ' mieści najwyżej ' || {_SIZE(_INNER[2], _INNER[3])} || ' (z odstępem ' || {_MM("clearance")} || ' od krawędzi). Zmniejsz nalepkę.' FROM pl WHERE place = 'too_large'
+  UNION ALL SELECT doc, 'sender', 'LABEL_TOO_CLOSE_TO_EDGE', 'Error', {_CLOSE("Nalepka R", "nalepka")} FROM pl WHERE place = 'too_close'
+  UNION ALL SELECT doc, 'sender', 'LABEL_UNREADABLE', 'Inconclusive', 'Nie udało się odczytać kodu kreskowego z grafiki w oknie: w obrazie nie ma czytelnego kodu Code 128. Nalepka R musi być wstawiona jako obraz PNG z generatora nalepek, bez skalowania i bez kompresji obrazów w dokumencie.' FROM pl WHERE NOT was_read
+  UNION ALL SELECT doc, 'sender', 'LABEL_NUMBER_INVALID', 'Error', 'Numer nadawczy na nalepce R jest niepoprawny: ' || {_WRONG} || '.' FROM pl WHERE was_read AND NOT valid
+  UNION ALL SELECT doc, 'sender', 'LABEL_TYPE_NOT_ALLOWED', 'Error', 'Nalepka R ma numer zagraniczny (' || {_HUMAN} || '), a dla tej przesyłki dopuszczalny jest tylko numer krajowy.' FROM pl WHERE was_read AND valid AND type = 'International'
+  UNION ALL SELECT doc, 'sender', 'LABEL_NUMBER_MISMATCH', 'Error', 'Na nalepce R jest numer ' || own_number || ', a dla tej przesyłki oczekiwany jest ' || expected_number || '.' FROM pl WHERE was_read AND own_number <> expected_number
+  UNION ALL SELECT doc, 'sender', 'LABEL_BARCODE_NOT_GS1', 'Warning', 'Numer krajowy jest zakodowany jako zwykły Code 128, bez znaku FNC1. Nalepka Poczty Polskiej używa GS1-128; skanery nie rozpoznają tego kodu jako SSCC.' FROM pl WHERE was_read AND valid AND type = 'Domestic' AND q % 29 = 0
+  UNION ALL SELECT doc, 'sender', 'LABEL_LOW_RESOLUTION', 'Warning', 'Obraz nalepki R ma niską rozdzielczość: najwęższa kreska kodu ma ' || {_COMMA("module_px")} || ' px (obraz ' || CAST(w * 8 AS INTEGER) || '×' || CAST(h * 8 AS INTEGER) || ' px na ' || {_SIZE("w", "h")} || '). Obraz został zmniejszony, najpewniej przy zapisie do PDF (Word zmniejsza obrazy do ok. 200 DPI); wydrukowany kod może być nieostry. Sprawdź odczyt skanerem na wydruku albo twórz PDF narzędziem, które nie zmniejsza obrazów.' FROM pl WHERE was_read AND module_px < 2.5),
 pwin AS (SELECT d.doc, d.role, d.found, count(code) FILTER (WHERE severity = 'Error') AS e, count(code) FILTER (WHERE severity = 'Inconclusive') AS i, count(code) FILTER (WHERE severity = 'Warning') AS w
-  FROM (SELECT doc, 'recipient' AS role, doc IN (SELECT doc FROM chosen) AS found FROM rw UNION ALL SELECT doc, 'sender', doc IN (SELECT doc FROM picked) FROM sw) d LEFT JOIN piss ON piss.doc = d.doc AND piss.role = d.role GROUP BY ALL),
-pout AS (SELECT *, CASE WHEN NOT found OR e > 0 THEN 'Invalid' WHEN i > 0 THEN 'Inconclusive' ELSE 'Valid' END AS outcome FROM pwin)"""
+  FROM (SELECT doc, 'recipient' AS role, doc IN (SELECT doc FROM chosen) AS found FROM rw UNION ALL SELECT doc, 'sender', doc IN (SELECT doc FROM picked) OR doc IN (SELECT doc FROM chosen2) FROM sw) d LEFT JOIN piss ON piss.doc = d.doc AND piss.role = d.role GROUP BY ALL),
+pout AS (SELECT *, CASE WHEN NOT found OR e > 0 THEN 'Invalid' WHEN i > 0 THEN 'Inconclusive' ELSE 'Valid' END AS outcome FROM pwin),
+verdicts AS (SELECT p.doc, p.problem, count(o.doc) AS n_windows, CAST(coalesce(sum(e), 0) AS BIGINT) AS n_errors, CAST(coalesce(sum(w), 0) + coalesce(max(CASE WHEN x.severity = 'Warning' THEN 1 END), 0) AS BIGINT) AS n_warnings,
+  CASE WHEN p.problem IS NULL THEN CASE WHEN coalesce(bool_or(o.outcome = 'Invalid'), false) OR coalesce(sum(e), 0) > 0 THEN 'Invalid' WHEN count(o.doc) = 0 OR coalesce(sum(i), 0) > 0 OR coalesce(bool_or(x.severity = 'Inconclusive'), false) THEN 'Inconclusive' ELSE 'Valid' END END AS outcome
+  FROM pages_ p LEFT JOIN pout o ON o.doc = p.doc LEFT JOIN wholes x ON x.doc = p.doc GROUP BY p.doc, p.problem)"""
 
 
-def _inspected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pages = dv.pages(spark, sf_dir)
-    return pages, pg.inspect(pages, dv.page_blocks(spark, sf_dir), dv.page_images(spark, sf_dir), layout_windows(spark))
+def _inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, where only domestic numbers are allowed."""
+    return pg.inspect(dv.pages(spark, sf_dir), dv.page_blocks(spark, sf_dir), dv.page_images(spark, sf_dir), layout_windows(spark), label=rules.LabelRules(international=False))
 
 
-@query(f"WITH {PAGES} SELECT doc, role, code, severity FROM piss UNION ALL SELECT doc, 'document', code, severity FROM wholes")
+@query(f"WITH {PAGES} SELECT doc, role, code, severity, message FROM piss UNION ALL SELECT doc, 'document', code, severity, message FROM wholes")
 def page_issues(spark, sf_dir):
-    """Every issue of every page, found by choosing blocks and labels among all of the page's."""
-    pages, found = _inspected(spark, sf_dir)
-    return found.select("doc", "role", F.inline("issues")).unionByName(pg.document_issues(pages).withColumn("role", F.lit("document")))
+    """Every issue of every page with its message, found by choosing blocks and labels among all of the page's."""
+    return pg.each_issue(_inspected(spark, sf_dir))
 
 
 @query(f"WITH {PAGES} SELECT doc, role, found, outcome, CAST(e + i + w AS INTEGER) AS n_issues FROM pout")
 def page_windows(spark, sf_dir):
-    return _inspected(spark, sf_dir)[1].select("doc", "role", "found", "outcome", F.size("issues").alias("n_issues"))
+    return pg.each_window(_inspected(spark, sf_dir)).drop("content")
 
 
-@query(f"""WITH {PAGES}, t AS (SELECT p.doc, count(o.doc) AS n_windows, coalesce(sum(e), 0) AS e, coalesce(sum(w), 0) AS w, coalesce(sum(i), 0) AS i, coalesce(bool_or(o.outcome = 'Invalid'), false) AS bad FROM pages_ p LEFT JOIN pout o ON o.doc = p.doc GROUP BY p.doc),
-u AS (SELECT t.doc, n_windows, CAST(e AS BIGINT) AS n_errors, CAST(w + CASE WHEN x.severity = 'Warning' THEN 1 ELSE 0 END AS BIGINT) AS n_warnings, CASE WHEN bad OR e > 0 THEN 'Invalid' WHEN n_windows = 0 OR i > 0 OR x.severity = 'Inconclusive' THEN 'Inconclusive' ELSE 'Valid' END AS outcome FROM t LEFT JOIN wholes x ON x.doc = t.doc)
-SELECT doc, outcome, outcome = 'Valid' AS is_valid, n_windows, n_errors, n_warnings FROM u""")
+@query(f"WITH {PAGES} SELECT doc, problem, outcome, coalesce(outcome = 'Valid', false) AS is_valid, n_windows, n_errors, n_warnings FROM verdicts")
 def inspect_page(spark, sf_dir):
     """The flagship: the verdict on every page, whether its windows could be inspected or not."""
-    return pg.outcomes(*_inspected(spark, sf_dir))
+    return pg.outcomes(_inspected(spark, sf_dir))
+
+
+_ABOUT_PLACES = "code IN ('ADDRESS_NOT_FOUND', 'WINDOW_NOT_FOUND', 'LABEL_NOT_FOUND', 'OTHER_TEXT_IN_WINDOW') OR code IN ('ADDRESS_OUTSIDE_WINDOW', 'LABEL_OUTSIDE_WINDOW') AND contains(message, ' leży w całości ')"
 
 
-@query(f"""WITH {PAGES} SELECT doc, role, text FROM (
-  SELECT doc, 'recipient' AS role, {_AWAY('Adres', 'okno nadawcy', 'okno adresata')} AS text FROM chosen WHERE {_area()} <= 0
-  UNION ALL SELECT doc, 'sender', {_AWAY('Nalepka R', 'okno adresata', 'okno nadawcy')} FROM picked WHERE {_area()} <= 0
-  UNION ALL SELECT doc, 'recipient', 'W okno adresata widać także inny tekst: „' || {_SNIPPET} || '”.' FROM beside WHERE role = 'recipient' AND doc IN (SELECT doc FROM chosen)
-  UNION ALL SELECT doc, 'sender', 'Obok nalepki R okno nadawcy pokazuje także tekst: „' || {_SNIPPET} || '”.' FROM beside WHERE role = 'sender' AND doc IN (SELECT doc FROM picked)
-  UNION ALL SELECT doc, 'recipient', CASE WHEN expected_lines IS NOT NULL THEN 'Na pierwszej stronie nie ma adresu odbiorcy „' || array_to_string(expected_lines, ' / ') || '”: żaden blok tekstu nie zawiera jego wierszy.'
-    ELSE 'Nie znaleziono obszaru adresowego: w okno adresata ' || {_PLACE('wl', 'wt', 'ww', 'wh')} || ' na pierwszej stronie nie ma tekstu.' END FROM rw WHERE doc NOT IN (SELECT doc FROM chosen)
-  UNION ALL SELECT doc, 'sender', 'Nie znaleziono nalepki R: okno nadawcy ' || {_PLACE('wl', 'wt', 'ww', 'wh')} || ' na pierwszej stronie nie zawiera grafiki.' || CASE WHEN EXISTS (SELECT 1 FROM beside b WHERE b.doc = sw.doc AND b.role = 'sender') THEN ' W oknie jest tekst, ale nalepka R musi być wstawiona jako grafika.' ELSE '' END FROM sw WHERE doc NOT IN (SELECT doc FROM picked))""")
+@query(f"WITH {PAGES} SELECT doc, role, message AS text FROM piss WHERE {_ABOUT_PLACES}")
 def page_texts(spark, sf_dir):
     """What the issues about places and other text say."""
-    return _inspected(spark, sf_dir)[1].select("doc", "role", F.explode("texts").alias("text"))
+    return pg.each_issue(_inspected(spark, sf_dir)).where(_ABOUT_PLACES).select("doc", "role", F.col("message").alias("text"))
+
+
+@query(f"WITH {PAGES} SELECT code, severity, count(*) AS n, count(DISTINCT doc) AS pages FROM (SELECT doc, code, severity FROM piss UNION ALL SELECT doc, code, severity FROM wholes) GROUP BY ALL")
+def page_issue_counts(spark, sf_dir):
+    """How often each issue occurs, over all pages."""
+    return pg.each_issue(_inspected(spark, sf_dir)).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("pages"))
 
 
 @query(f"""WITH {LETTERS}, x AS (SELECT *, lines AS ls FROM lv) SELECT doc, text FROM (
@@ -134,40 +190,42 @@ def settings_check(spark, sf_dir):
     return pg.layout_problem(o, layout_windows(spark)).select("doc", "problem", pg.option_problem(F.col("doc") % 4, F.col("doc") % 700).alias("option_problem"))
 
 
-_SIDES = ("z lewej", "l", "wl - l"), ("z prawej", "r", "(l + w) - (wl + ww)"), ("u góry", "t", "wt - t"), ("u dołu", "b", "(t + h) - (wt + wh)")
-_OVER_TEXT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {v} > 0.05 THEN '{word} o ' || replace(printf('%.1f', round_even({v}, 1)), '.', ',') || ' mm' END" for word, _, v in _SIDES) + "], lambda x: x IS NOT NULL), ', ')"
 SHOWN = f"""{PAGES},
-shown AS (SELECT o.doc, o.role, o.found, o.outcome, w.wl, w.wt, w.ww, w.wh, c.l, c.t, c.w, c.h, NULL AS num FROM pout o JOIN rw w ON w.doc = o.doc LEFT JOIN chosen c ON c.doc = o.doc WHERE o.role = 'recipient'
-  UNION ALL SELECT o.doc, o.role, o.found, o.outcome, w.wl, w.wt, w.ww, w.wh, c.l, c.t, c.w, c.h, CASE WHEN c.was_read THEN c.own_number END FROM pout o JOIN sw w ON w.doc = o.doc LEFT JOIN picked c ON c.doc = o.doc WHERE o.role = 'sender'),
-told AS (SELECT *, CASE WHEN found THEN {_OVER_TEXT} ELSE '' END AS over_text, CASE role WHEN 'sender' THEN 'okno nadawcy' ELSE 'okno adresata' END AS name FROM shown)"""
+shown AS (SELECT o.doc, o.role, o.found, o.outcome, 'Address' AS content, w.wname AS name, w.wl, w.wt, w.ww, w.wh, c.l, c.t, c.w, c.h, NULL AS num, NULL AS human, NULL AS kind, c.lines, CASE WHEN w.expected_lines IS NULL THEN 'NotChecked' WHEN c.doc IS NULL THEN NULL WHEN len(c.lacking) > 0 THEN 'Mismatch' ELSE 'Matched' END AS match
+    FROM pout o JOIN rw w ON w.doc = o.doc LEFT JOIN rv c ON c.doc = o.doc AND c.role = 'recipient' WHERE o.role = 'recipient'
+  UNION ALL SELECT o.doc, o.role, o.found, o.outcome, 'Address', w.wname, w.wl, w.wt, w.ww, w.wh, c.l, c.t, c.w, c.h, NULL, NULL, NULL, c.lines, 'NotChecked' FROM pout o JOIN sw w ON w.doc = o.doc AND w.content = 'Address' LEFT JOIN rv c ON c.doc = o.doc AND c.role = 'sender' WHERE o.role = 'sender'
+  UNION ALL SELECT o.doc, o.role, o.found, o.outcome, 'RegisteredLabel', w.wname, w.wl, w.wt, w.ww, w.wh, c.l, c.t, c.w, c.h, CASE WHEN c.was_read THEN c.own_number END, CASE WHEN c.was_read THEN {_HUMAN.replace("own_number", "c.own_number").replace("CASE type", "CASE c.type")} END, CASE WHEN c.was_read THEN c.type END, NULL, NULL
+    FROM pout o JOIN sw w ON w.doc = o.doc AND w.content <> 'Address' LEFT JOIN picked c ON c.doc = o.doc WHERE o.role = 'sender'),
+told AS (SELECT *, CASE WHEN found THEN {_over_text()} ELSE '' END AS over_text FROM shown),
+sentences AS (SELECT doc, string_agg(CASE WHEN found THEN name || ': ' || CASE outcome WHEN 'Valid' THEN 'OK' WHEN 'Inconclusive' THEN 'nierozstrzygnięte' ELSE 'błąd' END || CASE WHEN over_text <> '' THEN ' (wystaje ' || over_text || ')' ELSE '' END
+  WHEN content = 'RegisteredLabel' THEN name || ': nie znaleziono nalepki R' ELSE name || ': nie znaleziono adresu' END, '; ' ORDER BY role) AS summary FROM told GROUP BY doc)"""
 
 
-@query(f"""WITH {SHOWN}, x AS (SELECT *, CASE WHEN role = 'sender' THEN 'nalepka R' || coalesce(' ' || num, '') ELSE 'adres' END AS what FROM told)
+@query(f"""WITH {SHOWN}, x AS (SELECT *, CASE WHEN content = 'RegisteredLabel' THEN 'nalepka R' || coalesce(' ' || num, '') ELSE 'adres' END AS what FROM told)
 SELECT doc, role, 'window' AS kind, CASE outcome WHEN 'Valid' THEN 'ok' WHEN 'Inconclusive' THEN 'unsure' ELSE 'error' END AS colour, wl AS "left", wt AS "top", wl + ww AS "right", wt + wh AS "bottom", false AS sticks_out,
-  name || ': ' || CASE WHEN found THEN CASE outcome WHEN 'Valid' THEN 'OK' WHEN 'Inconclusive' THEN 'NIEROZSTRZYGNIĘTE' ELSE 'BŁĄD' END WHEN role = 'sender' THEN 'BRAK NALEPKI R' ELSE 'BRAK ADRESU' END AS caption FROM x
+  name || ': ' || CASE WHEN found THEN CASE outcome WHEN 'Valid' THEN 'OK' WHEN 'Inconclusive' THEN 'NIEROZSTRZYGNIĘTE' ELSE 'BŁĄD' END WHEN content = 'RegisteredLabel' THEN 'BRAK NALEPKI R' ELSE 'BRAK ADRESU' END AS caption FROM x
 UNION ALL SELECT doc, role, 'content', CASE WHEN over_text <> '' THEN 'error' ELSE 'content' END, l, t, l + w, t + h, over_text <> '', CASE WHEN over_text <> '' THEN what || ' wystaje: ' || over_text ELSE what END FROM x WHERE found""")
 def overlay_rows(spark, sf_dir):
-    return pg.overlays(_inspected(spark, sf_dir)[1])
+    return pg.overlays(_inspected(spark, sf_dir))
 
 
-@query(f"""WITH {SHOWN}, s AS (SELECT doc, string_agg(CASE WHEN found THEN name || ': ' || CASE outcome WHEN 'Valid' THEN 'OK' WHEN 'Inconclusive' THEN 'nierozstrzygnięte' ELSE 'błąd' END || CASE WHEN over_text <> '' THEN ' (wystaje ' || over_text || ')' ELSE '' END
-  WHEN role = 'sender' THEN name || ': nie znaleziono nalepki R' ELSE name || ': nie znaleziono adresu' END, '; ' ORDER BY role) AS summary FROM told GROUP BY doc)
-SELECT p.doc, coalesce(summary, CASE WHEN NOT readable THEN 'Nie udało się odczytać pliku PDF.' ELSE 'Strona nie zawiera warstwy tekstowej (skan albo tekst zamieniony na krzywe). Nie da się sprawdzić położenia adresu.' END) AS summary FROM pages_ p LEFT JOIN s ON s.doc = p.doc""")
+@query(f"WITH {SHOWN} SELECT p.doc, coalesce(summary, x.message) AS summary FROM pages_ p LEFT JOIN sentences s ON s.doc = p.doc LEFT JOIN wholes x ON x.doc = p.doc")
 def page_summary(spark, sf_dir):
-    return pg.summaries(*_inspected(spark, sf_dir))
+    return pg.summaries(_inspected(spark, sf_dir))
 
 
 _MM1 = lambda *v: "{" + ", ".join(f"'{k}': round_even({x}, 1)" for k, x in zip(("left", "top", "width", "height"), v)) + "}"
+_OVER1 = "{" + ", ".join(f"'{k}': {_over()[k]}" for k in ("left", "top", "right", "bottom")) + "}"
 
 
-@query(f"""WITH {SHOWN}, i AS (SELECT doc, role, list({{'code': code, 'severity': severity}} ORDER BY code, severity) AS issues FROM piss GROUP BY ALL),
-w AS (SELECT s.doc, list({{'role': s.role, 'outcome': outcome, 'found': found, 'area': {_MM1("wl", "wt", "ww", "wh")}, 'content': CASE WHEN found THEN {_MM1("l", "t", "w", "h")} END, 'number': num, 'issues': coalesce(i.issues, [])}} ORDER BY s.role) AS windows
-  FROM shown s LEFT JOIN i ON i.doc = s.doc AND i.role = s.role GROUP BY s.doc),
-verdicts AS (SELECT p.doc, CASE WHEN bool_or(o.outcome = 'Invalid') THEN 'Invalid' WHEN count(o.doc) = 0 OR bool_or(o.outcome = 'Inconclusive') THEN 'Inconclusive' ELSE 'Valid' END AS outcome FROM pages_ p LEFT JOIN pout o ON o.doc = p.doc GROUP BY p.doc)
-SELECT o.doc, CAST(to_json({{'doc': o.doc, 'outcome': o.outcome, 'isValid': o.outcome = 'Valid', 'documentIssues': CASE WHEN x.code IS NULL THEN [] ELSE [{{'code': x.code, 'severity': x.severity}}] END, 'windows': coalesce(w.windows, [])}}) AS VARCHAR) AS json
-FROM verdicts o LEFT JOIN w ON w.doc = o.doc LEFT JOIN wholes x ON x.doc = o.doc""")
+@query(f"""WITH {SHOWN}, i AS (SELECT doc, role, list({{'code': code, 'severity': severity, 'message': message}} ORDER BY code, severity, message) AS issues FROM piss GROUP BY ALL),
+w AS (SELECT s.doc, list({{'role': s.role, 'content': s.content, 'outcome': outcome, 'found': found, 'name': name, 'area': {_MM1("wl", "wt", "ww", "wh")}, 'contentArea': CASE WHEN found THEN {_MM1("l", "t", "w", "h")} END, 'overflow': CASE WHEN found THEN {_OVER1} END,
+    'lines': s.lines, 'number': num, 'numberHumanReadable': human, 'numberType': kind, 'recipientMatch': match, 'issues': coalesce(i.issues, [])}} ORDER BY s.role) AS windows
+  FROM shown s LEFT JOIN i ON i.doc = s.doc AND i.role = s.role GROUP BY s.doc)
+SELECT o.doc, CAST(to_json({{'doc': o.doc, 'problem': o.problem, 'outcome': o.outcome, 'isValid': coalesce(o.outcome = 'Valid', false), 'summary': coalesce(summary, x.message), 'documentIssues': CASE WHEN x.code IS NULL THEN [] ELSE [{{'code': x.code, 'severity': x.severity, 'message': x.message}}] END, 'windows': coalesce(w.windows, [])}}) AS VARCHAR) AS json
+FROM verdicts o LEFT JOIN w ON w.doc = o.doc LEFT JOIN wholes x ON x.doc = o.doc LEFT JOIN sentences s ON s.doc = o.doc""")
 def page_json(spark, sf_dir):
-    return pg.responses(*_inspected(spark, sf_dir))
+    return pg.responses(_inspected(spark, sf_dir))
 
 
 @query("""SELECT page_id AS doc, mode, CASE WHEN mode = 'Double' AND page_id % 3 = 0 THEN 'no_sender_window' END AS problem FROM pages CROSS JOIN (VALUES ('Single'), ('Double')) x(mode)""")

@@ -86,11 +86,12 @@ def glyphs(documents: DataFrame) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page an order, with its layout, what can be read of it, and what was ordered."""
+    """One page an order, with its layout, what can be read of it, and what was ordered; some name a layout or a mode that there is not, or two windows of a layout with one."""
     k = F.col("doc")
-    layout = F.when(k % 5 == 4, "dl_two_left").when(k % 11 == 0, "c65_single").otherwise("c65_two")
+    layout = F.when(k % 59 == 0, "nowhere").when(k % 5 == 4, "dl_two_left").when(k % 11 == 0, "c65_single").otherwise("c65_two")
+    mode = F.when(k % 61 == 0, "Triple").when((k % 5 != 4) & (k % 11 == 0) & (k % 53 != 0), "Single").otherwise("Double")
     return letters(spark, sf_dir).select(
-        "doc", layout.alias("layout"), F.when((k % 5 != 4) & (k % 11 == 0), "Single").otherwise("Double").alias("mode"), (k % 41 != 0).alias("readable"), (k % 37 != 0).alias("has_text"),
+        "doc", layout.alias("layout"), mode.alias("mode"), F.when(k % 6 == 1, "Address").otherwise("RegisteredLabel").alias("content"), (k % 41 != 0).alias("readable"), (k % 37 != 0).alias("has_text"),
         F.when(k % 43 == 0, 216.0).otherwise(210.0).alias("width_mm"), F.lit(297.0).alias("height_mm"), "expected_lines", "expected_number",
     )
 
@@ -103,7 +104,8 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = parts.join(customers, "doc").join(a, "o_custkey")
     note = lambda text: F.transform(F.sequence(F.lit(1), F.col("n_lines").cast("int")), lambda i: F.concat(F.lit(text), F.col("ord").cast("string"), F.lit("/"), i.cast("string")))
     broken = F.concat(F.slice("lines", 1, 1), F.array(F.lit("")), F.slice("lines", 2, 20))
-    lines = F.when(F.col("matched") == 3, F.col("lines")).when(F.col("matched") == 2, broken).when(F.col("matched") == 1, note("Dotyczy: pismo nr ")).otherwise(note("Szanowni Państwo, w załączeniu przesyłamy dokumenty do podpisu, pozycja "))
+    blank = (F.col("matched") == 0) & (F.col("number") % 5 == 0)
+    lines = F.when(blank, F.array(F.lit(" "))).when(F.col("matched") == 3, F.col("lines")).when(F.col("matched") == 2, broken).when(F.col("matched") == 1, note("Dotyczy: pismo nr ")).otherwise(note("Szanowni Państwo, w załączeniu przesyłamy dokumenty do podpisu, pozycja "))
     return both.select("doc", "ord", "bounds", lines.alias("lines"), F.col("font").alias("font_min"), (F.col("font") + F.col("n_lines") % 3).alias("font_max"), "italic", "rotated", (F.col("number") % 19 == 0).alias("non_left"))
 
 
@@ -113,4 +115,5 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = letters(spark, sf_dir)
     own = x.where(k % 6 != 5).select("doc", F.lit(1).cast("bigint").alias("ord"), offset(b, F.lit(0), F.when(k % 9 == 0, 150).otherwise(0)).alias("bounds"), F.when(F.col("readable"), F.col("raw")).alias("raw"), "gs1", "module_px")
     other = x.where(k % 4 == 0).select("doc", F.lit(2).cast("bigint"), rect(150, 20, 40, 10), F.when(k % 8 == 0, F.col("raw")), "gs1", "module_px")
-    return own.union(other)
+    px = lambda c: (F.col(f"bounds.{c}") * 8).cast("int").cast("string")
+    return own.union(other).withColumn("pixels", F.concat(px("width"), F.lit("×"), px("height")))
