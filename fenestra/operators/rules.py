@@ -32,7 +32,7 @@ RECIPIENT, SENDER = AddressRules(), AddressRules(min_lines=2, max_lines=5)
 def issue(condition: Column, code: str, severity: Column | str = "Error", said: Column | None = None) -> Column:
     """A struct of code and severity, and message where one is given, if the condition holds, else null."""
     level = severity if isinstance(severity, Column) else F.lit(severity)
-    return F.when(condition, F.struct(F.lit(code).alias("code"), level.alias("severity"), *[said.alias("message")] * (said is not None)))
+    return F.when(condition, F.struct(F.lit(code).alias("code"), level.alias("severity"), *([] if said is None else [said.alias("message")])))
 
 
 def issues(*each: Column) -> Column:
