@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fenestra.functions import geometry as g
 
 SHEET = (210.0, 99.0)
 
@@ -73,6 +76,37 @@ def layouts() -> list[tuple[str, str, float, float, float, float, float]]:
     return [(name, role, *map(float, area), clearance) for name, roles in found.items() for role, (area, clearance) in roles.items()]
 
 
+def place_windows(envelopes: DataFrame, windows: DataFrame) -> DataFrame:
+    """Many envelopes at once: layout, role, window (on the page), clearance and problem for every window of `windows`.
+
+    `envelopes`: layout, width, height, centered, sheet_width, sheet_height. `windows`: layout, role, width, height and the distances from_left, from_right, from_top, from_bottom, of which one each way
+    is given. The problem, null for a window that can be used, is the first of: sheet (doesn't fit in the envelope), size, distances, does_not_fit (on the envelope), nothing_visible, and, for a
+    sender's window, overlap (with its layout's recipient's). The window is null where there is a problem but overlap.
+    """
+    e = envelopes.select("layout", F.struct("width", "height", "centered", "sheet_width", "sheet_height").alias("e"))
+    x = windows.join(e, "layout")
+    env, w, h = F.col("e"), F.col("width"), F.col("height")
+    left = F.coalesce("from_left", env["width"] - F.col("from_right") - w)
+    top = F.coalesce("from_top", env["height"] - F.col("from_bottom") - h)
+    x = x.withColumns({"_left": left, "_top": top, "_dx": env["sheet_width"] - env["width"], "_dy": env["sheet_height"] - env["height"]})  # the slack, negative
+    left, top, dx, dy = (F.col(c) for c in ("_left", "_top", "_dx", "_dy"))
+    right = lambda at, size, d, sheet: F.least(at + size + d, sheet)
+    loose = g.from_edges(left, top, right(left, w, dx, env["sheet_width"]), right(top, h, dy, env["sheet_height"]))
+    x = x.withColumns({"_area": F.when(env["centered"], g.rect(left + dx / 2, top + dy / 2, w, h)).otherwise(loose), "clearance": F.when(env["centered"], 3.0).otherwise(1.0)})
+    two = lambda a, b: F.col(a).isNull() == F.col(b).isNull()
+    out = (left < 0) | (top < 0) | (left + w > env["width"]) | (top + h > env["height"])
+    hidden = (F.col("_area.width") <= 2 * F.col("clearance")) | (F.col("_area.height") <= 2 * F.col("clearance"))
+    problem = (
+        F.when((dx > 0) | (dy > 0), "sheet").when((w <= 0) | (h <= 0), "size").when(two("from_left", "from_right") | two("from_top", "from_bottom"), "distances")
+        .when(out, "does_not_fit").when(hidden, "nothing_visible")
+    )
+    placed = x.select("layout", "role", F.when(problem.isNull(), F.col("_area")).alias("window"), "clearance", problem.alias("problem"))
+    first = placed.where("role = 'recipient'").select("layout", F.col("window").alias("_other"))
+    both = placed.join(first, "layout", "left")
+    over = (F.col("role") == "sender") & F.col("_other").isNotNull() & (g.intersection_area(F.col("window"), F.col("_other")) > 0)
+    return both.select("layout", "role", "window", "clearance", F.when(F.col("problem").isNull() & over, "overlap").otherwise(F.col("problem")).alias("problem"))
+
+
 # Names of windows and layouts in messages.
 ROLE_NAMES = {"recipient": "okno adresata", "sender": "okno nadawcy"}
 DIN_NAMES = {"dl_din_b": "okno adresata (DIN 5008 B)", "dl_din_a": "okno adresata (DIN 5008 A)", "dl_two_left": "okno adresata (DIN 5008 B)"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fenestra.functions.addresses import normalize_lines, trim
+from fenestra.operators.scans import counted
 
 LARGEST = 20 * 1024 * 1024
 
@@ -79,9 +80,24 @@ def problem_status(problem: Column) -> Column:
     return F.when(problem.isNull(), F.lit(None).cast("int")).when(problem == "unreadable", 422).when(problem == "conversion_failed", 502).when(problem == "conversion_disabled", 503).when(problem == "internal", 500).otherwise(400)
 
 
+#: Documents whose ord lies in one range are numbered together.
+ORD_RANGE = 100_000
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds _n: the place of a row among those with its sha256, by ord; in two levels, as one content can be that of very many rows."""
+    return counted(rows, ["sha256"], F.floor(F.col("ord") / ORD_RANGE), [F.col("ord")], F.lit(1), "_n")
+
+
 def with_rendered(documents: DataFrame, renders: DataFrame) -> DataFrame:
-    """`documents` (content, file_name) with pdf from `renders` (sha256, file_name, pdf): by content first, then by file name."""
-    by_hash = renders.select(F.col("sha256").alias("_h"), F.col("pdf").alias("_by_hash"))
-    by_name = renders.where("file_name IS NOT NULL").select(F.col("file_name").alias("_f"), F.col("pdf").alias("_by_name"))
-    found = documents.withColumn("_sha", F.sha2("content", 256)).join(by_hash, F.col("_sha") == F.col("_h"), "left").join(by_name, F.col("file_name") == F.col("_f"), "left")
-    return found.withColumn("pdf", F.coalesce("_by_hash", "_by_name")).drop("_sha", "_h", "_by_hash", "_f", "_by_name")
+    """`documents` (ord, content, file_name) with pdf from `renders` (ord, sha256, file_name, pdf): by content first, then by file name.
+
+    A render by content serves one document: of equal contents, the first document takes the first render and so on, by ord (unique). Documents that are left take the first render of their file
+    name, which isn't used up. Every document stays one row; null contents and names match nothing.
+    """
+    own = documents.withColumn("sha256", F.sha2("content", 256))
+    known = own.where("sha256 IS NOT NULL").select("ord", "sha256")
+    taken = _numbered(known).join(_numbered(renders.where("sha256 IS NOT NULL").select("ord", "sha256", "pdf")).select("sha256", "_n", F.struct("pdf").alias("_by_hash")), ["sha256", "_n"]).select("ord", "_by_hash")
+    named = renders.where("file_name IS NOT NULL").groupBy("file_name").agg(F.min_by(F.struct("pdf"), "ord").alias("_by_name"))
+    found = own.drop("sha256").join(taken, "ord", "left").join(named, "file_name", "left")
+    return found.select(*documents.columns, F.coalesce("_by_hash", "_by_name")["pdf"].alias("pdf"))

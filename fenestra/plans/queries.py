@@ -12,7 +12,7 @@ from fenestra.functions import code128 as c128
 from fenestra.functions import geometry as g
 from fenestra.functions import numbers as nb
 from fenestra.operators import barcode, glyphs, requests, rules, selection
-from fenestra.operators.layouts import layout_windows, layouts
+from fenestra.operators.layouts import layout_windows, layouts, place_windows
 from fenestra.sources import derived as dv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,14 +503,17 @@ def form_letter(spark, sf_dir):
     return dv.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), form.alias("form_id"), requests.form_house_number(form).alias("house"))
 
 
-@query("""WITH r AS (SELECT sha256(CASE WHEN page_id % 3 = 0 THEN url || '?' ELSE url END) AS sha, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id END AS name, page_id FROM pages)
-SELECT p.page_id, coalesce(min(h.page_id), min(f.page_id)) AS render FROM pages p LEFT JOIN r h ON h.sha = sha256(p.url) LEFT JOIN r f ON f.name = 'p' || (p.page_id - p.page_id % 6 + 2) GROUP BY p.page_id""")
+@query("""WITH d AS (SELECT page_id, split_part(url, '/', 3) AS content, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS n FROM pages),
+r0 AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN split_part(url, '/', 3) || '?' ELSE split_part(url, '/', 3) END AS content, CASE WHEN page_id % 2 = 0 THEN 'p' || page_id % 50 END AS name FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY page_id) AS n FROM r0), f AS (SELECT name, min(page_id) AS page_id FROM r0 WHERE name IS NOT NULL GROUP BY name)
+SELECT d.page_id, coalesce(r.page_id, f.page_id) AS render FROM d LEFT JOIN r ON r.content = d.content AND r.n = d.n LEFT JOIN f ON f.name = 'p' || d.page_id % 60""")
 def render_lookup(spark, sf_dir):
-    """Pages stand for documents: found by content, which has changed in every third render, else by file name."""
-    p = dv.table(spark, sf_dir, "pages").select("page_id", F.col("url").cast("binary").alias("content"), F.concat(F.lit("p"), (F.col("page_id") - F.col("page_id") % 6 + 2).cast("string")).alias("file_name"))
-    changed = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("?"))).otherwise(F.col("url"))
-    r = dv.table(spark, sf_dir, "pages").select(F.sha2(changed.cast("binary"), 256).alias("sha256"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("p"), F.col("page_id").cast("string"))).alias("file_name"), F.col("page_id").alias("pdf"))
-    return requests.with_rendered(p, r).groupBy("page_id").agg(F.min("pdf").alias("render"))
+    """Pages stand for documents, hosts for contents, which repeat: each render by content serves one document, the others take one of their file name."""
+    k, host = F.col("page_id"), F.split_part(F.col("url"), F.lit("/"), F.lit(3))
+    p = dv.table(spark, sf_dir, "pages").select("page_id", k.alias("ord"), host.cast("binary").alias("content"), F.concat(F.lit("p"), (k % 60).cast("string")).alias("file_name"))
+    changed = F.when(k % 3 == 0, F.concat(host, F.lit("?"))).otherwise(host)
+    r = dv.table(spark, sf_dir, "pages").select(k.alias("ord"), F.sha2(changed.cast("binary"), 256).alias("sha256"), F.when(k % 2 == 0, F.concat(F.lit("p"), (k % 50).cast("string"))).alias("file_name"), k.alias("pdf"))
+    return requests.with_rendered(p, r).select("page_id", F.col("pdf").alias("render"))
 
 
 @query("SELECT page_id, sha256(html) AS sha, contains(encode(html)[1:1024]::VARCHAR, '%PDF-') AS is_pdf, regexp_extract(url, '[^/]*$') AS file_name FROM pages")
@@ -519,3 +522,38 @@ def document_intake(spark, sf_dir):
     sent = dv.table(spark, sf_dir, "pages").withColumn("sent", requests.data_uri(F.col("html").cast("binary"), "text/html"))
     got = sent.withColumn("content", requests.decode_base64(F.col("sent")))
     return got.select("page_id", F.sha2("content", 256).alias("sha"), requests.is_pdf(F.col("content")).alias("is_pdf"), requests.safe_file_name(F.col("url")).alias("file_name"))
+
+
+# ---- envelopes
+
+_ENVELOPE = """e AS (SELECT p_partkey AS k, CAST(205 + p_partkey % 50 AS DOUBLE) AS ew, CAST(95 + p_partkey % 30 AS DOUBLE) AS eh, p_partkey % 2 = 0 AS centered FROM part),
+w AS (SELECT *, 'recipient' AS role, CASE WHEN k % 97 = 0 THEN 0.0 ELSE CAST(90 - k % 7 * 5 AS DOUBLE) END AS ww, CAST(45 - k % 4 * 13 AS DOUBLE) AS wh, CASE WHEN k % 3 = 0 OR k % 41 = 0 THEN CAST(20 + k % 90 AS DOUBLE) END AS fl,
+    CASE WHEN k % 3 <> 0 THEN CAST(10 + k % 60 AS DOUBLE) END AS fr, CASE WHEN k % 5 = 0 THEN CAST(10 + k % 20 AS DOUBLE) END AS ft, CASE WHEN k % 5 <> 0 AND k % 43 <> 0 THEN CAST(5 + k % 40 AS DOUBLE) END AS fb FROM e
+  UNION ALL SELECT *, 'sender', 70.0, 30.0, CAST(28 + k % 100 AS DOUBLE), NULL, NULL, 20.0 FROM e),
+o AS (SELECT *, coalesce(fl, ew - fr - ww) AS ol, coalesce(ft, eh - fb - wh) AS ot FROM w),
+a AS (SELECT *, CASE WHEN centered THEN ol - (ew - 210) / 2 ELSE ol END AS al, CASE WHEN centered THEN ot - (eh - 99) / 2 ELSE ot END AS at_, CASE WHEN centered THEN ww ELSE least(ol + ww - (ew - 210), 210.0) - ol END AS aw,
+    CASE WHEN centered THEN wh ELSE least(ot + wh - (eh - 99), 99.0) - ot END AS ah, CAST(CASE WHEN centered THEN 3 ELSE 1 END AS DOUBLE) AS clearance FROM o),
+p AS (SELECT *, CASE WHEN ew < 210 OR eh < 99 THEN 'sheet' WHEN ww <= 0 OR wh <= 0 THEN 'size' WHEN (fl IS NULL) = (fr IS NULL) OR (ft IS NULL) = (fb IS NULL) THEN 'distances'
+  WHEN ol < 0 OR ot < 0 OR ol + ww > ew OR ot + wh > eh THEN 'does_not_fit' WHEN aw <= 2 * clearance OR ah <= 2 * clearance THEN 'nothing_visible' END AS problem FROM a)"""
+
+
+@query(f"""WITH {_ENVELOPE}, r AS (SELECT k, al, at_, aw, ah FROM p WHERE role = 'recipient' AND problem IS NULL)
+SELECT CAST(p.k AS VARCHAR) AS layout, p.role, CASE WHEN p.problem IS NULL THEN round(p.al, 6) END AS "left", CASE WHEN p.problem IS NULL THEN round(p.at_, 6) END AS "top", CASE WHEN p.problem IS NULL THEN round(p.aw, 6) END AS width, CASE WHEN p.problem IS NULL THEN round(p.ah, 6) END AS height, p.clearance,
+  CASE WHEN p.problem IS NULL AND p.role = 'sender' AND r.k IS NOT NULL AND {_area("p.al", "p.at_", "p.aw", "p.ah", "r.al", "r.at_", "r.aw", "r.ah")} > 0 THEN 'overlap' ELSE p.problem END AS problem FROM p LEFT JOIN r ON r.k = p.k""")
+def envelope_windows(spark, sf_dir):
+    """Windows of many envelopes, placed on the page; each way in which one can be unusable occurs."""
+    k = F.col("p_partkey")
+    d = lambda c: c.cast("double")
+    p = dv.table(spark, sf_dir, "part")
+    e = p.select(k.cast("string").alias("layout"), d(205 + k % 50).alias("width"), d(95 + k % 30).alias("height"), (k % 2 == 0).alias("centered"), F.lit(210.0).alias("sheet_width"), F.lit(99.0).alias("sheet_height"))
+    window = lambda role, *v: F.struct(F.lit(role).alias("role"), *(d(c).alias(n) for n, c in zip(("width", "height", "from_left", "from_right", "from_top", "from_bottom"), v)))
+    none = F.lit(None)
+    first = window("recipient", F.when(k % 97 == 0, 0).otherwise(90 - k % 7 * 5), 45 - k % 4 * 13, F.when((k % 3 == 0) | (k % 41 == 0), 20 + k % 90), F.when(k % 3 != 0, 10 + k % 60), F.when(k % 5 == 0, 10 + k % 20), F.when((k % 5 != 0) & (k % 43 != 0), 5 + k % 40))
+    w = p.select(k.cast("string").alias("layout"), F.inline(F.array(first, window("sender", F.lit(70), F.lit(30), 28 + k % 100, none, none, F.lit(20)))))
+    x = place_windows(e, w)
+    return x.select("layout", "role", *(F.round(F.col(f"window.{c}"), 6).alias(c) for c in ("left", "top", "width", "height")), "clearance", "problem")
+
+
+@query(f"WITH {_ENVELOPE}, r AS (SELECT k, al, at_, aw, ah FROM p WHERE role = 'recipient' AND problem IS NULL), x AS (SELECT p.role, CASE WHEN p.problem IS NULL AND p.role = 'sender' AND r.k IS NOT NULL AND {_area('p.al', 'p.at_', 'p.aw', 'p.ah', 'r.al', 'r.at_', 'r.aw', 'r.ah')} > 0 THEN 'overlap' ELSE p.problem END AS problem FROM p LEFT JOIN r ON r.k = p.k) SELECT role, problem, count(*) AS n FROM x GROUP BY ALL")
+def envelope_problems(spark, sf_dir):
+    return envelope_windows(spark, sf_dir).groupBy("role", "problem").agg(F.count(F.lit(1)).alias("n"))

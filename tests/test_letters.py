@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fenestra.functions import addresses as ad
 from fenestra.functions import geometry as g
 from fenestra.functions import messages as m
+from fenestra.sources import files
 from fenestra.operators import glyphs, layouts, requests, rules, scans, selection
 
 
@@ -204,3 +205,24 @@ def test_one_long_row_of_glyphs(spark, monkeypatch):
         want[-1].append(y[2])
         before = y
     assert ["".join(w) for w in want] == [y.text for y in sorted((y for y in found if y.horizontal), key=lambda y: y.segment)]
+
+
+def test_a_render_serves_one_document(spark):
+    docs = [(1, b"a", "x"), (2, b"a", "y"), (3, b"a", "x"), (4, b"b", None), (5, None, "x"), (6, b"c", "none"), (7, b"a", "none")]
+    renders = [(20, "a", None, "second"), (10, "a", "y", "first"), (30, "z", "x", "by name"), (40, "z", "x", "later"), (50, None, None, "nothing")]
+    r = spark.createDataFrame(renders, "ord bigint, c string, file_name string, pdf string").withColumn("sha256", F.sha2(F.col("c").cast("binary"), 256)).drop("c")
+    got = requests.with_rendered(spark.createDataFrame(docs, "ord bigint, content binary, file_name string"), r).collect()
+    assert {x.ord: x.pdf for x in got} == {1: "first", 2: "second", 3: "by name", 4: None, 5: "by name", 6: None, 7: None} and len(got) == 7
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, body in (("b.pdf", b"%PDF-1.7 x"), ("sub/a.pdf", b"%PDF-1.4 yy"), ("c.pdf", b"no document"), ("d.pdf", b""), ("e.pdf", b"%PDF-" + b"z" * 500), ("f.txt", b"%PDF-1.7")):
+        (tmp_path / name).write_bytes(body)
+    found = files.read_documents(spark, str(tmp_path), largest=100)
+    got = {x.path.rsplit("/", 1)[1]: (x.problem, None if x.content is None else bytes(x.content)) for x in found.collect()}
+    assert got == {"b.pdf": (None, b"%PDF-1.7 x"), "a.pdf": (None, b"%PDF-1.4 yy"), "c.pdf": ("unreadable", b"no document"), "e.pdf": ("too_large", None)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,100)" in plan and "GreaterThan(length,100)" in plan
+    order = [(x.path.rsplit("/", 1)[1], x.mode) for x in files.each_mode(found).collect()]
+    assert order[:2] == [("b.pdf", "Single"), ("b.pdf", "Double")] and order[-1] == ("a.pdf", "Double") and len(order) == 8
