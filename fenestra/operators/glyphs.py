@@ -107,3 +107,40 @@ def blocks(found: DataFrame) -> DataFrame:
     of = F.aggregate("lines", start, step, lambda s: s["of"])
     each = pages.select("doc", F.inline(F.transform(F.arrays_zip(F.col("lines").alias("l"), of.alias("b")), lambda z: F.struct(z["l"].alias("l"), z["b"].alias("block")))))
     return each.select(*(F.col("doc") if c == "doc" else F.col(f"l.{c}").alias(c) for c in found.columns), "block")
+
+
+def on_page(glyphs: DataFrame) -> DataFrame:
+    """Letters on baselines as glyphs on the page as it is shown: adds horizontal, size, cross, along, along_end (mm) and box.
+
+    Needs text, font (points), x1, y1, x2, y2 (the baseline, in points) and turn, and of the page crop_left, crop_bottom, rotation and height_pt. Letters without text or size are none.
+    """
+    page = [F.col(c) for c in ("crop_left", "crop_bottom", "rotation", "height_pt")]
+    x = glyphs.where((F.length("text") > 0) & (F.col("font") > 0))
+    x = x.withColumn("_b", g.glyph_box(F.col("text"), F.col("font"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("turn")))
+    (sx, sy), (ex, ey) = g.to_page(F.col("x1"), F.col("y1"), *page), g.to_page(F.col("_b.x2"), F.col("_b.y2"), *page)
+    x = x.withColumns({"_sx": sx, "_sy": sy, "_ex": ex, "_ey": ey, "box": g.page_rect(*(F.col(f"_b.{c}") for c in ("left", "bottom", "right", "top")), *page)})
+    flat = F.abs(F.col("_ex") - F.col("_sx")) >= F.abs(F.col("_ey") - F.col("_sy"))
+    pick = lambda a, b: F.when(F.col("horizontal"), F.col(a)).otherwise(F.col(b))
+    x = x.withColumns({"horizontal": flat, "size": F.col("font") * g.MM})
+    return x.withColumns({"cross": pick("_sy", "_sx"), "along": pick("_sx", "_sy"), "along_end": pick("_ex", "_ey")}).drop("_b", "_sx", "_sy", "_ex", "_ey")
+
+
+def text_blocks(glyphs: DataFrame) -> DataFrame:
+    """The blocks that pages.inspect() takes (doc, ord, bounds, lines, font_min, font_max, italic, rotated, non_left) from glyphs with box, font and italic, in both directions of text.
+
+    Typography is added up from glyphs to lines to blocks. Lines without a visible glyph are none. A block is rotated if most of its lines run down or up the page, and not aligned to the left if its
+    lines' left edges differ by more than 2 mm while their right edges, or their middles, lie within 1 mm.
+    """
+    each = lines(segments(rows(glyphs))).where(F.col("bounds.left").isNotNull())
+    r = F.col("bounds")
+    each = each.select("doc", "horizontal", "row", "segment", F.trim("text").alias("text"), r["left"].alias("left"), g.right(r).alias("right"), r["top"].alias("top"), g.bottom(r).alias("bottom"), "font_min", "font_max", "italic")
+    spread = lambda c: F.max(c) - F.min(c)
+    centre = F.col("left") + (F.col("right") - F.col("left")) / 2
+    turned = F.sum((~F.col("horizontal")).cast("int")) * 2 > F.count(F.lit(1))
+    ragged = (F.count(F.lit(1)) >= 2) & (spread(F.col("left")) > 2) & ((spread(F.col("right")) < 1) | (spread(centre) < 1))
+    # in the order in which lines were joined
+    text = F.transform(F.array_sort(F.collect_list(F.struct("top", "left", "row", "segment", "text"))), lambda x: x["text"])
+    return blocks(each).groupBy("doc", F.col("block").cast("bigint").alias("ord")).agg(
+        g.from_edges(F.min("left"), F.min("top"), F.max("right"), F.max("bottom")).alias("bounds"), text.alias("lines"), F.min("font_min").alias("font_min"), F.max("font_max").alias("font_max"),
+        F.bool_or("italic").alias("italic"), turned.alias("rotated"), ragged.alias("non_left"),
+    )
