@@ -18,6 +18,8 @@ COUNTRY_LINE = r"^[\p{Lu}][\p{Lu}\s\u0085\p{Z}\-]{1,39}$"
 MERGE_FIELD = r"«[^»]*»|MERGEFIELD|\{\{[^}]*\}\}"
 UNUSUAL = r"""[^\p{L}\p{M}\p{N}\s\u0085\p{Z}.,\-–/'""„”&()«»:;#{}]"""
 SPACES = r"[\s\u0085\p{Z}]+"
+#: The characters of SPACES.
+SPACE = "\t\n\x0b\f\r\x85" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] == "Z")
 #: The home country's names.
 HOME = ("POLSKA", "POLAND")
 LONGEST = 40
@@ -39,14 +41,15 @@ ACCENTED, PLAIN = _plain_letters()
 
 
 def normalize_text(c: Column) -> Column:
-    """Without marks, runs of other than letters and digits as one space, lower case."""
+    """Without marks, runs of other than letters and digits as one space, lower case. Plain ASCII has no marks, and its letters are found without Unicode's tables."""
     bare = F.translate(F.regexp_replace(c, r"\p{Mn}", ""), ACCENTED, PLAIN)
-    return F.lower(F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " ")))
+    found = F.when(F.octet_length(c) == F.length(c), F.regexp_replace(c, "[^A-Za-z0-9]+", " ")).otherwise(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+    return F.lower(F.trim(found))
 
 
 def trim(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, rf"^{SPACES}|{SPACES}$", "")
+    return F.trim(c, F.lit(SPACE))
 
 
 def non_empty_lines(lines: Column) -> Column:
