@@ -5,7 +5,7 @@ A glyph has doc, ord, text, horizontal, size, cross (where its baseline lies), a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenestra.functions import geometry as g
@@ -125,6 +125,59 @@ def on_page(glyphs: DataFrame) -> DataFrame:
     return x.withColumns({"cross": pick("_sy", "_sx"), "along": pick("_sx", "_sy"), "along_end": pick("_ex", "_ey")}).drop("_b", "_sx", "_sy", "_ex", "_ey")
 
 
+def level_rows(levels: DataFrame) -> DataFrame:
+    """One row for each row of glyphs: doc, horizontal, row, and `levels`, an array of what the levels have besides.
+
+    A level is all of a page's glyphs of one direction and cross, in whatever form its other columns hold them; it needs doc, horizontal, cross, and first_size and last_size, those of its least and its greatest ord.
+    Rows begin as in rows(). Levels are dealt out by doc, once; what follows here, in level_lines() and in blocks() moves nothing again.
+    """
+    dealt = levels.repartition("doc")
+    before = Window.partitionBy("doc", "horizontal").orderBy("cross")
+    new = F.col("cross") - F.lag("cross").over(before) > ROW_STEP * F.greatest("first_size", F.lag("last_size").over(before))
+    row = F.sum(F.coalesce(F.col("_new").cast("bigint"), F.lit(0))).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    held = F.struct(*[c for c in levels.columns if c not in ("doc", "horizontal", "first_size", "last_size")])
+    return dealt.withColumn("_new", new).withColumn("row", row).groupBy("doc", "horizontal", "row").agg(F.collect_list(held).alias("levels"))
+
+
+def in_order(glyphs: Column) -> Column:
+    """A row's glyphs, an array of structs with ord, text, size, cross, along and along_end, as begin, ord, end, size, cross, text: by where they begin, then ord."""
+    return F.array_sort(F.transform(glyphs, lambda x: F.struct(
+        F.least(x["along"], x["along_end"]).alias("begin"), x["ord"].alias("ord"), F.greatest(x["along"], x["along_end"]).alias("end"), x["size"].alias("size"), x["cross"].alias("cross"), x["text"].alias("text"),
+    )))
+
+
+def cut(ordered: Column) -> Column:
+    """The segments of a row's glyphs as in_order() gives them, as in segments(): an array of arrays."""
+
+    def at(x: Column, i: Column) -> Column:
+        y = F.get(ordered, i - 1)
+        return F.when((i == 0) | (x["begin"] - y["end"] > COLUMN_GAP * F.greatest(x["size"], y["size"])), i)
+
+    starts = F.filter(F.transform(ordered, at), lambda i: i.isNotNull())
+    return bind(starts, lambda b: F.transform(b, lambda i, k: F.slice(ordered, i + 1, F.coalesce(F.get(b, k + 1), F.size(ordered)) - i)))
+
+
+def spelled(segment: Column) -> Column:
+    """The text of a segment that cut() gives, as in lines()."""
+
+    def piece(x: Column, i: Column) -> Column:
+        y = F.get(segment, i - 1)
+        spaced = (i > 0) & (x["begin"] - y["end"] > WORD_GAP * x["size"]) & (F.trim(x["text"]) != "") & (F.trim(y["text"]) != "")
+        return F.when(spaced, F.concat(F.lit(" "), x["text"])).otherwise(x["text"])
+
+    return F.array_join(F.transform(segment, piece), "")
+
+
+def level_lines(found: DataFrame) -> DataFrame:
+    """lines() of level_rows() whose `glyphs` are in_order(): doc, horizontal, row, segment, text, left, right, top, bottom, n_glyphs and first_ord. Works inside each row."""
+    each = found.select("doc", "horizontal", "row", F.posexplode(cut(F.col("glyphs"))).alias("segment", "s"))
+    of = lambda f: F.transform("s", f)
+    return each.select(
+        "doc", "horizontal", "row", F.col("segment").cast("bigint").alias("segment"), spelled(F.col("s")).alias("text"), F.get("s", 0)["begin"].alias("left"), F.array_max(of(lambda x: x["end"])).alias("right"),
+        F.array_min(of(lambda x: x["cross"])).alias("top"), F.array_max(of(lambda x: x["cross"] + x["size"])).alias("bottom"), F.size("s").cast("bigint").alias("n_glyphs"), F.array_min(of(lambda x: x["ord"])).alias("first_ord"),
+    )
+
+
 def text_blocks(glyphs: DataFrame) -> DataFrame:
     """The blocks that pages.inspect() takes (doc, ord, bounds, lines, font_min, font_max, italic, rotated, non_left) from glyphs with box, font and italic, in both directions of text.
 
