@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fenestra.operators import selection
+from fenestra.operators import barcode, glyphs, selection
 from fenestra.operators.layouts import layout_windows, layouts
 from fenestra.plans import queries as q
+from fenestra.sources import derived
 
 SMALL = "/root/testdata/sf0.001"
 RECT = "struct<left:double,top:double,width:double,height:double>"
@@ -55,3 +58,78 @@ def test_few_and_many_windows_choose_alike(spark, monkeypatch, named):
     if not named:
         every = b.withColumn("layout", F.explode(F.array(*[F.lit(n) for n in sorted({n for n, *_ in layouts()})])))
         assert few[0] == rows(selection.select_address(every, w), "doc", "layout", "role", "ord", "tier", "score")
+
+
+def test_levels_give_the_rows_and_lines_of_glyphs(spark):
+    """Glyphs held in levels: the same rows, segments and texts as glyphs one by one; crosses that are near share a row."""
+    r = random.Random(8)
+    flat = []
+    for doc in range(40):
+        for i in range(r.randrange(1, 40)):
+            at = r.uniform(0, 200)
+            flat.append((doc, i, r.choice(["a", "bc", " ", "Ż"]), r.random() < 0.8, r.choice([2.0, 3.5]), r.choice([50.0, 50.5, 51.1, 54.2]), at, at + r.choice([-2.0, 2.0, 9.0])))
+    d = spark.createDataFrame(flat, "doc bigint, ord bigint, text string, horizontal boolean, size double, cross double, along double, along_end double")
+    levels = d.groupBy("doc", "horizontal", "cross").agg(F.min_by("size", "ord").alias("first_size"), F.max_by("size", "ord").alias("last_size"), F.collect_list(F.struct("ord", "text", "size", "cross", "along", "along_end")).alias("g"))
+    found = glyphs.level_rows(levels).withColumn("glyphs", glyphs.in_order(F.flatten(F.transform("levels", lambda x: x["g"]))))
+    columns = ["doc", "horizontal", "row", "segment", "text", "left", "right", "top", "bottom", "n_glyphs"]
+    assert rows(glyphs.level_lines(found), *columns) == rows(glyphs.lines(glyphs.segments(glyphs.rows(d))), *columns)
+
+
+@pytest.mark.parametrize("name", ["glyph_rows", "glyph_segments", "line_text", "line_blocks"])
+def test_texts_are_exchanged_once(spark, name):
+    text = plan(q.QUERIES[name](spark, SMALL))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_sums_before(spark, monkeypatch):
+    monkeypatch.setattr(derived, "RUN", 4)
+    for n in (1, 3, 4, 5, 16, 17, 50):
+        got = spark.range(1).select(derived.before(F.array(*[F.lit(i % 7) for i in range(n)])).alias("s")).first().s
+        assert got == [sum(i % 7 for i in range(k)) for k in range(n)]
+
+
+def test_every_symbol_of_a_row_is_matched_at_once():
+    """Long symbols, symbols that break off and noise: what matching one by one reads."""
+    from fenestra.functions.code128 import MODULES
+
+    def one_by_one(widths, first_dark):
+        for i in range(0 if first_dark else 1, len(widths) - 12, 2):
+            start = barcode._match(widths[i : i + 6], slice(103, 106))
+            if not start or (i and widths[i - 1] < 3 * start[1]):
+                continue
+            found, units, at = [start[0]], [start[1]], i + 6
+            while at + 6 <= len(widths) and len(found) <= 80:
+                if at + 7 <= len(widths):
+                    tail = widths[at : at + 7]
+                    unit = tail.sum() / 13
+                    if abs(unit - units[-1]) < 0.25 * units[-1] and np.abs(tail / unit - [2, 3, 3, 1, 1, 1, 2]).max() <= barcode.LARGEST_ERROR:
+                        return [*found, 106], float(np.mean(units))
+                nxt = barcode._match(widths[at : at + 6], slice(0, 103))
+                if not nxt:
+                    break
+                found.append(nxt[0])
+                units.append(nxt[1])
+                at += 6
+        return None
+
+    r = random.Random(9)
+    rng = np.random.default_rng(9)
+    for n in [*range(1, 30), 78, 79, 80, 81, 82, 120]:
+        bits = "".join(MODULES[x] for x in [r.choice([103, 104, 105]), *[r.randrange(103) for _ in range(n)], 106])
+        for noise in (0, 6, 30):
+            px = np.clip(barcode.raster(bits, r.choice([2, 3]))[0].astype(int) + rng.integers(-noise, noise + 1, 1), 0, 255).astype(np.uint8)
+            px = px[: r.choice([len(px), len(px) * 2 // 3])]
+            widths, dark = barcode.run_widths(px)
+            widths = widths + rng.uniform(-noise / 20, noise / 20, len(widths))
+            assert barcode.read_symbols(widths, dark) == one_by_one(widths, dark)
+
+
+def test_pictures_keep_their_pixels():
+    r = np.random.default_rng(3)
+    drawn = barcode.raster("110100" * 20)
+    for px in (drawn, r.integers(0, 256, (7, 31)).astype(np.uint8), drawn[:1]):
+        assert (barcode.png_gray(barcode.gray_png(px)) == px).all()
+    data = barcode.gray_png(drawn)
+    at = data.index(b"IDAT")
+    stored = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")]), np.uint8).reshape(len(drawn), -1)
+    assert (stored[0, 1:] == drawn[0]).all() and (stored[1:, 0] == 2).all() and not stored[1:, 1:].any()
