@@ -41,15 +41,15 @@ ACCENTED, PLAIN = _plain_letters()
 
 
 def normalize_text(c: Column) -> Column:
-    """Without marks, runs of other than letters and digits as one space, lower case. Plain ASCII has no marks, and its letters are found without Unicode's tables."""
-    bare = F.translate(F.regexp_replace(c, r"\p{Mn}", ""), ACCENTED, PLAIN)
-    found = F.when(F.octet_length(c) == F.length(c), F.regexp_replace(c, "[^A-Za-z0-9]+", " ")).otherwise(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
-    return F.lower(F.trim(found))
+    """Without marks, runs of other than letters and digits as one space, lower case. Plain ASCII has no marks; a class of ASCII ranges would find its letters far more slowly than Unicode's."""
+    bare = F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(F.regexp_replace(c, r"\p{Mn}", ""), ACCENTED, PLAIN))
+    return F.lower(F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " ")))
 
 
 def trim(c: Column) -> Column:
-    """Without white space at both ends, Unicode's included."""
-    return F.trim(c, F.lit(SPACE))
+    """Without white space at both ends, Unicode's included. Most lines begin and end with a visible ASCII character, which is seen without comparing each end with every kind of space."""
+    visible = lambda x: F.ascii(x).between(33, 126)
+    return F.when(visible(c) & visible(F.substring(c, -1, 1)), c).otherwise(F.trim(c, F.lit(SPACE)))
 
 
 def non_empty_lines(lines: Column) -> Column:
@@ -69,9 +69,12 @@ def has_inner_empty(lines: Column) -> Column:
 
 def looks_like_address(lines: Column) -> Column:
     """2 to 8 lines of 60 characters at most; 7 and 8 only with a line like a postal code or a country."""
-    own = non_empty_lines(lines)
-    n = F.size(own)
-    return n.between(2, 8) & F.forall(own, lambda x: F.length(x) <= 60) & ((n <= 6) | F.exists(own, lambda x: x.rlike(POSTAL_LIKE) | x.rlike(COUNTRY_LINE)))
+
+    def like(own: Column) -> Column:
+        n = F.size(own)
+        return n.between(2, 8) & F.forall(own, lambda x: F.length(x) <= 60) & ((n <= 6) | F.exists(own, lambda x: x.rlike(POSTAL_LIKE) | x.rlike(COUNTRY_LINE)))
+
+    return bind(non_empty_lines(lines), like)
 
 
 def _normal(lines: Column) -> Column:
@@ -83,6 +86,24 @@ def matched_lines(lines: Column, expected: Column) -> Column:
     return bind(_normal(lines), lambda have: F.size(F.filter(F.transform(expected, normalize_text), lambda e: (e != "") & F.array_contains(have, e))))
 
 
+def wanted_lines(expected: Column) -> Column:
+    """The expected lines as structs of e, the line as given, and n, its normal form between line ends; those without a letter or digit are left out."""
+    named = F.transform(expected, lambda e: F.struct(e.alias("e"), normalize_text(e).alias("n")))
+    return F.transform(F.filter(named, lambda x: x["n"] != ""), lambda x: F.struct(x["e"].alias("e"), F.concat(F.lit("\n"), x["n"], F.lit("\n")).alias("n")))
+
+
+def folded_lines(lines: Column) -> Column:
+    """The normal forms of lines (none null) in one text, with a line end before and behind each: what holds the n of wanted_lines(). The lines are normalized at once, not one by one."""
+    whole = F.when(F.exists(lines, lambda x: x.contains("\n")), F.transform(lines, lambda x: F.translate(x, "\n", " "))).otherwise(lines)
+
+    def fold(c: Column) -> Column:
+        bare = F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(F.regexp_replace(c, r"\p{Mn}", ""), ACCENTED, PLAIN))
+        found = F.regexp_replace(bare, r"[^\p{L}\p{N}\n]+", " ")
+        return F.lower(F.replace(F.replace(found, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")))
+
+    return bind(F.concat(F.lit("\n"), F.array_join(whole, "\n"), F.lit("\n")), fold)
+
+
 def missing_lines(lines: Column, expected: Column) -> Column:
     """The expected lines that the block lacks, as they were given and in their order."""
     named = F.transform(expected, lambda e: F.struct(e.alias("e"), normalize_text(e).alias("n")))

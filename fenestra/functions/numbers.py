@@ -21,26 +21,23 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _digits(s: Column, body: Callable[[list[Column]], Column], n: int) -> Column:
-    """Hand the n digits of a string, as numbers, to `body`."""
-    each = F.transform(F.split(s, ""), lambda c: c.try_cast("int"))
-    return bind(each, lambda d: body([F.get(d, F.lit(i)) for i in range(n)]))
+def _digits(s: Column, n: int) -> list[Column]:
+    """The n digits of a string, as numbers. Plain columns: a lambda's body is interpreted, also where all around it is compiled."""
+    return [F.substring(s, i + 1, 1).try_cast("int") for i in range(n)]
 
 
 def gs1_check_digit(body: Column) -> Column:
     """The check digit of 17 digits, weighted 3 and 1 in turn from the right; null for anything else."""
     total = lambda d: sum((x * (1 if i % 2 else 3) for i, x in enumerate(d)), F.lit(0))
-    return F.when(body.rlike("^[0-9]{17}$"), _digits(body, lambda d: ((10 - total(d) % 10) % 10).cast("int"), 17))
+    return F.when(body.rlike("^[0-9]{17}$"), ((10 - total(_digits(body, 17)) % 10) % 10).cast("int"))
 
 
 def s10_check_digit(serial: Column) -> Column:
     """The check digit of 8 digits; null for anything else."""
 
-    def of(d: list[Column]) -> Column:
-        value = 11 - sum((x * w for x, w in zip(d, S10_WEIGHTS)), F.lit(0)) % 11
-        return bind(value, lambda v: F.when(v == 10, 0).when(v == 11, 5).otherwise(v).cast("int"))
-
-    return F.when(serial.rlike("^[0-9]{8}$"), _digits(serial, of, 8))
+    # of what is left of 11, 10 becomes 0 and 11 becomes 5; `rest` is 0 to 10
+    rest = sum((x * w for x, w in zip(_digits(serial, 8), S10_WEIGHTS)), F.lit(0)) % 11
+    return F.when(serial.rlike("^[0-9]{8}$"), F.element_at(F.array(*[F.lit(d) for d in (5, 0, 9, 8, 7, 6, 5, 4, 3, 2, 1)]), (rest + 1).cast("int")))
 
 
 DOMESTIC, FOREIGN = "^[0-9]{20}$", "^[A-Z]{2}[0-9]{9}[A-Z]{2}$"

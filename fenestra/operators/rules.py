@@ -78,9 +78,9 @@ def _over(window: Column, bounds: Column) -> Column:
     return g.overflow_text(g.overflow(window, bounds))
 
 
-def place_issues(bounds: Column, window: Column, clearance: Column, rotated: Column, name: Column | None = None, neighbour: Column | None = None) -> Column:
-    """Issues of where a block lies. With the window's `name`, and its neighbour's if the block shows there, issues have messages."""
-    t = lambda f: f() if name is not None else None
+def place_issues(bounds: Column, window: Column, clearance: Column, rotated: Column, name: Column | None = None, neighbour: Column | None = None, texts: bool = True) -> Column:
+    """Issues of where a block lies. With the window's `name`, and its neighbour's if the block shows there, issues have messages, unless `texts` is false."""
+    t = lambda f: f() if name is not None and texts else None
     shown = lambda: {"name": name, "window": m.place(window), "bounds": m.place(bounds)}
     outside = lambda: F.when(g.overlap_score(bounds, window) <= 0, m.text("ADDRESS_OUTSIDE_WINDOW/away", where=m.where_instead(neighbour), **shown())).otherwise(m.text("ADDRESS_OUTSIDE_WINDOW", over=_over(window, bounds), **shown()))
     close = lambda: m.text("ADDRESS_TOO_CLOSE_TO_EDGE", name=name, clearance=m.mm(clearance), over=_over(g.deflate(window, clearance), bounds))
@@ -99,12 +99,12 @@ class LabelRules:
     min_module_px: float = 2.5
 
 
-def label_issues(bounds: Column, window: Column, clearance: Column, barcode: Column, number: Column, expected: Column, gs1: Column, module_px: Column, rules: LabelRules = LabelRules(), name: Column | None = None, neighbour: Column | None = None, pixels: Column | None = None) -> Column:
+def label_issues(bounds: Column, window: Column, clearance: Column, barcode: Column, number: Column, expected: Column, gs1: Column, module_px: Column, rules: LabelRules = LabelRules(), name: Column | None = None, neighbour: Column | None = None, pixels: Column | None = None, texts: bool = True) -> Column:
     """Issues of a label: its place, then, if barcodes are read, what its barcode says. `number` is the struct of numbers.parse_number(); a null barcode stops the content checks.
 
-    With the window's `name`, and its neighbour's if the label shows there, issues have messages; `pixels` is the picture's size in words.
+    With the window's `name`, and its neighbour's if the label shows there, issues have messages, unless `texts` is false; `pixels` is the picture's size in words.
     """
-    t = lambda f: f() if name is not None else None
+    t = lambda f: f() if name is not None and texts else None
     shown = lambda: {"name": name, "window": m.place(window), "bounds": m.place(bounds)}
     outside = lambda: F.when(g.intersection_area(bounds, window) <= 0, m.text("LABEL_OUTSIDE_WINDOW/away", where=m.where_instead(neighbour), **shown())).otherwise(m.text("LABEL_OUTSIDE_WINDOW", over=_over(window, bounds), **shown()))
     margin = lambda: F.when(clearance > 0, m.said(" (z odstępem ", m.mm(clearance), " od krawędzi)")).otherwise("")

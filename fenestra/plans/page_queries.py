@@ -130,9 +130,9 @@ verdicts AS (SELECT p.doc, p.problem, count(o.doc) AS n_windows, CAST(coalesce(s
   FROM pages_ p LEFT JOIN pout o ON o.doc = p.doc LEFT JOIN wholes x ON x.doc = p.doc GROUP BY p.doc, p.problem)"""
 
 
-def _inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, where only domestic numbers are allowed."""
-    return pg.inspect(dv.pages(spark, sf_dir), dv.page_blocks(spark, sf_dir), dv.page_images(spark, sf_dir), layout_windows(spark), label=rules.LabelRules(international=False))
+def _inspected(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+    """Every page, where only domestic numbers are allowed; with what the issues say, or without."""
+    return pg.inspect(dv.pages(spark, sf_dir), dv.page_blocks(spark, sf_dir), dv.page_images(spark, sf_dir), layout_windows(spark), label=rules.LabelRules(international=False), texts=texts)
 
 
 @query(f"WITH {PAGES} SELECT doc, role, code, severity, message FROM piss UNION ALL SELECT doc, 'document', code, severity, message FROM wholes")
@@ -143,13 +143,13 @@ def page_issues(spark, sf_dir):
 
 @query(f"WITH {PAGES} SELECT doc, role, found, outcome, CAST(e + i + w AS INTEGER) AS n_issues FROM pout")
 def page_windows(spark, sf_dir):
-    return pg.each_window(_inspected(spark, sf_dir)).drop("content")
+    return pg.each_window(_inspected(spark, sf_dir, texts=False)).drop("content")
 
 
 @query(f"WITH {PAGES} SELECT doc, problem, outcome, coalesce(outcome = 'Valid', false) AS is_valid, n_windows, n_errors, n_warnings FROM verdicts")
 def inspect_page(spark, sf_dir):
     """The flagship: the verdict on every page, whether its windows could be inspected or not."""
-    return pg.outcomes(_inspected(spark, sf_dir))
+    return pg.outcomes(_inspected(spark, sf_dir, texts=False))
 
 
 _ABOUT_PLACES = "code IN ('ADDRESS_NOT_FOUND', 'WINDOW_NOT_FOUND', 'LABEL_NOT_FOUND', 'OTHER_TEXT_IN_WINDOW') OR code IN ('ADDRESS_OUTSIDE_WINDOW', 'LABEL_OUTSIDE_WINDOW') AND contains(message, ' leży w całości ')"
@@ -164,7 +164,7 @@ def page_texts(spark, sf_dir):
 @query(f"WITH {PAGES} SELECT code, severity, count(*) AS n, count(DISTINCT doc) AS pages FROM (SELECT doc, code, severity FROM piss UNION ALL SELECT doc, code, severity FROM wholes) GROUP BY ALL")
 def page_issue_counts(spark, sf_dir):
     """How often each issue occurs, over all pages."""
-    return pg.each_issue(_inspected(spark, sf_dir)).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc").alias("pages"))
+    return pg.issue_counts(_inspected(spark, sf_dir, texts=False))
 
 
 @query(f"""WITH {LETTERS}, x AS (SELECT *, lines AS ls FROM lv) SELECT doc, text FROM (

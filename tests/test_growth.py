@@ -9,8 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fenestra.functions import addresses as ad
+from fenestra.functions import numbers
 from fenestra.operators import barcode, glyphs, selection
 from fenestra.operators.layouts import layout_windows, layouts
+from fenestra.plans import page_queries
 from fenestra.plans import queries as q
 from fenestra.sources import derived
 
@@ -133,3 +136,28 @@ def test_pictures_keep_their_pixels():
     at = data.index(b"IDAT")
     stored = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")]), np.uint8).reshape(len(drawn), -1)
     assert (stored[0, 1:] == drawn[0]).all() and (stored[1:, 0] == 2).all() and not stored[1:, 1:].any()
+
+
+@pytest.mark.parametrize("name", ["inspect_page", "page_issue_counts"])
+def test_verdicts_and_counts_write_no_messages(spark, name):
+    df = q.QUERIES[name](spark, SMALL)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "message" not in text and "WINDOW_NOT_FOUND" in text
+
+
+def test_counts_do_not_deal_issues_out_by_page(spark):
+    text = plan(q.QUERIES["page_issue_counts"](spark, SMALL))
+    assert not [x for x in text.split("\n") if "Exchange hashpartitioning(" in x and "code" in x and "doc" in x]
+
+
+def test_folded_lines_match_alike(spark):
+    """Lines normalized at once hold what lines normalized one by one are found to have."""
+    texts = ["Łódź 1", "lodz 1", " ŁÓDŹ,1 ", "a\nb", "a b", "b", "", "?", "Σας", "ΣΑΣ", "é x", "e x", "e  X!", " Jan "]
+    r = random.Random(4)
+    data = [(i, r.choices(texts, k=r.randrange(6)), r.choices(texts, k=r.randrange(4))) for i in range(300)]
+    d = spark.createDataFrame(data, "i int, a array<string>, e array<string>")
+    have = ad.folded_lines(F.col("a"))
+    hits = numbers.bind(have, lambda h: F.filter(ad.wanted_lines(F.col("e")), lambda x: h.contains(x["n"])))
+    rest = numbers.bind(have, lambda h: F.transform(F.filter(ad.wanted_lines(F.col("e")), lambda x: ~h.contains(x["n"])), lambda x: x["e"]))
+    got = d.select(F.size(hits).alias("n"), ad.matched_lines(F.col("a"), F.col("e")).alias("m"), rest.alias("r"), ad.missing_lines(F.col("a"), F.col("e")).alias("s")).collect()
+    assert all(x.n == x.m and x.r == x.s for x in got) and any(x.n for x in got)
