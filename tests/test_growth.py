@@ -161,3 +161,44 @@ def test_folded_lines_match_alike(spark):
     rest = numbers.bind(have, lambda h: F.transform(F.filter(ad.wanted_lines(F.col("e")), lambda x: ~h.contains(x["n"])), lambda x: x["e"]))
     got = d.select(F.size(hits).alias("n"), ad.matched_lines(F.col("a"), F.col("e")).alias("m"), rest.alias("r"), ad.missing_lines(F.col("a"), F.col("e")).alias("s")).collect()
     assert all(x.n == x.m and x.r == x.s for x in got) and any(x.n for x in got)
+
+
+def test_pictures_read_at_once_are_read_alike(monkeypatch):
+    """Many pictures at once give what each gives by itself; only those that aren't plain are read one by one."""
+    from fenestra.functions.code128 import MODULES
+
+    r, rng = random.Random(11), np.random.default_rng(11)
+
+    def symbol(check=0):
+        data = r.choice([[105, 102, *[r.randrange(100) for _ in range(10)]], [104, 50, 50, 99, 47, 31, 24, 82, 100, 25, 48, 44], [103, *[r.randrange(64) for _ in range(r.randrange(1, 90))]]])
+        return "".join(MODULES[x] for x in [*data, (data[0] + sum(i * x for i, x in enumerate(data[1:], 1)) + check) % 103, 106])
+
+    drawn = [barcode.raster(symbol(), r.choice([2, 3])) for _ in range(40)]
+    gray = [np.clip(p.astype(int) // 2 + 40 + rng.integers(-3, 4, (1, p.shape[1])), 0, 255).astype(np.uint8) for p in drawn[:10]]
+    odd = [drawn[0][:, ::-1], barcode.raster(symbol(1)), drawn[0][:, 30:], drawn[1][:, :-200], np.full((20, 300), 200, np.uint8), rng.integers(0, 256, (7, 90)).astype(np.uint8), drawn[2][:1], np.zeros((3, 1), np.uint8), 255 - drawn[3]]
+    pictures = drawn + gray + odd
+    got = barcode.read_pictures([*map(barcode.gray_png, pictures), None, b"nonsense"])
+    for px, g in zip(pictures, got):
+        one = barcode.decode(px)
+        assert (g[:2], g[3], g[4]) == (one[:2], one[3], None) and abs(g[2] - one[2]) < 1e-9 if one else g == (None, None, None, None, "no_barcode")
+    assert [g[4] for g in got[-2:]] == ["no_image", "not a PNG"] and sum(g[0] is not None for g in got) > 45
+
+    def never(*_):
+        raise AssertionError("read by itself")
+
+    monkeypatch.setattr(barcode, "decode", never)
+    of = [i for i, g in enumerate(got[:40]) if g[0] is not None]
+    assert [barcode.read_pictures([barcode.gray_png(drawn[i])])[0] == got[i] for i in of] == [True] * len(of)
+
+
+def test_equal_rows_are_packed_once():
+    """A drawn label's file is a whole PNG with the pixels of the symbol."""
+    for modules in ("110100" * 20, "1", "10" * 300):
+        px = barcode.raster(modules)
+        data = barcode.repeated_png(px[0].tobytes(), barcode.HEIGHT, 300)
+        assert (barcode.png_gray(data) == px).all() and data[:54] == barcode.gray_png(px, 300)[:54]
+        at = 8
+        while at < len(data):
+            n = int.from_bytes(data[at : at + 4], "big")
+            assert zlib.crc32(data[at + 4 : at + 8 + n]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+            at += n + 12
