@@ -83,7 +83,7 @@ def overflow_text(o: Column) -> Column:
     """The sides that overflow, left, right, top, bottom, as side and millimetres with a decimal comma."""
     names = (("left", "z lewej"), ("right", "z prawej"), ("top", "u góry"), ("bottom", "u dołu"))
     each = [F.when(o[k] > 0, F.concat(F.lit(f"{word} o "), F.replace(F.format_string("%.1f", o[k]), F.lit("."), F.lit(",")), F.lit(" mm"))) for k, word in names]
-    return F.array_join(F.array_compact(F.array(*each)), ", ")
+    return F.concat_ws(", ", *each)
 
 
 def fits(text: Column, window: Column, clearance: Column) -> Column:

@@ -30,19 +30,26 @@ RECIPIENT, SENDER = AddressRules(), AddressRules(min_lines=2, max_lines=5)
 
 
 def issue(condition: Column, code: str, severity: Column | str = "Error", said: Column | None = None) -> Column:
-    """A struct of code and severity, and message where one is given, if the condition holds, else null."""
+    """An array of a struct of code and severity, and message where one is given, if the condition holds, else an empty one."""
     level = severity if isinstance(severity, Column) else F.lit(severity)
-    return F.when(condition, F.struct(F.lit(code).alias("code"), level.alias("severity"), *([] if said is None else [said.alias("message")])))
+    none = F.array().cast(f"array<struct<code:string,severity:string{'' if said is None else ',message:string'}>>")
+    return F.when(condition, F.array(F.struct(F.lit(code).alias("code"), level.alias("severity"), *([] if said is None else [said.alias("message")])))).otherwise(none)
 
 
 def issues(*each: Column) -> Column:
-    return F.array_compact(F.array(*each))
+    """Those of issue() that hold. Arrays of one are put together, which Spark compiles; taking nulls out of one array would interpret all that is in it."""
+    return F.concat(*each)
 
 
-def address_issues(lines: Column, rules: AddressRules = RECIPIENT, texts: bool = False) -> Column:
-    """Issues of an address's text; `lines` are normalized (see addresses.normalize_lines). One LINE_TOO_LONG for each such line. With `texts`, issues have messages."""
+def address_facts(lines: Column, text: Column, rules: AddressRules = RECIPIENT) -> Column:
+    """What address_issues() goes by, of normalized lines that are also given as one text with line ends."""
+    return F.struct(lines.alias("l"), F.size(lines).alias("n"), a.has_merge_field_in(text).alias("fields"), (a.postal_verdict_of(lines, text, rules.foreign) if rules.postal else F.lit("ok")).alias("verdict"), a.unusual_characters_in(text).alias("odd"))
+
+
+def address_issues(lines: Column, rules: AddressRules = RECIPIENT, texts: bool = False, facts: Column | None = None) -> Column:
+    """Issues of an address's text; `lines` are normalized (see addresses.normalize_lines). One LINE_TOO_LONG for each such line. With `texts`, issues have messages. `facts`: a column of address_facts(), if there is one."""
     t = lambda f: f() if texts else None
-    base = F.struct(lines.alias("l"), F.size(lines).alias("n"), a.has_merge_field(lines).alias("fields"), (a.postal_verdict(lines, rules.foreign) if rules.postal else F.lit("ok")).alias("verdict"), a.unusual_characters(lines).alias("odd"))
+    base = facts if facts is not None else F.struct(lines.alias("l"), F.size(lines).alias("n"), a.has_merge_field(lines).alias("fields"), (a.postal_verdict(lines, rules.foreign) if rules.postal else F.lit("ok")).alias("verdict"), a.unusual_characters(lines).alias("odd"))
 
     def found(x: Column) -> Column:
         own, n, fields, verdict = x["l"], x["n"], x["fields"], x["verdict"]
@@ -55,19 +62,23 @@ def address_issues(lines: Column, rules: AddressRules = RECIPIENT, texts: bool =
             F.filter(numbered, lambda z: F.length(z["y"]) > rules.max_chars),
             lambda z: F.struct(F.lit("LINE_TOO_LONG").alias("code"), F.lit("Error").alias("severity"), *[m.line_too_long(z["i"], z["y"], rules.max_chars).alias("message")] * texts),
         )
+        none = issue(F.lit(False), "LINE_TOO_LONG", said=t(lambda: F.lit("")))
         single = issues(
             issue(~some, "ADDRESS_EMPTY", said=t(lambda: m.text("ADDRESS_EMPTY"))), issue(some & fields, "MERGE_FIELDS_PRESENT", "Warning", t(lambda: m.text("MERGE_FIELDS_PRESENT"))),
             issue(some & (n < rules.min_lines), "TOO_FEW_LINES", said=t(lambda: m.line_count(n, rules.min_lines, True))), issue(n > rules.max_lines, "TOO_MANY_LINES", said=t(lambda: m.line_count(n, rules.max_lines, False))),
             issue(some & (verdict == "text_after"), "TEXT_AFTER_POSTAL_CODE_LINE", level, t(postal)), issue(some & (verdict == "missing"), "POSTAL_CODE_LINE_MISSING", level, t(missing)),
             issue(some & (F.size(x["odd"]) > 0), "UNUSUAL_CHARACTERS", "Warning", t(lambda: m.unusual(x["odd"]))),
         )
-        return F.concat(single, long)
+        return F.concat(single, F.when(F.length(F.array_join(own, "")) > rules.max_chars, long).otherwise(none))
 
-    return bind(base, found)
+    return found(facts) if facts is not None else bind(base, found)
 
 
-def type_issues(min_font: Column, max_font: Column, italic: Column, non_left: Column, rules: AddressRules = RECIPIENT, texts: bool = False) -> Column:
+def type_issues(min_font: Column, max_font: Column, italic: Column, non_left: Column, rules: AddressRules = RECIPIENT, texts: bool = False, some: Column | None = None) -> Column:
+    """Issues of an address's type; `some`: whether there is a text at all."""
     t = lambda f: f() if texts else None
+    if some is not None:
+        min_font, max_font, italic, non_left = (F.when(some, c) for c in (min_font, max_font, italic, non_left))
     return issues(
         issue(min_font < rules.min_font, "FONT_TOO_SMALL", said=t(lambda: m.font(min_font, rules.min_font, True))), issue(max_font > rules.max_font, "FONT_TOO_LARGE", "Warning", t(lambda: m.font(max_font, rules.max_font, False))),
         issue(italic & rules.warn_decorated, "DECORATED_TEXT", "Warning", t(lambda: m.text("DECORATED_TEXT"))), issue(non_left & rules.warn_alignment, "NON_LEFT_ALIGNMENT", "Warning", t(lambda: m.text("NON_LEFT_ALIGNMENT"))),
@@ -78,17 +89,21 @@ def _over(window: Column, bounds: Column) -> Column:
     return g.overflow_text(g.overflow(window, bounds))
 
 
-def place_issues(bounds: Column, window: Column, clearance: Column, rotated: Column, name: Column | None = None, neighbour: Column | None = None, texts: bool = True) -> Column:
-    """Issues of where a block lies. With the window's `name`, and its neighbour's if the block shows there, issues have messages, unless `texts` is false."""
+def address_place(bounds: Column, window: Column, clearance: Column) -> Column:
+    """outside, too_close or inside; a block that the window doesn't show at all is outside, whatever its size."""
+    return F.when(g.overlap_score(bounds, window) <= 0, "outside").otherwise(g.fits(bounds, window, clearance))
+
+
+def place_issues(bounds: Column, window: Column, clearance: Column, rotated: Column, name: Column | None = None, neighbour: Column | None = None, texts: bool = True, place: Column | None = None) -> Column:
+    """Issues of where a block lies. With the window's `name`, and its neighbour's if the block shows there, issues have messages, unless `texts` is false. `place`: a column of address_place(), if there is one."""
     t = lambda f: f() if name is not None and texts else None
     shown = lambda: {"name": name, "window": m.place(window), "bounds": m.place(bounds)}
     outside = lambda: F.when(g.overlap_score(bounds, window) <= 0, m.text("ADDRESS_OUTSIDE_WINDOW/away", where=m.where_instead(neighbour), **shown())).otherwise(m.text("ADDRESS_OUTSIDE_WINDOW", over=_over(window, bounds), **shown()))
     close = lambda: m.text("ADDRESS_TOO_CLOSE_TO_EDGE", name=name, clearance=m.mm(clearance), over=_over(g.deflate(window, clearance), bounds))
-    # a block that the window doesn't show at all is outside, whatever its size
-    place = F.when(g.overlap_score(bounds, window) <= 0, "outside").otherwise(g.fits(bounds, window, clearance)) if name is not None else g.fits(bounds, window, clearance)
-    return bind(place, lambda p: issues(
+    found = lambda p: issues(
         issue(rotated, "TEXT_ROTATED", said=t(lambda: m.text("TEXT_ROTATED", name=name))), issue(p == "outside", "ADDRESS_OUTSIDE_WINDOW", said=t(outside)), issue(p == "too_close", "ADDRESS_TOO_CLOSE_TO_EDGE", said=t(close)),
-    ))
+    )
+    return found(place) if place is not None else bind(address_place(bounds, window, clearance) if name is not None else g.fits(bounds, window, clearance), found)
 
 
 @dataclass(frozen=True)
@@ -99,10 +114,10 @@ class LabelRules:
     min_module_px: float = 2.5
 
 
-def label_issues(bounds: Column, window: Column, clearance: Column, barcode: Column, number: Column, expected: Column, gs1: Column, module_px: Column, rules: LabelRules = LabelRules(), name: Column | None = None, neighbour: Column | None = None, pixels: Column | None = None, texts: bool = True) -> Column:
+def label_issues(bounds: Column, window: Column, clearance: Column, barcode: Column, number: Column, expected: Column, gs1: Column, module_px: Column, rules: LabelRules = LabelRules(), name: Column | None = None, neighbour: Column | None = None, pixels: Column | None = None, texts: bool = True, place: Column | None = None) -> Column:
     """Issues of a label: its place, then, if barcodes are read, what its barcode says. `number` is the struct of numbers.parse_number(); a null barcode stops the content checks.
 
-    With the window's `name`, and its neighbour's if the label shows there, issues have messages, unless `texts` is false; `pixels` is the picture's size in words.
+    With the window's `name`, and its neighbour's if the label shows there, issues have messages, unless `texts` is false; `pixels` is the picture's size in words. `place`: a column of geometry.label_geometry(), if there is one.
     """
     t = lambda f: f() if name is not None and texts else None
     shown = lambda: {"name": name, "window": m.place(window), "bounds": m.place(bounds)}
@@ -110,9 +125,10 @@ def label_issues(bounds: Column, window: Column, clearance: Column, barcode: Col
     margin = lambda: F.when(clearance > 0, m.said(" (z odstępem ", m.mm(clearance), " od krawędzi)")).otherwise("")
     large = lambda: m.text("LABEL_TOO_LARGE", size=m.size(bounds), name=name, room=m.size(g.deflate(window, clearance)), margin=margin())
     close = lambda: m.text("LABEL_TOO_CLOSE_TO_EDGE", name=name, clearance=m.mm(clearance), over=_over(g.deflate(window, clearance), bounds))
-    placed = bind(g.label_geometry(bounds, window, clearance), lambda p: issues(
+    of_place = lambda p: issues(
         issue(p.isin("not_overlapping", "outside"), "LABEL_OUTSIDE_WINDOW", said=t(outside)), issue(p == "too_large", "LABEL_TOO_LARGE", said=t(large)), issue(p == "too_close", "LABEL_TOO_CLOSE_TO_EDGE", said=t(close)),
-    ))
+    )
+    placed = of_place(place) if place is not None else bind(g.label_geometry(bounds, window, clearance), of_place)
     if not rules.read_barcode:
         return placed
     read, valid, kind = barcode.isNotNull(), F.coalesce(number["is_valid"], F.lit(False)), number["type"]
@@ -129,7 +145,7 @@ def label_issues(bounds: Column, window: Column, clearance: Column, barcode: Col
 
 def window_outcome(found: Column, found_issues: Column) -> Column:
     """Invalid if nothing was found or there is an error, else Inconclusive if an issue is, else Valid."""
-    has = lambda level: F.exists(found_issues, lambda i: i["severity"] == level)
+    has = lambda level: F.array_contains(found_issues["severity"], level)
     return F.when(~found | has("Error"), "Invalid").when(has("Inconclusive"), "Inconclusive").otherwise("Valid")
 
 

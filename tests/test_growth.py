@@ -202,3 +202,35 @@ def test_equal_rows_are_packed_once():
             n = int.from_bytes(data[at : at + 4], "big")
             assert zlib.crc32(data[at + 4 : at + 8 + n]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
             at += n + 12
+
+
+def test_texts_of_lines_tell_what_lines_tell(spark):
+    """What is worked out on one text of lines is what is worked out line by line, odd white space, nulls and line ends in lines included."""
+    texts = ["Jan", " Jan ", "", " ", " ", " Łódź\t", "00-940 Warszawa", "00940", "12", "-345 Gdańsk", "POLSKA", "Polska", "NIEMCY", "«Pole»", "«a", "b»", "{{x}} ~", "§ 1 €", "x" * 41, "y" * 61, "a\nb", "00\n-940", None, "a  b", "ul. Prosta\r1", "RÉPUBLIQUE FRANÇAISE", "\x85", "\u00a0x\u2003", "MERGEFIELD ~"]
+    r = random.Random(5)
+    data = [(i, r.choices(texts, k=r.randrange(9))) for i in range(600)] + [(600, ["c"] * 7 + ["00-940"]), (601, ["c"] * 7 + ["A B"]), (602, ["c"] * 7)]
+    d = spark.createDataFrame(data, "i int, raw array<string>").withColumn("l", F.array_compact("raw"))
+    d = d.withColumn("j", ad.joined(F.col("raw"))).withColumn("p", ad.is_plain(F.col("j"), F.col("raw"))).withColumn("t", F.when(F.col("p"), F.col("j")).otherwise(F.array_join(ad.without_breaks(F.col("raw")), "\n")))
+    d = d.withColumns({"tidy": ad.tidy(F.col("t")), "own": F.array_remove(F.split(ad.own_text(F.col("t")), "\n"), "")}).withColumn("f", ad.filled(F.col("tidy")))
+    lines, own, text = F.col("l"), F.col("own"), ad.own_text(F.col("t"))
+    pairs = {
+        "own": (own, ad.normalize_lines(lines)), "like": (ad.like_address(F.col("f"), ad.count_lines(F.col("f"))), ad.looks_like_address(lines)), "n": (ad.count_lines(F.col("f")), F.size(ad.non_empty_lines(lines))),
+        "gap": (ad.has_gap(F.col("tidy")), ad.has_inner_empty(lines)), "snippet": (F.when(F.col("p"), ad.snippet_of(F.col("f"))), F.when(F.col("p"), ad.snippet(lines))), "field": (ad.has_merge_field_in(text), ad.has_merge_field(own)),
+        "odd": (ad.unusual_characters_in(text), ad.unusual_characters(own)), "verdict": (ad.postal_verdict_of(own, text), ad.postal_verdict(own)), "home": (ad.postal_verdict_of(own, text, False), ad.postal_verdict(own, False)),
+    }
+    for x in d.select("raw", *[F.struct(a.alias("a"), b.alias("b")).alias(f"of_{k}") for k, (a, b) in pairs.items()]).collect():
+        for k in pairs:
+            assert x[f"of_{k}"].a == x[f"of_{k}"].b, (k, x.raw)
+
+
+def test_numbers_as_columns_are_parsed_alike(spark):
+    raws = ["00759007731512000621", "(00) 7 5900773 1 51200062 1", "00759007731512000622", "0075900773151200062", "01759007731512000621", "rr473124829pl", "RR473124820PL", "R1473124829PL", "", None, "ß"]
+    d = numbers.with_number(spark.createDataFrame([(x,) for x in raws], "raw string"), "raw", "n")
+    assert all(x.n == x.m for x in d.withColumn("m", numbers.parse_number(F.col("raw"))).collect()) and d.columns == ["raw", "n"]
+
+
+@pytest.mark.parametrize("name", ["page_issue_counts", "page_json", "overlay_rows"])
+def test_blocks_are_chosen_in_compiled_rows(spark, name):
+    """No page's blocks or pictures are gathered before they are chosen."""
+    text = plan(q.QUERIES[name](spark, SMALL))
+    assert "ObjectHashAggregate" not in text and text.count("Window") >= 3
